@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm.common import small_batches, table, text_bytes, written
+from alphaloom.llm.common import prepare, table, text_bytes, written
 from alphaloom.llm.components import components
 from alphaloom.llm.words import U, mix, shingle_sets, split_words
 
@@ -192,7 +192,7 @@ def _route(cluster: str, x, y, side) -> F.Column:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept (see the module's docstring)."""
-    small_batches(spark)
+    prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     seen = written(spark, docs.mapInArrow(_summaries, "doc_id long, n_shingles long, mark1 long, mark2 long, bands array<long>"), "sketches")
     key = ["mark1", "mark2", "n_shingles"]
