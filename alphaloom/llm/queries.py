@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alphaloom.llm import near_dedup
+from alphaloom.llm import near_dedup, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_substring_dedup": substring_dedup.op3,
         "op10_minhash_near_dedup": near_dedup.op10,
     }
 
