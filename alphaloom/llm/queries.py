@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alphaloom.llm import near_dedup, substring_dedup
+from alphaloom.llm import decontaminate, near_dedup, quality_rules, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": decontaminate.op1,
         "op3_substring_dedup": substring_dedup.op3,
+        "op4_quality_rules": quality_rules.op4,
         "op10_minhash_near_dedup": near_dedup.op10,
     }
 
