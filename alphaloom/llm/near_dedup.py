@@ -197,13 +197,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     seen = written(spark, docs.mapInArrow(_summaries, "doc_id long, n_shingles long, mark1 long, mark2 long, bands array<long>"), "sketches")
     key = ["mark1", "mark2", "n_shingles"]
     filled = seen.where("n_shingles > 0")
-    classes = filled.groupBy(key).agg(F.min("doc_id").alias("rep"))
+    classes = written(spark, filled.groupBy(key).agg(F.min("doc_id").alias("rep")), "reps")
     member = written(spark, filled.select("doc_id", *key).join(classes, key).select("doc_id", "n_shingles", "rep"), "classes")
 
     # one row of each class carries the bands
     heads = member.where("doc_id = rep").select("doc_id").distinct()
     bands = seen.join(heads, "doc_id").select("doc_id", F.explode("bands").alias("band"))
-    hubs = bands.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub < top").select("band", "hub")
+    hubs = written(spark, bands.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub < top").select("band", "hub"), "hubs")
     near = bands.join(hubs, "band").where("doc_id <> hub").select("doc_id", "hub").distinct()
     clusters = components(spark, near, "doc_id", "hub")
 

@@ -106,7 +106,7 @@ def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Per document row: its statistics, base_failed, kept, and the hashes of its boilerplate lines (null if none)."""
     stats = written(spark, statistics(docs), "lines")
     lines = stats.select("row", "host", F.explode("counted").alias("c")).select("row", "host", "c.line", "c.words")
-    cut = lines.join(boilerplate(stats), ["host", "line"]).groupBy("row").agg(F.sum("words").alias("cut_words"), F.collect_set("line").alias("cut"))
+    cut = lines.join(written(spark, boilerplate(stats), "boilerplate"), ["host", "line"]).groupBy("row").agg(F.sum("words").alias("cut_words"), F.collect_set("line").alias("cut"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     depleted = 2 * F.coalesce(F.col("cut_words"), F.lit(0)) > F.col("n_words")
     out = stats.drop("counted", "host", "content").join(cut, "row", "left")
