@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alphaloom.llm import decontaminate, near_dedup, quality_rules, substring_dedup
+from alphaloom.llm import bpe, decontaminate, near_dedup, quality_rules, substring_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": decontaminate.op1,
         "op3_substring_dedup": substring_dedup.op3,
         "op4_quality_rules": quality_rules.op4,
+        "op6_token_files": token_files.op6,
+        "op7_bpe": bpe.op7,
         "op10_minhash_near_dedup": near_dedup.op10,
     }
 
