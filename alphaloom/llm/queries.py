@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alphaloom.llm import bpe, decontaminate, near_dedup, quality_rules, substring_dedup, token_files
+from alphaloom.llm import bpe, decontaminate, near_dedup, quality_rules, substring_dedup, token_files, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,9 +16,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": quality_rules.op4,
         "op6_token_files": token_files.op6,
         "op7_bpe": bpe.op7,
+        "op8_url_filters": url_filters.op8,
         "op10_minhash_near_dedup": near_dedup.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_url_filters": url_filters.OP8_SQL}
