@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alphaloom.llm import bpe, decontaminate, near_dedup, quality_rules, substring_dedup, token_files, url_filters
+from alphaloom.llm import bpe, decontaminate, near_dedup, pii, quality_rules, substring_dedup, token_files, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontaminate.op1,
+        "op2_pii": pii.op2,
         "op3_substring_dedup": substring_dedup.op3,
         "op4_quality_rules": quality_rules.op4,
         "op6_token_files": token_files.op6,
