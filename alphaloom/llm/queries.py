@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alphaloom.llm import bpe, decontaminate, near_dedup, pii, quality_rules, substring_dedup, token_files, url_filters
+from alphaloom.llm import bpe, chat, decontaminate, html_text, near_dedup, pii, quality_rules, substring_dedup, token_files, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,12 +15,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pii": pii.op2,
         "op3_substring_dedup": substring_dedup.op3,
         "op4_quality_rules": quality_rules.op4,
+        "op5_html_text": html_text.op5,
         "op6_token_files": token_files.op6,
         "op7_bpe": bpe.op7,
         "op8_url_filters": url_filters.op8,
+        "op9_chat_perspectives": chat.op9,
         "op10_minhash_near_dedup": near_dedup.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filters": url_filters.OP8_SQL}
+    return {"op8_url_filters": url_filters.OP8_SQL, "op9_chat_perspectives": chat.OP9_SQL}
