@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one Arrow batch. Texts may be long, so batches stay small.
 BATCH_ROWS = 1000
+#: Rows of a few numbers that one task and file get.
+FILE_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,8 +50,13 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a fresh Parquet table in the shared folder and read it back: the lineage ends there."""
+def written(spark: SparkSession, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to a fresh Parquet table in the shared folder and read it back: the lineage ends there.
+
+    ``rows``: about how many small rows there are, if that is known; a task then gets FILE_ROWS of them.
+    """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

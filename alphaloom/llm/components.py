@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from alphaloom.llm.common import written
 
 
-def _stars(spark: SparkSession, edges: DataFrame, large: bool) -> DataFrame:
+def _stars(spark: SparkSession, edges: DataFrame, large: bool, rows: int) -> DataFrame:
     """Link the neighbours of each node to the smallest of them (large: those above the node; small: those below)."""
     seen = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     # written, so that the join can split a hub's neighbours over several tasks
-    low = written(spark, seen.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "low")
+    low = written(spark, seen.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "low", rows)
     near = seen.join(low, "u")
     if large:
         out = near.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -36,8 +36,8 @@ def components(spark: SparkSession, edges: DataFrame, a: str, b: str, rounds: in
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == mark or not state["n"]:
             break
-        mark = state
-        now = written(spark, _stars(spark, _stars(spark, now, True), False), "edges")
+        mark, n = state, state["n"]
+        now = written(spark, _stars(spark, written(spark, _stars(spark, now, True, n), "edges", n), False, n), "edges", n)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

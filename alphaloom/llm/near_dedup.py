@@ -204,7 +204,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     heads = member.where("doc_id = rep").select("doc_id").distinct()
     bands = seen.join(heads, "doc_id").select("doc_id", F.explode("bands").alias("band"))
     hubs = written(spark, bands.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub < top").select("band", "hub"), "hubs")
-    near = bands.join(hubs, "band").where("doc_id <> hub").select("doc_id", "hub").distinct()
+    near = bands.join(hubs.hint("merge"), "band").where("doc_id <> hub").select("doc_id", "hub").distinct()
     clusters = components(spark, near, "doc_id", "hub")
 
     size = clusters.join(member.where("doc_id = rep").select(F.col("doc_id").alias("node"), "n_shingles").distinct(), "node")
@@ -218,21 +218,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     first = placed.select("doc_id", F.when((F.col("block") == 0) & (F.col("blocks") > 1), F.concat(own, pivot)).otherwise(own).alias("routes"))
     edges = written(spark, _verified(docs, first), "links")
 
-    rest = _unsettled(spark, placed, edges)
+    found = written(spark, components(spark, edges, "a", "b"), "components")
+    rest = _unsettled(spark, placed, found)
     if rest is not None:
-        edges = edges.unionByName(written(spark, _verified(docs, rest), "links"))
-    found = components(spark, edges, "a", "b")
+        # the components found so far are edges, too
+        both = _verified(docs, rest).unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        found = components(spark, both, "a", "b")
     labelled = member.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = seen.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return labelled.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _unsettled(spark: SparkSession, placed: DataFrame, edges: DataFrame) -> DataFrame | None:
+def _unsettled(spark: SparkSession, placed: DataFrame, found: DataFrame) -> DataFrame | None:
     """Routes that compare, in clusters of several blocks, each document outside the main component with all others."""
     large = placed.where("blocks > 1")
     if large.isEmpty():
         return None
-    found = components(spark, edges, "a", "b")
     parts = written(spark, large.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "parts")
     sizes = parts.groupBy("cluster", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("docs"), F.max("n").alias("most"))
