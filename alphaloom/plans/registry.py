@@ -1,19 +1,386 @@
-"""Registered queries over the reference-style operators, with an independent SQL text for each."""
+"""Registered queries over the factor-research operators; an independent SQL text for each is in ``oracle``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from alphaloom.functions import scalars as S
+from alphaloom.operators import analysis as A
+from alphaloom.operators import backtest as B
+from alphaloom.operators import factors as X
+from alphaloom.operators import panel as P
+from alphaloom.operators import portfolio as G
+from alphaloom.operators import quality as Q
+from alphaloom.operators import scoreboard as R
+from alphaloom.plans import demo, oracle
+from alphaloom.sources import tables as T
+
+HORIZONS, TOP, BUFFER, GRID = [1, 5, 20], 5, 8, [3, 5, 10, 30]
+MODELS = [B.CostModel("no_cost", 0.0, 0.0, 0.0, 0.0), B.CostModel("half_cost", 0.0007125, 0.0007125, 0.0015, 0.0005), B.CostModel(), B.CostModel("high_cost", 0.00285, 0.00285, 0.006, 0.002)]
+ONE = [("run", TOP, "daily", False, 30)]
+
+
+def _r(df: DataFrame, *columns: str) -> DataFrame:
+    """Doubles at six digits."""
+    return df.withColumns({c: S.rounded(F.col(c), 6) for c in columns})
+
+
+class Case:
+    """Lazily built inputs of one query."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+        self.w, self.d, self.t = (partial(f, spark, sf_dir) for f in (demo.bars_w, demo.bars_d, demo.bars_t))
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+    def pv(self) -> DataFrame:
+        return X.price_volume_factors(self.w())
+
+    def val(self) -> DataFrame:
+        return X.valuation_factors(demo.valuation(self.spark, self.dir), demo.AS_OF)
+
+    def composite(self) -> DataFrame:
+        return X.composite_frame(self.pv(), self.val())
+
+    def factors(self) -> DataFrame:
+        # analysis reads the factors several times; they are the result of a window stage
+        pv = self.pv()
+        return A.historical_factors(pv, X.historical_composite(pv))
+
+    def fwd(self) -> DataFrame:
+        return A.forward_returns(self.w(), HORIZONS)
+
+    def quantiles(self) -> DataFrame:
+        return A.factor_quantiles(self.factors())
+
+    def qr(self) -> DataFrame:
+        return A.quantile_returns(self.quantiles(), self.fwd())
+
+    def ic(self) -> DataFrame:
+        return A.rank_ic(self.factors(), self.fwd())
+
+    def board(self) -> DataFrame:
+        qr = self.qr().persist()
+        return R.factor_scoreboard(A.ic_summary(self.ic()), qr, A.bucket_turnover(self.quantiles()), A.monotonicity(qr), 25)
+
+    def scores(self) -> DataFrame:
+        """Composite of the daily panel."""
+        return X.historical_composite(X.price_volume_factors(self.d()))
+
+    def grid(self, rows=ONE) -> DataFrame:
+        return G.scenarios(self.spark, rows)
+
+    def positions(self, rows=ONE, scheduled: bool = False) -> DataFrame:
+        return G.topn_positions(self.scores(), self.grid(rows), G.calendars(self.d()) if scheduled else None)
+
+    def weights(self) -> DataFrame:
+        return G.equal_weights(self.positions())
+
+    def aligned(self) -> DataFrame:
+        return B.aligned_weights(self.weights(), self.d())
+
+    def run(self) -> tuple[DataFrame, DataFrame]:
+        return B.backtest(self.d(), self.weights(), self.grid(), B.cost_scenarios_df(self.spark, [B.CostModel()]))
+
+
+# --- A, B: sources and normalisation
+
+
+def format_bars(c: Case) -> DataFrame:
+    return T.format_bars(demo.raw_bars(c.spark, c.dir).drop("Code"), F.lit("2330")).groupBy("date", "ticker", "open", "high", "low", "close", "volume").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def failed_tickers(c: Case) -> DataFrame:
+    asked = c.read("supplier").select(F.col("s_suppkey").cast("string").alias("ticker"))
+    came = c.read("lineitem").where("l_quantity >= 50 and l_discount < 0.05").select(F.col("l_suppkey").cast("string").alias("ticker"))
+    return T.failed_tickers(asked, came)
+
+
+def select_tickers(c: Case) -> DataFrame:
+    return T.select_tickers(T.normalize_universe(demo.raw_universe(c.spark, c.dir)), 12)
+
+
+def _named(c: Case) -> dict[str, DataFrame]:
+    return {"nation": c.read("nation").select("n_nationkey", "n_name"), "ohlcv": c.w(), "valuation": demo.valuation(c.spark, c.dir)}
+
+
+def manifest(c: Case) -> DataFrame:
+    return T.manifest(_named(c), "1.0", {"ohlcv": ["lineitem", "part"]}, "2024-01-01").withColumn("source_inputs", F.array_join("source_inputs", ","))
+
+
+def manifest_upsert(c: Case) -> DataFrame:
+    named = _named(c)
+    old = T.manifest({k: named[k] for k in ("nation", "ohlcv")}, "0.9", created_at="2023-01-01")
+    new = T.manifest({k: named[k] for k in ("ohlcv", "valuation")}, "1.0", created_at="2024-01-01")
+    return T.manifest_upsert(old, new).drop("source_inputs")
+
+
+def clean_ticker(c: Case) -> DataFrame:
+    return demo.raw_universe(c.spark, c.dir).select(F.col("StockCode").alias("raw"), S.clean_ticker(F.col("StockCode")).alias("ticker"))
+
+
+def suffix_ticker(c: Case) -> DataFrame:
+    return demo.raw_universe(c.spark, c.dir).select(F.col("StockCode").alias("raw"), S.suffix_ticker(F.col("StockCode")).alias("symbol"))
+
+
+def numeric_coerce(c: Case) -> DataFrame:
+    raw = demo.raw_bars(c.spark, c.dir)
+    return raw.select(F.col("Open").alias("raw"), S.numeric(F.col("Open")).alias("value")).distinct()
+
+
+def date_coerce(c: Case) -> DataFrame:
+    return demo.raw_bars(c.spark, c.dir).select(F.col("Date").alias("raw"), S.to_date_lenient(F.col("Date")).alias("date")).distinct()
+
+
+def normalize_ohlcv(c: Case) -> DataFrame:
+    rows = T.normalize_ohlcv(demo.raw_bars(c.spark, c.dir))
+    return rows.groupBy(*T.BARS).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# --- C: panel
+
+
+def duplicate_keys(c: Case) -> DataFrame:
+    rows = c.read("lineitem").select(F.col("l_shipdate").cast("date").alias("date"), F.col("l_suppkey").cast("string").alias("ticker"))
+    return P.duplicate_keys(rows)
+
+
+def dense_grid(c: Case) -> DataFrame:
+    return _r(P.dense_grid(c.w()), "open", "high", "low", "close", "volume")
+
+
+TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
+def field_matrix(c: Case) -> DataFrame:
+    brands = [f"Brand#{a}{b}" for a in range(1, 4) for b in range(1, 4)]
+    return _r(P.field_matrix(c.w().where(F.col("ticker").isin(brands)), "close", brands), *brands)
+
+
+def unpivot_factor(c: Case) -> DataFrame:
+    return _r(P.unpivot_factor(field_matrix(c)), "factor")
+
+
+# --- D: factors
+
+
+def low_volatility_method(c: Case) -> DataFrame:
+    bare = c.w().drop("high", "low")
+    return X.low_volatility_method(c.w()).withColumn("panel", F.lit("full")).unionByName(X.low_volatility_method(bare).withColumn("panel", F.lit("close only")))
+
+
+def _ranked(c: Case, direction: str) -> DataFrame:
+    return _r(S.rank_factor(c.w().select("date", "ticker", F.when(F.col("volume") > 100, F.col("close")).alias("value")), "value", "date", direction), "rank", "value")
+
+
+FACTORS = ["momentum_60d", "low_volatility_20d", "volume_ratio_5d_60d"]
+
+
+# --- E, F
+
+
+def quantile_pivot(c: Case) -> DataFrame:
+    return _r(A.quantile_pivot(c.qr()), "Q1", "Q2", "Q3", "Q4", "Q5", "top_bottom_spread")
+
+
+def factor_scoreboard(c: Case) -> DataFrame:
+    return _r(c.board(), "ic_mean", "ic_std", "ir", "top_bottom_spread", "avg_turnover", "monotonicity_score")
+
+
+# --- G, H
+
+
+POSITIONS = ["date", "ticker", "factor_score", "rank", "selected", "top_n", "selection_rule", "rebalance_frequency", "buffer_enabled", "drop_rank_buffer"]
+
+
+def _positions(df: DataFrame) -> DataFrame:
+    return _r(df.select(*POSITIONS), "factor_score")
+
+
+def aligned_weights(c: Case) -> DataFrame:
+    return _r(c.aligned().join(P.date_index(c.d()), "date_idx").select("date", "ticker", "weight"), "weight")
+
+
+def cost_model(c: Case) -> DataFrame:
+    """What each model costs the orders' lines, bought and sold once."""
+    costs = B.cost_scenarios_df(c.spark, MODELS)
+    volume = c.d().agg(F.sum(F.col("close") * F.col("volume")).alias("v"))
+    out = volume.join(costs).select("cost", "buy_cost_rate", "sell_cost_rate", F.round((F.col("buy_cost_rate") + F.col("sell_cost_rate")) * F.col("v"), 0).alias("round_trip"))
+    return _r(out, "buy_cost_rate", "sell_cost_rate")
+
+
+def _per_date(c: Case, df: DataFrame, *columns: str) -> DataFrame:
+    return _r(df.join(P.date_index(c.d()), "date_idx").select("date", *columns), *columns)
+
+
+def backtest_results(c: Case) -> DataFrame:
+    out = c.run()[0].select("date", "equity", "returns", "drawdown", "gross_returns", "cost_returns", "turnover", "exposure")
+    return _r(out.withColumn("equity", S.rounded(F.col("equity"), 2)), "returns", "drawdown", "gross_returns", "cost_returns", "turnover", "exposure")
+
+
+METRICS = ["total_return", "annualized_return", "annualized_volatility", "sharpe", "max_drawdown", "turnover", "avg_exposure"]
+
+
+def backtest_metrics(c: Case) -> DataFrame:
+    return _r(c.run()[1].drop("scenario", "cost", "cost_model_summary"), *METRICS, "win_rate")
+
+
+def cost_scenarios(c: Case) -> DataFrame:
+    return _r(B.cost_scenarios(c.d(), c.scores(), MODELS, TOP, "daily", BUFFER), *METRICS, "cost_drag")
+
+
+def topn_sensitivity(c: Case) -> DataFrame:
+    return _r(B.topn_sensitivity(c.d(), c.scores(), GRID), *(m for m in METRICS if m != "annualized_volatility"))
+
+
+def _rebalance(c: Case) -> DataFrame:
+    return B.rebalance_sensitivity(c.d(), c.scores(), top_n=TOP)
+
+
+def rebalance_sensitivity(c: Case) -> DataFrame:
+    return _r(_rebalance(c), *(m for m in METRICS if m != "annualized_volatility"))
+
+
+def realism_verdicts(c: Case) -> DataFrame:
+    out = B.realism_verdicts(B.cost_scenarios(c.d(), c.scores(), MODELS, TOP), _rebalance(c))
+    return _r(out, "no_cost_return", "base_cost_return", "daily_turnover", "weekly_turnover")
+
+
+# --- I
+
+
+def data_quality(c: Case) -> DataFrame:
+    universe = c.read("part").select(F.col("p_brand").alias("ticker"))
+    asked = universe.distinct()
+    bars = c.d().where(F.col("ticker") < "Brand#5")
+    return Q.data_quality(universe, demo.valuation(c.spark, c.dir), bars, asked, T.failed_tickers(asked, bars))
+
+
+def _momentum_value(c: Case) -> DataFrame:
+    return X.momentum(c.w()).withColumnRenamed("momentum", "value")
+
+
+def factor_alignment(c: Case) -> DataFrame:
+    bars = c.w()
+    off = _momentum_value(c).withColumn("date", F.date_add("date", 1))
+    out = Q.factor_alignment(_momentum_value(c), bars).withColumn("factor", F.lit("momentum")).unionByName(Q.factor_alignment(off, bars).withColumn("factor", F.lit("shifted")))
+    return _r(out, "missing_ratio")
+
+
+def factor_readiness(c: Case) -> DataFrame:
+    return Q.factor_readiness(_momentum_value(c), c.w())
+
+
+def lookahead_check(c: Case) -> DataFrame:
+    return Q.lookahead_check(c.w(), X.momentum, "momentum", F.lit(demo.CUT).cast("date"), 60)
+
+
+def snapshot_limitation(c: Case) -> DataFrame:
+    v = demo.valuation(c.spark, c.dir)
+    dated = v.withColumn("date", F.lit(demo.AS_OF).cast("date"))
+    return Q.snapshot_limitation(v).withColumn("panel", F.lit("snapshot")).unionByName(Q.snapshot_limitation(dated).withColumn("panel", F.lit("dated")))
+
+
+def _shapes(c: Case) -> DataFrame:
+    pv, val = c.pv(), c.val()
+    return Q.artifact_shapes({"ohlcv": c.w(), "factors_price_volume": pv, "factors_valuation_snapshot": val, "factors_composite": X.composite_frame(pv, val)})
+
+
+QUERIES: dict[str, Callable[[Case], DataFrame]] = {
+    "format_bars": format_bars,
+    "failed_tickers": failed_tickers,
+    "select_tickers": select_tickers,
+    "manifest": manifest,
+    "manifest_upsert": manifest_upsert,
+    "clean_ticker": clean_ticker,
+    "suffix_ticker": suffix_ticker,
+    "numeric_coerce": numeric_coerce,
+    "date_coerce": date_coerce,
+    "normalize_universe": lambda c: T.normalize_universe(demo.raw_universe(c.spark, c.dir)),
+    "normalize_valuation": lambda c: T.normalize_valuation(demo.raw_valuation(c.spark, c.dir)),
+    "normalize_ohlcv": normalize_ohlcv,
+    "duplicate_keys": duplicate_keys,
+    "dense_grid": dense_grid,
+    "field_matrix": field_matrix,
+    "unpivot_factor": unpivot_factor,
+    "momentum": lambda c: _r(X.momentum(c.w()), "momentum"),
+    "return_volatility": lambda c: _r(X.return_volatility(c.w()), "return_volatility"),
+    "atr_over_close": lambda c: _r(X.atr_over_close(c.w()), "atr_over_close"),
+    "low_volatility_method": low_volatility_method,
+    "volume_ratio": lambda c: _r(X.volume_ratio(c.w()), "volume_ratio"),
+    "price_volume_factors": lambda c: _r(c.pv(), *FACTORS),
+    "rank_factor_high": lambda c: _ranked(c, S.HIGHER),
+    "rank_factor_low": lambda c: _ranked(c, S.LOWER),
+    "valuation_factors": lambda c: _r(c.val(), "pb_inverse", "pe_inverse", "dividend_yield"),
+    "historical_composite": lambda c: _r(X.historical_composite(c.pv()), "composite_score"),
+    "mixed_composite": lambda c: _r(X.mixed_composite(c.pv(), c.val()), "composite_score"),
+    "composite_frame": lambda c: _r(c.composite(), "composite_score"),
+    "historical_factors": lambda c: _r(c.factors(), "value"),
+    "forward_returns": lambda c: _r(c.fwd(), "forward_return"),
+    "rank_ic": lambda c: _r(c.ic(), "ic"),
+    "ic_summary": lambda c: _r(A.ic_summary(c.ic()), "ic_mean", "ic_std", "average_asset_count", "ir"),
+    "factor_quantiles": lambda c: _r(c.quantiles(), "factor_value"),
+    "quantile_returns": lambda c: _r(c.qr(), "mean_return"),
+    "quantile_pivot": quantile_pivot,
+    "bucket_turnover": lambda c: _r(A.bucket_turnover(c.quantiles()), "average_best_bucket_turnover"),
+    "monotonicity": lambda c: _r(A.monotonicity(c.qr()), "adjacent_agreement_ratio", "top_bottom_spread"),
+    "best_ic": lambda c: _r(R.best_ic(A.ic_summary(c.ic())), "ic_mean", "ic_std", "ir"),
+    "maxmin_spread": lambda c: _r(R.maxmin_spread(c.qr()), "top_bottom_spread"),
+    "factor_scoreboard": factor_scoreboard,
+    "eligible_factors": lambda c: R.eligible_factors(c.board()),
+    "readiness": lambda c: R.readiness(c.d(), 20),
+    "selected_factor_scores": lambda c: _r(R.selected_factor_scores(c.composite()), "composite_score"),
+    "topn_positions": lambda c: _positions(c.positions()),
+    "topn_scheduled": lambda c: _positions(c.positions([("run", TOP, "weekly", False, 30)], scheduled=True)),
+    "topn_buffered": lambda c: _positions(c.positions([("run", TOP, "daily", True, BUFFER)])),
+    "equal_weights": lambda c: _r(c.weights().drop("scenario"), "target_weight"),
+    "calendar_daily": lambda c: G.rebalance_calendar(c.d(), "daily"),
+    "calendar_weekly": lambda c: G.rebalance_calendar(c.d(), "weekly"),
+    "calendar_monthly": lambda c: G.rebalance_calendar(c.d(), "monthly", 2),
+    "cost_model": cost_model,
+    "aligned_weights": aligned_weights,
+    "asset_returns": lambda c: _r(B.asset_returns(c.d()).drop("date_idx"), "ret"),
+    "gross_returns": lambda c: _per_date(c, B.gross_returns(c.aligned(), B.asset_returns(c.d())), "gross"),
+    "turnover_daily": lambda c: _per_date(c, B.turnover_daily(c.aligned()), "buy", "sell"),
+    "net_returns": lambda c: _r(B.net_returns(B.daily_sums(c.d(), c.weights(), c.grid()), B.cost_scenarios_df(c.spark, MODELS)).select("date", "cost", "cost_returns", "returns"), "cost_returns", "returns"),
+    "equity_curve": lambda c: backtest_results(c).select("date", "equity", "drawdown", "exposure"),
+    "backtest_results": backtest_results,
+    "backtest_metrics": backtest_metrics,
+    "cost_scenarios": cost_scenarios,
+    "topn_sensitivity": topn_sensitivity,
+    "rebalance_sensitivity": rebalance_sensitivity,
+    "turnover_diagnostics": lambda c: _r(B.turnover_diagnostics(c.weights(), B.CostModel()), "value"),
+    "realism_verdicts": realism_verdicts,
+    "missing_ratio_columns": lambda c: Q.missing_ratio_columns(c.pv()),
+    "missing_ratio_overall": lambda c: _r(Q.missing_ratio_overall(c.pv()), "missing_ratio"),
+    "date_range": lambda c: Q.date_range(c.w()),
+    "data_quality": data_quality,
+    "factor_alignment": factor_alignment,
+    "factor_readiness": factor_readiness,
+    "lookahead_check": lookahead_check,
+    "snapshot_limitation": snapshot_limitation,
+    "composite_breakdown": lambda c: Q.composite_breakdown(c.composite()),
+    "artifact_shapes": _shapes,
+}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Panel to equity curve: factors, composite, Top-N, weights, costs."""
+    return backtest_results(Case(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    def bind(make: Callable[[Case], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        return lambda spark, sf_dir: make(Case(spark, sf_dir))
+
+    return {name: bind(make) for name, make in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.statements()
