@@ -41,7 +41,7 @@ class CostModel:
 
 def cost_scenarios_df(spark: SparkSession, models: list[CostModel]) -> DataFrame:
     """One row per cost model, with both derived rates and a JSON summary with sorted keys."""
-    rows = [(m.name, m.buy_fee_rate, m.sell_fee_rate, m.transaction_tax_rate, m.slippage_rate, m.buy_cost_rate, m.sell_cost_rate) for m in models]
+    rows = [(m.name, *map(float, (m.buy_fee_rate, m.sell_fee_rate, m.transaction_tax_rate, m.slippage_rate, m.buy_cost_rate, m.sell_cost_rate))) for m in models]
     df = spark.createDataFrame(rows, "cost string, buy_fee_rate double, sell_fee_rate double, transaction_tax_rate double, slippage_rate double, buy_cost_rate double, sell_cost_rate double")
     return df.withColumn("cost_model_summary", F.to_json(F.struct(*sorted(c for c in df.columns if c != "cost"))))
 

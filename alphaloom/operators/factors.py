@@ -7,7 +7,7 @@ are shuffled and sorted once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from alphaloom.functions.scalars import HIGHER, LOWER, pct_rank, ratio, rounded
@@ -19,17 +19,18 @@ VALUATION_WEIGHTS = {"pb_inverse": 0.20, "pe_inverse": 0.15, "dividend_yield": 0
 DIRECTIONS = {"momentum_60d": HIGHER, "low_volatility_20d": LOWER, "volume_ratio_5d_60d": HIGHER, "pb_inverse": HIGHER, "pe_inverse": HIGHER, "dividend_yield": HIGHER}
 HISTORICAL, MIXED = "historical_price_volume", "latest_snapshot_mixed"
 
-_TIME = Window.partitionBy("ticker").orderBy("date_idx")
+def _time() -> WindowSpec:
+    return Window.partitionBy("ticker").orderBy("date_idx")
 
 
 def _at(c: str, shift: int) -> Column:
     """The value ``shift`` positions away; null if there is no row."""
-    return F.max(c).over(_TIME.rangeBetween(shift, shift))
+    return F.max(c).over(_time().rangeBetween(shift, shift))
 
 
 def _rolling(f, c: str, n: int) -> Column:
     """An aggregate over n positions, null unless all have a value."""
-    frame = _TIME.rangeBetween(1 - n, 0)
+    frame = _time().rangeBetween(1 - n, 0)
     return F.when(F.count(c).over(frame) == n, f(c).over(frame))
 
 
@@ -42,9 +43,9 @@ def momentum(bars: DataFrame, lookback: int = 60) -> DataFrame:
 def return_volatility(bars: DataFrame, n: int = 20, fill: str = "pad") -> DataFrame:
     """Sample deviation of n returns on the dense grid; ``fill`` "pad" carries the last close over gaps, "none" leaves them."""
     grid = dense_grid(bars)
-    upto = _TIME.rowsBetween(Window.unboundedPreceding, 0)
+    upto = _time().rowsBetween(Window.unboundedPreceding, 0)
     grid = grid.withColumn("c", F.last("close", ignorenulls=True).over(upto) if fill == "pad" else F.col("close"))
-    grid = grid.withColumn("ret", ratio(F.col("c"), F.lag("c").over(_TIME)) - 1)
+    grid = grid.withColumn("ret", ratio(F.col("c"), F.lag("c").over(_time())) - 1)
     return grid.select("date", "ticker", _rolling(F.stddev_samp, "ret", n).alias("return_volatility"))
 
 

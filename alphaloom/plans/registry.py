@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,17 +28,28 @@ def _r(df: DataFrame, *columns: str) -> DataFrame:
 
 
 class Case:
-    """Lazily built inputs of one query."""
+    """Inputs of one query, built when asked for. What a query reads several times is made once and kept by Spark."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
-        self.w, self.d, self.t = (partial(f, spark, sf_dir) for f in (demo.bars_w, demo.bars_d, demo.bars_t))
+        self._made: dict[str, DataFrame] = {}
+
+    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = make().persist()
+        return self._made[name]
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def w(self) -> DataFrame:
+        return self._once("w", lambda: demo.bars_w(self.spark, self.dir))
+
+    def d(self) -> DataFrame:
+        return self._once("d", lambda: demo.bars_d(self.spark, self.dir))
+
     def pv(self) -> DataFrame:
-        return X.price_volume_factors(self.w())
+        return self._once("pv", lambda: X.price_volume_factors(self.w()))
 
     def val(self) -> DataFrame:
         return X.valuation_factors(demo.valuation(self.spark, self.dir), demo.AS_OF)
@@ -49,29 +58,26 @@ class Case:
         return X.composite_frame(self.pv(), self.val())
 
     def factors(self) -> DataFrame:
-        # analysis reads the factors several times; they are the result of a window stage
-        pv = self.pv()
-        return A.historical_factors(pv, X.historical_composite(pv))
+        return self._once("factors", lambda: A.historical_factors(self.pv(), X.historical_composite(self.pv())))
 
     def fwd(self) -> DataFrame:
-        return A.forward_returns(self.w(), HORIZONS)
+        return self._once("fwd", lambda: A.forward_returns(self.w(), HORIZONS))
 
     def quantiles(self) -> DataFrame:
-        return A.factor_quantiles(self.factors())
+        return self._once("quantiles", lambda: A.factor_quantiles(self.factors()))
 
     def qr(self) -> DataFrame:
-        return A.quantile_returns(self.quantiles(), self.fwd())
+        return self._once("qr", lambda: A.quantile_returns(self.quantiles(), self.fwd()))
 
     def ic(self) -> DataFrame:
         return A.rank_ic(self.factors(), self.fwd())
 
     def board(self) -> DataFrame:
-        qr = self.qr().persist()
-        return R.factor_scoreboard(A.ic_summary(self.ic()), qr, A.bucket_turnover(self.quantiles()), A.monotonicity(qr), 25)
+        return R.factor_scoreboard(A.ic_summary(self.ic()), self.qr(), A.bucket_turnover(self.quantiles()), A.monotonicity(self.qr()), 25)
 
     def scores(self) -> DataFrame:
         """Composite of the daily panel."""
-        return X.historical_composite(X.price_volume_factors(self.d()))
+        return self._once("scores", lambda: X.historical_composite(X.price_volume_factors(self.d())))
 
     def grid(self, rows=ONE) -> DataFrame:
         return G.scenarios(self.spark, rows)
@@ -80,7 +86,7 @@ class Case:
         return G.topn_positions(self.scores(), self.grid(rows), G.calendars(self.d()) if scheduled else None)
 
     def weights(self) -> DataFrame:
-        return G.equal_weights(self.positions())
+        return self._once("weights", lambda: G.equal_weights(self.positions()))
 
     def aligned(self) -> DataFrame:
         return B.aligned_weights(self.weights(), self.d())
