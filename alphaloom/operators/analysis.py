@@ -79,16 +79,17 @@ def quantile_pivot(qr: DataFrame, q: int = 5) -> DataFrame:
 
 def bucket_turnover(assignments: DataFrame) -> DataFrame:
     """Per factor: mean share of the best bucket's members that are gone at its next date."""
-    best = assignments.groupBy("factor").agg(F.max("quantile").alias("best_quantile"))
-    held = assignments.join(best, "factor").where("quantile = best_quantile").select("factor", "best_quantile", "date", "ticker")
-    dates = held.select("factor", "date").distinct().withColumn("seq", F.row_number().over(Window.partitionBy("factor").orderBy("date")))
-    placed = held.join(dates, ["factor", "date"])
-    after = placed.select("factor", "ticker", (F.col("seq") - 1).alias("seq"), F.lit(1).alias("stays"))
-    last = dates.groupBy("factor").agg(F.max("seq").alias("last"))
-    share = placed.join(after, ["factor", "ticker", "seq"], "left").join(last, "factor").where("seq < last")
-    share = share.groupBy("factor", "seq").agg((1 - F.sum(F.coalesce("stays", F.lit(0))) / F.count(F.lit(1))).alias("gone"))
-    mean = share.groupBy("factor").agg(F.avg("gone").alias("average_best_bucket_turnover"))
-    return best.join(last, "factor").join(mean, "factor", "left").select("factor", "best_quantile", "average_best_bucket_turnover", F.col("last").cast("int").alias("date_count"))
+    best = assignments.groupBy("factor").agg(F.max("quantile").alias("quantile"))
+    held = assignments.join(best, ["factor", "quantile"]).select("factor", "quantile", "date", "ticker")
+    # positions are made on distinct dates, a small table; a member stays if its next date is the bucket's next date
+    by_factor = Window.partitionBy("factor")
+    dates = held.select("factor", "date").distinct().withColumn("seq", F.row_number().over(by_factor.orderBy("date"))).withColumn("last", F.max("seq").over(by_factor))
+    after = F.lead("seq").over(Window.partitionBy("factor", "ticker").orderBy("seq"))
+    stays = F.coalesce(after == F.col("seq") + 1, F.lit(False)).cast("int")
+    rows = held.join(dates, ["factor", "date"]).withColumn("stays", stays)
+    share = rows.groupBy("factor", "seq").agg(F.first("quantile").alias("best_quantile"), F.first("last").alias("date_count"), (1 - F.avg("stays")).alias("gone"))
+    gone = F.when(F.col("seq") < F.col("date_count"), F.col("gone"))
+    return share.groupBy("factor").agg(F.first("best_quantile").alias("best_quantile"), F.avg(gone).alias("average_best_bucket_turnover"), F.first("date_count").alias("date_count"))
 
 
 def monotonicity(qr: DataFrame) -> DataFrame:
