@@ -13,8 +13,8 @@ that is registered under an earlier document is a factor of full length: all its
 
 Factor boundaries. A factor may also begin or end inside a block, where the texts around a shared
 passage differ. Blocks that share an anchor but were first seen in different documents are therefore
-opened: each of their windows is registered under its smallest document in turn, and a window
-registered under an earlier one is a sufficiently long factor too. The removed words are the union
+opened, at every occurrence in that document: each of their windows is registered under its smallest
+document in turn, and a window registered under an earlier one is a sufficiently long factor too. The removed words are the union
 of both kinds, which is exactly the rule above, judged on the input.
 
 Registration is a minimum per key (pre-aggregated before the shuffle), looked up by a join, so a
@@ -128,8 +128,9 @@ def duplicate_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     full = factors.where("doc_id > home").select("doc_id", F.struct(F.col("start").alias("first"), (F.col("start") + F.col("windows") + (WINDOW - 1)).alias("stop")).alias("span"))
 
     several = written(spark, home.groupBy("anchor").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low < high").select("anchor"), "several")
-    once = factors.where("doc_id = home").groupBy("anchor", "block", "doc_id", "windows").agg(F.min("start").alias("start"))
-    opened = once.join(several, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    # every occurrence in the home document is opened; copies of a row under one doc_id are opened once
+    own = factors.where("doc_id = home").select("anchor", "doc_id", "start", "windows").distinct()
+    opened = own.join(several, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
     windows = written(spark, docs.join(opened, "doc_id").select("doc_id", "text", "spans").mapInArrow(_windows, "w1 long, w2 long, doc_id long, start int"), "windows")
     source = written(spark, windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("w1", "w2", "low"), "source")
     partial = windows.join(source, ["w1", "w2"]).where("doc_id > low").select("doc_id", F.struct(F.col("start").alias("first"), (F.col("start") + WINDOW).alias("stop")).alias("span"))

@@ -152,6 +152,26 @@ def test_substring_dedup(spark, docs):
         assert substring_dedup.remove_duplicate_spans(spark, odd).count() == odd.count(), name
 
 
+def test_substring_dedup_repeats_within_a_document(spark):
+    """A section that its own document repeats, with a passage of an earlier document in it, loses the passage each time."""
+    words = lambda name, n: [f"{name}{(j * 7919 + j * j * 31) % 99991}" for j in range(n)]
+    rows = []
+    for k, n in enumerate((50, 55, 70, 200)):
+        passage = words(f"p{k}x", n)
+        section = words(f"a{k}x", 80) + passage + words(f"b{k}x", 80)
+        rows += [(2 * k, words(f"c{k}x", 60) + passage + words(f"d{k}x", 60)), (2 * k + 1, section * 3)]
+    first, want = {}, {}
+    for i, w in rows:
+        gone = [False] * len(w)
+        for j in range(len(w) - 49):
+            if first.setdefault(tuple(w[j : j + 50]), i) < i:
+                gone[j : j + 50] = [True] * 50
+        want[i] = (sum(gone), " ".join(x for x, g in zip(w, gone) if not g))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["kept"]) for r in substring_dedup.remove_duplicate_spans(spark, docs).collect()}
+    assert got == want and [want[2 * k + 1][0] for k in range(4)] == [150, 165, 210, 600]
+
+
 # --- 4
 
 
