@@ -15,8 +15,8 @@ Pages are independent, so a page is one row of one map over the table: nothing i
 model is a few hundred numbers. Parsing is one scan for tags; passes are linear in a page's nodes.
 
 Inside a text character references are decoded, white space (a line break element included) becomes
-one space, and the ends are trimmed. Scripts, styles, comments, forms' controls and the head have no
-text. Defined cases: a null or empty page has no text; text outside any element is judged like a
+one space, and the ends are trimmed. Scripts, styles, comments, forms' controls and the head's elements
+have no text; in scripts and the like "<" opens no tag, and the head needs no end tag. Defined cases: a null or empty page has no text; text outside any element is judged like a
 paragraph of the body; unclosed and misplaced tags are closed where a block begins or its parent
 ends; a tag cut off at the end of the page is dropped; repeated rows are judged each by itself; a
 null page_id or url stays as it is; other columns are ignored; an empty table gives an empty result.
@@ -40,7 +40,10 @@ _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+(
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _NAME = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 #: Elements whose contents are no text.
-_SILENT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "select", "button", "head", "title", "audio", "video"}
+_SILENT = {"script", "style", "noscript", "noframes", "noembed", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "select", "button", "title", "audio", "video"}
+#: Of these, the elements in which "<" opens no tag: only their own end tag ends them.
+_RAW = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in ("script", "style", "noscript", "noframes", "noembed", "iframe", "textarea", "title")}
+_SCRIPT = re.compile(r"<!--(?!-?>)|-->|</?script(?=[\s/>]|\Z)", re.I)
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Kinds of block elements; other elements are part of the text around them.
 _KINDS = {
@@ -76,6 +79,27 @@ class Node:
     first: str = ""
 
 
+def _raw_end(html: str, name: str, at: int) -> int:
+    """Where the end tag of the raw element ``name`` with contents from ``at`` begins, or the page's end."""
+    if name != "script":
+        m = _RAW[name].search(html, at)
+        return m.start() if m else len(html)
+    comment = nested = False
+    for m in _SCRIPT.finditer(html, at):
+        what = m[0].lower()
+        if what == "<!--":
+            comment = True
+        elif what == "-->":
+            comment = nested = False
+        elif what == "<script":
+            nested = comment
+        elif nested:
+            nested = False
+        else:
+            return m.start()
+    return len(html)
+
+
 def parse(html: str) -> list[Node]:
     """The page's tree, parents before children, leaves in page order."""
     nodes = [Node(-1, "body", "none", None)]
@@ -98,7 +122,7 @@ def parse(html: str) -> list[Node]:
             leaf.linked += len(raw)
 
     at = 0
-    for m in _TAG.finditer(html):
+    while (m := _TAG.search(html, at)) is not None:
         if not silent and m.start() > at:
             say(html[at : m.start()])
         at = m.end()
@@ -107,9 +131,13 @@ def parse(html: str) -> list[Node]:
             continue
         name = name.lower()
         closing = m[1] == "/"
+        if name in _RAW and silent not in ("svg", "math"):
+            if not closing and not m[3].endswith("/"):
+                at = _raw_end(html, name, at)
+            continue
         if silent:
-            if name == silent:
-                depth += -1 if closing else (0 if silent in ("script", "style", "title", "textarea") else 1)
+            if name == silent and not m[3].endswith("/"):
+                depth += -1 if closing else 1
                 if depth <= 0:
                     silent = ""
             continue

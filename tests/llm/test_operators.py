@@ -220,6 +220,20 @@ def test_html(spark):
     assert html_text.extract_pages(spark, spark.createDataFrame([], "page_id long, url string, html string"), model).count() == 0
 
 
+def test_html_raw_text_and_open_head():
+    model = html_text.train(html_text.labelled_pages())
+    article = "<article><h1>Title of the page</h1><p>The first paragraph of it is here.</article>"
+    want = "Title of the page\nThe first paragraph of it is here."
+    scripts = ["for(i=0;i<n;i++){f(i)}", "if(a<b&&c>'d'){x=\"<p\"}", "<!-- if(a<b) \n//-->", "<!-- w('<script>x<y</script>') -->", "a<!--b", "x='</scripty>'"]
+    for code in scripts:
+        assert html_text.extract(f"<html><head><script>{code}</script></head><body><script>{code}</SCRIPT >{article}</body></html>", model) == want, code
+    for raw in ("<style>a<b{c:d}</style>", "<title>1 <two 'three</title>", "<textarea>x<y 'z</textarea>", "<noscript><img src='x></noscript>", "<svg><svg/><path d=x /></svg>", "<template><p>no text of the page here</p></template>"):
+        assert html_text.extract(f"<body>{raw}{article}", model) == want, raw
+    assert html_text.extract(f"<html><head><title>t</title><meta charset=utf-8><body>{article}", model) == want
+    assert html_text.extract(f"<head><title>t</title><link rel=x href=y>{article}", model) == want
+    assert html_text.extract(f"<body>{article}<script>var x = '<p>no text here, either</p>'", model) == want
+
+
 def test_html_held_out():
     pages = html_text.labelled_pages()
     right = total = 0
