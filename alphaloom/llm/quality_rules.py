@@ -7,9 +7,10 @@ after one hash-set test.
 
 Line frequency. Each line is normalised (lower case, white space runs as one space, ends trimmed)
 and hashed; per host the distinct documents with that line are counted, where copies of one text
-count once, so that a text is not held against its own copies. A line above the limit, MIN_DOCS and
-SHARE of the host's distinct documents, is boilerplate. A document is depleted, and rejected, when
-boilerplate holds more than half of its words. Counts are pre-aggregated; a line that every document
+count once, so that a text is not held against its own copies. A line in more than MIN_DOCS of them is
+boilerplate. The limit is absolute: as a share it would grow with the host, so that a line is cut on
+one host and kept on another that has it as often, and a hot host keeps what thousands of its documents
+share. A document is depleted, and rejected, when boilerplate holds more than half of its words. Counts are pre-aggregated; a line that every document
 has is one key of a join whose other side holds each frequent line once.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null host is a host of
@@ -31,8 +32,8 @@ SPACE = r"[\x20\x09-\x0D]"
 _BLANK = " \t\n\x0b\f\r"
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT = 10, 20, 5
-#: A line is boilerplate in more than this many distinct documents of its host and more than this share of them.
-MIN_DOCS, SHARE = 10, 0.10
+#: A line is boilerplate in more than this many distinct documents of its host.
+MIN_DOCS = 10
 _LOW = (1 << 24) - 1
 
 
@@ -96,10 +97,8 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 def boilerplate(stats: DataFrame) -> DataFrame:
     """Lines above the limit: host and line."""
-    hosts = stats.groupBy("host", "content").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("docs"))
     seen = stats.select("host", "content", F.explode(F.array_distinct("counted.line")).alias("line"))
-    often = seen.distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > MIN_DOCS)
-    return often.join(hosts, "host").where(F.col("n") > SHARE * F.col("docs")).select("host", "line")
+    return seen.distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > MIN_DOCS).select("host", "line")
 
 
 def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -205,6 +205,21 @@ def test_line_frequency(spark):
     assert cleaned[3]["text"] == body(3) and cleaned[3]["n_chars"] == len(body(3)) and 100 not in cleaned and cleaned[205]["text"] == rows[47][1]
 
 
+def test_one_line_one_verdict_on_every_host(spark):
+    """A line in as many documents of a large host as of a small one is cut on both; at the limit it stays on both."""
+    body = lambda h, k: " ".join(f"w{h}x{k}x{j}" for j in range(20))
+    rows = []
+    for h, size in enumerate((12, 40, 400)):
+        for k in range(size):
+            line = "common line of these pages\n" * (k < 11) + "rarer line of these pages\n" * (k < 10)
+            rows.append((1000 * h + k, line + body(h, k), f"h{h}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    cleaned = by_id(quality_rules.apply_rules(spark, df))
+    assert len(cleaned) == len(rows)
+    for h in range(3):
+        assert cleaned[1000 * h + 3]["text"] == "rarer line of these pages\n" + body(h, 3), h
+
+
 # --- 5
 
 
