@@ -33,8 +33,8 @@ from alphaloom.llm.common import table, written
 
 KINDS = ["email", "ip", "card", "phone", "id", "iban"]
 SAMPLE, PRECISION, TREES, RATE = 20_000, 0.98, 20, 0.3
-#: Running sums take passes of fan 16, enough for 2**20 matches of one text.
-_SCAN, _FAN = 20, 16
+#: Running sums take passes of fan 16, enough for the longest array there is (2**31 matches of one text).
+_SCAN, _FAN = 31, 16
 
 #: The rules' patterns; those in the comment match the same spans, but can be slow or overflow the stack.
 #: email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+   ip [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
@@ -75,7 +75,7 @@ def _running(values: Column, op: Callable[[list[Column]], Column], left: bool =
             return a
 
         def step(_: Column, i: Column) -> Column:
-            return op([F.get(a, i - j * width if left else i + j * width) for j in range(_FAN)])
+            return op([F.get(a, i - j * width if left else F.try_add(i, F.lit(j * width))) for j in range(_FAN) if j * width < 1 << 31])
 
         return F.when(F.size(a) <= width, a).otherwise(_let(F.transform(a, step), lambda b: passes(b, width * _FAN)))
 

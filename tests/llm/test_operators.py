@@ -133,6 +133,20 @@ def test_pii_more_and_redaction(spark, docs):
     assert pii.redact(spark, docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("fan", [16, 2])
+def test_pii_running_values_of_long_arrays(spark, fan, monkeypatch):
+    monkeypatch.setattr(pii, "_FAN", fan)
+    n = (1 << 20) + 50
+    ones = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: F.lit(1))
+    if fan == 16:
+        last = spark.range(1).select(F.element_at(pii._running(ones, pii._total), -1).alias("n")).first()
+        assert last["n"] == n
+    values = [(7919 * j * j) % 101 for j in range(100)]
+    df = spark.createDataFrame([(values,)], "v array<int>")
+    r = df.select(pii._running(F.col("v"), pii._total).alias("a"), pii._running(F.col("v"), lambda p: F.least(*p), left=False).alias("b")).first()
+    assert r["a"] == [sum(values[: k + 1]) for k in range(100)] and r["b"] == [min(values[k:]) for k in range(100)]
+
+
 # --- 3
 
 
