@@ -9,7 +9,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Texts may be long, so batches stay small.
 BATCH_ROWS = 1000
@@ -62,6 +63,16 @@ def written(spark: SparkSession, df: DataFrame, name: str, rows: int | None = No
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of its own for each row, _row; written once, so that every reader sees the same keys."""
+    return written(spark, docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def row_key(docs: DataFrame) -> Column:
+    """The key of ``keyed`` tables, else a number made while reading."""
+    return F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string column, without copying; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm.common import prepare, table, text_bytes
+from alphaloom.llm.common import prepare, row_key, table, text_bytes
 from alphaloom.llm.words import U, run_hashes, split_words
 
 WINDOW = 13
@@ -156,9 +156,9 @@ def _joiner(block):
 
 
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and spans and items themselves."""
+    """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans and items themselves, and row, its key."""
     prepare(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), F.col("text").cast("string").alias("text"))
     windows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").mapInArrow(_item_windows, "item_id long, words array<long>")
     windows = windows.groupBy("words").agg(F.collect_set("item_id").alias("items"), F.xxhash64("words").alias("h"))
     total = windows.count()
@@ -183,8 +183,8 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
         walked = F.aggregate("spans", F.lit(0), lambda n, x: n + x["stop"] - x["first"])
     out = out.withColumn("n_hit", walked.cast("long"))
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (ONE_IN * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans", "items")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (ONE_IN * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans", "items", "row")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items")
+    return contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items", "row")

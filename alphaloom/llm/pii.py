@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm.common import table, written
+from alphaloom.llm.common import keyed, table, written
 
 KINDS = ["email", "ip", "card", "phone", "id", "iban"]
 SAMPLE, PRECISION, TREES, RATE = 20_000, 0.98, 20, 0.3
@@ -193,7 +193,8 @@ def _proposed(column: str, kind: str, check: Callable[[str, Column], Column], op
 def candidates(docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, base spans per kind, and all candidates with features and label (1, 0 or null)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.select(F.col("doc_id"), text.alias("text"))
+    own = ["doc_id", *(c for c in docs.columns if c == "_row")]
+    out = docs.select(*own, text.alias("text"))
     for kind in BASE:
         out = out.withColumn(f"all_{kind}", _found(F.col("text"), BASE_NEEDS[kind], BASE[kind]))
     for n, (_, needs, pattern) in enumerate(MORE):
@@ -201,7 +202,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     base = {f"base_{kind}": _kept(f"all_{kind}", kind) for kind in BASE}
     proposed = [_proposed(f"all_{kind}", kind, _accepted, False) for kind in BASE]
     proposed += [_proposed(f"more_{n}", kind, _plausible, True) for n, (kind, _, _) in enumerate(MORE)]
-    return out.select("doc_id", *(c.alias(n) for n, c in base.items()), F.concat(*(p.cast(_CANDIDATE) for p in proposed)).alias("candidates"))
+    return out.select(*own, *(c.alias(n) for n, c in base.items()), F.concat(*(p.cast(_CANDIDATE) for p in proposed)).alias("candidates"))
 
 
 @dataclass
@@ -315,12 +316,14 @@ def find(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     base = F.concat(*(held(n, k) for n, k in enumerate(BASE)))
     out = found.withColumn("found", _select(model))
-    return out.select("doc_id", *(F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in BASE), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"), "found")
+    own = ["doc_id", *(c for c in docs.columns if c == "_row")]
+    return out.select(*own, *(F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in BASE), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"), "found")
 
 
 def redact(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents with each span replaced by its kind in brackets; all columns stay, n_chars follows the text."""
-    found = find(spark, docs).where(F.size("found") > 0).groupBy("doc_id").agg(F.first("found").alias("_found"))
+    rows = keyed(spark, docs)
+    found = find(spark, rows).where(F.size("found") > 0).select("_row", F.col("found").alias("_found"))
     order = F.array_sort(F.transform("_found", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"))))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
 
@@ -333,7 +336,7 @@ def redact(spark: SparkSession, docs: DataFrame) -> DataFrame:
         ))
 
     text = F.when(F.col("_found").isNull(), F.col("text")).otherwise(F.array_join(_let(order, pieces), ""))
-    out = docs.join(found, "doc_id", "left").withColumn("text", text)
+    out = rows.join(found, "_row", "left").withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

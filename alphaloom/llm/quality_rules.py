@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm.common import table, written
+from alphaloom.llm.common import keyed, row_key, table, written
 
 SPACE = r"[\x20\x09-\x0D]"
 _BLANK = " \t\n\x0b\f\r"
@@ -77,12 +77,12 @@ def _line_hash(line: Column) -> Column:
 def statistics(docs: DataFrame) -> DataFrame:
     """Per document row its statistics, the hash of its text, and for each line with a word its hash and words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), text.alias("text"))
+    base = docs.select(row_key(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), text.alias("text"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(_BLANK)) != "")
     counted = F.transform("lines", lambda x: F.struct(_line_hash(x).alias("line"), F.size(_words(x)).alias("words")))
     base = base.withColumns({"words": _words(F.col("text")), "lines": lines})
     return base.select(
-        F.monotonically_increasing_id().alias("row"),
+        "row",
         "doc_id",
         "host",
         F.xxhash64("text").alias("content"),
@@ -114,10 +114,11 @@ def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def apply_rules(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents that pass, without their boilerplate lines; all columns stay, n_chars follows the text."""
-    verdict = judge(spark, docs).where("kept").groupBy("doc_id").agg(F.first("cut", ignorenulls=True).alias("_cut"))
+    rows = keyed(spark, docs)
+    verdict = judge(spark, rows).where("kept").select(F.col("row").alias("_row"), F.col("cut").alias("_cut"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("_cut", _line_hash(x)))
     text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    out = docs.join(verdict, "doc_id").withColumn("text", text)
+    out = rows.join(verdict, "_row").withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

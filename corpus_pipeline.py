@@ -1,16 +1,18 @@
 """The corpus pipeline: quality rules, near-dedup, decontamination, redaction, encoding.
 
 Each stage takes (spark, docs, sf_dir), works on all documents that its predecessor kept and returns
-a DataFrame; all but the last return the columns of ``documents``. ``run`` writes every stage's result
+a DataFrame; all but the last return the columns of ``documents``. Rows are
+told apart by a key of their own, not by doc_id, which may be null or repeated. ``run`` writes every stage's result
 to the shared folder and reads it back, so a lost executor costs one stage at most.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from alphaloom.llm.bpe import encode_documents
-from alphaloom.llm.common import table, written
+from alphaloom.llm.common import keyed, table, written
 from alphaloom.llm.decontaminate import contamination
 from alphaloom.llm.near_dedup import near_duplicates
 from alphaloom.llm.pii import redact
@@ -23,15 +25,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
-    kept = near_duplicates(spark, docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The document with the smallest id of each group of near-duplicates; one without an id only if no other has one."""
+    rows = keyed(spark, docs)
+    number = F.col("doc_id").cast("long")
+    found = near_duplicates(spark, rows.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_row")
+    # texts without shingles link with nothing: repeated rows among them are told by id and text
+    plain = (F.col("n_shingles") == 0) & number.isNotNull()
+    group = [F.when(~plain, F.col("component_id")), F.when(plain, number), F.when(plain, F.col("_text"))]
+    ids = rows.select("_row", "doc_id", F.xxhash64("text").alias("_text")).join(found, "_row")
+    kept = ids.groupBy(*group).agg(F.min(F.struct(number.isNull().alias("none"), number.alias("id"), "_row"))["_row"].alias("_row")).select("_row")
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    bad = contamination(spark, docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti")
+    rows = keyed(spark, docs)
+    bad = contamination(spark, rows, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("row").alias("_row"))
+    return rows.join(bad, "_row", "left_anti").select(docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

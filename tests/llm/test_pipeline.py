@@ -1,5 +1,7 @@
 """The pipeline's stages take effect, one after the other."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 
 
@@ -23,3 +25,24 @@ def test_stages(spark, tmp_path):
     assert kept["pii"][4]["text"].endswith("mail [EMAIL]") and kept["pii"][4]["n_chars"] == len(kept["pii"][4]["text"])
     whole = {r["doc_id"]: r["ids_sha256"] for r in pipeline.run(spark, str(tmp_path)).collect()}
     assert whole == {i: r["ids_sha256"] for i, r in kept["bpe"].items()}
+
+
+def test_rows_without_or_with_a_shared_id(spark, tmp_path):
+    """Each stage judges each row by itself: null ids are kept and treated, texts that share an id are different documents."""
+    words = lambda seed, n: " ".join(f"w{(seed * 7919 + j * j * 31) % 9973}" for j in range(n))
+    item = words(99, 20)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kinds = lambda k: [words(k, 60), words(k + 1, 30) + " " + item, words(k + 2, 60) + " mail a@b.org", f"too short {k}"]
+    rows = [(key, t) for key, k in ((None, 1), (7, 11)) for t in kinds(k)]
+    docs = spark.createDataFrame([(key, t, "en", "s", len(t)) for key, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(pipeline.STAGES)
+
+    def after(stage, frame=docs):
+        return sorted(((r["doc_id"], r["text"]) for r in stages[stage](spark, frame, str(tmp_path)).collect()), key=str)
+
+    assert after("quality_rules") == sorted((r for r in rows if "short" not in r[1]), key=str)
+    assert after("decontaminate") == sorted((r for r in rows if item not in r[1]), key=str)
+    assert after("pii") == sorted(((i, t.replace("a@b.org", "[EMAIL]")) for i, t in rows), key=str)
+    # copies, of which one has no id and one has the largest: the smallest id stays
+    copies = docs.unionByName(docs.where("doc_id = 7")).unionByName(docs.where("doc_id = 7 and length(text) > 20").withColumn("doc_id", F.lit(None).cast("long")))
+    assert after("near_dedup", copies) == sorted(rows, key=str)
