@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -87,3 +88,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = column.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def by_bytes(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` of about ``limit`` bytes in ``column`` each, and one row at least: arrays made from a slice stay small."""
+    ends = text_bytes(batch.column(column))[1]
+    row = 0
+    while row < batch.num_rows:
+        stop = max(row + 1, int(np.searchsorted(ends, ends[row] + limit, "right")) - 1)
+        yield batch.slice(row, stop - row)
+        row = stop

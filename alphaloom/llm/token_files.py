@@ -6,16 +6,19 @@ Layout, for partition k of the documents in ascending doc_id order:
   part-k.doc   n_docs little-endian 64-bit doc_ids (the smallest integer stands for null)
   index.json   ids and documents before each partition: prefix sums of the partitions' totals
 
-Documents are range-partitioned by doc_id and sorted, each task writes its own files under a name of
-its attempt and renames them when they are complete, so a task that runs again replaces them whole.
-Only one row per partition goes to the driver. Readers map a file and never load more than they use.
+Documents are encoded where they lie, and only ids (two bytes each) travel. They are range-partitioned
+by doc_id and a hash of the text, so that an id that many rows share is split, and sorted; the number of
+partitions follows the size of the ids. Each task writes its own files under a name of its attempt and
+renames them when they are complete, so a task that runs again replaces them whole. Only one row per
+partition goes to the driver. Readers map a file and never load more than they use.
 
 Encoding. The tokenizers library needs about a microsecond a byte, most of it spent on words seen
-before. For a byte-level BPE file each worker therefore keeps the ids of the space-separated chunks
-it has met (a bounded table), splits new chunks by the pattern, and gives the library's model all new
-pieces of a batch in one call, divided by a byte that takes part in no merge. A text where a chunk
-might not begin at a match (white space before a space) is split as a whole. Other tokenizer files go
-to the library text by text.
+before. For a byte-level BPE file a batch is cut into chunks, before white space that follows something
+else: two matches of the split pattern always meet there. The distinct chunks of a batch are found by
+Arrow's dictionary encoding, those not met before are split by the pattern, and the library's model
+gets all new pieces in one call, divided by a byte that takes part in no merge. Ids of chunks are kept in a
+bounded table per worker, from which a batch's ids are gathered as arrays. Other tokenizer files go to
+the library text by text.
 
 Defined cases: a null or empty text is the end id alone; strings that look like special tokens are
 ordinary text; documents that repeat a doc_id follow each other; a null doc_id sorts first and comes
@@ -36,13 +39,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm.common import prepare, shared_dir, table
+from alphaloom.llm.common import by_bytes, prepare, shared_dir, table, text_bytes, written
 
 FILE = "byte_bpe_50k.json"
 END = 0
-#: Chunks and pieces whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Chunks whose ids a worker remembers, and ids that it keeps for them.
+REMEMBERED, REMEMBERED_IDS = 1_000_000, 32_000_000
+#: Bytes of text that are encoded at once, and bytes of ids that a file is to have.
+AT_ONCE, FILE_BYTES = 8 << 20, 256 << 20
 _GROUP = 2000
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
 @lru_cache(maxsize=1)
@@ -54,7 +61,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Ids of texts, as raw little-endian integers."""
+    """Ids of texts, as little-endian integers."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -80,9 +87,13 @@ class Encoder:
             self.letters = letters
             pattern = public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
             self.matches = regex.compile(pattern).findall
-            self.unsafe = regex.compile(r"\s ").search
-            self.pieces: dict[str, bytes] = {}
-            self.chunks: dict[str, bytes] = {}
+            self._forget()
+
+    def _forget(self) -> None:
+        self.pieces: dict[str, bytes] = {}
+        self.chunks: dict[bytes, int] = {}
+        self.size = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, self.kind)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.bare.encode(text.encode().decode("latin-1").translate(self.letters), add_special_tokens=False).ids, self.kind)
@@ -103,39 +114,63 @@ class Encoder:
                 at = end + self.kind.itemsize
 
     def _split(self, chunk: str) -> tuple[str, ...] | list[str]:
-        if chunk.isalpha():
-            return (" " + chunk,)
-        head = chunk[:-1]
-        if chunk[-1:] in (",", ".") and head.isalpha():
-            return (" " + head, chunk[-1])
-        return self.matches(" " + chunk)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
+        word = chunk[1:] if chunk[0] == " " else chunk
+        if word.isalpha():
+            return (chunk,)
+        if word[-1:] in (",", ".") and word[:-1].isalpha():
+            return (chunk[:-1], chunk[-1])
+        return self.matches(chunk)
+
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        """The number of each chunk in the table; chunks not met before are added."""
+        chunks = self.chunks
+        new = [w for w in words if w not in chunks]
+        if new:
+            split = [self._split(w.decode()) for w in new]
+            self._learn(list({p for ps in split for p in ps if p not in self.pieces}))
+            piece = self.pieces.__getitem__
+            coded = [b"".join(map(piece, ps)) for ps in split]
+            chunks.update(zip(new, range(len(chunks), len(chunks) + len(new))))
+            self.size = np.append(self.size, np.array([len(c) for c in coded], np.int64) // self.kind.itemsize)
+            self.flat = np.append(self.flat, np.frombuffer(b"".join(coded), self.kind))
+        return np.fromiter(map(chunks.__getitem__, words), np.int64, len(words))
+
+    def _chunks(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where chunks begin: texts, and white space that follows something else."""
+        blank = _BLANK[data]
+        begin = blank.copy()
+        begin[1:] &= ~blank[:-1]
+        begin[0] = False
+        at = np.flatnonzero(begin)
+        at = at[data[at - 1] >= 0x80]
+        if len(at):  # no chunk begins behind white space beyond ASCII
+            x, y, z = (data[np.maximum(at - k, 0)] for k in (3, 2, 1))
+            wide = (y == 0xC2) & ((z == 0x85) | (z == 0xA0)) | (x == 0xE1) & (y == 0x9A) & (z == 0x80) | (x == 0xE2) & (y == 0x81) & (z == 0x9F) | (x == 0xE3) & (y == 0x80) & (z == 0x80)
+            wide |= (x == 0xE2) & (y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF))
+            begin[at[wide]] = False
+        begin[offsets[:-1][np.diff(offsets) > 0]] = True
+        return np.flatnonzero(begin)
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column, one after the other and each with the end id, and the offsets of each text's ids."""
+        data, offsets = text_bytes(column)
         if not self.known:
-            return [np.array(x.ids, self.kind).tobytes() for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-        if len(self.chunks) > REMEMBERED:
-            self.chunks.clear()
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        heads, tails = [], []
-        fresh: set[str] = set()
-        for text in texts:
-            if self.unsafe(text):
-                heads.append(self.matches(text))
-                tails.append(())
-            else:
-                chunks = text.split(" ")
-                heads.append(self.matches(chunks[0]))
-                tails.append(chunks[1:])
-                fresh.update(tails[-1])
-        chunks, pieces = self.chunks, self.pieces
-        new = [c for c in fresh if c not in chunks]
-        split = [self._split(c) for c in new]
-        self._learn(list({p for parts in (split, heads) for ps in parts for p in ps if p not in pieces}))
-        piece, chunk = pieces.__getitem__, chunks.__getitem__
-        for c, ps in zip(new, split):
-            chunks[c] = b"".join(map(piece, ps))
-        return [b"".join(map(piece, h)) + b"".join(map(chunk, t)) for h, t in zip(heads, tails)]
+            coded = [np.array([*x.ids, END], self.kind) for x in self.whole.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, self.kind), *coded]), np.cumsum([0, *map(len, coded)])
+        if len(self.chunks) > REMEMBERED or len(self.flat) > REMEMBERED_IDS:
+            self._forget()
+        ids, ends = np.zeros(0, self.kind), np.zeros(len(offsets), np.int64)
+        if len(data):
+            begin = self._chunks(data, offsets)
+            cuts = pa.py_buffer(np.append(begin, len(data)).astype(np.int64))
+            coded = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, cuts, pa.py_buffer(data)]).dictionary_encode()
+            number = self._numbers(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
+            starts = np.cumsum(self.size) - self.size
+            size = self.size[number]
+            stop = np.cumsum(size)
+            ids = self.flat[np.repeat(starts[number] - stop + size, size) + np.arange(stop[-1])]
+            ends = np.append(0, stop)[np.searchsorted(begin, offsets)]
+        return np.insert(ids, ends[1:], END), ends + np.arange(len(ends))
 
 
 @lru_cache(maxsize=1)
@@ -150,28 +185,39 @@ def _storage(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def _writer(folder: str, path: str):
+def _coder(path: str):
+    def run(batches):
+        encode = encoder(path)
+        for batch in batches:
+            for part in by_bytes(batch, 2, AT_ONCE):
+                ids, offsets = encode(part.column(2))
+                raw = ids.astype(encode.kind).view(np.uint8)
+                cuts = pa.py_buffer((offsets * encode.kind.itemsize).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(offsets)), pa.Array.from_buffers(pa.binary(), part.num_rows, [None, cuts, pa.py_buffer(raw)])], ["doc_id", "mark", "n", "ids"])
+
+    return run
+
+
+def _writer(folder: str, kind: np.dtype):
     def run(batches):
         task = TaskContext.get()
         store, root = _storage(folder)
-        encode = encoder(path)
-        end = np.array([END], encode.kind).tobytes()
         name, mark = f"{root}/part-{task.partitionId()}", f"{task.taskAttemptId()}.tmp"
-        offsets, ids, total = [np.zeros(1, "<i8")], [], 0
+        offsets, docs, total = [np.zeros(1, "<i8")], [], 0
         with store.open_output_stream(f"{name}.bin.{mark}") as out:
             for batch in batches:
-                coded = encode([t or "" for t in batch.column(1).to_pylist()])
-                out.write(end.join(coded) + end if coded else b"")
-                sizes = np.array([len(c) // encode.kind.itemsize + 1 for c in coded], np.int64)
-                offsets.append((total + np.cumsum(sizes)).astype("<i8"))
-                total += int(sizes.sum())
-                ids.append(np.asarray(batch.column(0).fill_null(np.iinfo(np.int64).min)).astype("<i8"))
-        for kind, arrays in (("off", offsets), ("doc", ids)):
-            with store.open_output_stream(f"{name}.{kind}.{mark}") as out:
-                out.write(b"".join(a.tobytes() for a in arrays))
-        for kind in ("bin", "off", "doc"):
-            store.move(f"{name}.{kind}.{mark}", f"{name}.{kind}")
-        yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([sum(map(len, ids))], pa.int64()), pa.array([total], pa.int64()), pa.array([encode.kind.str])], ["part", "docs", "ids", "kind"])
+                raw, cuts = text_bytes(batch.column(2))
+                out.write(np.ascontiguousarray(raw))
+                offsets.append((total + cuts[1:] // kind.itemsize).astype("<i8"))
+                total += len(raw) // kind.itemsize
+                docs.append(np.asarray(batch.column(0).fill_null(np.iinfo(np.int64).min)).astype("<i8"))
+        for suffix, arrays in (("off", offsets), ("doc", docs)):
+            with store.open_output_stream(f"{name}.{suffix}.{mark}") as out:
+                for a in arrays:
+                    out.write(a)
+        for suffix in ("bin", "off", "doc"):
+            store.move(f"{name}.{suffix}.{mark}", f"{name}.{suffix}")
+        yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([sum(map(len, docs))], pa.int64()), pa.array([total], pa.int64())], ["part", "docs", "ids"])
 
     return run
 
@@ -181,17 +227,21 @@ def write_tokens(spark: SparkSession, docs: DataFrame, folder: str, path: str |
     import public_tokenizers
 
     prepare(spark)
+    path = path or public_tokenizers.path(FILE)
     store, root = _storage(folder)
     store.create_dir(root, recursive=True)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = texts.repartitionByRange(count, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    parts = sorted(dealt.mapInArrow(_writer(folder, path or public_tokenizers.path(FILE)), "part int, docs long, ids long, kind string").collect())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    coded = written(spark, texts.mapInArrow(_coder(path), "doc_id long, mark long, n long, ids binary"), "ids")
+    kind = encoder(path).kind
+    size = (coded.agg(F.sum("n")).first()[0] or 0) * kind.itemsize
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    dealt = coded.select("doc_id", "mark", "ids").repartitionByRange(count, "doc_id", "mark").sortWithinPartitions("doc_id", "mark")
+    parts = sorted(dealt.mapInArrow(_writer(folder, kind), "part int, docs long, ids long").collect())
     index, docs_before, ids_before = [], 0, 0
     for p in parts:
         index.append({"part": p["part"], "docs": p["docs"], "ids": p["ids"], "docs_before": docs_before, "ids_before": ids_before})
         docs_before, ids_before = docs_before + p["docs"], ids_before + p["ids"]
-    out = {"kind": parts[0]["kind"] if parts else "<u2", "end": END, "docs": docs_before, "ids": ids_before, "parts": index}
+    out = {"kind": kind.str, "end": END, "docs": docs_before, "ids": ids_before, "parts": index}
     with store.open_output_stream(f"{root}/index.json") as f:
         f.write(json.dumps(out).encode())
     return out
