@@ -6,11 +6,12 @@ Layout, for partition k of the documents in ascending doc_id order:
   part-k.doc   n_docs little-endian 64-bit doc_ids (the smallest integer stands for null)
   index.json   ids and documents before each partition: prefix sums of the partitions' totals
 
-Documents are encoded where they lie, and only ids (two bytes each) travel. They are range-partitioned
-by doc_id and a hash of the text, so that an id that many rows share is split, and sorted; the number of
-partitions follows the size of the ids. Each task writes its own files under a name of its attempt and
-renames them when they are complete, so a task that runs again replaces them whole. Only one row per
-partition goes to the driver. Readers map a file and never load more than they use.
+Documents are range-partitioned by doc_id and a hash of the text, so that an id that many rows share is
+split, and sorted; the number of partitions follows the size of the texts. Each task encodes its documents
+and writes its own files under a name of its attempt and renames them when they are complete, so a task
+that runs again replaces them whole. Only one row per partition goes to the driver. Readers map a file and
+never load more than they use. Texts travel rather than ids: finding the ranges would encode everything
+twice, or need a table of ids in between, and ids of texts in no language are as long as the texts.
 
 Encoding. The tokenizers library needs about a microsecond a byte, most of it spent on words seen
 before. For a byte-level BPE file a batch is cut into chunks, before white space that follows something
@@ -39,13 +40,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm.common import by_bytes, prepare, shared_dir, table, text_bytes, written
+from alphaloom.llm.common import by_bytes, prepare, shared_dir, table, text_bytes
 
 FILE = "byte_bpe_50k.json"
 END = 0
 #: Chunks whose ids a worker remembers, and ids that it keeps for them.
 REMEMBERED, REMEMBERED_IDS = 1_000_000, 32_000_000
-#: Bytes of text that are encoded at once, and bytes of ids that a file is to have.
+#: Bytes of text that are encoded at once, and that a partition is to have.
 AT_ONCE, FILE_BYTES = 8 << 20, 256 << 20
 _GROUP = 2000
 _BLANK = np.zeros(256, bool)
@@ -185,31 +186,20 @@ def _storage(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def _coder(path: str):
-    def run(batches):
-        encode = encoder(path)
-        for batch in batches:
-            for part in by_bytes(batch, 2, AT_ONCE):
-                ids, offsets = encode(part.column(2))
-                raw = ids.astype(encode.kind).view(np.uint8)
-                cuts = pa.py_buffer((offsets * encode.kind.itemsize).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(offsets)), pa.Array.from_buffers(pa.binary(), part.num_rows, [None, cuts, pa.py_buffer(raw)])], ["doc_id", "mark", "n", "ids"])
-
-    return run
-
-
-def _writer(folder: str, kind: np.dtype):
+def _writer(folder: str, path: str):
     def run(batches):
         task = TaskContext.get()
         store, root = _storage(folder)
+        encode = encoder(path)
         name, mark = f"{root}/part-{task.partitionId()}", f"{task.taskAttemptId()}.tmp"
         offsets, docs, total = [np.zeros(1, "<i8")], [], 0
         with store.open_output_stream(f"{name}.bin.{mark}") as out:
             for batch in batches:
-                raw, cuts = text_bytes(batch.column(2))
-                out.write(np.ascontiguousarray(raw))
-                offsets.append((total + cuts[1:] // kind.itemsize).astype("<i8"))
-                total += len(raw) // kind.itemsize
+                for part in by_bytes(batch, 1, AT_ONCE):
+                    ids, cuts = encode(part.column(1))
+                    out.write(ids.astype(encode.kind))
+                    offsets.append((total + cuts[1:]).astype("<i8"))
+                    total += len(ids)
                 docs.append(np.asarray(batch.column(0).fill_null(np.iinfo(np.int64).min)).astype("<i8"))
         for suffix, arrays in (("off", offsets), ("doc", docs)):
             with store.open_output_stream(f"{name}.{suffix}.{mark}") as out:
@@ -217,7 +207,7 @@ def _writer(folder: str, kind: np.dtype):
                     out.write(a)
         for suffix in ("bin", "off", "doc"):
             store.move(f"{name}.{suffix}.{mark}", f"{name}.{suffix}")
-        yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([sum(map(len, docs))], pa.int64()), pa.array([total], pa.int64())], ["part", "docs", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([sum(map(len, docs))], pa.int64()), pa.array([total], pa.int64()), pa.array([encode.kind.str])], ["part", "docs", "ids", "kind"])
 
     return run
 
@@ -227,21 +217,19 @@ def write_tokens(spark: SparkSession, docs: DataFrame, folder: str, path: str |
     import public_tokenizers
 
     prepare(spark)
-    path = path or public_tokenizers.path(FILE)
     store, root = _storage(folder)
     store.create_dir(root, recursive=True)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    coded = written(spark, texts.mapInArrow(_coder(path), "doc_id long, mark long, n long, ids binary"), "ids")
-    kind = encoder(path).kind
-    size = (coded.agg(F.sum("n")).first()[0] or 0) * kind.itemsize
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
-    dealt = coded.select("doc_id", "mark", "ids").repartitionByRange(count, "doc_id", "mark").sortWithinPartitions("doc_id", "mark")
-    parts = sorted(dealt.mapInArrow(_writer(folder, kind), "part int, docs long, ids long").collect())
+    mark = F.xxhash64("text")
+    dealt = texts.repartitionByRange(count, F.col("doc_id"), mark).sortWithinPartitions(F.col("doc_id"), mark)
+    parts = sorted(dealt.mapInArrow(_writer(folder, path or public_tokenizers.path(FILE)), "part int, docs long, ids long, kind string").collect())
     index, docs_before, ids_before = [], 0, 0
     for p in parts:
         index.append({"part": p["part"], "docs": p["docs"], "ids": p["ids"], "docs_before": docs_before, "ids_before": ids_before})
         docs_before, ids_before = docs_before + p["docs"], ids_before + p["ids"]
-    out = {"kind": kind.str, "end": END, "docs": docs_before, "ids": ids_before, "parts": index}
+    out = {"kind": parts[0]["kind"] if parts else "<u2", "end": END, "docs": docs_before, "ids": ids_before, "parts": index}
     with store.open_output_stream(f"{root}/index.json") as f:
         f.write(json.dumps(out).encode())
     return out
