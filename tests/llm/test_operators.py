@@ -186,6 +186,29 @@ def test_substring_dedup_repeats_within_a_document(spark):
     assert got == want and [want[2 * k + 1][0] for k in range(4)] == [150, 165, 210, 600]
 
 
+def test_greedy_factors(spark):
+    """The factor sequence of small documents: longest runs in a source, one after the other, and windows across their ends."""
+    words = lambda name, n: [f"{name}{(j * 7919 + j * j * 31) % 99991}" for j in range(n)]
+    a, b, c, d = (words(k, n) for k, n in (("a", 120), ("b", 90), ("c", 70), ("d", 30)))
+    rows = [(1, a + c), (2, b + d), (3, d + a[20:] + b + c), (4, words("x", 5) + a[:49] + d + b[10:70] + a[60:109]), (5, a[90:] + c[:40])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = by_id(substring_dedup.remove_duplicate_spans(spark, docs))
+    factors = {i: [tuple(f) for f in r["factors"]] for i, r in got.items()}
+    assert factors == {1: [], 2: [], 3: [(30, 100, 1, 20), (130, 90, 2, 0), (220, 70, 1, 120)], 4: [(84, 60, 2, 10)], 5: [(0, 70, 1, 90)]}
+    assert got[3]["kept"] == " ".join(d) and got[5]["kept"] == ""
+    assert substring_dedup.parse([(0, 11, 1, 0), (30, 5, 2, 7), (45, 60, 3, 9)]) == ([(0, 60, 1, 0), (60, 94, 3, 24)], [(30, 84)])
+
+
+def test_substring_dedup_of_rows_that_share_an_id(spark):
+    """Rows with one doc_id keep their own texts, are not earlier than each other, and a short one does no harm."""
+    words = lambda name, n: [f"{name}{(j * 7919 + j * j * 31) % 99991}" for j in range(n)]
+    p, q = words("p", 60), words("q", 60)
+    rows = [(1, p), (2, p + q), (2, q), (2, ["short"]), (2, p + q), (None, p), (3, q + ["end"]), (3, [])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").withColumn("content", F.lit("clash"))
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in substring_dedup.remove_duplicate_spans(spark, docs).collect())
+    assert got == sorted([("1", 60, 0), ("2", 120, 60), ("2", 60, 0), ("2", 1, 0), ("2", 120, 60), ("None", 60, 0), ("3", 61, 60), ("3", 0, 0)])
+
+
 # --- 4
 
 
