@@ -12,25 +12,28 @@ Banding. ROWS bins make a band; texts that agree on a band are candidates. With
 at exactly 0.75 has no common band with probability (1 - 0.75**5)**56 < 3e-7; this is the only way
 to lose one.
 
-Verification. Documents with equal sets are one class first, so copies cost nothing more. Bands
-join classes into clusters (a superset of the answer), and each set travels to its cluster once. A
-small cluster is solved in one task. A large one is dealt into blocks of bounded size: every block
-is compared with one pivot block, and then only documents outside the cluster's main component are
-compared with the rest, again block by block. A task returns a spanning forest of the links that it
-verified, so its output is linear in the documents that it saw, and all links that matter for
-connectivity are verified on full sets.
+Verification. Documents with equal sets are one class first, so copies cost nothing more. A bucket is
+the classes that agree on one band. Each class is compared with its buckets' smallest class, the hub,
+which is linear in the buckets: a hub's set is held while the others stream by, and a hub with many
+others is dealt into parts of STAR_DOCS. What that links is contracted into components. Buckets that
+now lie in one component are done, and so are those of two classes; what is left is each bucket's
+classes outside its largest component, and those are compared with the whole bucket, in blocks of
+bounded size, where equal buckets are done once. A task returns a spanning forest of the links that it
+verified on full sets, so its output is linear in the documents that it saw. Only documents that share a band are ever compared:
+chains of buckets between texts that are not alike bring nothing together.
 
 Defined cases: a null or empty text, or one without words, has no shingles, links with nothing and
 is kept; a text of fewer words than a shingle is one shingle; repeated rows with one doc_id count as
-one document per row, all in one component with equal texts; a null doc_id is dropped (it cannot be
-named in a result); other columns are ignored; an empty table gives an empty result.
+one document per row, all in one component with equal texts; a null doc_id cannot be named in a
+component: such a row is dropped, or with ``nameless`` returned with a null component and kept, and it is
+no node of the graph; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alphaloom.llm.common import prepare, table, text_bytes, written
@@ -40,8 +43,8 @@ from alphaloom.llm.words import U, mix, shingle_sets, split_words
 BANDS, ROWS = 56, 5
 BINS = BANDS * ROWS
 SHINGLE, PERCENT = 5, 75
-#: Documents and shingles of a cluster, or of a block of one, that a task takes at once.
-BLOCK_DOCS, BLOCK_SHINGLES = 512, 1_000_000
+#: Documents and shingles of a bucket, or of a block of one, that a task takes at once, and documents that are compared with one copy of a hub.
+BLOCK_DOCS, BLOCK_SHINGLES, STAR_DOCS = 512, 1_000_000, 4096
 
 _SEEDS = mix(np.arange(1, 2 * BINS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 _BOUNDS = np.arange(BINS, dtype=U) << U(54)
@@ -156,7 +159,7 @@ def _forest(ids: list[int], sets: list[np.ndarray], left: np.ndarray, right: np.
 
 
 def _links(batches):
-    """Sorted rows (task key, side, doc_id, shingles) to edges, one group in memory at a time; side 0: left, 1: right, 2: both."""
+    """Sorted rows (key, x, y, side, doc_id, shingles) to edges, one group in memory at a time; side 0: left, 1: right, 2: both."""
     held: tuple | None = None
     ids: list[int] = []
     sides: list[int] = []
@@ -179,72 +182,113 @@ def _links(batches):
     yield from flush()
 
 
-def _verified(docs: DataFrame, routes: DataFrame) -> DataFrame:
-    """Edges among documents that ``routes`` (doc_id, routes: array of (cluster, x, y, side)) brings together."""
-    sets = docs.join(routes, "doc_id").select("doc_id", "routes", "text").mapInArrow(_sets, "doc_id long, routes array<struct<cluster:long,x:int,y:int,side:int>>, shingles binary")
-    dealt = sets.select("doc_id", "shingles", F.explode("routes").alias("r")).select("r.cluster", "r.x", "r.y", "r.side", "doc_id", "shingles")
-    return dealt.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y").mapInArrow(_links, "a long, b long")
-
-
-def _route(cluster: str, x, y, side) -> F.Column:
-    return F.struct(F.col(cluster).alias("cluster"), x.cast("int").alias("x"), y.cast("int").alias("y"), side.cast("int").alias("side"))
+def _star_links(batches):
+    """Sorted rows (hub, part, y, side, doc_id, shingles), the hub itself first in each part: its verified edges."""
+    held, hub = None, np.zeros(0, U)
+    for batch in batches:
+        keys, parts, sides = (np.asarray(batch.column(i)) for i in (0, 1, 3))
+        ids = np.asarray(batch.column(4))
+        raw, offsets = text_bytes(batch.column(5))
+        offsets = offsets // 8
+        values = np.frombuffer(np.ascontiguousarray(raw), U)
+        cuts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (parts[1:] != parts[:-1])))
+        left, right = [], []
+        for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
+            if (keys[low], parts[low]) != held:
+                held, hub = (keys[low], parts[low]), np.zeros(0, U)
+            if sides[low] == 0:
+                hub = values[offsets[low] : offsets[low + 1]].copy()
+                low += 1
+            if low == high or not len(hub):
+                continue
+            some = values[offsets[low] : offsets[high]]
+            at = np.minimum(np.searchsorted(hub, some), len(hub) - 1)
+            both = np.add.reduceat(hub[at] == some, offsets[low:high] - offsets[low], dtype=np.int64)
+            union = np.diff(offsets[low : high + 1]) + len(hub) - both
+            linked = ids[low:high][100 * both >= PERCENT * union]
+            left.append(linked)
+            right.append(np.full(len(linked), held[0], np.int64))
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+
+_ROUTES = "doc_id long, routes array<struct<key:long,x:int,y:int,side:int>>, shingles binary"
+
+
+def _verified(docs: DataFrame, routes: DataFrame, compare) -> DataFrame:
+    """Edges among documents that ``routes`` (doc_id, routes: array of (key, x, y, side)) brings together in tasks."""
+    sets = docs.join(routes, "doc_id").select("doc_id", "routes", "text").mapInArrow(_sets, _ROUTES)
+    dealt = sets.select("doc_id", "shingles", F.explode("routes").alias("r")).select("r.key", "r.x", "r.y", "r.side", "doc_id", "shingles")
+    return dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side").mapInArrow(compare, "a long, b long")
+
+
+def _route(key: str, x: Column, y: Column, side: Column) -> Column:
+    return F.struct(F.col(key).alias("key"), x.cast("int").alias("x"), y.cast("int").alias("y"), side.cast("int").alias("side"))
+
+
+def _stars(shared: DataFrame) -> DataFrame:
+    """Routes that bring each document to its buckets' hubs."""
+    zero = F.lit(0)
+    near = shared.where("doc_id <> hub").select("doc_id", "hub").distinct()
+    parts = near.groupBy("hub").agg(F.ceil(F.count("*") / STAR_DOCS).cast("int").alias("parts"))
+    spokes = near.join(parts, "hub").select("doc_id", _route("hub", F.expr("pmod(xxhash64(doc_id), parts)"), zero, F.lit(1)).alias("r"))
+    spokes = spokes.groupBy("doc_id").agg(F.collect_list("r").alias("routes"))
+    hubs = parts.select(F.col("hub").alias("doc_id"), F.transform(F.sequence(zero, F.col("parts") - 1), lambda x: _route("hub", x, zero, zero)).alias("routes"))
+    return spokes.unionByName(hubs)
+
+
+def _open_buckets(spark: SparkSession, shared: DataFrame, found: DataFrame) -> DataFrame | None:
+    """Routes that compare, in each bucket of several components, the documents outside the largest one with all others."""
+    mark = [F.xxhash64("doc_id", F.lit(k)) for k in (1, 2)]
+    parts = shared.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    parts = written(spark, parts.select("band", "doc_id", "n_shingles", "component"), "parts")
+    buckets = parts.groupBy("band").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("load"), F.min("component").alias("low"), F.max("component").alias("high"), *(F.bit_xor(m).alias(f"m{k}") for k, m in enumerate(mark)))
+    once = buckets.where("docs > 2 and low < high").groupBy("m0", "m1", "docs", "load").agg(F.min("band").alias("band")).select("band", "docs", "load")
+    once = written(spark, once, "open")
+    if once.isEmpty():
+        return None
+    rows = written(spark, parts.join(once, "band"), "outside")
+    sizes = rows.groupBy("band", "docs", "load", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("band", "docs", "load").agg(F.max(F.struct("n", "component")).alias("m"))
+    blocks = F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("load") / BLOCK_SHINGLES)).cast("int")
+    shape = main.select("band", F.col("m.component").alias("main"), blocks.alias("blocks"), F.ceil((F.col("docs") - F.col("m.n")) * blocks / F.col("docs")).cast("int").alias("minors"))
+    joined = rows.join(written(spark, shape, "shape"), "band").withColumn("outside", F.col("component") != F.col("main"))
+    block, mine = F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"), F.expr("cast(pmod(xxhash64(doc_id, 1), minors) as int)")
+    # task (x, y): the documents of outside block x against block y of the whole bucket
+    right = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda x: _route("band", x, block, F.when(F.col("outside") & (x == mine), 2).otherwise(1)))
+    left = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: y != block), lambda y: _route("band", mine, y, F.lit(0)))
+    routes = joined.select("doc_id", F.when(F.col("outside"), F.concat(right, left)).otherwise(right).alias("routes"))
+    return routes.groupBy("doc_id").agg(F.flatten(F.collect_list("routes")).alias("routes"))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, nameless: bool = False) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept (see the module's docstring)."""
     prepare(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if not nameless:
+        docs = docs.where("doc_id is not null")
     seen = written(spark, docs.mapInArrow(_summaries, "doc_id long, n_shingles long, mark1 long, mark2 long, bands array<long>"), "sketches")
     key = ["mark1", "mark2", "n_shingles"]
-    filled = seen.where("n_shingles > 0")
+    filled = seen.where("n_shingles > 0 and doc_id is not null")
     classes = written(spark, filled.groupBy(key).agg(F.min("doc_id").alias("rep")), "reps")
     member = written(spark, filled.select("doc_id", *key).join(classes, key).select("doc_id", "n_shingles", "rep"), "classes")
 
     # one row of each class carries the bands
     heads = member.where("doc_id = rep").select("doc_id").distinct()
-    bands = seen.join(heads, "doc_id").select("doc_id", F.explode("bands").alias("band"))
+    bands = filled.join(heads, "doc_id").select("doc_id", "n_shingles", F.explode("bands").alias("band"))
     hubs = written(spark, bands.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub < top").select("band", "hub"), "hubs")
-    near = bands.join(hubs.hint("merge"), "band").where("doc_id <> hub").select("doc_id", "hub").distinct()
-    clusters = components(spark, near, "doc_id", "hub")
+    shared = written(spark, bands.join(hubs.hint("merge"), "band").dropDuplicates(["band", "doc_id"]), "shared")
 
-    size = clusters.join(member.where("doc_id = rep").select(F.col("doc_id").alias("node"), "n_shingles").distinct(), "node")
-    totals = size.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("load"))
-    blocks = F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("load") / BLOCK_SHINGLES)).cast("int")
-    placed = written(spark, size.join(totals.withColumn("blocks", blocks), "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "blocks", F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("block")), "clusters")
-
-    zero = F.lit(0)
-    own = F.array(_route("cluster", F.col("block"), zero, F.when(F.col("block") == 0, 2).otherwise(0)))
-    pivot = F.transform(F.sequence(F.lit(1), F.col("blocks") - 1), lambda b: _route("cluster", b, zero, F.lit(1)))
-    first = placed.select("doc_id", F.when((F.col("block") == 0) & (F.col("blocks") > 1), F.concat(own, pivot)).otherwise(own).alias("routes"))
-    edges = written(spark, _verified(docs, first), "links")
-
-    found = written(spark, components(spark, edges, "a", "b"), "components")
-    rest = _unsettled(spark, placed, found)
+    found = written(spark, components(spark, _verified(docs, _stars(shared), _star_links), "a", "b"), "components")
+    rest = _open_buckets(spark, shared, found)
     if rest is not None:
         # the components found so far are edges, too
-        both = _verified(docs, rest).unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        both = _verified(docs, rest, _links).unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
         found = components(spark, both, "a", "b")
     labelled = member.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    alone = seen.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return labelled.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
-
-
-def _unsettled(spark: SparkSession, placed: DataFrame, found: DataFrame) -> DataFrame | None:
-    """Routes that compare, in clusters of several blocks, each document outside the main component with all others."""
-    large = placed.where("blocks > 1")
-    if large.isEmpty():
-        return None
-    parts = written(spark, large.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "parts")
-    sizes = parts.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("docs"), F.max("n").alias("most"))
-    minor = main.withColumn("minors", F.ceil((F.col("docs") - F.col("most")) / BLOCK_DOCS).cast("int")).where("minors > 0")
-    joined = parts.join(minor, "cluster").withColumn("outside", F.col("component") != F.col("main"))
-    mine = F.expr("cast(pmod(xxhash64(doc_id, 1), minors) as int)")
-    # task (x, y): the documents of minor block x against block y of the whole cluster
-    right = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda x: _route("cluster", x, F.col("block"), F.when(F.col("outside") & (x == mine), 2).otherwise(1)))
-    left = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: y != F.col("block")), lambda y: _route("cluster", mine, y, F.lit(0)))
-    return joined.select("doc_id", F.when(F.col("outside"), F.concat(right, left)).otherwise(right).alias("routes"))
+    alone = seen.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return labelled.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, table(spark, sf_dir, "documents"))
+    return near_duplicates(spark, table(spark, sf_dir, "documents"), nameless=True)

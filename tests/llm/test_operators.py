@@ -464,6 +464,31 @@ def test_near_copies_of_one_text(spark, monkeypatch):
     assert [r["component_id"] for r in near_dedup.near_duplicates(spark, df).orderBy("doc_id").collect()] == _groups(plain)[1]
 
 
+def test_near_duplicates_without_a_name(spark, docs):
+    nameless = docs.where("doc_id < 4").withColumn("doc_id", F.lit(None).cast("long"))
+    rows = near_dedup.near_duplicates(spark, docs.unionByName(nameless), nameless=True).collect()
+    assert sorted((r["n_shingles"], r["component_id"], r["kept"]) for r in rows if r["doc_id"] is None) == [(n, None, True) for n in sorted(_groups(texts()[:4])[0])]
+    assert [r["component_id"] for r in sorted((r for r in rows if r["doc_id"] is not None), key=lambda r: r["doc_id"])] == _groups(texts())[1]
+
+
+@pytest.mark.parametrize("block, star", [(512, 4096), (7, 5)])
+def test_chained_texts_that_are_not_alike(spark, block, star, monkeypatch):
+    """Texts that share half of their words: many candidates, few links, some of them only between texts that are not the hub."""
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", block)
+    monkeypatch.setattr(near_dedup, "STAR_DOCS", star)
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(60)]
+    plain = []
+    for k in range(60):
+        at = rng.randrange(20, 40)
+        t = base[:at] + [f"o{k}x{j}" for j in range(rng.randint(4, 18))] + base[at:]
+        plain += [" ".join(t), " ".join([*t, "more"])] if k % 4 == 0 else [" ".join(t)]
+    df = spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string")
+    root = _groups(plain)[1]
+    assert [r["component_id"] for r in near_dedup.near_duplicates(spark, df).orderBy("doc_id").collect()] == root
+    assert 10 < len(set(root)) < len(plain)
+
+
 def test_sketch_estimates_similarity():
     import numpy as np
 
