@@ -200,11 +200,8 @@ def matches(spark: SparkSession, docs: DataFrame) -> DataFrame:
     own = factors.where("doc_id = source").select("anchor", *KEY, "start", "windows").distinct()
     opened = own.join(several, "anchor").groupBy(*KEY).agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
     windows = written(spark, docs.join(opened, KEY).select("doc_id", "text", "content", "spans").mapInArrow(_windows, "w1 long, w2 long, doc_id long, content long, start int"), "windows")
-    both = written(spark, windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("w1", "w2", F.col("low").alias("source")), "source")
-    near = windows.join(both, ["w1", "w2"])
-    # where a window begins in its first document
-    place = written(spark, near.where("doc_id = source").groupBy("w1", "w2").agg(F.min("start").alias("source_start")), "place")
-    partial = near.where("doc_id > source").join(place, ["w1", "w2"]).select(*KEY, "start", F.lit(1).alias("windows"), "source", "source_start")
+    seen = windows.groupBy("w1", "w2").agg(first.alias("h"), F.max("doc_id").alias("high")).where("h.source < high")
+    partial = windows.join(written(spark, seen.select("w1", "w2", "h.*"), "source"), ["w1", "w2"]).where("doc_id > source").select(*KEY, "start", F.lit(1).alias("windows"), "source", "source_start")
     found = whole.unionByName(partial)
     return found.repartition(*KEY).sortWithinPartitions(*KEY, "start").mapInArrow(_runs, "doc_id long, content long, runs array<struct<start:int,windows:int,source:long,source_start:int>>")
 
