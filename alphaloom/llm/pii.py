@@ -3,21 +3,23 @@
 Base rules find e-mail addresses, IPv4 addresses, payment cards (16 to 19 digits, Luhn) and phone
 numbers (+, 8 to 15 digits); their spans always stay. High-recall generators propose further,
 overlapping spans: obfuscated addresses, numbers without "+", short cards, IPv6, national id and
-account numbers, and everything that has a base form but fails its check. Each candidate is described
-by format features (kind, digits, separators, its own checksum) and context features (what touches
-it, words before it). Gradient-boosted trees of depth two are fitted to labelled candidates: what a
-base rule accepts is personal data, what fails its check is not, the rest is unlabelled. They are
-fitted on half of a bounded sample (SAMPLE candidates, chosen by hash over all documents); on the
-other half the threshold is calibrated to a precision of PRECISION. The trees become one SQL
-expression. Selected candidates that overlap a base span, or a better selected neighbour, are dropped.
+account numbers, and secrets such as tokens. Each candidate is described by format features (digits,
+separators, a mark of its kind, whether its own checksum or form is sound) and context features (what
+touches it, words before it that speak for or against). Per kind, gradient-boosted trees of depth two
+are fitted to the labelled candidates of ``pii_examples``, which hold every kind, sound and unsound, in
+good, neutral and misleading contexts; the kind's threshold is calibrated to a precision of PRECISION on
+contexts that the trees have not seen. The examples, some thousand rows, are a fixed bound, so the model
+does not depend on the input or its size. The trees become SQL expressions. Selected candidates
+that overlap a base span, or a better selected neighbour, are dropped.
 
 The patterns are written so that no text makes them slow: a run of characters is tried from its
 first position only, and repeated groups do not backtrack. Positions come from the lengths of the
-matches and of the texts between them, summed up in a logarithmic number of array passes.
+matches and of the texts between them, summed up in a logarithmic number of array passes. Spans and
+redacted text come from the row itself, so nothing is joined or shuffled.
 
-Defined cases: a null text is empty; an empty text has no spans; repeated rows are judged alike, each
-by itself; a null doc_id stays as it is; other columns are ignored by ``find`` and passed through by
-``redact``; an empty table gives an empty result and a model that selects nothing.
+Defined cases: a null text is empty for ``find`` and stays null for ``redact``; an empty text has no spans;
+repeated rows are judged alike, each by itself; a null doc_id stays as it is; other columns are ignored
+by ``find`` and passed through by ``redact``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,16 +27,18 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm.common import keyed, table, written
+from alphaloom.llm.common import table
+from alphaloom.llm.pii_examples import labelled
 
-KINDS = ["email", "ip", "card", "phone", "id", "iban"]
-SAMPLE, PRECISION, TREES, RATE = 20_000, 0.98, 20, 0.3
-#: Running sums take passes of fan 16, enough for the longest array there is (2**31 matches of one text).
-_SCAN, _FAN = 31, 16
+KINDS = ["email", "ip", "card", "phone", "id", "iban", "secret"]
+PRECISION, TREES, RATE = 0.98, 12, 0.3
+#: Running sums take passes of this fan, enough for the longest array there is (2**31 matches of one text).
+_SCAN, _FAN = 31, 128
 
 #: The rules' patterns; those in the comment match the same spans, but can be slow or overflow the stack.
 #: email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+   ip [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
@@ -51,15 +55,20 @@ BASE_NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]"
 MORE = [
     ("email", r"(?i)[(\[{<]\x20?(?:at|dot)\x20?[)\]}>]|\x20dot\x20", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+(?:\x20?[(\[{<]\x20?at\x20?[)\]}>]\x20?|\x20at\x20|@)[a-z0-9-]{1,63}+(?:(?:\x20?[(\[{<]\x20?dot\x20?[)\]}>]\x20?|\x20dot\x20|\.)[a-z0-9-]{1,63}+){1,5}+"),
     ("phone", r"[0-9](?:[\x20./-]|\)\x20?)[0-9]", r"(?<![0-9A-Za-z.+/-])(?<!\+[0-9]\x20|\+[0-9]{2}\x20)(?:\([0-9]{2,5}\)\x20?|[0-9]{2,5}[\x20./-])[0-9]{3,4}(?:[\x20.-]?[0-9]{2,4}){1,3}+(?![0-9A-Za-z])"),
-    ("card", r"[0-9](?:[\x20-]?[0-9]){12}", r"(?<![0-9A-Za-z.-])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9A-Za-z])"),
+    ("card", r"[0-9](?:[\x20-]?[0-9]){12}", r"(?<![0-9A-Za-z.-])(?:[0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}|[0-9]{4}[\x20-]?[0-9]{6}[\x20-]?[0-9]{4,5}|[0-9]{13,19}+)(?![0-9A-Za-z])"),
     ("ip", r"[0-9A-Fa-f]:[0-9A-Fa-f:]", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
     ("id", r"[0-9]-[0-9]{2}-[0-9]", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     ("iban", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
+    ("secret", r"[A-Za-z0-9+/_-]{20}", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"),
 ]
 _FOR = r"(?i)\b(?:tel|telephone|phone|call|mobile|cell|fax|mail|e-mail|email|contact|reach|write|card|visa|mastercard|amex|account|iban|ssn|social|ip|address|host|server|telefon|anruf|konto|karte|tarjeta|llame|carte|appel)\b"
 _AGAINST = r"(?i)\b(?:order|invoice|isbn|issn|version|ref|reference|page|pages|token|hash|key|sku|item|serial|total|price|rfc|doi)\b|[=$#]\s*\"?$"
-FEATURES = ["kind", "digits", "seps", "touches", "for", "against", "mark"]
-_CANDIDATE = "array<struct<kind:int,digits:int,seps:int,valid:int,touches:int,`for`:int,against:int,mark:int,label:int,start:int,stop:int>>"
+_SECRET = r"(?i)(?:token|secret|key|passwd|password|pwd|auth|authorization|bearer|credentials?)\b\W{0,6}$"
+_NO_SECRET = r"(?i)\b(?:commit|sha-?[0-9]*|checksum|md5|file|build|etag|revision|digest|uuid|blob|hash|version|path|url)\b|[/.]$"
+#: A mark of the kind in the match itself.
+_MARKS = {"secret": r"^(?:sk|pk|rk)_|^gh[a-z]_|^xox|^AKIA|^AIza|^eyJ", "ip": "[A-Fa-f]"}
+_MARK = r"^[+(]|@|\bat\b"
+FEATURES = ["digits", "seps", "valid", "touches", "for", "against", "mark"]
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -74,8 +83,12 @@ def _running(values: Column, op: Callable[[list[Column]], Column], left: bool =
         if width >= 1 << _SCAN:
             return a
 
-        def step(_: Column, i: Column) -> Column:
-            return op([F.get(a, i - j * width if left else F.try_add(i, F.lit(j * width))) for j in range(_FAN) if j * width < 1 << 31])
+        def step(own: Column, i: Column) -> Column:
+            if _FAN <= 16:  # written out: fewer levels of lambdas, but larger expressions
+                return op([F.get(a, i - j * width if left else F.try_add(i, F.lit(j * width))) for j in range(_FAN) if j * width < 1 << 31])
+            room = i if left else F.size(a) - 1 - i
+            more = F.sequence(F.lit(1), F.least(F.floor(room / width).cast("int"), F.lit(_FAN - 1)))
+            return F.when(room < width, own).otherwise(F.aggregate(more, own, lambda sum_, j: op([sum_, F.get(a, i - j * width if left else i + j * width)])))
 
         return F.when(F.size(a) <= width, a).otherwise(_let(F.transform(a, step), lambda b: passes(b, width * _FAN)))
 
@@ -149,24 +162,26 @@ def _plausible(kind: str, match: Column) -> Column:
         return ~F.rlike(match, F.lit("^(?:000|666|9)|-00-|-0000$"))
     if kind == "iban":
         return F.coalesce(_mod97(match), F.lit(False))
-    return F.lit(True)
+    if kind == "ip":
+        return F.regexp_count(match, F.lit(":")) == 7
+    return F.rlike(match, F.lit("[0-9]")) & F.rlike(match, F.lit("[A-Za-z]"))
 
 
-def _candidate(kind: str, x: Column, valid: Column, label: Column) -> Column:
+def _described(kind: str, x: Column) -> Column:
+    """Features and place of a candidate."""
     match = x["match"]
     number = F.length(_digits(match))
     bucket = F.when(number < 4, 0).when(number < 8, 1).when(number < 12, 2).when(number < 16, 3).otherwise(4)
-    touches = F.rlike(x["before"], F.lit(r"[\p{L}0-9_.@/=-]$")).cast("int") + F.rlike(x["after"], F.lit(r"^[\p{L}0-9_@/]")).cast("int")
+    touches = F.rlike(x["before"], F.lit(r"[\p{L}0-9_.@/-]$")).cast("int") + F.rlike(x["after"], F.lit(r"^[\p{L}0-9_@/]")).cast("int")
+    speaks, denies = (_SECRET, _NO_SECRET) if kind == "secret" else (_FOR, _AGAINST)
     return F.struct(
-        F.lit(KINDS.index(kind)).alias("kind"),
         bucket.alias("digits"),
         F.least(F.length(F.regexp_replace(match, "[^ ()./:-]", "")), F.lit(4)).alias("seps"),
-        valid.cast("int").alias("valid"),
+        _plausible(kind, match).cast("int").alias("valid"),
         touches.alias("touches"),
-        F.rlike(x["before"], F.lit(_FOR)).cast("int").alias("for"),
-        F.rlike(x["before"], F.lit(_AGAINST)).cast("int").alias("against"),
-        F.rlike(match, F.lit(r"^[+(]|@|\bat\b")).cast("int").alias("mark"),
-        label.cast("int").alias("label"),
+        F.rlike(x["before"], F.lit(speaks)).cast("int").alias("for"),
+        F.rlike(x["before"], F.lit(denies)).cast("int").alias("against"),
+        F.rlike(match, F.lit(_MARKS.get(kind, _MARK))).cast("int").alias("mark"),
         x["start"].alias("start"),
         x["stop"].alias("stop"),
     )
@@ -181,33 +196,9 @@ def _kept(column: str, kind: str) -> Column:
     return F.transform(F.filter(column, lambda x: _accepted(kind, x["match"])), _span)
 
 
-def _proposed(column: str, kind: str, check: Callable[[str, Column], Column], open_: bool) -> Column:
-    """Candidates: what passes a base rule is labelled 1, what fails its check 0; ``open_``: what passes has no label."""
-
-    def one(x: Column) -> Column:
-        return _let(check(kind, x["match"]), lambda ok: _candidate(kind, x, ok, F.when(ok, F.lit(None)).otherwise(F.lit(0)) if open_ else ok))
-
-    return F.transform(column, one)
-
-
-def candidates(docs: DataFrame) -> DataFrame:
-    """Per document row: doc_id, base spans per kind, and all candidates with features and label (1, 0 or null)."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = ["doc_id", *(c for c in docs.columns if c == "_row")]
-    out = docs.select(*own, text.alias("text"))
-    for kind in BASE:
-        out = out.withColumn(f"all_{kind}", _found(F.col("text"), BASE_NEEDS[kind], BASE[kind]))
-    for n, (_, needs, pattern) in enumerate(MORE):
-        out = out.withColumn(f"more_{n}", _found(F.col("text"), needs, pattern))
-    base = {f"base_{kind}": _kept(f"all_{kind}", kind) for kind in BASE}
-    proposed = [_proposed(f"all_{kind}", kind, _accepted, False) for kind in BASE]
-    proposed += [_proposed(f"more_{n}", kind, _plausible, True) for n, (kind, _, _) in enumerate(MORE)]
-    return out.select(*own, *(c.alias(n) for n, c in base.items()), F.concat(*(p.cast(_CANDIDATE) for p in proposed)).alias("candidates"))
-
-
-@dataclass
-class Model:
-    """Boosted trees: (feature, cut) pairs with four leaf values, and a threshold on the score."""
+@dataclass(frozen=True)
+class Trees:
+    """Boosted trees of one kind: (feature, cut, feature, cut, four leaf values), and a threshold on the score."""
 
     bias: float
     trees: list[tuple[int, int, int, int, list[float]]]
@@ -220,19 +211,25 @@ class Model:
             total = total + F.when(low_a & low_b, leaf[0]).when(low_a, leaf[1]).when(low_b, leaf[2]).otherwise(leaf[3])
         return total
 
+    def value(self, x: tuple) -> float:
+        return self.bias + sum(leaf[2 * (x[a] > ca) + (x[b] > cb)] for a, ca, b, cb, leaf in self.trees)
+
+
+def described_examples(spark: SparkSession, examples: list[tuple] | None = None) -> DataFrame:
+    """Per candidate of the labelled texts: kind, the features, label, held."""
+    rows = spark.createDataFrame(labelled() if examples is None else examples, "n long, kind string, text string, first int, stop int, good int, held int")
+    parts = []
+    for kind, needs, pattern in MORE:
+        found = rows.where(F.col("kind") == kind).select("first", "stop", "good", "held", F.explode(F.transform(_found(F.col("text"), needs, pattern), partial(_described, kind))).alias("c"))
+        label = F.when((F.col("c.start") < F.col("stop")) & (F.col("c.stop") > F.col("first")), F.col("good")).otherwise(F.lit(0))
+        parts.append(found.select(F.lit(kind).alias("kind"), *(F.col(f"c.{f}").alias(f) for f in FEATURES), label.alias("label"), "held"))
+    return reduce(DataFrame.unionByName, parts)
 
-def fit(spark: SparkSession, found: DataFrame) -> Model:
-    """Fit and calibrate on at most SAMPLE labelled candidates; only counts of equal feature rows reach the driver."""
-    labelled = found.select("doc_id", F.explode("candidates").alias("c")).where("c.label is not null")
-    order = F.xxhash64("doc_id", "c.start", "c.kind")
-    sample = labelled.withColumn("_order", order).orderBy("_order").limit(SAMPLE)
-    rows = sample.groupBy(*(F.col(f"c.{f}").alias(f"f_{f}") for f in FEATURES), F.col("c.label").alias("label"), F.pmod("_order", F.lit(2)).alias("half")).count().collect()
-    train = [(tuple(r[f"f_{f}"] for f in FEATURES), r["label"], r["count"]) for r in rows if r["half"] == 0]
-    held = [(tuple(r[f"f_{f}"] for f in FEATURES), r["label"], r["count"]) for r in rows if r["half"] == 1]
+
+def boost(train: list[tuple[tuple, int, int]]) -> Trees:
+    """Trees for (features, label, count) rows, without a threshold."""
     good, total = sum(n for _, y, n in train if y), sum(n for _, _, n in train)
-    if good < 10 or total - good < 10:
-        return Model(0.0, [], math.inf)
-    bias = math.log(good / (total - good))
+    bias = math.log((good + 0.5) / (total - good + 0.5))
     score = [bias] * len(train)
     cuts = [(f, v) for f in range(len(FEATURES)) for v in sorted({x[f] for x, _, _ in train})[:-1]] or [(0, 0)]
     trees = []
@@ -252,32 +249,47 @@ def fit(spark: SparkSession, found: DataFrame) -> Model:
         _, a, ca, b, cb, leaf = best
         trees.append((a, ca, b, cb, leaf))
         score = [s + leaf[2 * (x[a] > ca) + (x[b] > cb)] for (x, _, _), s in zip(train, score)]
+    return Trees(bias, trees, math.inf)
 
-    def value(x: tuple) -> float:
-        return bias + sum(leaf[2 * (x[a] > ca) + (x[b] > cb)] for a, ca, b, cb, leaf in trees)
 
-    # the lowest threshold whose selection of the held-out half is precise enough
+def calibrated(model: Trees, held: list[tuple[tuple, int, int]]) -> Trees:
+    """``model`` with the lowest threshold from zero whose selection of the held-out rows is precise enough; equal scores are taken together."""
+    groups: dict[float, list[int]] = {}
+    for x, y, n in held:
+        cell = groups.setdefault(round(model.value(x), 9), [0, 0])
+        cell[0] += n * y
+        cell[1] += n
     threshold, right, chosen = math.inf, 0, 0
-    for s, y, n in sorted(((value(x), y, n) for x, y, n in held), reverse=True):
-        right, chosen = right + n * y, chosen + n
-        if right >= PRECISION * chosen:
-            threshold = s
-    return Model(bias, trees, max(threshold, 0.0))
+    for s in sorted(groups, reverse=True):
+        right, chosen = right + groups[s][0], chosen + groups[s][1]
+        if s >= 0 and right >= PRECISION * chosen:
+            threshold = s - 1e-6
+    return Trees(model.bias, model.trees, threshold)
+
+
+_FITTED: dict[str, Trees] = {}
 
 
-def _select(model: Model) -> Column:
-    """All spans of a document row: base spans and selected candidates, by kind and start."""
+def fit(spark: SparkSession) -> dict[str, Trees]:
+    """Per kind its trees and threshold. The labelled set is fixed, so they are fitted once in a driver's life; only counts of equal feature rows reach it."""
+    if not _FITTED:
+        rows = described_examples(spark).groupBy("kind", *FEATURES, "label", "held").count().collect()
+        for kind in dict.fromkeys(k for k, _, _ in MORE):
+            mine = [(r["held"], (tuple(r[f] for f in FEATURES), r["label"], r["count"])) for r in sorted(rows, key=str) if r["kind"] == kind]
+            _FITTED[kind] = calibrated(boost([x for held, x in mine if not held]), [x for held, x in mine if held])
+    return _FITTED
+
+
+def _select(model: dict[str, Trees]) -> Column:
+    """All spans of a row with columns base_<kind> and text: base spans and selected candidates, by kind and start."""
     whole = "array<struct<kind:int,start:int,stop:int,base:int,score:double>>"
+
     def held(n: int, kind: str) -> Column:
         return F.transform(f"base_{kind}", lambda x: F.struct(F.lit(n).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), F.lit(1).alias("base"), F.lit(0.0).alias("score")))
 
     base = F.concat(*(held(n, k) for n, k in enumerate(BASE))).cast(whole)
     base = F.when(F.size(base) == 0, F.array().cast(whole)).otherwise(base)
-    if not model.trees or math.isinf(model.threshold):
-        return F.transform(base, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
-    asked = F.filter("candidates", lambda c: c["label"].isNull())
-    scored = F.transform(asked, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop"), F.lit(0).alias("base"), model.score(lambda f: c[f]).alias("score")))
-    chosen = F.filter(scored, lambda c: c["score"] >= model.threshold).cast(whole)
+    chosen = F.concat(F.array().cast(whole), *(F.col(f"more_{n}") for n, (kind, _, _) in enumerate(MORE) if not math.isinf(model[kind].threshold)))
 
     def ordered(a: Column) -> Column:
         return F.array_sort(a, lambda x, y: F.when(x["start"] != y["start"], x["start"] - y["start"]).when(x["stop"] != y["stop"], y["stop"] - x["stop"]).otherwise(y["base"] - x["base"]))
@@ -307,39 +319,65 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["stop"].cast("string"))), ",")
 
 
+def _passes(threshold: float, c: Column) -> Column:
+    return c["score"] >= threshold
+
+
+def _with_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with columns base_<kind> and found, worked out in the row itself; the text is in _text."""
+    model = fit(spark)
+    text = F.col("_text")
+    out = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+    def chosen(kind: str, number: int) -> Callable[[Column], Column]:
+        def one(x: Column) -> Column:
+            scored = lambda f: F.struct(F.lit(number).alias("kind"), f["start"].alias("start"), f["stop"].alias("stop"), F.lit(0).alias("base"), model[kind].score(lambda name: f[name]).alias("score"))
+            return _let(_described(kind, x), scored)
+
+        return one
+
+    columns = {f"all_{kind}": _found(text, BASE_NEEDS[kind], BASE[kind]) for kind in BASE}
+    for n, (kind, needs, pattern) in enumerate(MORE):
+        scored = F.transform(_found(text, needs, pattern), chosen(kind, KINDS.index(kind)))
+        columns[f"more_{n}"] = F.filter(scored, partial(_passes, min(model[kind].threshold, 1e9)))
+    out = out.withColumns(columns)
+    out = out.withColumns({f"base_{kind}": _kept(f"all_{kind}", kind) for kind in BASE})
+    return out.withColumn("found", _select(model))
+
+
 def find(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, and spans as structs (found)."""
-    found = written(spark, candidates(docs), "candidates")
-    model = fit(spark, found)
+
     def held(n: int, kind: str) -> Column:
         return F.transform(f"base_{kind}", lambda x: F.struct(F.lit(n).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
 
     base = F.concat(*(held(n, k) for n, k in enumerate(BASE)))
-    out = found.withColumn("found", _select(model))
-    own = ["doc_id", *(c for c in docs.columns if c == "_row")]
-    return out.select(*own, *(F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in BASE), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"), "found")
+    out = _with_spans(spark, docs.select("doc_id", "text"))
+    return out.select("doc_id", *(F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in BASE), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"), "found")
 
 
 def redact(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents with each span replaced by its kind in brackets; all columns stay, n_chars follows the text."""
-    rows = keyed(spark, docs)
-    found = find(spark, rows).where(F.size("found") > 0).select("_row", F.col("found").alias("_found"))
-    order = F.array_sort(F.transform("_found", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"))))
+    # the columns as they are travel in a struct, so that no name of theirs can clash
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text").cast("string").alias("text"))
+    order = F.array_sort(F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"))))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
 
     def pieces(s: Column) -> Column:
         # overlapping base spans of different kinds (a card inside a phone) become one gap
         stops = _running(F.transform(s, lambda x: x["stop"]), lambda parts: F.greatest(*parts))
         return _let(stops, lambda e: F.concat(
-            F.flatten(F.transform(s, lambda x, i: _let(F.coalesce(F.get(e, i - 1), F.lit(0)), lambda p: F.when(p > x["start"], F.array(F.lit(""))).otherwise(F.array(F.substr("text", p + 1, x["start"] - p), F.get(names, x["kind"])))))),
-            F.array(F.substr("text", F.element_at(e, -1) + 1)),
+            F.flatten(F.transform(s, lambda x, i: _let(F.coalesce(F.get(e, i - 1), F.lit(0)), lambda p: F.when(p > x["start"], F.array(F.lit(""))).otherwise(F.array(F.substr("_text", p + 1, x["start"] - p), F.get(names, x["kind"])))))),
+            F.array(F.substr("_text", F.element_at(e, -1) + 1)),
         ))
 
-    text = F.when(F.col("_found").isNull(), F.col("text")).otherwise(F.array_join(_let(order, pieces), ""))
-    out = rows.join(found, "_row", "left").withColumn("text", text)
+    clean = F.when(F.size("found") == 0, F.col("text")).otherwise(F.array_join(_let(order, pieces), ""))
+    out = _with_spans(spark, rows).select("_doc", clean.alias("_clean"))
+    new = {"text": F.col("_clean")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        changed = ~F.col("_clean").eqNullSafe(F.col("_doc.text"))
+        new["n_chars"] = F.when(changed, F.length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_doc.n_chars"))
+    return out.select(*(new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

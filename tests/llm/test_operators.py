@@ -133,6 +133,30 @@ def test_pii_more_and_redaction(spark, docs):
     assert pii.redact(spark, docs).columns == docs.columns
 
 
+def test_pii_model_on_held_out_contexts(spark):
+    """Per kind: precision and recall on contexts that neither the trees have seen, and a token that only its context gives away."""
+    model = pii.fit(spark)
+    rows = [r for r in pii.described_examples(spark).collect() if r["held"]]
+    for kind, trees in model.items():
+        mine = [(r["label"], trees.value(tuple(r[f] for f in pii.FEATURES)) >= trees.threshold) for r in rows if r["kind"] == kind]
+        chosen = [y for y, yes in mine if yes]
+        assert sum(chosen) >= 0.98 * len(chosen) and sum(chosen) >= 0.85 * sum(y for y, _ in mine) > 5, kind
+    assert set(model) == {k for k, _, _ in pii.MORE}
+    key = "51c2" * 10
+    df = spark.createDataFrame([(1, f'so token = "{key}" there'), (2, f"so commit {key} there"), (3, "pay 12 4111 1111 1111 1111 by card")], "doc_id long, text string")
+    found = by_id(pii.find(spark, df))
+    assert found[1]["spans"] == "secret:12:52" and found[2]["spans"] == "" and found[3]["spans"].startswith("card:7:26")
+    assert by_id(pii.redact(spark, df))[1]["text"] == 'so token = "[SECRET]" there'
+
+
+def test_pii_redaction_row_by_row(spark):
+    """Null ids, shared ids and clashing names: each row is redacted by its own spans, and nothing else changes."""
+    rows = [(None, "mail a@b.org now", 16, "x"), (7, "call +1 (375) 555-0007", 22, None), (7, "or mail u7@x.org", 16, "y"), (8, None, None, "z"), (9, "plain", 999, "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, found string").withColumn("_text", F.lit("clash"))
+    got = {tuple(r) for r in pii.redact(spark, df).collect()}
+    assert got == {(None, "mail [EMAIL] now", 16, "x", "clash"), (7, "call [PHONE]", 12, None, "clash"), (7, "or mail [EMAIL]", 15, "y", "clash"), (8, None, None, "z", "clash"), (9, "plain", 999, "w", "clash")}
+
+
 @pytest.mark.parametrize("fan", [16, 2])
 def test_pii_running_values_of_long_arrays(spark, fan, monkeypatch):
     monkeypatch.setattr(pii, "_FAN", fan)
@@ -147,6 +171,15 @@ def test_pii_running_values_of_long_arrays(spark, fan, monkeypatch):
     assert r["a"] == [sum(values[: k + 1]) for k in range(100)] and r["b"] == [min(values[k:]) for k in range(100)]
 
 
+def test_pii_running_values_as_they_are(spark):
+    from itertools import accumulate
+
+    values = [(7919 * j * j) % 101 for j in range(40_000)]
+    df = spark.createDataFrame([(values,), (values[:129],), (values[:128],), ([],)], "v array<int>")
+    for v, a, b in df.select("v", pii._running(F.col("v"), pii._total).alias("a"), pii._running(F.col("v"), lambda p: F.least(*p), left=False).alias("b")).collect():
+        assert a == list(accumulate(v)) and b == list(accumulate(v[::-1], min))[::-1]
+
+
 # --- 3
 
 
