@@ -5,13 +5,16 @@ longest fitting rule decides. Urls that no rule fits are decided through redirec
 canonical link and the refresh of each page (and any given redirect pairs) are edges between urls,
 components of the graph are found by distributed star steps, and a component's decision is "allow"
 if an allow rule fits any url in it (explicit allow has precedence), else "block" if a block rule
-does, else "allow". Urls are compared without fragment and with scheme and host in lower case, so
-pages at one address are aliases too.
+does, else "allow". Urls are compared without fragment, with scheme and host in lower case and an empty
+path as "/", so pages at one address are aliases too. Links are looked for in the whole page but for its
+comments and scripts; references in them are decoded, and relative ones (//host, /path, path, ?query,
+dot segments) resolved against the page's url.
 
 Only the links travel, never whole components: a component is one row with two flags.
 
 Defined cases: a null url, or one without "://", has an empty host and path, fits no rule, has no
-aliases and is allowed; a null page or a link that is not absolute gives no edge; repeated rows are
+aliases and is allowed; a null page, a link of another kind (mailto: and the like), one to the page itself
+or a relative one on a page without url gives no edge; repeated rows are
 judged each by itself; a null page_id stays as it is; other columns are ignored; an empty table gives
 an empty result.
 """
@@ -28,6 +31,7 @@ from alphaloom.llm.components import components
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 #: Up to so many rules are one expression; more are joined by host.
 INLINE_RULES = 64
+_BLANK = " \t\n\x0b\f\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,8 +46,44 @@ def path(url: Column) -> Column:
 def _address(url: Column) -> Column:
     """What two urls of one resource share; null if it is no absolute url."""
     scheme = F.translate(F.regexp_extract(url, r"(?s)^\s*([A-Za-z][A-Za-z0-9+.-]*)://", 1), _UPPER, _LOWER)
-    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
-    return F.when(F.length(scheme) > 0, F.concat(scheme, F.lit("://"), host(url), F.btrim(rest)))
+    rest = F.btrim(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1))
+    return F.when(F.length(scheme) > 0, F.concat(scheme, F.lit("://"), host(url), F.when(F.startswith(rest, F.lit("/")), F.lit("")).otherwise(F.lit("/")), rest))
+
+
+def _decoded(text: Column) -> Column:
+    """``text`` with numeric character references and the named ones that urls hold decoded."""
+
+    def one(out: Column, m: Column) -> Column:
+        digits = F.regexp_extract(m, "&#[xX]?([0-9A-Fa-f]+)", 1)
+        number = F.when(F.rlike(m, F.lit("&#[xX]")), F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
+        letter = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        return F.when(number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF), F.replace(out, m, letter)).otherwise(out)
+
+    text = F.aggregate(F.array_distinct(F.regexp_extract_all(text, F.lit("&#(?:[xX][0-9A-Fa-f]{1,8}|[0-9]{1,8});?"), 0)), text, one)
+    for name, letter in (("quot", '"'), ("apos", "'"), ("lt", "<"), ("gt", ">"), ("sol", "/"), ("colon", ":"), ("quest", "?"), ("equals", "="), ("period", "."), ("amp", "&")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(letter))
+    return text
+
+
+def _resolved(url: Column, target: Column) -> Column:
+    """The absolute url of a link on the page at ``url``; null if it leads to no other page."""
+    site = F.regexp_extract(url, r"(?s)^\s*([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    scheme = F.regexp_extract(site, r"^([^:]*:)", 1)
+    here = path(url)
+    folder = F.when(here == "", "/").otherwise(F.regexp_extract(here, r"(?s)^(.*/)", 1))
+    full = (
+        F.when(F.startswith(target, F.lit("//")), F.concat(scheme, target))
+        .when(F.startswith(target, F.lit("/")), F.concat(site, target))
+        .when(F.startswith(target, F.lit("?")), F.concat(site, here, target))
+        .otherwise(F.concat(site, folder, target))
+    )
+    start, way, rest = (F.regexp_extract(full, r"(?s)^([^:]*://[^/?#]*)([^?#]*)(.*)$", k) for k in (1, 2, 3))
+    parts = F.split(way, "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda out, x: F.when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(1)))).when(x == ".", out).otherwise(F.concat(out, F.array(x))))
+    straight = F.concat(F.array_join(kept, "/"), F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
+    full = F.when(F.rlike(way, F.lit(r"/\.\.?(?:/|$)")), F.concat(start, straight, rest)).otherwise(full)
+    other = F.rlike(target, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:"))
+    return F.when((target == "") | F.startswith(target, F.lit("#")), None).when(F.rlike(target, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://")), target).when(other | (site == ""), None).otherwise(full)
 
 
 def rule_of(frame: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -68,17 +108,19 @@ def rule_of(frame: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
 
 def page_links(pages: DataFrame) -> DataFrame:
     """Edges between addresses: a page's url to its canonical link and to where its refresh leads."""
-    html = F.substring_index(F.col("html").cast("string"), "</head>", 1)
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), 0)
+    html = F.regexp_replace(F.col("html"), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
+    quoted_parts = r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+){0,64}+>"""
+    tags = F.regexp_extract_all(html, F.lit(rf"(?is)<(?:link|meta)\b(?:{quoted_parts}|[^>]*+>)"), 0)
 
-    def quoted(tag: Column, name: str) -> Column:
-        return F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*["']?\s*([^"'>]*)""", 1)
+    def value(tag: Column, name: str) -> Column:
+        pattern = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+        return F.btrim(_decoded(F.concat(*(F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)))), F.lit(_BLANK))
 
-    canonical = F.transform(F.filter(tags, lambda t: F.rlike(t, F.lit(r"""(?is)^<link\b[^>]*\brel\s*=\s*["']?\s*canonical\b"""))), lambda t: quoted(t, "href"))
-    refresh = F.transform(F.filter(tags, lambda t: F.rlike(t, F.lit(r"""(?is)^<meta\b[^>]*\bhttp-equiv\s*=\s*["']?\s*refresh\b"""))), lambda t: F.regexp_extract(quoted(t, "content"), r"(?is)url\s*=\s*(\S+)", 1))
-    asked = pages.where(F.lower(F.col("html").cast("string")).rlike("canonical|refresh"))
-    found = asked.select(F.col("url").cast("string").alias("url"), F.explode(F.concat(canonical, refresh)).alias("to"))
-    return found.select(_address(F.col("url")).alias("a"), _address(F.regexp_replace("to", "&amp;", "&")).alias("b")).where("a is not null and b is not null and a <> b")
+    canonical = F.transform(F.filter(tags, lambda t: F.rlike(t, F.lit("(?i)^<link")) & F.rlike(value(t, "rel"), F.lit(r"(?i)(?:^|\s)canonical(?:\s|$)"))), lambda t: value(t, "href"))
+    refresh = F.transform(F.filter(tags, lambda t: F.rlike(t, F.lit("(?i)^<meta")) & F.rlike(value(t, "http-equiv"), F.lit(r"(?i)^refresh$"))), lambda t: F.btrim(F.regexp_extract(value(t, "content"), r"""(?is)^[0-9.\s]*[;,\s]\s*(?:url\s*=)?\s*["']?([^"']*)""", 1), F.lit(_BLANK)))
+    asked = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).where(F.lower("html").rlike("canonical|refresh"))
+    found = asked.select("url", F.explode(F.concat(canonical, refresh)).alias("to"))
+    return found.select(_address(F.col("url")).alias("a"), _address(_resolved(F.col("url"), F.col("to"))).alias("b")).where("a is not null and b is not null and a <> b")
 
 
 def judge_urls(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFrame | None = None) -> DataFrame:
@@ -101,18 +143,36 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark, table(spark, sf_dir, "pages"), RULES)
 
 
-#: DuckDB SQL for op8's rows. Components are walked by a recursive query.
+#: DuckDB SQL for op8's rows: the first canonical link and the first refresh of a page, relative ones resolved (dot segments and
+#: references other than &amp; left aside). Components are walked by a recursive query.
 OP8_SQL = r"""
 WITH RECURSIVE rules(verdict, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
 base AS (
-  SELECT row_number() OVER () AS r, page_id, html,
+  SELECT row_number() OVER () AS r, page_id, regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>', ' ', 'g') AS html,
          translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path,
-         CASE WHEN contains(url, '://') THEN regexp_replace(url, '#(?s:.*)$', '') END AS address
+         regexp_extract(url, '^\s*([A-Za-z][A-Za-z0-9+.-]*)://', 1) AS scheme, regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1) AS site, url
   FROM pages),
+tags AS (
+  SELECT r, scheme, site, path, url, unnest([
+    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?\s*canonical\b[^>]*>|<link\b[^>]*>', 0), '(?is)\bhref\s*=\s*["'']?\s*([^"''>\s]*)', 1),
+    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?\s*refresh\b[^>]*>', 0), '(?is)[;,]\s*(?:url\s*=)?\s*["'']?\s*([^"''>\s]*)', 1)]) AS t,
+    unnest([regexp_matches(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?\s*canonical\b'), true]) AS meant
+  FROM base WHERE scheme <> ''),
+targets AS (
+  SELECT r, url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
+              WHEN t = '' OR starts_with(t, '#') OR regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+              WHEN starts_with(t, '//') THEN scheme || ':' || t
+              WHEN starts_with(t, '/') THEN scheme || '://' || site || t
+              WHEN starts_with(t, '?') THEN scheme || '://' || site || path || t
+              ELSE scheme || '://' || site || CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '^(?s:.*)/', 0) END || t END AS t
+  FROM (SELECT * REPLACE (replace(t, '&amp;', '&') AS t) FROM tags WHERE meant)),
+address AS (
+  SELECT u, lower(regexp_extract(u, '^\s*([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || lower(regexp_extract(u, '^(?s:.*?)://([^/?#]*)', 1))
+         || CASE WHEN starts_with(regexp_extract(u, '^(?s:.*?)://[^/?#]*([^#]*)', 1), '/') THEN '' ELSE '/' END || trim(regexp_extract(u, '^(?s:.*?)://[^/?#]*([^#]*)', 1)) AS a
+  FROM (SELECT t AS u FROM targets UNION SELECT url FROM base) WHERE regexp_matches(u, '^\s*[A-Za-z][A-Za-z0-9+.-]*://')),
 links AS (
-  SELECT address AS a, regexp_extract(html, '<link rel="canonical" href="([^"#]*)', 1) AS b FROM base
-  WHERE regexp_extract(html, '<link rel="canonical" href="([^"#]*)', 1) <> ''),
+  SELECT x.a AS a, y.a AS b FROM targets JOIN address x ON targets.url = x.u JOIN address y ON targets.t = y.u WHERE x.a <> y.a),
 edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach(a, b) AS (SELECT a, a FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
 url_rules AS (
@@ -130,5 +190,5 @@ fit AS (
   GROUP BY base.r)
 SELECT base.page_id, base.host, base.path, fit.rule,
        coalesce(fit.decided, CASE WHEN alias.allow = 1 THEN 'allow' WHEN alias.block = 1 THEN 'block' ELSE 'allow' END) AS verdict
-FROM base LEFT JOIN fit ON base.r = fit.r LEFT JOIN alias ON base.address = alias.address
+FROM base LEFT JOIN fit ON base.r = fit.r LEFT JOIN address ON base.url = address.u LEFT JOIN alias ON address.a = alias.address
 """
