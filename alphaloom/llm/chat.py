@@ -10,6 +10,10 @@ are joined to turns, and turn order and character offsets come from windows over
 is a participant once, however many turns they have; only the number of participants multiplies rows,
 which is what the format asks for. ``dialogues`` joins the rows of each view into one text with spans.
 
+Nobody can write a marker: in a content a backslash goes between "<" and "|" (and one more where there are
+some already), so it can be taken away again, and in names "%", "|", "<", ">" and white space are
+percent-encoded, so different speakers have different names.
+
 Defined cases: a null role is the speaker "unknown"; a null text is an empty turn; turns are ordered by
 turn, then role and text (repeated rows stay, in that order), null turns first; a null conv_id is one
 conversation of its own; other columns are ignored; an empty table gives an empty result.
@@ -17,12 +21,19 @@ conversation of its own; other columns are ignored; an empty table gives an empt
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alphaloom.llm.common import prepare, table, written
 
 SCENE = ["system"]
+_SPECIAL = "%|<> \t\n\x0b\f\r"
+
+
+def _plain_name(name: Column) -> Column:
+    for c in _SPECIAL:
+        name = F.replace(name, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return name
 
 
 def rotate(spark: SparkSession, turns: DataFrame) -> DataFrame:
@@ -41,8 +52,8 @@ def rotate(spark: SparkSession, turns: DataFrame) -> DataFrame:
     own = F.col("speaker") == F.col("perspective")
     role = F.when(own, "assistant").when(F.col("speaker").isin(SCENE), "system").otherwise("user")
     name = F.when(role == "user", F.col("speaker"))
-    header = F.concat(F.lit("<|"), role, F.coalesce(F.concat(F.lit(" name="), F.regexp_replace(name, r"[|<>\s]", "_")), F.lit("")), F.lit("|>\n"))
-    out = seen.select("conv_id", "perspective", "position", role.alias("role"), name.alias("name"), "content", F.concat(header, "content", F.lit("\n<|end|>\n")).alias("rendered"), F.length(header).alias("_header"), own.alias("learn"))
+    header = F.concat(F.lit("<|"), role, F.coalesce(F.concat(F.lit(" name="), _plain_name(name)), F.lit("")), F.lit("|>\n"))
+    out = seen.select("conv_id", "perspective", "position", role.alias("role"), name.alias("name"), "content", F.concat(header, F.regexp_replace("content", r"<(\\*)\|", r"<\\$1|"), F.lit("\n<|end|>\n")).alias("rendered"), F.length(header).alias("_header"), own.alias("learn"))
     before = Window.partitionBy("conv_id", "perspective").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     stop = F.sum(F.length("rendered").cast("long")).over(before)
     out = out.withColumn("stop", stop).withColumn("start", F.col("stop") - F.length("rendered"))
@@ -60,8 +71,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(spark, table(spark, sf_dir, "conversations"))
 
 
-#: DuckDB SQL for op9's rows.
-OP9_SQL = r"""
+def chat_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole views of ``conversations``: conv_id, perspective, text, and mask as "start:stop" pairs joined by commas."""
+    rows = dialogues(op9(spark, sf_dir))
+    return rows.withColumn("mask", F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"].cast("string"), m["stop"].cast("string"))), ","))
+
+
+_NAME_SQL = "speaker"
+for _c in _SPECIAL:
+    _NAME_SQL = f"replace({_NAME_SQL}, chr({ord(_c)}), '%{ord(_c):02X}')"
+
+_VIEWS_SQL = rf"""
 WITH placed AS (
   SELECT conv_id, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS content,
          CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS INTEGER) AS position
@@ -73,13 +93,21 @@ seen AS (
   FROM placed p JOIN views v ON p.conv_id IS NOT DISTINCT FROM v.conv_id),
 headed AS (
   SELECT *, CASE WHEN role = 'user' THEN speaker END AS name,
-         '<|' || role || CASE WHEN role = 'user' THEN ' name=' || regexp_replace(speaker, '[|<>\s]', '_', 'g') ELSE '' END || '|>' || chr(10) AS header
+         '<|' || role || CASE WHEN role = 'user' THEN ' name=' || {_NAME_SQL} ELSE '' END || '|>' || chr(10) AS header
   FROM seen),
-rendered AS (SELECT *, header || content || chr(10) || '<|end|>' || chr(10) AS rendered FROM headed),
+rendered AS (SELECT *, header || regexp_replace(content, '<(\\*)\|', '<\\\1|', 'g') || chr(10) || '<|end|>' || chr(10) AS rendered FROM headed),
 ended AS (
   SELECT *, CAST(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY position ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop
-  FROM rendered)
-SELECT conv_id, perspective, position, role, name, content, rendered, stop - length(rendered) AS start, stop,
-       stop - length(rendered) + length(header) AS content_start, learn
-FROM ended
+  FROM rendered),
+rows_ AS (
+  SELECT conv_id, perspective, position, role, name, content, rendered, stop - length(rendered) AS start, stop,
+         stop - length(rendered) + length(header) AS content_start, learn
+  FROM ended)
+"""
+#: DuckDB SQL for op9's rows, and for whole views.
+OP9_SQL = _VIEWS_SQL + "SELECT * FROM rows_"
+DIALOGUES_SQL = _VIEWS_SQL + """
+SELECT conv_id, perspective, string_agg(rendered, '' ORDER BY position) AS text,
+       coalesce(string_agg(content_start || ':' || stop, ',' ORDER BY position) FILTER (WHERE learn), '') AS mask
+FROM rows_ GROUP BY conv_id, perspective
 """

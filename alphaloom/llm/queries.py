@@ -20,9 +20,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_bpe": bpe.op7,
         "op8_url_filters": url_filters.op8,
         "op9_chat_perspectives": chat.op9,
+        "chat_dialogues": chat.chat_dialogues,
         "op10_minhash_near_dedup": near_dedup.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filters": url_filters.OP8_SQL, "op9_chat_perspectives": chat.OP9_SQL}
+    return {"op8_url_filters": url_filters.OP8_SQL, "op9_chat_perspectives": chat.OP9_SQL, "chat_dialogues": chat.DIALOGUES_SQL}
