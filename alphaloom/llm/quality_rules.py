@@ -1,7 +1,7 @@
 """Quality rules with DataFrame functions only: text statistics and cross-document line frequency.
 
-Statistics need one row each. Repeated five-word windows are found by hashing the windows, packing
-each hash with its position into one integer and sorting those: equal windows become neighbours, so
+Statistics need one row each. Repeated five-word windows are found by hashing the words once, then the
+windows, and sorting the hashes with their positions: equal windows become neighbours, so
 the cost is that of a sort, whatever the repetition. Texts without a repeat, the usual case, end
 after one hash-set test.
 
@@ -16,7 +16,7 @@ has is one key of a join whose other side holds each frequent line once.
 Defined cases: a null or empty text has no words and fails the base rules; a null host is a host of
 its own; repeated rows are judged alike, each by itself; a null doc_id is kept as it is; other
 columns are ignored by ``judge`` and passed through by ``apply_rules``; an empty table gives an
-empty result. Texts of up to 2**24 words are supported.
+empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +34,6 @@ SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT = 10, 20, 5
 #: A line is boilerplate in more than this many distinct documents of its host.
 MIN_DOCS = 10
-_LOW = (1 << 24) - 1
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -55,19 +54,19 @@ def _repeat_words(words: Column) -> Column:
         return F.aggregate(at, zero, lambda s, p: F.struct((s["n"] + p + REPEAT - F.greatest(p, s["far"])).alias("n"), (p + REPEAT).alias("far")))["n"]
 
     def repeated(grams: Column) -> Column:
-        packed = F.sort_array(F.transform(grams, lambda h, i: h.bitwiseAND(F.lit(~_LOW)).bitwiseOR(i.cast("long"))))
-
-        def gram(p: Column) -> Column:
-            return F.get(grams, p.bitwiseAND(F.lit(_LOW)).cast("int"))
+        placed = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def twins(order: Column) -> Column:
-            found = F.filter(order, lambda p, i: _let(gram(p), lambda h: F.coalesce(h == gram(F.get(order, i - 1)), F.lit(False)) | F.coalesce(h == gram(F.get(order, i + 1)), F.lit(False))))
-            return covered(F.sort_array(F.transform(found, lambda p: p.bitwiseAND(F.lit(_LOW)).cast("int"))))
+            found = F.filter(order, lambda x, k: F.coalesce(x["h"] == F.get(order, k - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(order, k + 1)["h"], F.lit(False)))
+            return covered(F.sort_array(F.transform(found, lambda x: x["i"])))
+
+        return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(_let(placed, twins))
 
-        return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(_let(packed, twins))
+    def windows(hashes: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(hashes) - REPEAT), lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(REPEAT))))
 
-    grams = F.transform(F.sequence(F.lit(0), F.size(words) - REPEAT), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(REPEAT))))
-    return F.when(F.size(words) < REPEAT + 1, F.lit(0)).otherwise(_let(grams, repeated))
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    return F.when(F.size(words) < REPEAT + 1, F.lit(0)).otherwise(_let(hashed, lambda h: _let(windows(h), repeated)))
 
 
 def _line_hash(line: Column) -> Column:
@@ -77,7 +76,7 @@ def _line_hash(line: Column) -> Column:
 def statistics(docs: DataFrame) -> DataFrame:
     """Per document row its statistics, the hash of its text, and for each line with a word its hash and words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(row_key(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), text.alias("text"))
+    base = docs.select(row_key(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("host"), text.alias("text"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(_BLANK)) != "")
     counted = F.transform("lines", lambda x: F.struct(_line_hash(x).alias("line"), F.size(_words(x)).alias("words")))
     base = base.withColumns({"words": _words(F.col("text")), "lines": lines})
