@@ -7,9 +7,10 @@ nobody's prefix is dropped by one bit-table lookup. For the others the position
 window would have to start and end (positional and length bound: inside the document), and what is
 left is verified word by word at that place. Only then is a word "hit".
 
-Windows are taken in blocks of at most BLOCK_WINDOWS, so what is broadcast has a fixed bound however
-large the benchmark is; a document's hits are united over the blocks. One block, the usual case,
-needs one pass that counts and one that joins, and shuffles no text.
+Windows are taken in blocks of at most BLOCK_WINDOWS, one after the other: a block's hits are written and
+its broadcast is destroyed before the next one is made, so one block of windows is held at a time, however
+many there are; a window carries the ids of the items that have it. A document's hits are united over the blocks.
+One block, the usual case, needs one pass that counts and one that joins, and shuffles no text.
 
 Defined cases: a null or empty text, of a document or an item, has no words; an item without words
 has no window; repeated items count as often as they have distinct ids; repeated document rows are
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm.common import prepare, row_key, table, text_bytes
+from alphaloom.llm.common import keyed, prepare, row_key, table, text_bytes, written
 from alphaloom.llm.words import U, run_hashes, split_words
 
 WINDOW = 13
@@ -155,35 +156,89 @@ def _joiner(block):
     return join
 
 
+_SHAPE = "doc_id long, row long, n_words long, spans array<struct<first:int,stop:int>>, items array<long>"
+
+
+def _windows_of(benchmark: DataFrame) -> DataFrame:
+    """Distinct windows with the ids of their items, and a hash that deals them into blocks."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
+    return items.mapInArrow(_item_windows, "item_id long, words array<long>").groupBy("words").agg(F.collect_set("item_id").alias("items"), F.xxhash64("words").alias("h"))
+
+
+def _block(spark: SparkSession, texts: DataFrame, windows: DataFrame) -> _Block:
+    """A block of windows, ordered by the counts of their words over all texts."""
+    rows = windows.select("words", "items").collect()
+    counts = []
+    if rows:
+        look = spark.sparkContext.broadcast(_Lookup(np.unique(np.array([w for r in rows for w in r["words"]], np.int64).astype(U))))
+        counts = texts.select("text").mapInArrow(_counter(look), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+        look.destroy()
+    return _Block([r["words"] for r in rows], [r["items"] for r in rows], {r["word"]: r["n"] for r in counts})
+
+
+def _judged(out: DataFrame) -> DataFrame:
+    names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    # spans of several blocks overlap: walk them in order and count only what lies beyond the furthest word so far
+    walked = F.aggregate(F.array_sort("spans"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("far")), lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["stop"] - F.greatest(x["first"], s["far"]))).alias("n"), F.greatest(s["far"], x["stop"]).alias("far")))["n"]
+    out = out.withColumn("n_hit", walked.cast("long"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), _bad(F.col("n_hit"), F.col("n_words")).alias("contaminated"), "spans", "items", "row")
+
+
+def _bad(hit, words):
+    return (hit > 0) & (ONE_IN * hit >= words)
+
+
+def _blocks(windows: DataFrame) -> int:
+    return max(1, -(-windows.count() // BLOCK_WINDOWS))
+
+
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans and items themselves, and row, its key."""
     prepare(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), F.col("text").cast("string").alias("text"))
-    windows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").mapInArrow(_item_windows, "item_id long, words array<long>")
-    windows = windows.groupBy("words").agg(F.collect_set("item_id").alias("items"), F.xxhash64("words").alias("h"))
-    total = windows.count()
-    blocks = max(1, -(-total // BLOCK_WINDOWS))
-    dealt = windows.withColumn("block", F.pmod("h", F.lit(blocks))).drop("h")
-    held = dealt.persist() if blocks > 1 else dealt
-    shape = "doc_id long, row long, n_words long, spans array<struct<first:int,stop:int>>, items array<long>"
+    windows = _windows_of(benchmark)
+    blocks = _blocks(windows)
+    if blocks == 1:
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), F.col("text").cast("string").alias("text"))
+        return _judged(texts.mapInArrow(_joiner(spark.sparkContext.broadcast(_block(spark, texts, windows))), _SHAPE))
+    # rows get their keys once, so that they are the same in every block
+    rows = docs if "_row" in docs.columns else keyed(spark, docs.select("doc_id", "text"))
+    texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_row").alias("row"), F.col("text").cast("string").alias("text"))
+    held = written(spark, windows.withColumn("block", F.pmod("h", F.lit(blocks))).drop("h"), "windows")
     out = None
     for number in range(blocks):
-        rows = held.where(F.col("block") == number).select("words", "items").collect()
-        vocabulary = np.unique(np.array([w for r in rows for w in r["words"]], np.int64).astype(U))
-        look = spark.sparkContext.broadcast(_Lookup(vocabulary))
-        counts = texts.select("text").mapInArrow(_counter(look), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect() if rows else []
-        block = _Block([r["words"] for r in rows], [r["items"] for r in rows], {r["word"]: r["n"] for r in counts})
-        found = texts.mapInArrow(_joiner(spark.sparkContext.broadcast(block)), shape)
+        block = spark.sparkContext.broadcast(_block(spark, texts, held.where(F.col("block") == number)))
+        found = texts.mapInArrow(_joiner(block), _SHAPE)
+        found = written(spark, found if number == 0 else found.where(F.size("items") > 0), "hits")
+        block.destroy()
         out = found if out is None else out.unionByName(found)
-    if blocks > 1:
-        out = out.groupBy("row", "doc_id").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        # spans of several blocks overlap: walk them in order and count only what lies beyond the furthest word so far
-        walked = F.aggregate(F.array_sort("spans"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("far")), lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["stop"] - F.greatest(x["first"], s["far"]))).alias("n"), F.greatest(s["far"], x["stop"]).alias("far")))["n"]
-    else:
-        walked = F.aggregate("spans", F.lit(0), lambda n, x: n + x["stop"] - x["first"])
-    out = out.withColumn("n_hit", walked.cast("long"))
-    names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (ONE_IN * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans", "items", "row")
+    return _judged(out.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")))
+
+
+def _cleaner(block, text: int):
+    def clean(batches):
+        join = _joiner(block)
+        for batch in batches:
+            key = pa.nulls(batch.num_rows, pa.int64())
+            judged = next(join([pa.RecordBatch.from_arrays([key, key, batch.column(text)], ["doc_id", "row", "text"])]))
+            spans = judged.column(3)
+            flat = spans.flatten()
+            sums = np.append(0, np.cumsum(np.asarray(flat.field(1)).astype(np.int64) - np.asarray(flat.field(0))))
+            hit = np.diff(sums[np.asarray(spans.offsets)])
+            yield batch.filter(pa.array(~_bad(hit, np.asarray(judged.column(2)))))
+
+    return clean
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all columns; with one block of windows they pass by and nothing is joined."""
+    prepare(spark)
+    windows = _windows_of(benchmark)
+    if _blocks(windows) == 1:
+        block = spark.sparkContext.broadcast(_block(spark, docs.select(F.col("text").cast("string").alias("text")), windows))
+        return docs.mapInArrow(_cleaner(block, docs.columns.index("text")), docs.schema)
+    rows = keyed(spark, docs)
+    bad = contamination(spark, rows, benchmark).where("contaminated").select(F.col("row").alias("_row"))
+    return rows.join(bad, "_row", "left_anti").select(docs.columns)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
