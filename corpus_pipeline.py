@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from alphaloom.llm.bpe import encode_documents
 from alphaloom.llm.common import keyed, table, written
-from alphaloom.llm.decontaminate import contamination
+from alphaloom.llm.decontaminate import decontaminated
 from alphaloom.llm.near_dedup import near_duplicates
 from alphaloom.llm.pii import redact
 from alphaloom.llm.quality_rules import apply_rules
@@ -39,9 +39,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    rows = keyed(spark, docs)
-    bad = contamination(spark, rows, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("row").alias("_row"))
-    return rows.join(bad, "_row", "left_anti").select(docs.columns)
+    return decontaminated(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
