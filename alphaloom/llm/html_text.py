@@ -16,7 +16,8 @@ model is a few hundred numbers. Parsing is one scan for tags; passes are linear
 
 Inside a text character references are decoded, white space (a line break element included) becomes
 one space, and the ends are trimmed. Scripts, styles, comments, forms' controls and the head's elements
-have no text; in scripts and the like "<" opens no tag, and the head needs no end tag. Defined cases: a null or empty page has no text; text outside any element is judged like a
+have no text; in scripts and the like "<" opens no tag, the head needs no end tag, and a control, an image or a
+template without an end tag swallows nothing. Defined cases: a null or empty page has no text; text outside any element is judged like a
 paragraph of the body; unclosed and misplaced tags are closed where a block begins or its parent
 ends; a tag cut off at the end of the page is dropped; repeated rows are judged each by itself; a
 null page_id or url stays as it is; other columns are ignored; an empty table gives an empty result.
@@ -36,7 +37,8 @@ from pyspark.sql import functions as F
 
 from alphaloom.llm.common import prepare, table
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z))""", re.S)
+# a quote opens a value only behind "="
+_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _NAME = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 #: Elements whose contents are no text.
@@ -108,6 +110,14 @@ def parse(html: str) -> list[Node]:
     links = 0
     silent = ""
     depth = 0
+    later: dict[str, int] = {}
+
+    def ended(name: str, at: int) -> bool:
+        """Whether an end tag of ``name`` follows; where none does, the element swallows nothing."""
+        if later.get(name, -1) < at:
+            m = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(html, at)
+            later[name] = m.start() if m else len(html) + 1
+        return later[name] <= len(html)
 
     def say(raw: str) -> None:
         nonlocal leaf
@@ -132,17 +142,18 @@ def parse(html: str) -> list[Node]:
         name = name.lower()
         closing = m[1] == "/"
         if name in _RAW and silent not in ("svg", "math"):
-            if not closing and not m[3].endswith("/"):
+            if not closing:
                 at = _raw_end(html, name, at)
             continue
+        own = m[3].endswith("/") and name in ("svg", "math")  # elsewhere the slash means nothing
         if silent:
-            if name == silent and not m[3].endswith("/"):
+            if name == silent and not own:
                 depth += -1 if closing else 1
-                if depth <= 0:
+                if depth <= 0 or not ended(name, at):
                     silent = ""
             continue
         if name in _SILENT:
-            if not closing and not m[3].endswith("/"):
+            if not closing and not own and ended(name, at):
                 silent, depth = name, 1
             continue
         if name == "br":
@@ -302,6 +313,11 @@ def labelled_pages() -> list[str]:
         f'<body><header data-keep="0"><h1>{{w}}</h1><p>{{s}}</p></header><nav data-keep="0">{menu}</nav><article data-keep="1"><p>{{s}}</p><p>{{x}}</p></article><div class="sponsored" data-keep="0"><p>{{x}}</p></div><form data-keep="0"><p>{{x}}</p></form><footer data-keep="0">{{x}}<p>{{s}}</p></footer></body>',
         f'<body><header data-keep="0"><h2>{{w}}</h2>{menu}</header><article data-keep="1">{story}<section class="comments" data-keep="0"><h2>{{w}}</h2><article><p>{{x}}</p></article><article><p>{{s}}</p></article></section></article><aside class="widget" data-keep="0">{menu}<p>{{x}}</p></aside></body>',
         f'<body><h1 data-keep="1">{{t}}</h1><p data-keep="1">{{x}}</p><p data-keep="1">{{s}}</p><p data-keep="1">{{x}}</p><div class="nav" data-keep="0">{menu}</div></body>',
+        f'<body><header class="masthead" data-keep="0"><h1>{{w}}</h1>{menu}</header><article data-keep="1"><h1>{{t}}</h1>{{x}}<div>{{s}}</div>{{s}}<div><div>{{x}}</div><div>{{s}}</div></div><section><h2>{{t}}</h2><div>{{x}}</div></section><figure><figcaption>{{s}}</figcaption></figure></article><footer data-keep="0"><div>{{s}}</div></footer></body>',
+        f'<body><div class="header" data-keep="0"><div>{{w}}</div><div>{{s}}</div></div><div class="post" data-keep="1"><h1>{{t}}</h1><div>{{x}}</div><div>{{x}}</div><dl><dt>{{w}}</dt><dd>{{s}}</dd></dl><table><tr><th>{{w}}</th><td>{{s}}</td></tr></table></div><div class="tags" data-keep="0">{menu}</div><div class="copyright" data-keep="0">{{s}}</div></body>',
+        f'<body><nav class="breadcrumb" data-keep="0"><ol><li><a href="#">{{w}}</a></li><li><a href="#">{{w}}</a></li></ol></nav><main><article data-keep="1"><header><h1>{{t}}</h1><p>{{s}}</p></header><section><p>{{x}}</p><blockquote>{{s}}</blockquote><ol><li>{{s}}</li><li>{{x}}</li></ol></section><div class="share" data-keep="0"><a href="#">{{w}}</a></div></article><aside class="related" data-keep="0"><h2>{{w}}</h2>{menu}</aside></main></body>',
+        f'<body><div class="popup overlay" data-keep="0"><h2>{{t}}</h2><p>{{x}}</p></div><article class="story" data-keep="1"><p>{{x}}</p><div><p>{{s}}</p></div><div>{{s}}</div><details><summary>{{s}}</summary><p>{{x}}</p></details><div class="promo" data-keep="0">{{s}}</div></article><div class="pagination" data-keep="0"><a href="#">{{w}}</a><a href="#">{{w}}</a></div></body>',
+        f'<body>{menu.replace("<ul>", '<ul data-keep="0">')}<article data-keep="1"><h2>{{t}}</h2><div>{{s}}</div><p>{{x}}</p></article><div id="comments" data-keep="0"><div class="comment"><div>{{w}}</div><div>{{x}}</div></div><form><p>{{s}}</p></form></div><aside data-keep="0"><div>{{x}}</div><div>{{s}}</div></aside></body>',
     ]
     words = ["ale", "borin", "cast", "doremi", "ente", "fal", "gorum", "hin", "isolde", "jun"]
     out = []
