@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Texts that stand for a missing number.
 MISSING_NUMBERS = ["", "-", "--", "N/A", "<NA>", "nan", "None"]
 SUFFIX = ".TW"
+#: A decimal number; a cast alone would also read suffixes ("12d") and hexadecimals.
+_NUMBER = r"(?i)^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?$|^[+-]?inf(?:inity)?$"
 HIGHER, LOWER = "higher_is_better", "lower_is_better"
 
 
@@ -26,7 +28,7 @@ def suffix_ticker(c: Column, suffix: str = SUFFIX) -> Column:
 def numeric(c: Column) -> Column:
     """A double; thousands separators go, missing and unreadable values become null, and so does NaN."""
     text = F.replace(F.trim(c.cast("string")), F.lit(","), F.lit(""))
-    value = F.when(text.isin(MISSING_NUMBERS), None).otherwise(text).try_cast("double")
+    value = F.when(~text.isin(MISSING_NUMBERS) & text.rlike(_NUMBER), text).try_cast("double")
     return F.when(F.isnan(value), None).otherwise(value)
 
 

@@ -40,12 +40,15 @@ def momentum(bars: DataFrame, lookback: int = 60) -> DataFrame:
     return df.select("date", "ticker", (ratio(F.col("close"), _at("close", -lookback)) - 1).alias("momentum"))
 
 
-def return_volatility(bars: DataFrame, n: int = 20, fill: str = "pad") -> DataFrame:
-    """Sample deviation of n returns on the dense grid; ``fill`` "pad" carries the last close over gaps, "none" leaves them."""
-    grid = dense_grid(bars)
+def _with_returns(grid: DataFrame, fill: str = "pad") -> DataFrame:
     upto = _time().rowsBetween(Window.unboundedPreceding, 0)
     grid = grid.withColumn("c", F.last("close", ignorenulls=True).over(upto) if fill == "pad" else F.col("close"))
-    grid = grid.withColumn("ret", ratio(F.col("c"), F.lag("c").over(_time())) - 1)
+    return grid.withColumn("ret", ratio(F.col("c"), F.lag("c").over(_time())) - 1)
+
+
+def return_volatility(bars: DataFrame, n: int = 20, fill: str = "pad") -> DataFrame:
+    """Sample deviation of n returns on the dense grid; ``fill`` "pad" carries the last close over gaps, "none" leaves them."""
+    grid = _with_returns(dense_grid(bars), fill)
     return grid.select("date", "ticker", _rolling(F.stddev_samp, "ret", n).alias("return_volatility"))
 
 
@@ -74,13 +77,20 @@ def volume_ratio(bars: DataFrame, short: int = 5, long: int = 60) -> DataFrame:
 
 
 def price_volume_factors(bars: DataFrame) -> DataFrame:
-    """The three factors for every cell of the grid, from one window stage."""
-    grid = dense_grid(bars).withColumn("tr", _true_range())
+    """The three factors for every cell of the grid, from one window stage; without highs or lows (no column, or all null) returns give the volatility."""
+    missing = [c for c in ("high", "low") if c not in bars.columns]
+    if missing:
+        grid = _with_returns(dense_grid(bars))
+        volatility = _rolling(F.stddev_samp, "ret", 20)
+    else:
+        ranged = low_volatility_method(bars).select((F.col("method") == "atr_20d_over_close").alias("_ranged"))
+        grid = _with_returns(dense_grid(bars).withColumn("tr", _true_range())).join(F.broadcast(ranged))  # one row
+        volatility = F.when(F.col("_ranged"), ratio(_rolling(F.avg, "tr", 20), F.col("close"))).otherwise(_rolling(F.stddev_samp, "ret", 20))
     return grid.select(
         "date",
         "ticker",
         (ratio(F.col("close"), _at("close", -60)) - 1).alias("momentum_60d"),
-        ratio(_rolling(F.avg, "tr", 20), F.col("close")).alias("low_volatility_20d"),
+        volatility.alias("low_volatility_20d"),
         ratio(_rolling(F.avg, "volume", 5), _rolling(F.avg, "volume", 60)).alias("volume_ratio_5d_60d"),
     )
 

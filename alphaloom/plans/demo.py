@@ -1,7 +1,7 @@
 """Bars and valuations derived from the order tables, which hold no prices of their own.
 
-A line's unit price stands for a trade. Brands or part types are tickers; dates are ISO weeks
-(bars_w) or weekdays (bars_d, bars_t). Sums are made in whole cents, so they do not hang on the order
+A line's unit price stands for a trade. Brands are tickers; dates are ISO weeks
+(bars_w) or weekdays (bars_d). Sums are made in whole cents, so they do not hang on the order
 of rows.
 """
 
@@ -44,10 +44,6 @@ def bars_d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _weekday(_trades(spark, sf_dir, "p_brand"))
 
 
-def bars_t(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _weekday(_trades(spark, sf_dir, "p_type"))
-
-
 def valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snapshot without dates, by brand; some price ratios are not positive."""
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")

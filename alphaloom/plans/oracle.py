@@ -191,7 +191,7 @@ def _positions(select: str, source: str, frequency: str = "daily", rule: str = "
       {"true" if rule == "buffer" else "false"} AS buffer_enabled, CAST({buffer} AS INTEGER) AS drop_rank_buffer FROM {source}"""
 
 
-_BRANDS = [f"Brand#{a}{b}" for a in range(1, 4) for b in range(1, 4)]
+_BRANDS = [f"Brand#{k}" for k in range(1, 26)]
 _SCENARIO = "'historical_price_volume' AS factor_name"
 _ALIGN = """SELECT '{name}' AS factor, NOT coalesce((SELECT max(n) > 1 FROM (SELECT count(*) AS n FROM {f} GROUP BY date, ticker)), false) AND nd = sd AND nt = st AS is_aligned,
   coalesce((SELECT max(n) > 1 FROM (SELECT count(*) AS n FROM {f} GROUP BY date, ticker)), false) AS has_duplicates, floor((1 - v / (nd * nt)) * 1e6 + 0.5) / 1e6 AS missing_ratio, sd AS shared_dates, st AS shared_tickers
@@ -199,7 +199,7 @@ _ALIGN = """SELECT '{name}' AS factor, NOT coalesce((SELECT max(n) > 1 FROM (SEL
 
 FINAL = {
     "format_bars": "SELECT d_raw AS date, '2330' AS ticker, p_raw AS open, p_raw AS high, p_raw AS low, CAST(q AS VARCHAR) AS close, '1,000' AS volume, count(*) AS n_rows FROM vendor GROUP BY ALL",
-    "failed_tickers": "SELECT CAST(s_suppkey AS VARCHAR) AS ticker FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_discount < 0.05)",
+    "failed_tickers": "SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS ticker FROM customer WHERE c_custkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_suppkey IS NOT NULL)",
     "select_tickers": "SELECT DISTINCT ticker FROM cleaned ORDER BY ticker LIMIT 12",
     "manifest": """SELECT n AS artifact_name, n || '.parquet' AS path, row_count, CAST(c AS BIGINT) AS column_count, CASE WHEN n = 'ohlcv' THEN 'lineitem,part' ELSE '' END AS source_inputs, '1.0' AS schema_version, '2024-01-01' AS created_at, '' AS notes
       FROM (SELECT 'nation' AS n, 2 AS c, count(*) AS row_count FROM nation UNION ALL SELECT 'ohlcv', 7, count(*) FROM bars_w UNION ALL SELECT 'valuation', 5, count(*) FROM valuation)""",
@@ -278,11 +278,11 @@ FINAL = {
     "missing_ratio_columns": " UNION ALL ".join(f"SELECT '{c}' AS column_name, {r(f'avg(CAST({c} IS NULL AS INTEGER))', 4)} AS missing_ratio FROM pv_w" for c in ("date", "ticker", *_PV)),
     "missing_ratio_overall": f"SELECT {r('(' + ' + '.join(f'avg(CAST({c} IS NULL AS INTEGER))' for c in ('date', 'ticker', *_PV)) + ') / 5')} AS missing_ratio FROM pv_w",
     "date_range": "SELECT strftime(min(date), '%Y-%m-%d') || ' to ' || strftime(max(date), '%Y-%m-%d') AS date_range FROM bars_w",
-    "data_quality": """WITH b AS (SELECT * FROM bars_d WHERE ticker < 'Brand#5'), u AS (SELECT count(DISTINCT p_brand) AS n, count(*) AS m FROM part), g AS (SELECT count(DISTINCT ticker) AS n, count(*) AS m FROM b)
+    "data_quality": """WITH b AS (SELECT CAST(l_shipdate AS DATE) AS date, CAST(l_suppkey AS VARCHAR) AS ticker FROM lineitem), u AS (SELECT count(DISTINCT c_custkey) AS n, count(*) AS m FROM customer), g AS (SELECT count(DISTINCT ticker) AS n, count(*) AS m FROM b)
       SELECT 'universe_total_tickers' AS metric, CAST(n AS VARCHAR) AS value FROM u UNION ALL SELECT 'universe_rows', CAST(m AS VARCHAR) FROM u UNION ALL SELECT 'valuation_rows', CAST(count(*) AS VARCHAR) FROM valuation
       UNION ALL SELECT 'ohlcv_successful_tickers', CAST(n AS VARCHAR) FROM g UNION ALL SELECT 'ohlcv_rows', CAST(m AS VARCHAR) FROM g
       UNION ALL SELECT 'ohlcv_date_range', strftime(min(date), '%Y-%m-%d') || ' to ' || strftime(max(date), '%Y-%m-%d') FROM b UNION ALL SELECT 'ohlcv_requested_tickers', CAST(n AS VARCHAR) FROM u
-      UNION ALL SELECT 'ohlcv_failed_tickers', CAST(count(DISTINCT p_brand) AS VARCHAR) FROM part WHERE p_brand NOT IN (SELECT ticker FROM b)
+      UNION ALL SELECT 'ohlcv_failed_tickers', CAST(count(DISTINCT c_custkey) AS VARCHAR) FROM customer WHERE CAST(c_custkey AS VARCHAR) NOT IN (SELECT ticker FROM b)
       UNION ALL SELECT 'ohlcv_coverage_ratio', printf('%.4f', floor(g.n / u.n * 1e4 + 0.5) / 1e4) FROM g, u""",
     "factor_alignment": _ALIGN.format(name="momentum", f="here_mom") + " UNION ALL " + _ALIGN.format(name="shifted", f="off_mom"),
     "factor_readiness": "SELECT count(*) > 0 AND count(DISTINCT date) = count(DISTINCT date) FILTER (WHERE date IN (SELECT date FROM bars_w)) AS is_ready, count(DISTINCT date) FILTER (WHERE date IN (SELECT date FROM bars_w)) AS shared_dates, count(DISTINCT ticker) FILTER (WHERE ticker IN (SELECT ticker FROM bars_w)) AS shared_assets FROM here_mom",
@@ -291,6 +291,16 @@ FINAL = {
     "composite_breakdown": "SELECT composite_type, count(*) AS n_rows, strftime(min(date), '%Y-%m-%d') || ' to ' || strftime(max(date), '%Y-%m-%d') AS date_range, bool_or(is_snapshot_component_used) AS is_snapshot_component_used, NOT bool_or(is_snapshot_component_used) AS historical_backtest_ready FROM comp GROUP BY 1",
     "artifact_shapes": "SELECT 'ohlcv' AS artifact, count(*) AS n_rows, CAST(7 AS BIGINT) AS n_columns, count(DISTINCT ticker) AS n_tickers FROM bars_w UNION ALL SELECT 'factors_price_volume', count(*), 5, count(DISTINCT ticker) FROM pv_w UNION ALL SELECT 'factors_valuation_snapshot', count(*), 7, count(DISTINCT ticker) FROM val UNION ALL SELECT 'factors_composite', count(*), 5, count(DISTINCT ticker) FROM comp",
 }
+FINAL |= {
+    "manifest_append": FINAL["manifest_upsert"],
+    "parquet_round_trip": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders",
+    "landed_json": "SELECT s_suppkey, s_name, s_acctbal, s_nationkey FROM supplier",
+    "numeric_suffixes": """SELECT DISTINCT CASE l_linenumber % 5 WHEN 0 THEN q || 'd' WHEN 1 THEN q || 'f' WHEN 2 THEN '0x' || q || 'p3' WHEN 3 THEN q || '.5e1' ELSE q END AS raw,
+      CASE l_linenumber % 5 WHEN 3 THEN CAST(q AS DOUBLE) * 10 + 5 WHEN 4 THEN CAST(q AS DOUBLE) END AS value
+      FROM (SELECT l_linenumber, CAST(CAST(round(l_quantity) AS INTEGER) AS VARCHAR) AS q FROM lineitem)""",
+    "close_only_factors": f"""SELECT v.date, v.ticker, {r("p.momentum_60d")} AS momentum_60d, v.return_volatility AS low_volatility_20d, {r("p.volume_ratio_5d_60d")} AS volume_ratio_5d_60d, panel
+      FROM ({FINAL["return_volatility"]}) v JOIN pv_w p ON v.date = p.date AND v.ticker = p.ticker CROSS JOIN (SELECT unnest(['close only', 'all null']) AS panel)""",
+}
 PARTS["here_mom"] = "SELECT date, ticker, momentum FROM mom WHERE here"
 PARTS["off_mom"] = "SELECT CAST(date + 1 AS DATE) AS date, ticker, momentum FROM mom WHERE here"
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,9 +106,13 @@ def format_bars(c: Case) -> DataFrame:
 
 
 def failed_tickers(c: Case) -> DataFrame:
-    asked = c.read("supplier").select(F.col("s_suppkey").cast("string").alias("ticker"))
-    came = c.read("lineitem").where("l_quantity >= 50 and l_discount < 0.05").select(F.col("l_suppkey").cast("string").alias("ticker"))
-    return T.failed_tickers(asked, came)
+    """Customers' keys as what was asked for, lines' supplier keys as what came."""
+    return T.failed_tickers(*_asked_and_came(c))
+
+
+def _asked_and_came(c: Case) -> tuple[DataFrame, DataFrame]:
+    asked = c.read("customer").select(F.col("c_custkey").cast("string").alias("ticker"))
+    return asked, c.read("lineitem").select(F.col("l_shipdate").cast("date").alias("date"), F.col("l_suppkey").cast("string").alias("ticker"))
 
 
 def select_tickers(c: Case) -> DataFrame:
@@ -127,6 +134,32 @@ def manifest_upsert(c: Case) -> DataFrame:
     return T.manifest_upsert(old, new).drop("source_inputs")
 
 
+def _scratch(c: Case, name: str) -> str:
+    """A fresh path in the folder that all executors share."""
+    shared = c.spark.conf.get("spark.checkpoint.dir", None) or c.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="alphaloom-")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
+def manifest_append(c: Case) -> DataFrame:
+    """Two rounds into one stored manifest."""
+    named, path = _named(c), _scratch(c, "manifest")
+    T.append_manifest(c.spark, path, T.manifest({k: named[k] for k in ("nation", "ohlcv")}, "0.9", created_at="2023-01-01"))
+    return T.append_manifest(c.spark, path, T.manifest({k: named[k] for k in ("ohlcv", "valuation")}, "1.0", created_at="2024-01-01")).drop("source_inputs")
+
+
+def parquet_round_trip(c: Case) -> DataFrame:
+    return T.load(c.spark, T.save(c.read("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), _scratch(c, "orders")))
+
+
+def landed_json(c: Case) -> DataFrame:
+    """Suppliers landed as one JSON array per nation, and read back."""
+    path = _scratch(c, "landed")
+    rows = c.read("supplier").select("s_nationkey", F.struct("s_suppkey", "s_name", "s_acctbal").alias("r"))
+    arrays = rows.groupBy("s_nationkey").agg(F.to_json(F.collect_list("r")).alias("value"))
+    arrays.repartition("s_nationkey").write.partitionBy("s_nationkey").text(path)
+    return T.read_landed_json(c.spark, path, "s_suppkey long, s_name string, s_acctbal double").select("s_suppkey", "s_name", "s_acctbal", F.col("s_nationkey").cast("int").alias("s_nationkey"))
+
+
 def clean_ticker(c: Case) -> DataFrame:
     return demo.raw_universe(c.spark, c.dir).select(F.col("StockCode").alias("raw"), S.clean_ticker(F.col("StockCode")).alias("ticker"))
 
@@ -140,6 +173,13 @@ def numeric_coerce(c: Case) -> DataFrame:
     return raw.select(F.col("Open").alias("raw"), S.numeric(F.col("Open")).alias("value")).distinct()
 
 
+def numeric_suffixes(c: Case) -> DataFrame:
+    """Texts that a cast alone would take for numbers."""
+    size, line = F.round("l_quantity").cast("int").cast("string"), F.col("l_linenumber") % 5
+    raw = F.when(line == 0, F.concat(size, F.lit("d"))).when(line == 1, F.concat(size, F.lit("f"))).when(line == 2, F.concat(F.lit("0x"), size, F.lit("p3"))).when(line == 3, F.concat(size, F.lit(".5e1"))).otherwise(size)
+    return c.read("lineitem").select(raw.alias("raw")).distinct().withColumn("value", S.numeric(F.col("raw")))
+
+
 def date_coerce(c: Case) -> DataFrame:
     return demo.raw_bars(c.spark, c.dir).select(F.col("Date").alias("raw"), S.to_date_lenient(F.col("Date")).alias("date")).distinct()
 
@@ -161,12 +201,10 @@ def dense_grid(c: Case) -> DataFrame:
     return _r(P.dense_grid(c.w()), "open", "high", "low", "close", "volume")
 
 
-TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-
-
 def field_matrix(c: Case) -> DataFrame:
-    brands = [f"Brand#{a}{b}" for a in range(1, 4) for b in range(1, 4)]
-    return _r(P.field_matrix(c.w().where(F.col("ticker").isin(brands)), "close", brands), *brands)
+    """Every ticker is a column, so their number is bounded by what a schema holds."""
+    brands = sorted(r[0] for r in c.w().select("ticker").distinct().collect())
+    return _r(P.field_matrix(c.w(), "close", brands), *brands)
 
 
 def unpivot_factor(c: Case) -> DataFrame:
@@ -176,6 +214,13 @@ def unpivot_factor(c: Case) -> DataFrame:
 # --- D: factors
 
 
+def close_only_factors(c: Case) -> DataFrame:
+    """The factor frame of a panel without highs and lows, and of one where they are all null."""
+    bare = X.price_volume_factors(c.w().drop("high", "low")).withColumn("panel", F.lit("close only"))
+    none = F.lit(None).cast("double")
+    return _r(bare.unionByName(X.price_volume_factors(c.w().withColumns({"high": none, "low": none})).withColumn("panel", F.lit("all null"))), *FACTORS)
+
+
 def low_volatility_method(c: Case) -> DataFrame:
     bare = c.w().drop("high", "low")
     return X.low_volatility_method(c.w()).withColumn("panel", F.lit("full")).unionByName(X.low_volatility_method(bare).withColumn("panel", F.lit("close only")))
@@ -262,10 +307,8 @@ def realism_verdicts(c: Case) -> DataFrame:
 
 
 def data_quality(c: Case) -> DataFrame:
-    universe = c.read("part").select(F.col("p_brand").alias("ticker"))
-    asked = universe.distinct()
-    bars = c.d().where(F.col("ticker") < "Brand#5")
-    return Q.data_quality(universe, demo.valuation(c.spark, c.dir), bars, asked, T.failed_tickers(asked, bars))
+    universe, bars = _asked_and_came(c)
+    return Q.data_quality(universe, demo.valuation(c.spark, c.dir), bars, universe, T.failed_tickers(universe, bars))
 
 
 def _momentum_value(c: Case) -> DataFrame:
@@ -304,6 +347,11 @@ QUERIES: dict[str, Callable[[Case], DataFrame]] = {
     "select_tickers": select_tickers,
     "manifest": manifest,
     "manifest_upsert": manifest_upsert,
+    "manifest_append": manifest_append,
+    "parquet_round_trip": parquet_round_trip,
+    "landed_json": landed_json,
+    "numeric_suffixes": numeric_suffixes,
+    "close_only_factors": close_only_factors,
     "clean_ticker": clean_ticker,
     "suffix_ticker": suffix_ticker,
     "numeric_coerce": numeric_coerce,

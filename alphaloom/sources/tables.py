@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -122,8 +123,9 @@ def select_tickers(universe: DataFrame, limit: int | str | None = None, order_co
     return (ordered if limit in (None, "all") else ordered.limit(int(limit))).select("ticker")
 
 
-def manifest(frames: dict[str, DataFrame], schema_version: str, sources: dict[str, list[str]] | None = None, created_at: str = "", notes: str = "") -> DataFrame:
-    """One row per named frame: rows, columns and lineage; counts run as one query."""
+def manifest(frames: dict[str, DataFrame], schema_version: str, sources: dict[str, list[str]] | None = None, created_at: str | None = None, notes: str = "") -> DataFrame:
+    """One row per named frame: rows, columns and lineage, stamped with the time if none is given; counts run as one query."""
+    created_at = datetime.now(UTC).isoformat() if created_at is None else created_at
     parts = None
     for name, df in frames.items():
         row = df.agg(F.count(F.lit(1)).alias("row_count")).select(
@@ -139,3 +141,24 @@ def manifest_upsert(current: DataFrame, new: DataFrame) -> DataFrame:
     both = current.withColumn("_v", F.lit(0)).unionByName(new.withColumn("_v", F.lit(1)))
     last = Window.partitionBy("artifact_name").orderBy(F.desc("_v"), F.desc("created_at"))
     return both.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r", "_v")
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions of a stored manifest; none if there is no such folder."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in store.listStatus(hadoop)] if store.exists(hadoop) else []
+    return sorted(int(n[8:]) for n in names if n.startswith("version=") and store.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of the latest complete version; no entries if nothing was written yet."""
+    found = _versions(spark, path)
+    return spark.read.schema(MANIFEST).json(f"{path}/version={found[-1]}") if found else spark.createDataFrame([], MANIFEST)
+
+
+def append_manifest(spark: SparkSession, path: str, entries: DataFrame) -> DataFrame:
+    """Merge ``entries`` into the stored manifest, by artifact_name, as a new version of it; readers never see half of one."""
+    found = _versions(spark, path)
+    manifest_upsert(read_manifest(spark, path), entries).coalesce(1).write.json(f"{path}/version={found[-1] + 1 if found else 1}")
+    return read_manifest(spark, path)

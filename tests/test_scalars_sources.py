@@ -27,6 +27,12 @@ def test_numeric_and_date(spark):
     assert [r[0] for r in dates.select(S.to_date_lenient(F.col("c"))).collect()] == [dt.date(1994, 9, 5), dt.date(1962, 2, 9), None, None]
 
 
+def test_numbers_that_a_cast_would_take(spark):
+    texts = ["12d", "12f", "0x1p3", "1e3", "-.5", "+7.", "12 3", "1_000", ".", "e5", "inf"]
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    assert [r[0] for r in df.select(S.numeric(F.col("c"))).collect()] == [None, None, None, 1000.0, -0.5, 7.0, None, None, None, None, float("inf")]
+
+
 def test_universe_in_english_and_chinese(spark):
     raw = spark.createDataFrame([("2330.TW", "Chip", "Semi", "", "1994-09-05")], "Code string, Name string, Industry string, Market string, ListedDate string")
     assert tuple(one(T.normalize_universe(raw))) == ("2330", "Chip", "Semi", "TWSE", dt.date(1994, 9, 5))
@@ -80,3 +86,13 @@ def test_manifest_and_upsert(spark):
     rows = {r["artifact_name"]: r for r in T.manifest_upsert(old, new).collect()}
     assert (rows["t"]["row_count"], rows["t"]["column_count"], rows["t"]["schema_version"], rows["t"]["source_inputs"]) == (2, 2, "2", ["src"])
     assert rows["u"]["schema_version"] == "1"
+
+
+def test_stored_manifest(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "x int, y string")
+    path = str(tmp_path / "manifest")
+    assert T.read_manifest(spark, path).count() == 0
+    T.append_manifest(spark, path, T.manifest({"t": df, "u": df}, "1"))
+    rows = {r["artifact_name"]: r for r in T.append_manifest(spark, path, T.manifest({"t": df.limit(1)}, "2", {"t": ["src"]})).collect()}
+    assert (rows["t"]["row_count"], rows["t"]["schema_version"], rows["t"]["source_inputs"], rows["u"]["schema_version"]) == (1, "2", ["src"], "1")
+    assert rows["u"]["created_at"][:2] == "20" and {r["artifact_name"] for r in T.read_manifest(spark, path).collect()} == {"t", "u"}
