@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alphaloom.llm.common import keyed, prepare, row_key, table, text_bytes, written
-from alphaloom.llm.words import U, run_hashes, split_words
+from alphaloom.llm.words import U, split_words
 
 WINDOW = 13
 #: A document is contaminated if it has a hit and hits make up one word in this many.
