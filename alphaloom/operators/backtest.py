@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alphaloom.functions.scalars import ratio
 from alphaloom.operators.factors import HISTORICAL
-from alphaloom.operators.panel import date_index
+from alphaloom.operators.panel import date_index, with_date_idx
 from alphaloom.operators.portfolio import FREQUENCIES, calendars, equal_weights, scenarios, topn_positions
 
 ENGINE = "fallback_weight_engine"
@@ -67,7 +67,7 @@ def aligned_weights(weights: DataFrame, bars: DataFrame, hold: str = "none") ->
 
 def asset_returns(bars: DataFrame, fill: str = "pad") -> DataFrame:
     """Return of each bar since the ticker's last close (fill="pad") or the close one position before (fill="none"); 0 if there is none."""
-    df = bars.where("close is not null").join(date_index(bars), "date")
+    df = with_date_idx(bars).where("close is not null")
     time = Window.partitionBy("ticker").orderBy("date_idx")
     prev = F.lag("close").over(time) if fill == "pad" else F.max("close").over(time.rangeBetween(-1, -1))
     return df.select("date", "date_idx", "ticker", F.coalesce(ratio(F.col("close"), prev) - 1, F.lit(0.0)).alias("ret"))
@@ -79,20 +79,31 @@ def gross_returns(aligned: DataFrame, returns: DataFrame) -> DataFrame:
     return before.join(returns.select("date_idx", "ticker", "ret"), ["date_idx", "ticker"]).groupBy("scenario", "date_idx").agg(F.sum(F.col("weight") * F.col("ret")).alias("gross"))
 
 
+def _steps(aligned: DataFrame) -> DataFrame:
+    """scenario, date_idx, ticker, weight, before: each weight counts at its date and, as the one before, at the next; from one pass over the weights."""
+    none = F.lit(0.0)
+    both = F.array(F.struct("date_idx", "weight", none.alias("before")), F.struct((F.col("date_idx") + 1).alias("date_idx"), none.alias("weight"), F.col("weight").alias("before")))
+    return aligned.select("scenario", "ticker", F.inline(both)).groupBy("scenario", "date_idx", "ticker").agg(F.sum("weight").alias("weight"), F.sum("before").alias("before"))
+
+
+def _traded() -> list[Column]:
+    """Bought and sold weight; what comes and goes at once is not traded."""
+    change = F.col("weight") - F.col("before")
+    return [F.sum(F.greatest(change, F.lit(0.0))).alias("buy"), F.sum(F.greatest(-change, F.lit(0.0))).alias("sell")]
+
+
 def turnover_daily(aligned: DataFrame) -> DataFrame:
-    """Bought and sold weight per date: a weight enters at its date and leaves at the next, and what both cancel is not traded."""
-    leaves = aligned.select("scenario", (F.col("date_idx") + 1).alias("date_idx"), "ticker", (-F.col("weight")).alias("weight"))
-    change = aligned.select("scenario", "date_idx", "ticker", "weight").unionByName(leaves).groupBy("scenario", "date_idx", "ticker").agg(F.sum("weight").alias("d"))
-    return change.groupBy("scenario", "date_idx").agg(F.sum(F.greatest("d", F.lit(0.0))).alias("buy"), F.sum(F.greatest(-F.col("d"), F.lit(0.0))).alias("sell"))
+    """Bought and sold weight per date: scenario, date_idx, buy, sell."""
+    return _steps(aligned).groupBy("scenario", "date_idx").agg(*_traded())
 
 
 def daily_sums(bars: DataFrame, weights: DataFrame, grid: DataFrame, hold: str = "none", fill: str = "pad") -> DataFrame:
     """Per scenario and date: gross, buy, sell, exposure; a row for every date."""
-    aligned = aligned_weights(weights, bars, hold)
-    exposure = aligned.groupBy("scenario", "date_idx").agg(F.sum("weight").alias("exposure"))
-    out = date_index(bars).join(F.broadcast(grid.select("scenario", "top_n")))
-    for part in (gross_returns(aligned, asset_returns(bars, fill)), turnover_daily(aligned), exposure):
-        out = out.join(part, ["scenario", "date_idx"], "left")
+    returns = asset_returns(bars, fill).select("date_idx", "ticker", "ret")
+    moved = _steps(aligned_weights(weights, bars, hold)).join(returns, ["date_idx", "ticker"], "left")
+    sums = moved.groupBy("scenario", "date_idx").agg(F.sum(F.col("before") * F.col("ret")).alias("gross"), *_traded(), F.sum("weight").alias("exposure"))
+    out = date_index(bars).join(F.broadcast(grid.select("scenario", "top_n")))  # a row per scenario
+    out = out.join(sums, ["scenario", "date_idx"], "left")
     return out.fillna(0.0, ["gross", "buy", "sell", "exposure"])
 
 
@@ -135,7 +146,7 @@ def backtest(bars: DataFrame, weights: DataFrame, grid: DataFrame, costs: DataFr
 
 
 def _run(bars: DataFrame, composite: DataFrame, grid: DataFrame, models: list[CostModel], factor: str, lag: int) -> DataFrame:
-    weights = equal_weights(topn_positions(composite, grid, calendars(bars, lag), factor), lag)
+    weights = equal_weights(topn_positions(composite, grid, calendars(bars, lag), factor, near_only=True), lag)
     metrics = backtest(bars, weights, grid, cost_scenarios_df(bars.sparkSession, models))[1]
     return metrics.join(F.broadcast(grid.drop("top_n")), "scenario").withColumn("factor_name", F.lit(factor))
 

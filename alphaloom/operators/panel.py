@@ -2,7 +2,8 @@
 
 Time is an integer position among the panel's dates, so that shifts and rolling windows are RANGE
 frames on sparse rows. Only the distinct dates pass through one task (a calendar has some ten
-thousand); bars never do.
+thousand); bars never do. Bars that carry a column date_idx already (``with_date_idx``, written once) keep
+their positions everywhere below.
 """
 
 from __future__ import annotations
@@ -28,11 +29,14 @@ def validate_panel(df: DataFrame, required: list[str]) -> DataFrame:
 
 def date_index(df: DataFrame) -> DataFrame:
     """Distinct dates with their position from 1."""
+    if "date_idx" in df.columns:
+        return df.select("date", "date_idx").where("date is not null").distinct()
     return df.select("date").where("date is not null").distinct().withColumn("date_idx", F.row_number().over(Window.orderBy("date")))
 
 
 def with_date_idx(bars: DataFrame) -> DataFrame:
-    return bars.join(date_index(bars), "date")
+    """``bars`` with date_idx; rows without a date go."""
+    return bars.where("date is not null") if "date_idx" in bars.columns else bars.join(date_index(bars), "date")
 
 
 def dense_grid(bars: DataFrame) -> DataFrame:
@@ -40,7 +44,7 @@ def dense_grid(bars: DataFrame) -> DataFrame:
     dates = date_index(bars).agg(F.array_sort(F.collect_list(F.struct("date_idx", "date"))).alias("d"))
     tickers = bars.select("ticker").where("ticker is not null").distinct()
     cells = tickers.join(F.broadcast(dates)).select("ticker", F.inline("d"))
-    return cells.join(bars, ["date", "ticker"], "left")
+    return cells.join(bars.drop("date_idx"), ["date", "ticker"], "left")
 
 
 def field_matrix(bars: DataFrame, field: str, tickers: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ table, so a sensitivity grid is one plan and not a loop. Ranks are made once per
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alphaloom.functions.scalars import rounded
@@ -26,21 +26,22 @@ def rebalance_calendar(bars: DataFrame, frequency: str = "daily", lag: int = 1)
     """Signal dates and the trading day ``lag`` after each; dates without one are dropped."""
     if frequency not in FREQUENCIES:
         raise ValueError(f"Unknown rebalance frequency: {frequency!r}")
+    return calendars(bars, lag, [frequency])
+
+
+def calendars(bars: DataFrame, lag: int = 1, frequencies: list[str] = FREQUENCIES) -> DataFrame:
+    """The calendars of all frequencies, from one pass over the dates: a date is the first of its week or month if the date before is of another."""
     if lag < 1:
         raise ValueError("execution lag must be one day at least")
-    days = date_index(bars).withColumn("execution_date", F.lead("date", lag).over(Window.orderBy("date_idx")))
-    if frequency != "daily":
-        unit = F.date_trunc("week" if frequency == "weekly" else "month", "date")
-        days = days.withColumn("_first", F.min("date").over(Window.partitionBy(unit))).where("date = _first")
-    return days.where("execution_date is not null").select(F.col("date").alias("signal_date"), "execution_date", F.lit(frequency).alias("rebalance_frequency"), F.lit(lag).alias("execution_lag_days"))
+    order = Window.orderBy("date_idx")
+    before = F.lag("date").over(order)
 
+    def first(unit: str) -> Column:
+        return F.coalesce(F.date_trunc(unit, before) != F.date_trunc(unit, "date"), F.lit(True))
 
-def calendars(bars: DataFrame, lag: int = 1) -> DataFrame:
-    """All three calendars."""
-    out = rebalance_calendar(bars, FREQUENCIES[0], lag)
-    for f in FREQUENCIES[1:]:
-        out = out.unionByName(rebalance_calendar(bars, f, lag))
-    return out
+    signals = {"daily": F.lit(True), "weekly": first("week"), "monthly": first("month")}
+    days = date_index(bars).select(F.col("date").alias("signal_date"), F.lead("date", lag).over(order).alias("execution_date"), F.array_compact(F.array(*(F.when(signals[f], f) for f in frequencies))).alias("_on"))
+    return days.where("execution_date is not null").select("signal_date", "execution_date", F.explode("_on").alias("rebalance_frequency"), F.lit(lag).alias("execution_lag_days"))
 
 
 def ranked_scores(composite: DataFrame, factor: str = HISTORICAL) -> DataFrame:
@@ -72,14 +73,22 @@ def topn_buffered(candidates: DataFrame) -> DataFrame:
     return runs.select("scenario", F.inline(F.expr(step))).select("scenario", "date", F.explode("held").alias("ticker"))
 
 
-def topn_positions(composite: DataFrame, grid: DataFrame, calendar: DataFrame | None = None, factor: str = HISTORICAL) -> DataFrame:
-    """Ranked rows of every scenario with column selected; on the signal dates of the scenario's frequency if a calendar is given."""
-    rows = ranked_scores(composite, factor).join(F.broadcast(grid))
+def topn_positions(composite: DataFrame, grid: DataFrame, calendar: DataFrame | None = None, factor: str = HISTORICAL, near_only: bool = False) -> DataFrame:
+    """Ranked rows of every scenario with column selected; on the signal dates of the scenario's frequency if a calendar is given.
+
+    ``near_only`` leaves out the ranks that no rule can select, before scenarios multiply the rows: all that weights need.
+    """
+    rows = ranked_scores(composite, factor)
+    reach = F.greatest("top_n", F.when(F.col("buffer_enabled"), F.col("drop_rank_buffer")).otherwise(F.lit(0)))
+    near = F.col("rank") <= reach
+    rows = rows.join(F.broadcast(grid), near) if near_only else rows.join(F.broadcast(grid))  # a row per scenario
     if calendar is not None:
         rows = on_schedule(rows, calendar)
-    held = topn_buffered(rows.where("buffer_enabled")).withColumn("_held", F.lit(True))
-    rows = rows.join(held, ["scenario", "date", "ticker"], "left")
-    selected = F.when(F.col("buffer_enabled"), F.coalesce("_held", F.lit(False))).otherwise(F.col("rank") <= F.col("top_n"))
+    selected = F.col("rank") <= F.col("top_n")
+    if not grid.where("buffer_enabled").isEmpty():
+        held = topn_buffered(rows.where("buffer_enabled")).withColumn("_held", F.lit(True))
+        rows = rows.join(held, ["scenario", "date", "ticker"], "left")
+        selected = F.when(F.col("buffer_enabled"), F.coalesce("_held", F.lit(False))).otherwise(selected)
     rule = F.when(F.col("buffer_enabled"), "buffer").otherwise("top_n")
     return rows.select("scenario", "date", "ticker", "factor_score", "rank", selected.alias("selected"), "top_n", rule.alias("selection_rule"), "rebalance_frequency", "buffer_enabled", "drop_rank_buffer")
 

@@ -30,29 +30,52 @@ def _r(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: S.rounded(F.col(c), 6) for c in columns})
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all executors share; a temporary one only where none is named and Spark is local."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="alphaloom-")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
 class Case:
-    """Inputs of one query, built when asked for. What a query reads several times is made once and kept by Spark."""
+    """Inputs of one query, built when asked for.
+
+    What a query reads several times is written once to the shared folder and read back: its plan ends there, Spark
+    knows its size, and a lost executor costs no more than the step at hand. ``bars`` swaps in another panel for both.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, bars: Callable[[SparkSession, str], DataFrame] | None = None):
         self.spark, self.dir = spark, sf_dir
+        self._weekly, self._daily = bars or demo.bars_w, bars or demo.bars_d
         self._made: dict[str, DataFrame] = {}
 
     def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._made:
-            self._made[name] = make().persist()
+            df, path = make(), _scratch(self.spark, name)
+            df.write.parquet(path)
+            self._made[name] = self.spark.read.schema(df.schema).parquet(path)
         return self._made[name]
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def w(self) -> DataFrame:
-        return self._once("w", lambda: demo.bars_w(self.spark, self.dir))
+        """Weekly bars."""
+        return self.wi().drop("date_idx")
+
+    def wi(self) -> DataFrame:
+        """Weekly bars with date_idx."""
+        return self._once("w", lambda: P.with_date_idx(self._weekly(self.spark, self.dir)))
 
     def d(self) -> DataFrame:
-        return self._once("d", lambda: demo.bars_d(self.spark, self.dir))
+        """Daily bars with date_idx."""
+        return self._once("d", lambda: P.with_date_idx(self._daily(self.spark, self.dir)))
 
     def pv(self) -> DataFrame:
-        return self._once("pv", lambda: X.price_volume_factors(self.w()))
+        return self._once("pv", lambda: X.price_volume_factors(self.wi()))
 
     def val(self) -> DataFrame:
         return X.valuation_factors(demo.valuation(self.spark, self.dir), demo.AS_OF)
@@ -64,7 +87,7 @@ class Case:
         return self._once("factors", lambda: A.historical_factors(self.pv(), X.historical_composite(self.pv())))
 
     def fwd(self) -> DataFrame:
-        return self._once("fwd", lambda: A.forward_returns(self.w(), HORIZONS))
+        return self._once("fwd", lambda: A.forward_returns(self.wi(), HORIZONS))
 
     def quantiles(self) -> DataFrame:
         return self._once("quantiles", lambda: A.factor_quantiles(self.factors()))
@@ -89,7 +112,7 @@ class Case:
         return G.topn_positions(self.scores(), self.grid(rows), G.calendars(self.d()) if scheduled else None)
 
     def weights(self) -> DataFrame:
-        return self._once("weights", lambda: G.equal_weights(self.positions()))
+        return self._once("weights", lambda: G.equal_weights(G.topn_positions(self.scores(), self.grid(), near_only=True)))
 
     def aligned(self) -> DataFrame:
         return B.aligned_weights(self.weights(), self.d())
@@ -134,26 +157,20 @@ def manifest_upsert(c: Case) -> DataFrame:
     return T.manifest_upsert(old, new).drop("source_inputs")
 
 
-def _scratch(c: Case, name: str) -> str:
-    """A fresh path in the folder that all executors share."""
-    shared = c.spark.conf.get("spark.checkpoint.dir", None) or c.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="alphaloom-")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
-
-
 def manifest_append(c: Case) -> DataFrame:
     """Two rounds into one stored manifest."""
-    named, path = _named(c), _scratch(c, "manifest")
+    named, path = _named(c), _scratch(c.spark, "manifest")
     T.append_manifest(c.spark, path, T.manifest({k: named[k] for k in ("nation", "ohlcv")}, "0.9", created_at="2023-01-01"))
     return T.append_manifest(c.spark, path, T.manifest({k: named[k] for k in ("ohlcv", "valuation")}, "1.0", created_at="2024-01-01")).drop("source_inputs")
 
 
 def parquet_round_trip(c: Case) -> DataFrame:
-    return T.load(c.spark, T.save(c.read("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), _scratch(c, "orders")))
+    return T.load(c.spark, T.save(c.read("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), _scratch(c.spark, "orders")))
 
 
 def landed_json(c: Case) -> DataFrame:
     """Suppliers landed as one JSON array per nation, and read back."""
-    path = _scratch(c, "landed")
+    path = _scratch(c.spark, "landed")
     rows = c.read("supplier").select("s_nationkey", F.struct("s_suppkey", "s_name", "s_acctbal").alias("r"))
     arrays = rows.groupBy("s_nationkey").agg(F.to_json(F.collect_list("r")).alias("value"))
     arrays.repartition("s_nationkey").write.partitionBy("s_nationkey").text(path)
@@ -312,7 +329,7 @@ def data_quality(c: Case) -> DataFrame:
 
 
 def _momentum_value(c: Case) -> DataFrame:
-    return X.momentum(c.w()).withColumnRenamed("momentum", "value")
+    return X.momentum(c.wi()).withColumnRenamed("momentum", "value")
 
 
 def factor_alignment(c: Case) -> DataFrame:
@@ -363,11 +380,11 @@ QUERIES: dict[str, Callable[[Case], DataFrame]] = {
     "dense_grid": dense_grid,
     "field_matrix": field_matrix,
     "unpivot_factor": unpivot_factor,
-    "momentum": lambda c: _r(X.momentum(c.w()), "momentum"),
-    "return_volatility": lambda c: _r(X.return_volatility(c.w()), "return_volatility"),
-    "atr_over_close": lambda c: _r(X.atr_over_close(c.w()), "atr_over_close"),
+    "momentum": lambda c: _r(X.momentum(c.wi()), "momentum"),
+    "return_volatility": lambda c: _r(X.return_volatility(c.wi()), "return_volatility"),
+    "atr_over_close": lambda c: _r(X.atr_over_close(c.wi()), "atr_over_close"),
     "low_volatility_method": low_volatility_method,
-    "volume_ratio": lambda c: _r(X.volume_ratio(c.w()), "volume_ratio"),
+    "volume_ratio": lambda c: _r(X.volume_ratio(c.wi()), "volume_ratio"),
     "price_volume_factors": lambda c: _r(c.pv(), *FACTORS),
     "rank_factor_high": lambda c: _ranked(c, S.HIGHER),
     "rank_factor_low": lambda c: _ranked(c, S.LOWER),
