@@ -44,6 +44,14 @@ def bars_d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _weekday(_trades(spark, sf_dir, "p_brand"))
 
 
+def bars_s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly bars by supplier: a panel whose tickers grow with the tables."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    price = F.round(F.col("l_extendedprice") * 100).cast("long")
+    trades = lines.select(F.col("l_shipdate").cast("date").alias("day"), F.col("l_suppkey").cast("string").alias("ticker"), F.round("l_quantity").cast("long").alias("q"), price.alias("c"))
+    return _bars(trades, F.date_trunc("month", "day").cast("date"))
+
+
 def valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snapshot without dates, by brand; some price ratios are not positive."""
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")

@@ -15,12 +15,12 @@ def r(x: str, digits: int = 6) -> str:
     return f"floor(({x}) * 1e{digits} + 0.5) / 1e{digits}"
 
 
-def _bars(ticker: str, date: str, where: str = "true") -> str:
+def _bars(ticker: str, date: str, where: str = "true", parts: str = "JOIN part ON l_partkey = p_partkey") -> str:
     return f"""
       SELECT date, ticker, {r("(high + low) / 2", 4)} AS open, high, low, {r(f"c / q / 100 + {LEVEL}", 4)} AS close, CAST(q AS DOUBLE) AS volume
       FROM (SELECT {date} AS date, ticker, max(c / q / 100 + {LEVEL}) AS high, min(c / q / 100 + {LEVEL}) AS low, sum(c)::BIGINT AS c, sum(q)::BIGINT AS q
             FROM (SELECT CAST(l_shipdate AS DATE) AS day, {ticker} AS ticker, CAST(round(l_quantity) AS BIGINT) AS q, CAST(round(l_extendedprice * 100) AS BIGINT) AS c
-                  FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE {where} GROUP BY 1, 2)"""
+                  FROM lineitem {parts}) WHERE {where} GROUP BY 1, 2)"""
 
 
 def _grid(bars: str) -> str:
@@ -328,6 +328,13 @@ def statements() -> dict[str, str]:
     return out
 
 
+def statements_by_supplier(names: list[str]) -> dict[str, str]:
+    """The same statements over monthly bars by supplier."""
+    bars = _bars("CAST(l_suppkey AS VARCHAR)", "CAST(date_trunc('month', day) AS DATE)", parts="")
+    every = statements()
+    return {f"{n}_by_supplier": every[n].replace(PARTS["bars_w"], bars).replace(PARTS["bars_d"], bars) for n in names}
+
+
 def _own(sql: str) -> tuple[str, str]:
     """Split "WITH a AS (...), b AS (...) SELECT ..." into its subqueries and its body."""
     text, depth = sql.strip()[5:], 0

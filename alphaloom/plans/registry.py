@@ -99,7 +99,10 @@ class Case:
         return A.rank_ic(self.factors(), self.fwd())
 
     def board(self) -> DataFrame:
-        return R.factor_scoreboard(A.ic_summary(self.ic()), self.qr(), A.bucket_turnover(self.quantiles()), A.monotonicity(self.qr()), 25)
+        # the scoreboard reads each table for its factors' names and for their values
+        ic = self._once("ics", lambda: A.ic_summary(self.ic()))
+        turnover = self._once("turnover", lambda: A.bucket_turnover(self.quantiles()))
+        return R.factor_scoreboard(ic, self.qr(), turnover, A.monotonicity(self.qr()), 25)
 
     def scores(self) -> DataFrame:
         """Composite of the daily panel."""
@@ -446,12 +449,16 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest_results(Case(spark, sf_dir))
 
 
+#: Queries that also run on the panel of suppliers, whose number of tickers grows with the tables.
+BY_SUPPLIER = ["dense_grid", "return_volatility", "price_volume_factors", "historical_composite", "forward_returns", "rank_ic", "ic_summary", "factor_quantiles", "quantile_returns", "bucket_turnover", "monotonicity", "topn_positions", "topn_buffered", "equal_weights", "asset_returns"]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def bind(make: Callable[[Case], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, sf_dir: make(Case(spark, sf_dir))
+    def bind(make: Callable[[Case], DataFrame], bars=None) -> Callable[[SparkSession, str], DataFrame]:
+        return lambda spark, sf_dir: make(Case(spark, sf_dir, bars))
 
-    return {name: bind(make) for name, make in QUERIES.items()}
+    return {name: bind(make) for name, make in QUERIES.items()} | {f"{name}_by_supplier": bind(QUERIES[name], demo.bars_s) for name in BY_SUPPLIER}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.statements()
+    return oracle.statements() | oracle.statements_by_supplier(BY_SUPPLIER)
