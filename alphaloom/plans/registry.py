@@ -43,8 +43,9 @@ def _scratch(spark: SparkSession, name: str) -> str:
 class Case:
     """Inputs of one query, built when asked for.
 
-    What a query reads several times is written once to the shared folder and read back: its plan ends there, Spark
-    knows its size, and a lost executor costs no more than the step at hand. ``bars`` swaps in another panel for both.
+    What a query reads several times (``keep``) is written once to the shared folder and read back: its plan ends
+    there, Spark knows its size, and a lost executor costs no more than the step at hand. What it reads once stays
+    part of its plan. ``bars`` swaps in another panel for both.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, bars: Callable[[SparkSession, str], DataFrame] | None = None):
@@ -52,8 +53,10 @@ class Case:
         self._weekly, self._daily = bars or demo.bars_w, bars or demo.bars_d
         self._made: dict[str, DataFrame] = {}
 
-    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    def _once(self, name: str, make: Callable[[], DataFrame], keep: bool = True) -> DataFrame:
         if name not in self._made:
+            if not keep:
+                return make()
             df, path = make(), _scratch(self.spark, name)
             df.write.parquet(path)
             self._made[name] = self.spark.read.schema(df.schema).parquet(path)
@@ -74,48 +77,50 @@ class Case:
         """Daily bars with date_idx."""
         return self._once("d", lambda: P.with_date_idx(self._daily(self.spark, self.dir)))
 
-    def pv(self) -> DataFrame:
-        return self._once("pv", lambda: X.price_volume_factors(self.wi()))
+    def pv(self, keep: bool = False) -> DataFrame:
+        return self._once("pv", lambda: X.price_volume_factors(self.wi()), keep)
 
     def val(self) -> DataFrame:
         return X.valuation_factors(demo.valuation(self.spark, self.dir), demo.AS_OF)
 
     def composite(self) -> DataFrame:
-        return X.composite_frame(self.pv(), self.val())
+        return X.composite_frame(self.pv(True), self.val())
 
-    def factors(self) -> DataFrame:
-        return self._once("factors", lambda: A.historical_factors(self.pv(), X.historical_composite(self.pv())))
+    def factors(self, keep: bool = False) -> DataFrame:
+        return self._once("factors", lambda: A.historical_factors(self.pv(True), X.historical_composite(self.pv(True))), keep)
 
-    def fwd(self) -> DataFrame:
-        return self._once("fwd", lambda: A.forward_returns(self.wi(), HORIZONS))
+    def fwd(self, keep: bool = False) -> DataFrame:
+        return self._once("fwd", lambda: A.forward_returns(self.wi(), HORIZONS), keep)
 
-    def quantiles(self) -> DataFrame:
-        return self._once("quantiles", lambda: A.factor_quantiles(self.factors()))
+    def quantiles(self, keep: bool = False) -> DataFrame:
+        return self._once("quantiles", lambda: A.factor_quantiles(self.factors()), keep)
 
-    def qr(self) -> DataFrame:
-        return self._once("qr", lambda: A.quantile_returns(self.quantiles(), self.fwd()))
+    def qr(self, keep: bool = False) -> DataFrame:
+        return self._once("qr", lambda: A.quantile_returns(self.quantiles(), self.fwd()), keep)
 
     def ic(self) -> DataFrame:
         return A.rank_ic(self.factors(), self.fwd())
 
     def board(self) -> DataFrame:
+        for shared in (self.factors, self.fwd, self.quantiles, self.qr):
+            shared(True)
         # the scoreboard reads each table for its factors' names and for their values
         ic = self._once("ics", lambda: A.ic_summary(self.ic()))
         turnover = self._once("turnover", lambda: A.bucket_turnover(self.quantiles()))
         return R.factor_scoreboard(ic, self.qr(), turnover, A.monotonicity(self.qr()), 25)
 
-    def scores(self) -> DataFrame:
+    def scores(self, keep: bool = True) -> DataFrame:
         """Composite of the daily panel."""
-        return self._once("scores", lambda: X.historical_composite(X.price_volume_factors(self.d())))
+        return self._once("scores", lambda: X.historical_composite(X.price_volume_factors(self.d())), keep)
 
     def grid(self, rows=ONE) -> DataFrame:
         return G.scenarios(self.spark, rows)
 
     def positions(self, rows=ONE, scheduled: bool = False) -> DataFrame:
-        return G.topn_positions(self.scores(), self.grid(rows), G.calendars(self.d()) if scheduled else None)
+        return G.topn_positions(self.scores(any(r[3] for r in rows)), self.grid(rows), G.calendars(self.d()) if scheduled else None)
 
-    def weights(self) -> DataFrame:
-        return self._once("weights", lambda: G.equal_weights(G.topn_positions(self.scores(), self.grid(), near_only=True)))
+    def weights(self, keep: bool = False) -> DataFrame:
+        return self._once("weights", lambda: G.equal_weights(G.topn_positions(self.scores(False), self.grid(), near_only=True)), keep)
 
     def aligned(self) -> DataFrame:
         return B.aligned_weights(self.weights(), self.d())
@@ -357,7 +362,7 @@ def snapshot_limitation(c: Case) -> DataFrame:
 
 
 def _shapes(c: Case) -> DataFrame:
-    pv, val = c.pv(), c.val()
+    pv, val = c.pv(True), c.val()
     return Q.artifact_shapes({"ohlcv": c.w(), "factors_price_volume": pv, "factors_valuation_snapshot": val, "factors_composite": X.composite_frame(pv, val)})
 
 
@@ -393,7 +398,7 @@ QUERIES: dict[str, Callable[[Case], DataFrame]] = {
     "rank_factor_low": lambda c: _ranked(c, S.LOWER),
     "valuation_factors": lambda c: _r(c.val(), "pb_inverse", "pe_inverse", "dividend_yield"),
     "historical_composite": lambda c: _r(X.historical_composite(c.pv()), "composite_score"),
-    "mixed_composite": lambda c: _r(X.mixed_composite(c.pv(), c.val()), "composite_score"),
+    "mixed_composite": lambda c: _r(X.mixed_composite(c.pv(True), c.val()), "composite_score"),
     "composite_frame": lambda c: _r(c.composite(), "composite_score"),
     "historical_factors": lambda c: _r(c.factors(), "value"),
     "forward_returns": lambda c: _r(c.fwd(), "forward_return"),
@@ -402,7 +407,7 @@ QUERIES: dict[str, Callable[[Case], DataFrame]] = {
     "factor_quantiles": lambda c: _r(c.quantiles(), "factor_value"),
     "quantile_returns": lambda c: _r(c.qr(), "mean_return"),
     "quantile_pivot": quantile_pivot,
-    "bucket_turnover": lambda c: _r(A.bucket_turnover(c.quantiles()), "average_best_bucket_turnover"),
+    "bucket_turnover": lambda c: _r(A.bucket_turnover(c.quantiles(True)), "average_best_bucket_turnover"),
     "monotonicity": lambda c: _r(A.monotonicity(c.qr()), "adjacent_agreement_ratio", "top_bottom_spread"),
     "best_ic": lambda c: _r(R.best_ic(A.ic_summary(c.ic())), "ic_mean", "ic_std", "ir"),
     "maxmin_spread": lambda c: _r(R.maxmin_spread(c.qr()), "top_bottom_spread"),
@@ -429,7 +434,7 @@ QUERIES: dict[str, Callable[[Case], DataFrame]] = {
     "cost_scenarios": cost_scenarios,
     "topn_sensitivity": topn_sensitivity,
     "rebalance_sensitivity": rebalance_sensitivity,
-    "turnover_diagnostics": lambda c: _r(B.turnover_diagnostics(c.weights(), B.CostModel()), "value"),
+    "turnover_diagnostics": lambda c: _r(B.turnover_diagnostics(c.weights(True), B.CostModel()), "value"),
     "realism_verdicts": realism_verdicts,
     "missing_ratio_columns": lambda c: Q.missing_ratio_columns(c.pv()),
     "missing_ratio_overall": lambda c: _r(Q.missing_ratio_overall(c.pv()), "missing_ratio"),
