@@ -6,7 +6,10 @@ those of the participant's own turns. Speakers who only set the scene (SCENE) st
 view and get none of their own.
 
 Output is one row per view and turn, so a conversation of any length is never gathered: ``views``
-are joined to turns, and turn order and character offsets come from windows over one view. A speaker
+are joined to turns. Positions are counted within ranges of the turns' order and character offsets within
+chunks of CHUNK positions, and prefix sums over ranges and chunks are added, so a conversation that holds a
+third of all rows is spread over many tasks (only turns equal in turn, role and the text's first 32 characters
+stay in one range). A speaker
 is a participant once, however many turns they have; only the number of participants multiplies rows,
 which is what the format asks for. ``dialogues`` joins the rows of each view into one text with spans.
 
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from alphaloom.llm.common import prepare, table, written
 
 SCENE = ["system"]
+#: Turns of a conversation that one task sorts and sums at once.
+CHUNK = 10_000
 _SPECIAL = "%|<> \t\n\x0b\f\r"
 
 
@@ -36,6 +41,35 @@ def _plain_name(name: Column) -> Column:
     return name
 
 
+def _before(key: list[str], order: str, value: str) -> Column:
+    """The sum of ``value`` over the key's earlier rows."""
+    return F.coalesce(F.sum(value).over(Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def _positions(spark: SparkSession, base: DataFrame) -> DataFrame:
+    """``base`` with the position of each turn in its conversation, and the chunk of positions it lies in."""
+    # ranges of the turns' order, written, so that every reader sees the same ones; a long conversation lies in many
+    ranges = base.repartitionByRange("key", "turn", "speaker", F.substring("content", 1, 32)).withColumn("part", F.spark_partition_id())
+    ranges = written(spark, ranges, "ranges")
+    counts = ranges.groupBy("key", "part").agg(F.count("*").alias("n"))
+    # only the first conversation of a range can go on from an earlier one: a row per range at most
+    earlier = counts.withColumn("earlier", _before(["key"], "part", "n")).where("earlier > 0").select("key", "part", "earlier")
+    number = F.row_number().over(Window.partitionBy("key", "part").orderBy("turn", "speaker", "content"))
+    out = ranges.withColumn("position", number).join(F.broadcast(earlier), ["key", "part"], "left")
+    out = out.withColumn("position", (F.col("position") + F.coalesce("earlier", F.lit(0))).cast("int"))
+    return out.select("key", "speaker", "content", "position", F.floor((F.col("position") - 1) / CHUNK).cast("int").alias("chunk"))
+
+
+def _rendered(seen: DataFrame) -> DataFrame:
+    """Turns as their view shows them, with the sizes of header and whole."""
+    own = F.col("speaker") == F.col("perspective")
+    role = F.when(own, "assistant").when(F.col("speaker").isin(SCENE), "system").otherwise("user")
+    name = F.when(role == "user", F.col("speaker"))
+    header = F.concat(F.lit("<|"), role, F.coalesce(F.concat(F.lit(" name="), _plain_name(name)), F.lit("")), F.lit("|>\n"))
+    rendered = F.concat(header, F.regexp_replace("content", r"<(\\*)\|", r"<\\$1|"), F.lit("\n<|end|>\n"))
+    return seen.withColumns({"role": role, "name": name, "rendered": rendered, "header": F.length(header), "size": F.length(rendered).cast("long"), "learn": own})
+
+
 def rotate(spark: SparkSession, turns: DataFrame) -> DataFrame:
     """Per view and turn: conv_id, perspective, position, role, name, content, rendered, start, stop, learn.
 
@@ -44,20 +78,20 @@ def rotate(spark: SparkSession, turns: DataFrame) -> DataFrame:
     the content begins.
     """
     prepare(spark)
-    base = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("speaker"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("content"))
-    # positions and sizes first: they are the same for all views but for the length of the header
-    placed = written(spark, base.withColumn("position", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "speaker", "content"))), "turns")
-    views = placed.where(~F.col("speaker").isin(SCENE)).select("conv_id", F.col("speaker").alias("perspective")).distinct()
-    seen = placed.join(views.withColumnRenamed("conv_id", "_conv"), F.expr("conv_id <=> _conv")).drop("_conv", "turn")
-    own = F.col("speaker") == F.col("perspective")
-    role = F.when(own, "assistant").when(F.col("speaker").isin(SCENE), "system").otherwise("user")
-    name = F.when(role == "user", F.col("speaker"))
-    header = F.concat(F.lit("<|"), role, F.coalesce(F.concat(F.lit(" name="), _plain_name(name)), F.lit("")), F.lit("|>\n"))
-    out = seen.select("conv_id", "perspective", "position", role.alias("role"), name.alias("name"), "content", F.concat(header, F.regexp_replace("content", r"<(\\*)\|", r"<\\$1|"), F.lit("\n<|end|>\n")).alias("rendered"), F.length(header).alias("_header"), own.alias("learn"))
-    before = Window.partitionBy("conv_id", "perspective").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stop = F.sum(F.length("rendered").cast("long")).over(before)
-    out = out.withColumn("stop", stop).withColumn("start", F.col("stop") - F.length("rendered"))
-    return out.withColumn("content_start", F.col("start") + F.col("_header")).select("conv_id", "perspective", "position", "role", "name", "content", "rendered", "start", "stop", "content_start", "learn")
+    conversation = F.struct(F.col("conv_id").alias("id")).alias("key")
+    base = turns.select(conversation, "turn", F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("speaker"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("content"))
+    placed = written(spark, _positions(spark, base), "turns")
+    views = placed.where(~F.col("speaker").isin(SCENE)).select("key", F.col("speaker").alias("perspective")).distinct()
+    rows = _rendered(placed.join(views, "key"))
+    view = ["key", "perspective", "chunk"]
+    stop = F.sum("size").over(Window.partitionBy(*view).orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # what earlier chunks take, for conversations of several chunks only
+    several = placed.where("chunk > 0").select("key").distinct()
+    sizes = _rendered(placed.join(several, "key", "left_semi").join(views, "key")).groupBy(*view).agg(F.sum("size").alias("size"))
+    earlier = sizes.withColumn("earlier", _before(["key", "perspective"], "chunk", "size")).where("earlier > 0").select(*view, "earlier")
+    out = rows.withColumn("stop", stop).join(earlier, view, "left").withColumn("stop", F.col("stop") + F.coalesce("earlier", F.lit(0)))
+    out = out.withColumn("start", F.col("stop") - F.col("size")).withColumn("content_start", F.col("start") + F.col("header"))
+    return out.select(F.col("key.id").alias("conv_id"), "perspective", "position", "role", "name", "content", "rendered", "start", "stop", "content_start", "learn")
 
 
 def dialogues(rotated: DataFrame) -> DataFrame:

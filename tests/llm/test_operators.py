@@ -518,6 +518,30 @@ def test_url_links(spark, tmp_path):
     assert links == {v for v in cases.values() if v}
 
 
+@pytest.mark.parametrize("chunk", [10_000, 3])
+def test_long_conversations_are_split(spark, tmp_path, chunk, monkeypatch):
+    """A conversation that holds most turns lies in several ranges and chunks; rows and offsets are those of the SQL statement."""
+    import duckdb
+
+    monkeypatch.setattr(chat, "CHUNK", chunk)
+    rng = random.Random(3)
+    row = lambda conv: (conv, rng.choice([None, *range(40)]), rng.choice(["ann", "b b", "system", None]), rng.choice(["", "x <| y", None, "same " * rng.randint(0, 30)]))
+    rows = [row(7) for _ in range(300)] + [row(None) for _ in range(60)] + [row(k) for k in range(40) for _ in range(5)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5).write.parquet(f"{tmp_path}/conversations.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    rel = db.sql(chat.OP9_SQL)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = chat.op9(spark, str(tmp_path))
+        got = sorted((tuple(r) for r in df.collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == sorted((tuple(dict(zip(rel.columns, r))[c] for c in df.columns) for r in rel.fetchall()), key=str)
+    base = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").select(F.struct(F.col("conv_id").alias("id")).alias("key"), "turn", F.coalesce("role", F.lit("-")).alias("speaker"), F.coalesce("text", F.lit("")).alias("content"))
+    assert chat._positions(spark, base).groupBy("key").agg(F.max("position").alias("m"), F.countDistinct("position").alias("n")).where("m <> n").count() == 0
+
+
 def test_chat_markers_and_names(spark, tmp_path):
     """A content forges no turn, two speakers never share a name, and the SQL statements agree."""
     import duckdb
