@@ -9,8 +9,12 @@ left is verified word by word at that place. Only then is a word "hit".
 
 Windows are taken in blocks of at most BLOCK_WINDOWS, one after the other: a block's hits are written and
 its broadcast is destroyed before the next one is made, so one block of windows is held at a time, however
-many there are; a window carries the ids of the items that have it. A document's hits are united over the blocks.
-One block, the usual case, needs one pass that counts and one that joins, and shuffles no text.
+many there are. A document's hits are united over the blocks. One block, the usual case, needs one pass
+that counts and one that joins, and shuffles no text.
+
+Windows travel as numbers, without the items that have them, so a window that a third of all items share takes
+no more room in a block than any other. Items are joined by number, once for each distinct set of windows
+that a document has: documents with the same passage share one list of items.
 
 Defined cases: a null or empty text, of a document or an item, has no words; an item without words
 has no window; repeated items count as often as they have distinct ids; repeated document rows are
@@ -78,7 +82,7 @@ class _Lookup:
 class _Block:
     """Windows of one block, keyed by the place of their rarest word."""
 
-    def __init__(self, windows: list[list[int]], items: list[list[int]], counts: dict[int, int]):
+    def __init__(self, windows: list[list[int]], numbers: list[int], counts: dict[int, int]):
         size = np.array([len(w) for w in windows], np.int64)
         self.words = np.zeros((len(windows), WINDOW), U)
         for i, w in enumerate(windows):
@@ -90,7 +94,7 @@ class _Block:
         self.lookup = _Lookup(prefix)
         self.begin = np.searchsorted(prefix[order], self.lookup.keys)
         self.end = np.searchsorted(prefix[order], self.lookup.keys, "right")
-        self.items = [items[i] for i in order.tolist()]
+        self.numbers = np.array(numbers, np.int64)[order]
 
     def match(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start of each occurrence of a window, and the number of the window."""
@@ -145,38 +149,46 @@ def _joiner(block):
             doc = np.searchsorted(words.first, low, "right") - 1
             spans = pa.StructArray.from_arrays([pa.array((low - words.first[doc]).astype(np.int32)), pa.array((high - words.first[doc]).astype(np.int32))], ["first", "stop"])
             owner = np.searchsorted(words.first, start, "right") - 1
-            found: dict[int, set[int]] = {}
-            for pair in np.unique(owner * len(own.items) + window).tolist():
-                found.setdefault(pair // len(own.items), set()).update(own.items[pair % len(own.items)])
+            pair = np.lexsort((own.numbers[window], owner))
+            owner, number = owner[pair], own.numbers[window[pair]]
+            fresh = np.ones(len(owner), bool)
+            fresh[1:] = (owner[1:] != owner[:-1]) | (number[1:] != number[:-1])
+            found = np.searchsorted(owner[fresh], np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.diff(words.first)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), spans), pa.array([sorted(found.get(i, ())) for i in range(batch.num_rows)], pa.list_(pa.int64()))],
-                ["doc_id", "row", "n_words", "spans", "items"],
+                [batch.column(0), batch.column(1), pa.array(np.diff(words.first)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), spans), pa.ListArray.from_arrays(pa.array(found), pa.array(number[fresh]))],
+                ["doc_id", "row", "n_words", "spans", "windows"],
             )
 
     return join
 
 
-_SHAPE = "doc_id long, row long, n_words long, spans array<struct<first:int,stop:int>>, items array<long>"
+_SHAPE = "doc_id long, row long, n_words long, spans array<struct<first:int,stop:int>>, windows array<long>"
 
 
-def _windows_of(benchmark: DataFrame) -> DataFrame:
-    """Distinct windows with the ids of their items, and a hash that deals them into blocks."""
+def _windows_of(spark: SparkSession, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct windows, each with a number, and the numbers with the ids of their items."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
-    return items.mapInArrow(_item_windows, "item_id long, words array<long>").groupBy("words").agg(F.collect_set("item_id").alias("items"), F.xxhash64("words").alias("h"))
+    pairs = items.mapInArrow(_item_windows, "item_id long, words array<long>")
+    windows = written(spark, pairs.select("words").distinct().withColumn("window", F.monotonically_increasing_id()), "windows")
+    return windows, pairs.join(windows, "words").select("window", "item_id").distinct()
 
 
 def _block(spark: SparkSession, texts: DataFrame, windows: DataFrame) -> _Block:
     """A block of windows, ordered by the counts of their words over all texts."""
-    rows = windows.select("words", "items").collect()
+    rows = windows.select("words", "window").collect()
     counts = []
     if rows:
         look = spark.sparkContext.broadcast(_Lookup(np.unique(np.array([w for r in rows for w in r["words"]], np.int64).astype(U))))
         counts = texts.select("text").mapInArrow(_counter(look), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
         look.destroy()
-    return _Block([r["words"] for r in rows], [r["items"] for r in rows], {r["word"]: r["n"] for r in counts})
+    return _Block([r["words"] for r in rows], [r["window"] for r in rows], {r["word"]: r["n"] for r in counts})
 
 
-def _judged(out: DataFrame) -> DataFrame:
+def _judged(spark: SparkSession, hits: DataFrame, members: DataFrame) -> DataFrame:
+    hits = written(spark, hits, "hits")
+    sets = hits.where(F.size("windows") > 0).select("windows").distinct()
+    listed = sets.withColumn("window", F.explode("windows")).join(members, "window").groupBy("windows").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    out = hits.join(listed, "windows", "left").withColumn("items", F.coalesce("items", F.array().cast("array<long>")))
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     # spans of several blocks overlap: walk them in order and count only what lies beyond the furthest word so far
     walked = F.aggregate(F.array_sort("spans"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("far")), lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["stop"] - F.greatest(x["first"], s["far"]))).alias("n"), F.greatest(s["far"], x["stop"]).alias("far")))["n"]
@@ -195,23 +207,25 @@ def _blocks(windows: DataFrame) -> int:
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans and items themselves, and row, its key."""
     prepare(spark)
-    windows = _windows_of(benchmark)
+    windows, members = _windows_of(spark, benchmark)
     blocks = _blocks(windows)
     if blocks == 1:
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), F.col("text").cast("string").alias("text"))
-        return _judged(texts.mapInArrow(_joiner(spark.sparkContext.broadcast(_block(spark, texts, windows))), _SHAPE))
+        block = spark.sparkContext.broadcast(_block(spark, texts, windows))
+        return _judged(spark, texts.mapInArrow(_joiner(block), _SHAPE), members)
     # rows get their keys once, so that they are the same in every block
     rows = docs if "_row" in docs.columns else keyed(spark, docs.select("doc_id", "text"))
     texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_row").alias("row"), F.col("text").cast("string").alias("text"))
-    held = written(spark, windows.withColumn("block", F.pmod("h", F.lit(blocks))).drop("h"), "windows")
+    held = windows.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks)))
     out = None
     for number in range(blocks):
         block = spark.sparkContext.broadcast(_block(spark, texts, held.where(F.col("block") == number)))
         found = texts.mapInArrow(_joiner(block), _SHAPE)
-        found = written(spark, found if number == 0 else found.where(F.size("items") > 0), "hits")
+        found = written(spark, found if number == 0 else found.where(F.size("windows") > 0), "hits")
         block.destroy()
         out = found if out is None else out.unionByName(found)
-    return _judged(out.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")))
+    hits = out.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.flatten(F.collect_list("windows"))).alias("windows"))
+    return _judged(spark, hits, members)
 
 
 def _cleaner(block, text: int):
@@ -232,7 +246,7 @@ def _cleaner(block, text: int):
 def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all columns; with one block of windows they pass by and nothing is joined."""
     prepare(spark)
-    windows = _windows_of(benchmark)
+    windows, _ = _windows_of(spark, benchmark)
     if _blocks(windows) == 1:
         block = spark.sparkContext.broadcast(_block(spark, docs.select(F.col("text").cast("string").alias("text")), windows))
         return docs.mapInArrow(_cleaner(block, docs.columns.index("text")), docs.schema)

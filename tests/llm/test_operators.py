@@ -90,6 +90,19 @@ def test_decontamination(spark, docs, block, monkeypatch):
         assert decontaminate.contamination(spark, odd, table).count() == odd.count(), name
 
 
+def test_a_window_that_all_items_share(spark, monkeypatch):
+    """One passage in every item and in most documents: all items are named, in each block size."""
+    passage, other = " ".join(f"p{i}" for i in range(13)), " ".join(f"q{i}" for i in range(13))
+    items = [(i, f"{passage} own{i}" if i % 2 else passage) for i in range(300)] + [(999, other)]
+    plain = [f"{passage} and more" for _ in range(20)] + [f"{other} {passage}", "clean words only", None, f"x {other}"]
+    docs = spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string").repartition(3)
+    for block in (100_000, 40):
+        monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", block)
+        got = decontaminate.contamination(spark, docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert {r["doc_id"]: tuple(r)[1:6] for r in got} == _contamination(enumerate(plain), items)
+        assert {r["doc_id"]: len(r["items"]) for r in got if r["doc_id"] in (0, 20, 21)} == {0: 300, 20: 301, 21: 0}
+
+
 # --- 2
 
 
