@@ -63,7 +63,16 @@ def written(spark: SparkSession, df: DataFrame, name: str, rows: int | None = No
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def forget(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more: what was made from them is written itself."""
+    for done in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(done._written)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:

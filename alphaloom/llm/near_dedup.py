@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm.common import prepare, table, text_bytes, written
+from alphaloom.llm.common import forget, prepare, table, text_bytes, written
 from alphaloom.llm.components import components
 from alphaloom.llm.words import U, mix, shingle_sets, split_words
 
@@ -237,8 +237,8 @@ def _stars(shared: DataFrame) -> DataFrame:
     return spokes.unionByName(hubs)
 
 
-def _open_buckets(spark: SparkSession, shared: DataFrame, found: DataFrame) -> DataFrame | None:
-    """Routes that compare, in each bucket of several components, the documents outside the largest one with all others."""
+def _open_buckets(spark: SparkSession, shared: DataFrame, found: DataFrame) -> tuple[DataFrame | None, list[DataFrame]]:
+    """Routes (if any bucket is open) that compare, in each bucket of several components, the documents outside the largest one with all others, and the tables that they read."""
     mark = [F.xxhash64("doc_id", F.lit(k)) for k in (1, 2)]
     parts = shared.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     parts = written(spark, parts.select("band", "doc_id", "n_shingles", "component"), "parts")
@@ -246,19 +246,20 @@ def _open_buckets(spark: SparkSession, shared: DataFrame, found: DataFrame) -> D
     once = buckets.where("docs > 2 and low < high").groupBy("m0", "m1", "docs", "load").agg(F.min("band").alias("band")).select("band", "docs", "load")
     once = written(spark, once, "open")
     if once.isEmpty():
-        return None
+        return None, [parts, once]
     rows = written(spark, parts.join(once, "band"), "outside")
     sizes = rows.groupBy("band", "docs", "load", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("band", "docs", "load").agg(F.max(F.struct("n", "component")).alias("m"))
     blocks = F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("load") / BLOCK_SHINGLES)).cast("int")
     shape = main.select("band", F.col("m.component").alias("main"), blocks.alias("blocks"), F.ceil((F.col("docs") - F.col("m.n")) * blocks / F.col("docs")).cast("int").alias("minors"))
-    joined = rows.join(written(spark, shape, "shape"), "band").withColumn("outside", F.col("component") != F.col("main"))
+    shape = written(spark, shape, "shape")
+    joined = rows.join(shape, "band").withColumn("outside", F.col("component") != F.col("main"))
     block, mine = F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"), F.expr("cast(pmod(xxhash64(doc_id, 1), minors) as int)")
     # task (x, y): the documents of outside block x against block y of the whole bucket
     right = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda x: _route("band", x, block, F.when(F.col("outside") & (x == mine), 2).otherwise(1)))
     left = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: y != block), lambda y: _route("band", mine, y, F.lit(0)))
     routes = joined.select("doc_id", F.when(F.col("outside"), F.concat(right, left)).otherwise(right).alias("routes"))
-    return routes.groupBy("doc_id").agg(F.flatten(F.collect_list("routes")).alias("routes"))
+    return routes.groupBy("doc_id").agg(F.flatten(F.collect_list("routes")).alias("routes")), [parts, once, rows, shape]
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, nameless: bool = False) -> DataFrame:
@@ -272,19 +273,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, nameless: bool = False
     filled = seen.where("n_shingles > 0 and doc_id is not null")
     classes = written(spark, filled.groupBy(key).agg(F.min("doc_id").alias("rep")), "reps")
     member = written(spark, filled.select("doc_id", *key).join(classes, key).select("doc_id", "n_shingles", "rep"), "classes")
+    forget(spark, classes)
 
     # one row of each class carries the bands
     heads = member.where("doc_id = rep").select("doc_id").distinct()
     bands = filled.join(heads, "doc_id").select("doc_id", "n_shingles", F.explode("bands").alias("band"))
     hubs = written(spark, bands.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub < top").select("band", "hub"), "hubs")
     shared = written(spark, bands.join(hubs.hint("merge"), "band").dropDuplicates(["band", "doc_id"]), "shared")
+    forget(spark, hubs)
 
     found = written(spark, components(spark, _verified(docs, _stars(shared), _star_links), "a", "b"), "components")
-    rest = _open_buckets(spark, shared, found)
+    rest, steps = _open_buckets(spark, shared, found)
     if rest is not None:
         # the components found so far are edges, too
         both = _verified(docs, rest, _links).unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
         found = components(spark, both, "a", "b")
+    forget(spark, shared, *steps)
     labelled = member.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = seen.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return labelled.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
