@@ -186,9 +186,11 @@ def _block(spark: SparkSession, texts: DataFrame, windows: DataFrame) -> _Block:
 
 def _judged(spark: SparkSession, hits: DataFrame, members: DataFrame) -> DataFrame:
     hits = written(spark, hits, "hits")
-    sets = hits.where(F.size("windows") > 0).select("windows").distinct()
+    some, none = hits.where(F.size("windows") > 0), hits.where(F.size("windows") == 0)
+    sets = some.select("windows").distinct()
     listed = sets.withColumn("window", F.explode("windows")).join(members, "window").groupBy("windows").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    out = hits.join(listed, "windows", "left").withColumn("items", F.coalesce("items", F.array().cast("array<long>")))
+    # written, so that the join can split a set of windows that many documents have; documents without a hit join nothing
+    out = some.join(written(spark, listed, "listed"), "windows").unionByName(none.withColumn("items", F.array().cast("array<long>")))
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     # spans of several blocks overlap: walk them in order and count only what lies beyond the furthest word so far
     walked = F.aggregate(F.array_sort("spans"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("far")), lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["stop"] - F.greatest(x["first"], s["far"]))).alias("n"), F.greatest(s["far"], x["stop"]).alias("far")))["n"]
