@@ -1,8 +1,19 @@
-"""The pipeline's stages take effect, one after the other."""
+"""The pipeline's stages take effect, one after the other, and its rows are those of brute force."""
 
+import base64
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import public_tokenizers as P
+import tiktoken
 from pyspark.sql import functions as F
+from test_operators import PII, SPACED, _contamination, _groups, texts
 
 import corpus_pipeline as pipeline
+from alphaloom.llm import bpe
 
 
 def test_stages(spark, tmp_path):
@@ -46,3 +57,59 @@ def test_rows_without_or_with_a_shared_id(spark, tmp_path):
     # copies, of which one has no id and one has the largest: the smallest id stays
     copies = docs.unionByName(docs.where("doc_id = 7")).unionByName(docs.where("doc_id = 7 and length(text) > 20").withColumn("doc_id", F.lit(None).cast("long")))
     assert after("near_dedup", copies) == sorted(rows, key=str)
+
+
+def _quality(rows):
+    """(id, host, text) that pass the rules, without boilerplate lines."""
+    words = lambda t: re.findall(SPACED, t)
+    norm = lambda line: re.sub(r"[\x20\x09-\x0D]+", " ", line.lower()).strip(" ")
+    seen = {}
+    for _, host, text in rows:
+        for line in filter(words, text.split("\n")):
+            seen.setdefault((host, norm(line)), set()).add(text)
+    out = []
+    for i, host, text in rows:
+        w = words(text)
+        windows = [tuple(w[j : j + 5]) for j in range(len(w) - 4)]
+        times = Counter(windows)
+        repeated = {j + k for j, x in enumerate(windows) if times[x] > 1 for k in range(5)}
+        common = lambda line: len(seen.get((host, norm(line)), ())) > 10  # noqa: B023, E731
+        lines = text.split("\n")
+        cut = sum(len(words(x)) for x in lines if common(x))
+        if len(w) >= 10 and 100 * len(repeated) <= 20 * len(w) and 2 * cut <= len(w):
+            out.append((i, host, "\n".join(x for x in lines if not common(x))))
+    return out
+
+
+def test_run_against_brute_force(spark, tmp_path):
+    """Whole rows of ``run``, by plain loops over the same documents."""
+    with open(P.path(bpe.RANKS), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgé") for _ in range(rng.randint(2, 7)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    item, line = text(20), "Read more\there"
+    plain = [t or "" for t in texts()]
+    plain += [f"{text(40)}\n{line.upper() if k % 2 else line}\n{text(3)}" for k in range(14)]
+    plain += ["\n".join([line] * 4 + [text(11)]), "\n".join([text(5)] + [line] * 5)]
+    plain += [f"{text(60)} {item} {text(k)}" for k in (5, 80, 900)]
+    plain += [f"{text(30)} write to some.one+{k}@mail.example.org or from 10.0.{k}.255 {text(20)}" for k in range(4)]
+    rows = [(i, ["a", None, "b"][i % 3] if i < len(texts()) else "h", t) for i, t in enumerate(plain)]
+    docs = spark.createDataFrame([(i, t, "en", h, len(t)) for i, h, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, plain[11])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    kept = _quality(rows)
+    root = _groups([t for *_, t in kept])[1]
+    single = [r for k, r in enumerate(kept) if root[k] == k]
+    bad = _contamination([(i, t) for i, _, t in single], [(1, item), (2, plain[11])])
+    clean = [(i, t) for i, _, t in single if not bad[i][4]]
+    assert len(rows) > len(kept) > len(single) > len(clean) > 20
+    want = {}
+    for i, t in clean:
+        t = re.sub(PII["ip"], "[IP]", re.sub(PII["email"], "[EMAIL]", t))
+        ids = own.encode_ordinary(t)
+        want[i] = (len(ids), hashlib.sha256(np.array(ids, "<u4")).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got} == want and len(got) == len(want)
