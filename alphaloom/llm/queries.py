@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alphaloom.llm import bpe, chat, decontaminate, html_text, near_dedup, pii, quality_rules, substring_dedup, token_files, url_filters
+from alphaloom.llm import bpe, chat, decontaminate, html_text, line_dedup, near_dedup, pii, quality_rules, runs, substring_dedup, token_files, url_filters, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_chat_perspectives": chat.op9,
         "chat_dialogues": chat.chat_dialogues,
         "op10_minhash_near_dedup": near_dedup.op10,
+        "op11_embedding_whitening": whitening.op11,
+        "op12_periodic_runs": runs.op12,
+        "op13_line_dedup": line_dedup.op13,
     }
 
 
