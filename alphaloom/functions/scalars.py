@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from alphaloom.operators.ranks import must_spread, spread_ranks
+
 # Texts that stand for a missing number.
 MISSING_NUMBERS = ["", "-", "--", "N/A", "<NA>", "nan", "None"]
 SUFFIX = ".TW"
@@ -32,10 +34,42 @@ def numeric(c: Column) -> Column:
     return F.when(F.isnan(value), None).otherwise(value)
 
 
-def to_date_lenient(c: Column) -> Column:
-    """A date from yyyyMMdd or any ISO text; unreadable values become null."""
+_CLOCK = r"(?:[ T]+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?)?\s*$"
+_YEAR_FIRST = r"^\s*([0-9]{4})[/.-]([0-9]{1,2})[/.-]([0-9]{1,2})" + _CLOCK
+_YEAR_LAST = r"^\s*([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4}|[0-9]{2})" + _CLOCK
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+_MONTH = "(" + "|".join(f"{m[:3]}(?:{m[3:]})?" for m in MONTHS) + r")\.?"
+_WORDED = [rf"(?i)^\s*(?:[a-z]+,\s*)?{_MONTH}[\s-]+([0-9]{{1,2}}),?[\s-]+([0-9]{{4}}){_CLOCK}", rf"(?i)^\s*(?:[a-z]+,\s*)?([0-9]{{1,2}})[\s-]+{_MONTH},?[\s-]+([0-9]{{4}}){_CLOCK}"]
+
+
+def day_first(c: Column) -> Column:
+    """An aggregate: is the first of two leading numbers the day in this column? It is where more values can be read that way; month first otherwise."""
     text = c.cast("string")
-    return F.coalesce(F.try_to_timestamp(text, F.lit("yyyyMMdd")), F.try_to_timestamp(text)).cast("date")
+    seen = text.rlike(_YEAR_LAST)
+    month = [F.regexp_extract(text, _YEAR_LAST, k).try_cast("int") <= 12 for k in (1, 2)]
+    return F.coalesce(F.count_if(seen & month[1]) > F.count_if(seen & month[0]), F.lit(False))
+
+
+def to_date_lenient(c: Column, days_lead: Column | bool = False) -> Column:
+    """A date from yyyyMMdd, ISO text, numbers between slashes, dots or dashes, or a month's name; a time of day may follow. Unreadable values become null.
+
+    Where the year is last, ``days_lead`` tells which of the other two numbers is the day; ``day_first`` finds that for a column.
+    """
+    text = c.cast("string")
+    lead = F.lit(days_lead) if isinstance(days_lead, bool) else days_lead
+
+    def date(pattern: str, year: int, month: int, day: int) -> Column:
+        found = F.when(text.rlike(pattern), text)
+        part = lambda k: F.regexp_extract(found, pattern, k)
+        years = F.when(F.length(part(year)) == 4, part(year)).otherwise(F.concat(F.when(part(year) < "69", "20").otherwise("19"), part(year)))
+        name = F.lower(F.substring(part(month), 1, 3))
+        number = F.coalesce(F.array_position(F.array(*(F.lit(m[:3]) for m in MONTHS)), name), F.lit(0)).cast("string")
+        months = F.when(number == "0", part(month)).otherwise(number)
+        return F.try_to_timestamp(F.concat_ws("-", F.when(found.isNotNull(), years), F.lpad(months, 2, "0"), F.lpad(part(day), 2, "0")))
+
+    numbered = F.when(lead, date(_YEAR_LAST, 3, 2, 1)).otherwise(date(_YEAR_LAST, 3, 1, 2))
+    worded = [date(_WORDED[0], 3, 1, 2), date(_WORDED[1], 3, 2, 1)]
+    return F.coalesce(F.try_to_timestamp(text, F.lit("yyyyMMdd")), F.try_to_timestamp(text), date(_YEAR_FIRST, 1, 2, 3), numbered, *worded).cast("date")
 
 
 def rounded(c: Column, digits: int = 6) -> Column:
@@ -58,12 +92,25 @@ def average_rank(value: Column, by: list[Column | str], descending: bool = False
 
 
 def pct_rank(value: Column, by: list[Column | str], direction: str = HIGHER) -> Column:
-    """Cross-sectional percentile rank: average rank over the number of non-null values; the best value has 1."""
+    """Cross-sectional percentile rank: average rank over the number of non-null values; the best value has 1. A group is sorted by one task."""
     if direction not in (HIGHER, LOWER):
         raise ValueError(f"Unsupported direction: {direction}")
     return average_rank(value, by, direction == LOWER) / F.count(value).over(Window.partitionBy(*by))
 
 
-def rank_factor(df: DataFrame, value: str, by: str = "date", direction: str = HIGHER) -> DataFrame:
+def with_pct_ranks(df: DataFrame, by: list[str], values: dict[str, tuple[str, str]], spread: bool | None = None) -> DataFrame:
+    """``df`` with percentile ranks: output name to value column and direction. Groups beyond a task's size are ranked by ranges; ``spread`` forces that or rules it out."""
+    for _, direction in values.values():
+        if direction not in (HIGHER, LOWER):
+            raise ValueError(f"Unsupported direction: {direction}")
+    if not (must_spread(df, by) if spread is None else spread):
+        return df.select("*", *(pct_rank(F.col(v), by, d).alias(out) for out, (v, d) in values.items()))
+    for out, (v, d) in values.items():
+        columns = df.columns
+        df = spread_ranks(df, by, v, d == LOWER).select(*columns, (F.col("_average") / F.col("_count")).alias(out))
+    return df
+
+
+def rank_factor(df: DataFrame, value: str, by: str = "date", direction: str = HIGHER, spread: bool | None = None) -> DataFrame:
     """``df`` with column rank. Values are rounded to ten digits first, so that ties do not hang on summation order."""
-    return df.withColumn("_v", rounded(F.col(value), 10)).withColumn("rank", pct_rank(F.col("_v"), [by], direction)).drop("_v")
+    return with_pct_ranks(df.withColumn("_v", rounded(F.col(value), 10)), [by], {"rank": ("_v", direction)}, spread).drop("_v")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from alphaloom.functions.scalars import HIGHER, LOWER, average_rank, ratio, rounded
 from alphaloom.operators.factors import DIRECTIONS, HISTORICAL
 from alphaloom.operators.panel import with_date_idx
+from alphaloom.operators.ranks import must_spread, spread_ranks
 
 FACTOR_DIRECTIONS = {"momentum_60d": HIGHER, "low_volatility_20d": LOWER, "volume_ratio_5d_60d": HIGHER, HISTORICAL: HIGHER}
 HISTORICAL_FACTORS = list(FACTOR_DIRECTIONS)
@@ -37,12 +38,16 @@ def forward_returns(bars: DataFrame, horizons: list[int] = [1, 5, 20]) -> DataFr
     return out.select("date", "ticker", "forward_return", F.col("horizon").cast("int").alias("horizon"))
 
 
-def rank_ic(factors: DataFrame, fwd: DataFrame) -> DataFrame:
-    """Per factor, horizon and date: correlation of ranks over tickers with both values (two at least); undefined ones are dropped."""
+def rank_ic(factors: DataFrame, fwd: DataFrame, spread: bool | None = None) -> DataFrame:
+    """Per factor, horizon and date: correlation of ranks over tickers with both values (two at least); undefined ones are dropped. ``spread``: see ``with_pct_ranks``."""
     both = factors.where("value is not null").join(fwd, ["date", "ticker"])
     group = ["factor", "horizon", "date"]
     both = both.select(*group, rounded(F.col("value"), 10).alias("v"), rounded(F.col("forward_return"), 10).alias("r"))
-    ranked = both.select(*group, average_rank(F.col("v"), group).alias("a"), average_rank(F.col("r"), group).alias("b"))
+    if must_spread(both, group) if spread is None else spread:
+        first = spread_ranks(both, group, "v").select(*group, "r", F.col("_average").alias("a"))
+        ranked = spread_ranks(first, group, "r").select(*group, "a", F.col("_average").alias("b"))
+    else:
+        ranked = both.select(*group, average_rank(F.col("v"), group).alias("a"), average_rank(F.col("r"), group).alias("b"))
     stats = ranked.groupBy(*group).agg(F.covar_pop("a", "b").alias("c"), (F.stddev_pop("a") * F.stddev_pop("b")).alias("s"), F.count(F.lit(1)).alias("n"))
     return stats.where("n >= 2 and s > 0").select(*group, ratio(F.col("c"), F.col("s")).alias("ic"), F.col("n").cast("int").alias("asset_count"))
 
@@ -53,13 +58,17 @@ def ic_summary(ic: DataFrame) -> DataFrame:
     return stats.withColumn("ir", ratio(F.col("ic_mean"), F.when(rounded(F.col("ic_std"), 12) > 0, F.col("ic_std"))))
 
 
-def factor_quantiles(factors: DataFrame, directions: dict[str, str] = FACTOR_DIRECTIONS, q: int = 5) -> DataFrame:
-    """Quantile 1 to q per factor and date, best last; ties by ticker. The cut is floor((rank - 1) * q / n) + 1, not that of ntile."""
+def factor_quantiles(factors: DataFrame, directions: dict[str, str] = FACTOR_DIRECTIONS, q: int = 5, spread: bool | None = None) -> DataFrame:
+    """Quantile 1 to q per factor and date, best last; ties by ticker. The cut is floor((rank - 1) * q / n) + 1, not that of ntile. ``spread``: see ``with_pct_ranks``."""
     names = F.create_map(*(F.lit(x) for f, d in {**DIRECTIONS, **directions}.items() for x in (f, -1.0 if d == LOWER else 1.0)))
     kept = factors.where("value is not null").withColumn("_o", rounded(F.col("value"), 10) * F.element_at(names, F.col("factor")))
-    group = Window.partitionBy("factor", "date")
-    rank = F.row_number().over(group.orderBy("_o", "ticker"))
-    bucket = F.floor((rank - 1) * q / F.count(F.lit(1)).over(group)) + 1
+    if must_spread(kept, ["factor", "date"]) if spread is None else spread:
+        kept = spread_ranks(kept, ["factor", "date"], "_o", ties=["ticker"])
+        rank, count = F.col("_position"), F.col("_count")
+    else:
+        group = Window.partitionBy("factor", "date")
+        rank, count = F.row_number().over(group.orderBy("_o", "ticker")), F.count(F.lit(1)).over(group)
+    bucket = F.floor((rank - 1) * q / count) + 1
     return kept.select("factor", "date", "ticker", F.col("value").alias("factor_value"), bucket.cast("int").alias("quantile"))
 
 

@@ -18,6 +18,8 @@ from alphaloom.operators.portfolio import FREQUENCIES, calendars, equal_weights,
 
 ENGINE = "fallback_weight_engine"
 YEAR = 252
+#: Positions of a series that one task scans, and of a stretch in which held weights meet returns.
+CHUNK, SPAN = 1000, 64
 
 
 @dataclass(frozen=True)
@@ -59,10 +61,30 @@ def aligned_weights(weights: DataFrame, bars: DataFrame, hold: str = "none") ->
         return known
     if hold != "ffill":
         raise ValueError("hold is none or ffill")
-    made = known.select("scenario", "date_idx").distinct().withColumn("_made", F.col("date_idx"))
-    every = known.select("scenario").distinct().join(days.select("date_idx")).join(made, ["scenario", "date_idx"], "left")
-    every = every.withColumn("_made", F.last("_made", ignorenulls=True).over(Window.partitionBy("scenario").orderBy("date_idx").rowsBetween(Window.unboundedPreceding, 0))).where("_made is not null")
-    return every.join(known.withColumnRenamed("date_idx", "_made"), ["scenario", "_made"]).select("scenario", "date_idx", "ticker", "weight")
+    spans = held_intervals(known, days)
+    return spans.select("scenario", F.explode(F.sequence("date_idx", F.col("_until") - 1)).alias("date_idx"), "ticker", "weight")
+
+
+def held_intervals(aligned: DataFrame, days: DataFrame) -> DataFrame:
+    """``aligned`` weights with _until, the position at which the scenario's next ones replace them (behind the last date if there are none), and _turn, the number of their date in the scenario."""
+    order = Window.partitionBy("scenario").orderBy("date_idx")
+    turns = aligned.select("scenario", "date_idx").distinct().withColumns({"_until": F.lead("date_idx").over(order), "_turn": F.row_number().over(order)})
+    end = F.broadcast(days.agg((F.max("date_idx") + 1).alias("_end")))  # one row
+    turns = turns.join(end).select("scenario", "date_idx", F.coalesce("_until", "_end").alias("_until"), "_turn")
+    return aligned.join(turns, ["scenario", "date_idx"])
+
+
+def held_gross(spans: DataFrame, returns: DataFrame) -> DataFrame:
+    """Gross returns of weights that are held: scenario, date_idx, gross.
+
+    An interval join: weights of [date_idx, _until) earn the returns one position later. Both sides meet by ticker and
+    by stretches of SPAN positions, so a row of weights is repeated once per stretch, not per date, and a ticker's weights meet its returns of the same stretch only.
+    """
+    low, high = F.col("date_idx") + 1, F.col("_until")
+    pieces = spans.select("scenario", "ticker", "weight", low.alias("_low"), high.alias("_high"), F.explode(F.sequence(F.floor(low / SPAN), F.floor(high / SPAN))).alias("_span"))
+    earned = returns.select("ticker", "date_idx", "ret", F.floor(F.col("date_idx") / SPAN).alias("_span"))
+    both = pieces.join(earned, ["ticker", "_span"]).where((F.col("date_idx") >= F.col("_low")) & (F.col("date_idx") <= F.col("_high")))
+    return both.groupBy("scenario", "date_idx").agg(F.sum(F.col("weight") * F.col("ret")).alias("gross"))
 
 
 def asset_returns(bars: DataFrame, fill: str = "pad") -> DataFrame:
@@ -97,11 +119,26 @@ def turnover_daily(aligned: DataFrame) -> DataFrame:
     return _steps(aligned).groupBy("scenario", "date_idx").agg(*_traded())
 
 
+def _held_sums(bars: DataFrame, weights: DataFrame, returns: DataFrame) -> DataFrame:
+    """Sums per scenario and date of weights that are held until the next ones; trades happen where weights are replaced."""
+    spans = held_intervals(aligned_weights(weights, bars), date_index(bars))
+    turns = spans.select("scenario", F.col("date_idx").alias("_at"), "_until", F.col("_turn").alias("date_idx")).distinct()
+    traded = turnover_daily(spans.select("scenario", F.col("_turn").alias("date_idx"), "ticker", "weight")).join(turns, ["scenario", "date_idx"]).select("scenario", F.col("_at").alias("date_idx"), "buy", "sell")
+    total = spans.groupBy("scenario", "date_idx", "_until").agg(F.sum("weight").alias("exposure"))
+    exposure = total.select("scenario", F.explode(F.sequence("date_idx", F.col("_until") - 1)).alias("date_idx"), "exposure")
+    return exposure.join(held_gross(spans, returns), ["scenario", "date_idx"], "left").join(traded, ["scenario", "date_idx"], "left")
+
+
 def daily_sums(bars: DataFrame, weights: DataFrame, grid: DataFrame, hold: str = "none", fill: str = "pad") -> DataFrame:
     """Per scenario and date: gross, buy, sell, exposure; a row for every date."""
     returns = asset_returns(bars, fill).select("date_idx", "ticker", "ret")
-    moved = _steps(aligned_weights(weights, bars, hold)).join(returns, ["date_idx", "ticker"], "left")
-    sums = moved.groupBy("scenario", "date_idx").agg(F.sum(F.col("before") * F.col("ret")).alias("gross"), *_traded(), F.sum("weight").alias("exposure"))
+    if hold not in ("none", "ffill"):
+        raise ValueError("hold is none or ffill")
+    if hold == "ffill":
+        sums = _held_sums(bars, weights, returns)
+    else:
+        moved = _steps(aligned_weights(weights, bars)).join(returns, ["date_idx", "ticker"], "left")
+        sums = moved.groupBy("scenario", "date_idx").agg(F.sum(F.col("before") * F.col("ret")).alias("gross"), *_traded(), F.sum("weight").alias("exposure"))
     out = date_index(bars).join(F.broadcast(grid.select("scenario", "top_n")))  # a row per scenario
     out = out.join(sums, ["scenario", "date_idx"], "left")
     return out.fillna(0.0, ["gross", "buy", "sell", "exposure"])
@@ -113,11 +150,24 @@ def net_returns(daily: DataFrame, costs: DataFrame) -> DataFrame:
     return daily.join(F.broadcast(costs.select("cost", "buy_cost_rate", "sell_cost_rate", "cost_model_summary"))).withColumn("cost_returns", cost).withColumn("returns", F.col("gross") - F.col("cost_returns"))
 
 
-def equity_curve(net: DataFrame, cash: float = 1_000_000.0) -> DataFrame:
-    """Equity, drawdown, turnover and exposure per date."""
-    time = Window.partitionBy("scenario", "cost").orderBy("date_idx").rowsBetween(Window.unboundedPreceding, 0)
-    out = net.withColumn("equity", F.product(1 + F.col("returns")).over(time) * cash)
-    out = out.withColumn("drawdown", ratio(F.col("equity"), F.max("equity").over(time)) - 1)
+def equity_curve(net: DataFrame, cash: float = 1_000_000.0, chunk: int = CHUNK) -> DataFrame:
+    """Equity, drawdown, turnover and exposure per date.
+
+    A prefix scan: running products, and their highest and lowest so far, within chunks of ``chunk`` positions; then
+    what the chunks before bring along, from one row per chunk. So no task needs all dates of a scenario.
+    """
+    series = ["scenario", "cost"]
+    own = Window.partitionBy(*series, "_chunk").orderBy("date_idx").rowsBetween(Window.unboundedPreceding, 0)
+    out = net.withColumn("_chunk", F.floor(F.col("date_idx") / chunk).cast("int")).withColumn("_run", F.product(1 + F.col("returns")).over(own))
+    out = out.withColumns({"_top": F.max("_run").over(own), "_low": F.min("_run").over(own)})
+    chunks = out.groupBy(*series, "_chunk").agg(F.max_by("_run", "date_idx").alias("_all"), F.max("_run").alias("_high"), F.min("_run").alias("_deep"))
+    past = Window.partitionBy(*series).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("_carry", F.coalesce(F.product("_all").over(past), F.lit(1.0)))
+    # after a loss of more than everything the lowest product is the highest equity
+    chunks = chunks.withColumn("_peak", F.max(F.greatest(F.col("_carry") * F.col("_high"), F.col("_carry") * F.col("_deep"))).over(past))
+    out = out.join(chunks.select(*series, "_chunk", "_carry", "_peak"), [*series, "_chunk"])
+    peak = F.greatest("_peak", F.col("_carry") * F.col("_top"), F.col("_carry") * F.col("_low"))
+    out = out.withColumn("equity", F.col("_run") * F.col("_carry") * cash).withColumn("drawdown", ratio(F.col("equity"), peak * cash) - 1)
     return out.select("scenario", "cost", "top_n", "date", "date_idx", "equity", "returns", "drawdown", F.col("gross").alias("gross_returns"), "cost_returns", (F.col("buy") + F.col("sell")).alias("turnover"), "exposure", "cost_model_summary")
 
 

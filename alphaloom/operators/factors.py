@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from alphaloom.functions.scalars import HIGHER, LOWER, pct_rank, ratio, rounded
-from alphaloom.operators.panel import dense_grid, with_date_idx
+from alphaloom.functions.scalars import HIGHER, LOWER, ratio, rounded, with_pct_ranks
+from alphaloom.operators.panel import date_index, with_date_idx
 
 # Composite weights and directions.
 PRICE_VOLUME_WEIGHTS = {"momentum_60d": 0.20, "low_volatility_20d": 0.15, "volume_ratio_5d_60d": 0.15}
@@ -40,16 +40,66 @@ def momentum(bars: DataFrame, lookback: int = 60) -> DataFrame:
     return df.select("date", "ticker", (ratio(F.col("close"), _at("close", -lookback)) - 1).alias("momentum"))
 
 
-def _with_returns(grid: DataFrame, fill: str = "pad") -> DataFrame:
-    upto = _time().rowsBetween(Window.unboundedPreceding, 0)
-    grid = grid.withColumn("c", F.last("close", ignorenulls=True).over(upto) if fill == "pad" else F.col("close"))
-    return grid.withColumn("ret", ratio(F.col("c"), F.lag("c").over(_time())) - 1)
+def _stepped(bars: DataFrame, n: int) -> DataFrame:
+    """Bars, and between them the positions at which a window of n padded returns changes: where a bar leaves it, and behind a close of zero.
+
+    _bar tells the rows that were there; other columns are null in the rest. No ticker has more than three rows per bar, whatever its gaps.
+    """
+    df = with_date_idx(bars).where("ticker is not null")
+    own = [f for f in df.schema.fields if f.name not in ("ticker", "date_idx")]
+
+    def row(at: Column, bar: bool) -> Column:
+        return F.struct(at.cast("int").alias("date_idx"), F.lit(bar).alias("_bar"), *((F.col(f.name) if bar else F.lit(None).cast(f.dataType)).alias(f.name) for f in own))
+
+    at = F.col("date_idx")
+    rows = df.select("ticker", F.inline(F.array_compact(F.array(row(at, True), row(at + n, False), F.when(F.col("close") == 0, row(at + 1, False))))))
+    here = F.max("_bar").over(_time().rangeBetween(0, 0))
+    return rows.withColumn("_here", here).where(F.col("_bar") | ~F.col("_here")).drop("_here")
+
+
+def _padded_volatility(steps: DataFrame, n: int) -> DataFrame:
+    """``steps`` with _vol, the deviation of n returns up to each row, closes carried over gaps.
+
+    A gap's returns are zero, so they enter a window's moments by their number alone; those behind a close of zero are undefined.
+    """
+    before = F.last("close", ignorenulls=True).over(_time().rangeBetween(Window.unboundedPreceding, -1))
+    steps = steps.withColumn("_before", before)
+    steps = steps.withColumns({"_ret": F.when(F.col("close").isNotNull(), ratio(F.col("close"), F.col("_before")) - 1), "_bad": F.when(F.col("_before") == 0, 1), "_priced": F.when(F.col("close").isNotNull(), F.col("date_idx"))})
+    frame = _time().rangeBetween(1 - n, 0)
+    k, mean = F.count("_ret").over(frame), F.coalesce(F.avg("_ret").over(frame), F.lit(0.0))
+    squares = F.coalesce(F.var_pop("_ret").over(frame), F.lit(0.0)) * k + mean * mean * k * (n - k) / n
+    whole = (F.col("date_idx") - n >= F.min("_priced").over(_time().rangeBetween(Window.unboundedPreceding, 0))) & (F.count("_bad").over(frame) == 0)
+    return steps.withColumn("_vol", F.when(whole, F.sqrt(squares / (n - 1)))).drop("_before", "_ret", "_bad", "_priced")
+
+
+def _cells(steps: DataFrame, bars: DataFrame, at_bar: dict[str, Column], held: dict[str, Column]) -> DataFrame:
+    """A row for every date and ticker: ``at_bar`` values on the rows of bars alone, ``held`` ones from each row up to the next.
+
+    Cells are spread out last, row by row; dates are joined as a small table.
+    """
+    dates = date_index(bars)
+    steps = steps.select("ticker", "date_idx", "_bar", *(c.alias(name) for name, c in (at_bar | held).items()), F.lag("date_idx").over(_time()).alias("_last"), F.lead("date_idx").over(_time()).alias("_next"))
+    steps = steps.join(F.broadcast(dates.agg(F.max("date_idx").alias("_end"))))  # one row
+    low = F.when(F.col("_last").isNull(), 1).otherwise(F.col("date_idx"))
+    high = F.least(F.coalesce(F.col("_next") - 1, F.col("_end")), F.col("_end"))
+    # rows of one position (two steps) give cells once
+    spread = steps.where(F.coalesce(F.col("_next") > F.col("date_idx"), F.lit(True)) & (low <= high)).withColumn("_at", F.explode(F.sequence(low, high)))
+    mine = (F.col("_at") == F.col("date_idx")) & F.col("_bar")
+    values = [F.when(mine, F.col(c)).alias(c) for c in at_bar] + [F.when(F.col("_at") >= F.col("date_idx"), F.col(c)).alias(c) for c in held]
+    named = spread.select(F.col("_at").alias("date_idx"), "ticker", *values).join(F.broadcast(dates), "date_idx")
+    return named.select("date", "ticker", *at_bar, *held)
 
 
 def return_volatility(bars: DataFrame, n: int = 20, fill: str = "pad") -> DataFrame:
-    """Sample deviation of n returns on the dense grid; ``fill`` "pad" carries the last close over gaps, "none" leaves them."""
-    grid = _with_returns(dense_grid(bars), fill)
-    return grid.select("date", "ticker", _rolling(F.stddev_samp, "ret", n).alias("return_volatility"))
+    """Sample deviation of n returns at every date and ticker; ``fill`` "pad" carries the last close over gaps, "none" leaves them. Bars have distinct keys (see ``validate_panel``)."""
+    steps = _stepped(bars, n)
+    if fill == "pad":
+        steps = _padded_volatility(steps, n)
+    else:
+        # all n closes and the one before them are there: rows of bars alone
+        steps = steps.withColumn("_ret", ratio(F.col("close"), _at("close", -1)) - 1)
+        steps = steps.withColumn("_vol", _rolling(F.stddev_samp, "_ret", n))
+    return _cells(steps, bars, {}, {"return_volatility": F.col("_vol")})
 
 
 def _true_range() -> Column:
@@ -78,21 +128,14 @@ def volume_ratio(bars: DataFrame, short: int = 5, long: int = 60) -> DataFrame:
 
 def price_volume_factors(bars: DataFrame) -> DataFrame:
     """The three factors for every cell of the grid, from one window stage; without highs or lows (no column, or all null) returns give the volatility."""
-    missing = [c for c in ("high", "low") if c not in bars.columns]
-    if missing:
-        grid = _with_returns(dense_grid(bars))
-        volatility = _rolling(F.stddev_samp, "ret", 20)
-    else:
-        ranged = low_volatility_method(bars).select((F.col("method") == "atr_20d_over_close").alias("_ranged"))
-        grid = _with_returns(dense_grid(bars).withColumn("tr", _true_range())).join(F.broadcast(ranged))  # one row
-        volatility = F.when(F.col("_ranged"), ratio(_rolling(F.avg, "tr", 20), F.col("close"))).otherwise(_rolling(F.stddev_samp, "ret", 20))
-    return grid.select(
-        "date",
-        "ticker",
-        (ratio(F.col("close"), _at("close", -60)) - 1).alias("momentum_60d"),
-        volatility.alias("low_volatility_20d"),
-        ratio(_rolling(F.avg, "volume", 5), _rolling(F.avg, "volume", 60)).alias("volume_ratio_5d_60d"),
-    )
+    momentum_60d = ratio(F.col("close"), _at("close", -60)) - 1
+    volume_ratio_5d_60d = ratio(_rolling(F.avg, "volume", 5), _rolling(F.avg, "volume", 60))
+    if {"high", "low"} <= set(bars.columns) and low_volatility_method(bars).first()["method"] == "atr_20d_over_close":
+        steps = with_date_idx(bars).where("ticker is not null").withColumn("_bar", F.lit(True)).withColumn("tr", _true_range())
+        return _cells(steps, bars, {"momentum_60d": momentum_60d, "low_volatility_20d": ratio(_rolling(F.avg, "tr", 20), F.col("close")), "volume_ratio_5d_60d": volume_ratio_5d_60d}, {})
+    steps = _padded_volatility(_stepped(bars, 20), 20)
+    out = _cells(steps, bars, {"momentum_60d": momentum_60d, "volume_ratio_5d_60d": volume_ratio_5d_60d}, {"low_volatility_20d": F.col("_vol")})
+    return out.select("date", "ticker", "momentum_60d", "low_volatility_20d", "volume_ratio_5d_60d")
 
 
 def valuation_factors(valuation: DataFrame, default_as_of: str) -> DataFrame:
@@ -111,7 +154,7 @@ def weighted_rank(df: DataFrame, weights: dict[str, float], directions: dict[str
         raise ValueError("No factors to combine")
     # ten digits first: ties must not hang on the order of a sum
     ranked = df.select("*", *(rounded(F.col(f), 10).alias(f"_v_{f}") for f in weights))
-    ranked = ranked.select("*", *(pct_rank(F.col(f"_v_{f}"), [by], directions[f]).alias(f"_r_{f}") for f in weights))
+    ranked = with_pct_ranks(ranked, [by], {f"_r_{f}": (f"_v_{f}", directions[f]) for f in weights})
     top, low = F.lit(0.0), F.lit(0.0)
     for f, w in weights.items():
         r = F.col(f"_r_{f}")

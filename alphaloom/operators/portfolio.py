@@ -6,12 +6,14 @@ table, so a sensitivity grid is one plan and not a loop. Ranks are made once per
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alphaloom.functions.scalars import rounded
 from alphaloom.operators.factors import HISTORICAL
 from alphaloom.operators.panel import date_index
+from alphaloom.operators.ranks import must_spread, spread_ranks
 from alphaloom.operators.scoreboard import selected_factor_scores
 
 FREQUENCIES = ["daily", "weekly", "monthly"]
@@ -44,9 +46,12 @@ def calendars(bars: DataFrame, lag: int = 1, frequencies: list[str] = FREQUENCIE
     return days.where("execution_date is not null").select("signal_date", "execution_date", F.explode("_on").alias("rebalance_frequency"), F.lit(lag).alias("execution_lag_days"))
 
 
-def ranked_scores(composite: DataFrame, factor: str = HISTORICAL) -> DataFrame:
-    """date, ticker, factor_score, rank: best first, ties by ticker, null scores dropped."""
+def ranked_scores(composite: DataFrame, factor: str = HISTORICAL, spread: bool | None = None) -> DataFrame:
+    """date, ticker, factor_score, rank: best first, ties by ticker, null scores dropped. ``spread``: see ``with_pct_ranks``."""
     scored = selected_factor_scores(composite, factor).where("composite_score is not null")
+    if must_spread(scored, ["date"]) if spread is None else spread:
+        own = scored.select("date", "ticker", F.col("composite_score").alias("factor_score"), rounded(F.col("composite_score"), 10).alias("_v"))
+        return spread_ranks(own, ["date"], "_v", descending=True, ties=["ticker"]).select("date", "ticker", "factor_score", F.col("_position").cast("int").alias("rank"))
     order = Window.partitionBy("date").orderBy(rounded(F.col("composite_score"), 10).desc(), "ticker")
     return scored.select("date", "ticker", F.col("composite_score").alias("factor_score"), F.row_number().over(order).alias("rank"))
 
@@ -61,16 +66,32 @@ def topn_buffered(candidates: DataFrame) -> DataFrame:
     """Hold-until-drop: scenario, date, ticker of what is held.
 
     From each date to the next a holding stays while its rank is within drop_rank_buffer; then the
-    best ranks fill up to top_n. Only ranks up to the larger of the two can ever be held, so a
-    scenario's state is a short array per date, folded in date order; scenarios run in parallel.
+    best ranks fill up to top_n. Only ranks up to the larger of the two can ever be held, so a date is a short array
+    and the state is top_n names at most. Dates stream through in order, batch by batch, and the state goes
+    from one batch to the next: nothing holds all dates of a scenario. Scenarios run in parallel.
     """
     near = candidates.where(F.col("rank") <= F.greatest("top_n", "drop_rank_buffer"))
     days = near.groupBy("scenario", "top_n", "drop_rank_buffer", "date").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "ticker"))), lambda x: x["ticker"]).alias("ranked"))
-    runs = days.groupBy("scenario", "top_n", "drop_rank_buffer").agg(F.array_sort(F.collect_list(F.struct("date", "ranked"))).alias("days"))
-    step = """aggregate(days, named_struct('held', cast(array() as array<string>), 'out', cast(array() as array<struct<date:date,held:array<string>>>)),
-        (s, d) -> transform(array(slice(array_union(filter(slice(d.ranked, 1, drop_rank_buffer), t -> array_contains(s.held, t)), slice(d.ranked, 1, top_n)), 1, top_n)),
-                            h -> named_struct('held', h, 'out', array_append(s.out, named_struct('date', d.date, 'held', h))))[0]).out"""
-    return runs.select("scenario", F.inline(F.expr(step))).select("scenario", "date", F.explode("held").alias("ticker"))
+
+    # a function of its own names only, so that executors need nothing but it
+    def fold(batches):
+        run, held = None, []
+        for batch in batches:
+            names, dates, chosen = [], [], []
+            rows = batch.to_pydict()
+            for name, top, reach, date, ranked in zip(rows["scenario"], rows["top_n"], rows["drop_rank_buffer"], rows["date"], rows["ranked"]):
+                if name != run:
+                    run, held = name, []
+                kept = set(held)
+                stay = [t for t in ranked[:reach] if t in kept]
+                kept = set(stay)
+                held = (stay + [t for t in ranked[:top] if t not in kept])[:top]
+                names += [name] * len(held)
+                dates += [date] * len(held)
+                chosen += held
+            yield pa.RecordBatch.from_pydict({"scenario": names, "date": dates, "ticker": chosen}, schema=pa.schema([("scenario", pa.string()), ("date", pa.date32()), ("ticker", pa.string())]))
+
+    return days.repartition("scenario").sortWithinPartitions("scenario", "date").mapInArrow(fold, "scenario string, date date, ticker string")
 
 
 def topn_positions(composite: DataFrame, grid: DataFrame, calendar: DataFrame | None = None, factor: str = HISTORICAL, near_only: bool = False) -> DataFrame:

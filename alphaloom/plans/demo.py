@@ -45,11 +45,11 @@ def bars_d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars_s(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly bars by supplier: a panel whose tickers grow with the tables."""
+    """Bars by supplier for every day: a panel whose tickers grow with the tables."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     price = F.round(F.col("l_extendedprice") * 100).cast("long")
     trades = lines.select(F.col("l_shipdate").cast("date").alias("day"), F.col("l_suppkey").cast("string").alias("ticker"), F.round("l_quantity").cast("long").alias("q"), price.alias("c"))
-    return _bars(trades, F.date_trunc("month", "day").cast("date"))
+    return _bars(trades, F.col("day"))
 
 
 def valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,17 @@ def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(date.alias("Date"), F.concat(F.col("l_suppkey").cast("string"), F.lit(".TW")).alias("Code"), text.alias("Open"), text.alias("High"), text.alias("Low"), F.col("l_quantity").cast("string").alias("Close"), F.lit("1,000").alias("Volume"), F.lit("x").alias("Adj Close"))
 
 
+def raw_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ship dates as vendors write them: one column in many forms, months before days, and one with days before months."""
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    forms = ["yyyy/MM/dd", "M/d/yyyy", "MMM d, yyyy", "d MMMM yyyy", "yyyy.M.d", "MM-dd-yyyy HH:mm"]
+    kind = F.col("l_linenumber") % (len(forms) + 1)
+    mixed = F.when(kind == len(forms), F.lit("13/32/2024"))
+    for k, form in enumerate(forms):
+        mixed = mixed.when(kind == k, F.date_format("l_shipdate", form))
+    return t.select(mixed.alias("mixed"), F.date_format("l_shipdate", "d/M/yyyy").alias("european"))
+
+
 def raw_valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     size = F.col("p_size")

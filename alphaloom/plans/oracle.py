@@ -301,6 +301,35 @@ FINAL |= {
     "close_only_factors": f"""SELECT v.date, v.ticker, {r("p.momentum_60d")} AS momentum_60d, v.return_volatility AS low_volatility_20d, {r("p.volume_ratio_5d_60d")} AS volume_ratio_5d_60d, panel
       FROM ({FINAL["return_volatility"]}) v JOIN pv_w p ON v.date = p.date AND v.ticker = p.ticker CROSS JOIN (SELECT unnest(['close only', 'all null']) AS panel)""",
 }
+_HELD_RUN = "scenario = 'weekly'"
+PARTS |= {
+    "made": f"SELECT d.date_idx, max(m.date_idx) AS made FROM dates_d d JOIN (SELECT DISTINCT date_idx FROM al WHERE {_HELD_RUN}) m ON m.date_idx <= d.date_idx GROUP BY 1",
+    "keeps": f"SELECT made.date_idx, ticker, weight FROM made JOIN al ON al.date_idx = made.made WHERE {_HELD_RUN}",
+    "kept_moves": """SELECT date_idx, sum(greatest(d, 0)) AS buy, sum(greatest(-d, 0)) AS sell FROM (
+                     SELECT coalesce(a.date_idx, b.date_idx + 1) AS date_idx, coalesce(a.weight, 0) - coalesce(b.weight, 0) AS d FROM keeps a FULL JOIN keeps b ON a.ticker = b.ticker AND a.date_idx = b.date_idx + 1) GROUP BY 1""",
+    "kept_daily": """SELECT d.date, d.date_idx, coalesce((SELECT sum(k.weight * ret.ret) FROM keeps k JOIN ret ON ret.ticker = k.ticker AND ret.date_idx = k.date_idx + 1 WHERE ret.date_idx = d.date_idx), 0) AS gross,
+                     coalesce(buy, 0) AS buy, coalesce(sell, 0) AS sell, coalesce(e, 0) AS exposure FROM dates_d d LEFT JOIN kept_moves m ON m.date_idx = d.date_idx LEFT JOIN (SELECT date_idx, sum(weight) AS e FROM keeps GROUP BY 1) x ON x.date_idx = d.date_idx""",
+    "kept_net": "SELECT *, buy * rb + sell * rs AS cost_returns, gross - (buy * rb + sell * rs) AS returns FROM kept_daily JOIN costs ON cost = 'base_cost'",
+    "kept_curve": """SELECT *, equity / max(equity) OVER (ORDER BY date_idx) - 1 AS drawdown FROM (SELECT *, product(1 + returns) OVER (ORDER BY date_idx) * 1000000 AS equity FROM kept_net)""",
+}
+FINAL |= {
+    "backtest_held": f"SELECT date, {r('equity', 2)} AS equity, {_rs('returns drawdown')}, {r('gross')} AS gross_returns, {_rs('cost_returns')}, {r('buy + sell')} AS turnover, {_rs('exposure')} FROM kept_curve",
+    "asset_returns_unfilled": f"SELECT date, ticker, {r('coalesce(ret, 0)')} AS ret FROM (SELECT *, close / lag(close) OVER ({_T}) - 1 AS ret FROM grid_d) WHERE here",
+    "weights_next_trading_day": f"SELECT w.date, ticker, {r('target_weight')} AS target_weight, CAST(2 AS INTEGER) AS execution_lag_days, n.execution_date FROM weights w JOIN (SELECT date, lead(date, 2) OVER (ORDER BY date) AS execution_date FROM dates_d) n ON n.date = w.date WHERE scenario = 'run' AND n.execution_date IS NOT NULL",
+    "landed_array": """SELECT o_orderkey, o_custkey, o_totalprice, 'a "}" ' || chr(92) || ' ],{ of ' || o_orderstatus AS note FROM orders""",
+    "date_forms": "SELECT 'mixed' AS form, CASE WHEN l_linenumber % 7 <> 6 THEN CAST(l_shipdate AS DATE) END AS date, count(*) AS n_rows FROM lineitem GROUP BY 2 UNION ALL SELECT 'european', CAST(l_shipdate AS DATE), count(*) FROM lineitem GROUP BY 2",
+    "field_blocks": f"""SELECT row_block, column_block, CAST(max(n_rows) AS INTEGER) AS n_rows, CAST(max(n_columns) AS INTEGER) AS n_columns, CAST(count(close) AS INTEGER) AS n_values, {r("coalesce(sum(close), 0)", 2)} AS total
+      FROM (SELECT CAST((date_idx - 1) // 128 AS INTEGER) AS row_block, CAST((k - 1) // 16 AS INTEGER) AS column_block, close, least(128, max(date_idx) OVER () - (date_idx - 1) // 128 * 128) AS n_rows, least(16, max(k) OVER () - (k - 1) // 16 * 16) AS n_columns
+            FROM (SELECT *, dense_rank() OVER (ORDER BY ticker) AS k FROM grid_w)) GROUP BY 1, 2""",
+    "field_blocks_long": f"SELECT date, ticker AS asset, {r('close')} AS factor FROM grid_w",
+    "line_price_ranks": """SELECT year, cents, rank() OVER (PARTITION BY year ORDER BY cents DESC) AS first, rank() OVER (PARTITION BY year ORDER BY cents DESC) + k - 1 AS last, rank() OVER (PARTITION BY year ORDER BY cents DESC) + (k - 1) / 2.0 AS average,
+      rank() OVER (PARTITION BY year ORDER BY cents DESC) + (k - 1) / 2.0 AS same, n_lines FROM (SELECT *, count(*) OVER (PARTITION BY year, cents) AS k, count(*) OVER (PARTITION BY year) AS n_lines FROM (
+      SELECT CAST(year(l_shipdate) AS INTEGER) AS year, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem)) QUALIFY row_number() OVER (PARTITION BY year, cents) = 1""",
+    "rank_factor_spread": FINAL["rank_factor_low"],
+    "rank_ic_spread": FINAL["rank_ic"],
+    "factor_quantiles_spread": FINAL["factor_quantiles"],
+    "ranked_scores_spread": f"SELECT * REPLACE ({r('factor_score')} AS factor_score) FROM ranked",
+}
 PARTS["here_mom"] = "SELECT date, ticker, momentum FROM mom WHERE here"
 PARTS["off_mom"] = "SELECT CAST(date + 1 AS DATE) AS date, ticker, momentum FROM mom WHERE here"
 
@@ -329,8 +358,8 @@ def statements() -> dict[str, str]:
 
 
 def statements_by_supplier(names: list[str]) -> dict[str, str]:
-    """The same statements over monthly bars by supplier."""
-    bars = _bars("CAST(l_suppkey AS VARCHAR)", "CAST(date_trunc('month', day) AS DATE)", parts="")
+    """The same statements over bars by supplier for every day."""
+    bars = _bars("CAST(l_suppkey AS VARCHAR)", "day", parts="")
     every = statements()
     return {f"{n}_by_supplier": every[n].replace(PARTS["bars_w"], bars).replace(PARTS["bars_d"], bars) for n in names}
 

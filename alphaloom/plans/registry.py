@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +15,10 @@ from alphaloom.operators import panel as P
 from alphaloom.operators import portfolio as G
 from alphaloom.operators import quality as Q
 from alphaloom.operators import scoreboard as R
+from alphaloom.operators.ranks import spread_ranks
 from alphaloom.plans import demo, oracle
 from alphaloom.sources import tables as T
+from alphaloom.sources.scratch import scratch, stored
 
 HORIZONS, TOP, BUFFER, GRID = [1, 5, 20], 5, 8, [3, 5, 10, 30]
 MODELS = [B.CostModel("no_cost", 0.0, 0.0, 0.0, 0.0), B.CostModel("half_cost", 0.0007125, 0.0007125, 0.0015, 0.0005), B.CostModel(), B.CostModel("high_cost", 0.00285, 0.00285, 0.006, 0.002)]
@@ -30,16 +30,6 @@ def _r(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: S.rounded(F.col(c), 6) for c in columns})
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share; a temporary one only where none is named and Spark is local."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="alphaloom-")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
-
-
 class Case:
     """Inputs of one query, built when asked for.
 
@@ -57,9 +47,7 @@ class Case:
         if name not in self._made:
             if not keep:
                 return make()
-            df, path = make(), _scratch(self.spark, name)
-            df.write.parquet(path)
-            self._made[name] = self.spark.read.schema(df.schema).parquet(path)
+            self._made[name] = stored(make(), name)
         return self._made[name]
 
     def read(self, name: str) -> DataFrame:
@@ -167,18 +155,18 @@ def manifest_upsert(c: Case) -> DataFrame:
 
 def manifest_append(c: Case) -> DataFrame:
     """Two rounds into one stored manifest."""
-    named, path = _named(c), _scratch(c.spark, "manifest")
+    named, path = _named(c), scratch(c.spark, "manifest")
     T.append_manifest(c.spark, path, T.manifest({k: named[k] for k in ("nation", "ohlcv")}, "0.9", created_at="2023-01-01"))
     return T.append_manifest(c.spark, path, T.manifest({k: named[k] for k in ("ohlcv", "valuation")}, "1.0", created_at="2024-01-01")).drop("source_inputs")
 
 
 def parquet_round_trip(c: Case) -> DataFrame:
-    return T.load(c.spark, T.save(c.read("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), _scratch(c.spark, "orders")))
+    return T.load(c.spark, T.save(c.read("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), scratch(c.spark, "orders")))
 
 
 def landed_json(c: Case) -> DataFrame:
     """Suppliers landed as one JSON array per nation, and read back."""
-    path = _scratch(c.spark, "landed")
+    path = scratch(c.spark, "landed")
     rows = c.read("supplier").select("s_nationkey", F.struct("s_suppkey", "s_name", "s_acctbal").alias("r"))
     arrays = rows.groupBy("s_nationkey").agg(F.to_json(F.collect_list("r")).alias("value"))
     arrays.repartition("s_nationkey").write.partitionBy("s_nationkey").text(path)
@@ -209,6 +197,30 @@ def date_coerce(c: Case) -> DataFrame:
     return demo.raw_bars(c.spark, c.dir).select(F.col("Date").alias("raw"), S.to_date_lenient(F.col("Date")).alias("date")).distinct()
 
 
+def date_forms(c: Case) -> DataFrame:
+    """Both columns of dates, each read in the order that its values vote for."""
+    raw = demo.raw_dates(c.spark, c.dir)
+    out = None
+    for name in ("mixed", "european"):
+        bars = T.normalize_ohlcv(raw.select(F.col(name).alias("Date"), F.col(name).alias("Code"))).select(F.lit(name).alias("form"), "date")
+        out = bars if out is None else out.unionByName(bars)
+    return out.groupBy("form", "date").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def landed_array(c: Case) -> DataFrame:
+    """All orders landed as one JSON array in one file, with inner objects and with braces and quotes in texts, and read back in splits."""
+    path = scratch(c.spark, "array")
+    note = F.concat(F.lit('a "}" \\ ],{ of '), "o_orderstatus")
+    rows = c.read("orders").select("o_orderkey", F.to_json(F.struct("o_orderkey", "o_custkey", F.struct("o_totalprice", note.alias("note")).alias("more"))).alias("j"))
+    first = rows.agg(F.min("o_orderkey").alias("_first"))
+    head = F.col("o_orderkey") == F.col("_first")
+    pieces = rows.join(F.broadcast(first)).select(head.alias("head"), F.concat(F.when(head, "[").otherwise(","), "j").alias("value"))
+    end = c.spark.createDataFrame([("]",)], "value string")
+    pieces.where("head").select("value").unionByName(pieces.where("not head").select("value")).unionByName(end).coalesce(1).write.text(path)
+    back = T.read_landed_json(c.spark, path, "o_orderkey long, o_custkey long, more struct<o_totalprice:double,note:string>")
+    return back.select("o_orderkey", "o_custkey", "more.o_totalprice", "more.note")
+
+
 def normalize_ohlcv(c: Case) -> DataFrame:
     rows = T.normalize_ohlcv(demo.raw_bars(c.spark, c.dir))
     return rows.groupBy(*T.BARS).agg(F.count(F.lit(1)).alias("n_rows"))
@@ -236,9 +248,27 @@ def unpivot_factor(c: Case) -> DataFrame:
     return _r(P.unpivot_factor(field_matrix(c)), "factor")
 
 
+def field_blocks(c: Case) -> DataFrame:
+    """The close matrix in blocks, each summed up."""
+    blocks = P.field_blocks(c.wi(), "close", 128, 16).blocks
+    total = F.aggregate(F.filter("values", lambda v: v.isNotNull()), F.lit(0.0), lambda s, v: s + v)
+    return blocks.select("row_block", "column_block", "n_rows", "n_columns", F.size(F.filter("values", lambda v: v.isNotNull())).alias("n_values"), S.rounded(total, 2).alias("total"))
+
+
+def field_blocks_long(c: Case) -> DataFrame:
+    return _r(P.field_blocks(c.wi(), "close", 128, 16).to_long(), "factor")
+
+
 # --- D: factors
 
 
+def line_price_ranks(c: Case) -> DataFrame:
+    """Lines ranked by price within their ship year, by ranges: cross-sections that grow with the tables."""
+    lines = c.read("lineitem").select(F.year("l_shipdate").alias("year"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), "l_orderkey", "l_linenumber")
+    ranked = spread_ranks(lines, ["year"], "cents", descending=True, ties=["l_orderkey", "l_linenumber"])
+    return ranked.groupBy("year", "cents").agg(F.min("_position").alias("first"), F.max("_position").alias("last"), F.min("_average").alias("average"), F.max("_average").alias("same"), F.max("_count").alias("n_lines"))
+
+
 def close_only_factors(c: Case) -> DataFrame:
     """The factor frame of a panel without highs and lows, and of one where they are all null."""
     bare = X.price_volume_factors(c.w().drop("high", "low")).withColumn("panel", F.lit("close only"))
@@ -251,8 +281,8 @@ def low_volatility_method(c: Case) -> DataFrame:
     return X.low_volatility_method(c.w()).withColumn("panel", F.lit("full")).unionByName(X.low_volatility_method(bare).withColumn("panel", F.lit("close only")))
 
 
-def _ranked(c: Case, direction: str) -> DataFrame:
-    return _r(S.rank_factor(c.w().select("date", "ticker", F.when(F.col("volume") > 100, F.col("close")).alias("value")), "value", "date", direction), "rank", "value")
+def _ranked(c: Case, direction: str, spread: bool | None = None) -> DataFrame:
+    return _r(S.rank_factor(c.w().select("date", "ticker", F.when(F.col("volume") > 100, F.col("close")).alias("value")), "value", "date", direction, spread), "rank", "value")
 
 
 FACTORS = ["momentum_60d", "low_volatility_20d", "volume_ratio_5d_60d"]
@@ -283,6 +313,20 @@ def aligned_weights(c: Case) -> DataFrame:
     return _r(c.aligned().join(P.date_index(c.d()), "date_idx").select("date", "ticker", "weight"), "weight")
 
 
+def weights_next_trading_day(c: Case) -> DataFrame:
+    weights = G.equal_weights(c.positions(), 2, "trading_day", c.d())
+    return _r(weights.drop("scenario"), "target_weight")
+
+
+def backtest_held(c: Case) -> DataFrame:
+    """Weekly signals whose weights are held until the next ones."""
+    grid = c.grid([("weekly", TOP, "weekly", False, 30)])
+    weights = c._once("held", lambda: G.equal_weights(G.topn_positions(c.scores(False), grid, G.calendars(c.d()), near_only=True)))
+    out = B.backtest(c.d(), weights, grid, B.cost_scenarios_df(c.spark, [B.CostModel()]), hold="ffill")[0]
+    out = out.select("date", "equity", "returns", "drawdown", "gross_returns", "cost_returns", "turnover", "exposure").withColumn("equity", S.rounded(F.col("equity"), 2))
+    return _r(out, "returns", "drawdown", "gross_returns", "cost_returns", "turnover", "exposure")
+
+
 def cost_model(c: Case) -> DataFrame:
     """What each model costs the orders' lines, bought and sold once."""
     costs = B.cost_scenarios_df(c.spark, MODELS)
@@ -375,6 +419,8 @@ QUERIES: dict[str, Callable[[Case], DataFrame]] = {
     "manifest_append": manifest_append,
     "parquet_round_trip": parquet_round_trip,
     "landed_json": landed_json,
+    "landed_array": landed_array,
+    "date_forms": date_forms,
     "numeric_suffixes": numeric_suffixes,
     "close_only_factors": close_only_factors,
     "clean_ticker": clean_ticker,
@@ -388,6 +434,13 @@ QUERIES: dict[str, Callable[[Case], DataFrame]] = {
     "dense_grid": dense_grid,
     "field_matrix": field_matrix,
     "unpivot_factor": unpivot_factor,
+    "field_blocks": field_blocks,
+    "field_blocks_long": field_blocks_long,
+    "line_price_ranks": line_price_ranks,
+    "rank_factor_spread": lambda c: _ranked(c, S.LOWER, True),
+    "rank_ic_spread": lambda c: _r(A.rank_ic(c.factors(), c.fwd(), True), "ic"),
+    "factor_quantiles_spread": lambda c: _r(A.factor_quantiles(c.factors(), spread=True), "factor_value"),
+    "ranked_scores_spread": lambda c: _r(G.ranked_scores(c.scores(), spread=True), "factor_score"),
     "momentum": lambda c: _r(X.momentum(c.wi()), "momentum"),
     "return_volatility": lambda c: _r(X.return_volatility(c.wi()), "return_volatility"),
     "atr_over_close": lambda c: _r(X.atr_over_close(c.wi()), "atr_over_close"),
@@ -424,6 +477,9 @@ QUERIES: dict[str, Callable[[Case], DataFrame]] = {
     "calendar_monthly": lambda c: G.rebalance_calendar(c.d(), "monthly", 2),
     "cost_model": cost_model,
     "aligned_weights": aligned_weights,
+    "asset_returns_unfilled": lambda c: _r(B.asset_returns(c.d(), "none").drop("date_idx"), "ret"),
+    "weights_next_trading_day": weights_next_trading_day,
+    "backtest_held": backtest_held,
     "asset_returns": lambda c: _r(B.asset_returns(c.d()).drop("date_idx"), "ret"),
     "gross_returns": lambda c: _per_date(c, B.gross_returns(c.aligned(), B.asset_returns(c.d())), "gross"),
     "turnover_daily": lambda c: _per_date(c, B.turnover_daily(c.aligned()), "buy", "sell"),
@@ -455,7 +511,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Queries that also run on the panel of suppliers, whose number of tickers grows with the tables.
-BY_SUPPLIER = ["dense_grid", "return_volatility", "price_volume_factors", "historical_composite", "forward_returns", "rank_ic", "ic_summary", "factor_quantiles", "quantile_returns", "bucket_turnover", "monotonicity", "topn_positions", "topn_buffered", "equal_weights", "asset_returns"]
+BY_SUPPLIER = [
+    "dense_grid", "field_blocks", "field_blocks_long", "momentum", "return_volatility", "atr_over_close", "volume_ratio", "price_volume_factors", "close_only_factors", "historical_composite", "forward_returns", "rank_ic", "ic_summary",
+    "factor_quantiles", "quantile_returns", "bucket_turnover", "monotonicity", "topn_positions", "topn_buffered", "equal_weights", "asset_returns", "asset_returns_unfilled", "backtest_results", "backtest_metrics", "backtest_held", "cost_scenarios",
+    "topn_sensitivity", "rebalance_sensitivity",
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import os
+import random
 import re
+import tempfile
+import time
+import uuid
 from datetime import UTC, datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from alphaloom.functions.scalars import clean_ticker, numeric, to_date_lenient
+from alphaloom.functions.scalars import clean_ticker, day_first, numeric, to_date_lenient
+from alphaloom.sources.json_arrays import read_landed_json  # noqa: F401
 
 MANIFEST = "artifact_name string, path string, row_count long, column_count long, source_inputs array<string>, schema_version string, created_at string, notes string"
 BARS = ["date", "ticker", "open", "high", "low", "close", "volume"]
@@ -44,18 +50,6 @@ def save(df: DataFrame, path: str) -> str:
     return path
 
 
-def read_landed_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Files that each hold one JSON array of objects. A payload that is no array, or has no rows, is an error."""
-    whole = spark.read.option("wholetext", True).text(path)
-    if not whole.where(~F.btrim("value", F.lit(" \t\n\r")).startswith("[")).isEmpty():
-        raise ValueError("Landed payload is not a JSON array")
-    reader = spark.read.option("multiLine", True)
-    df = (reader.schema(schema) if schema is not None else reader).json(path)
-    if not df.columns or df.isEmpty():
-        raise ValueError("Landed payload has no rows")
-    return df
-
-
 def _snake(name: str) -> str:
     spaced = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name.strip())
     return re.sub(r"[^0-9a-zA-Z一-鿿]+", "_", spaced).strip("_").lower()
@@ -76,20 +70,27 @@ def normalize_universe(df: DataFrame) -> DataFrame:
     """ticker, company_name, industry, market (blank means TWSE), listed_date."""
     raw = {f: resolve_column(df, names) for f, names in UNIVERSE_ALIASES.items()}
     market = raw["market"].cast("string")
+    df, days_lead = _voted(df, raw["listed_date"])
     return df.select(
         clean_ticker(raw["ticker"]).alias("ticker"),
         raw["company_name"].cast("string").alias("company_name"),
         raw["industry"].cast("string").alias("industry"),
         F.coalesce(F.when(market != "", market), F.lit("TWSE")).alias("market"),
-        to_date_lenient(raw["listed_date"]).alias("listed_date"),
+        to_date_lenient(raw["listed_date"], days_lead).alias("listed_date"),
     )
 
 
+def _voted(df: DataFrame, raw: Column) -> tuple[DataFrame, Column]:
+    """``df`` with one column more, the same in all rows: do days lead in the dates of ``raw``?"""
+    return df.join(F.broadcast(df.agg(day_first(raw).alias("_days_lead")))), F.col("_days_lead")  # one row
+
+
 def _dated(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     """date, ticker and numbers, by their aliases."""
     raw = {f: resolve_column(df, names) for f, names in aliases.items()}
     values = [numeric(c).alias(f) for f, c in raw.items() if f not in ("date", "ticker")]
-    return df.select(to_date_lenient(raw["date"]).alias("date"), clean_ticker(raw["ticker"]).alias("ticker"), *values)
+    df, days_lead = _voted(df, raw["date"])
+    return df.select(to_date_lenient(raw["date"], days_lead).alias("date"), clean_ticker(raw["ticker"]).alias("ticker"), *values)
 
 
 def normalize_valuation(df: DataFrame) -> DataFrame:
@@ -143,22 +144,67 @@ def manifest_upsert(current: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r", "_v")
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Versions of a stored manifest; none if there is no such folder."""
+def _store(spark: SparkSession, path: str):
+    """File system and path, in any store that Spark reaches."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    store = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [f.getPath().getName() for f in store.listStatus(hadoop)] if store.exists(hadoop) else []
-    return sorted(int(n[8:]) for n in names if n.startswith("version=") and store.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def _put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a file with ``text``, whole, unless there is one; one of several writers at most is told True."""
+    store, hadoop = _store(spark, path)
+    if store.getUri().getScheme() == "file":  # its exclusive creation is a check and a write; a hard link is one step
+        own = hadoop.toUri().getPath()
+        with tempfile.NamedTemporaryFile("w", dir=os.path.dirname(own), prefix=".") as made:
+            made.write(text)
+            made.flush()
+            try:
+                os.link(made.name, own)
+            except FileExistsError:
+                return False
+        return True
+    try:
+        out = store.create(hadoop, False)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def _latest(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """Number and folder of a manifest's latest version; 0 if there is none. A file that is still empty is being written."""
+    store, hadoop = _store(spark, f"{path}/versions")
+    files = [f for f in (store.listStatus(hadoop) if store.exists(hadoop) else []) if f.getPath().getName().isdigit() and f.getLen()]
+    if not files:
+        return 0, None
+    last = max(files, key=lambda f: int(f.getPath().getName())).getPath()
+    return int(last.getName()), spark.read.text(last.toString()).first()["value"]
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The entries of the latest complete version; no entries if nothing was written yet."""
-    found = _versions(spark, path)
-    return spark.read.schema(MANIFEST).json(f"{path}/version={found[-1]}") if found else spark.createDataFrame([], MANIFEST)
-
-
-def append_manifest(spark: SparkSession, path: str, entries: DataFrame) -> DataFrame:
-    """Merge ``entries`` into the stored manifest, by artifact_name, as a new version of it; readers never see half of one."""
-    found = _versions(spark, path)
-    manifest_upsert(read_manifest(spark, path), entries).coalesce(1).write.json(f"{path}/version={found[-1] + 1 if found else 1}")
-    return read_manifest(spark, path)
+    """The entries of the latest version; no entries if nothing was written yet."""
+    _, folder = _latest(spark, path)
+    return spark.read.schema(MANIFEST).json(f"{path}/{folder}") if folder else spark.createDataFrame([], MANIFEST)
+
+
+def append_manifest(spark: SparkSession, path: str, entries: DataFrame, tries: int = 50) -> DataFrame:
+    """Merge ``entries`` into the stored manifest, by artifact_name, as a new version of it; readers never see half of one.
+
+    Writers may come together: a version is a file that only one of them can make, naming the folder of its
+    entries. Who comes late takes what the other wrote, merges again and tries for the next number, so no entry is lost.
+    """
+    store, hadoop = _store(spark, f"{path}/versions")
+    store.mkdirs(hadoop)
+    for k in range(tries):
+        number, _ = _latest(spark, path)
+        folder = f"entries-{uuid.uuid4().hex}"
+        manifest_upsert(read_manifest(spark, path), entries).coalesce(1).write.json(f"{path}/{folder}")
+        if _latest(spark, path)[0] == number and _put_if_absent(spark, f"{path}/versions/{number + 1:08}", folder):
+            return spark.read.schema(MANIFEST).json(f"{path}/{folder}")
+        own, made = _store(spark, f"{path}/{folder}")
+        own.delete(made, True)
+        time.sleep(random.uniform(0, 0.05 * (k + 1)))
+    raise RuntimeError(f"manifest {path}: other writers came first {tries} times")
