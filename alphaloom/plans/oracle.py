@@ -318,7 +318,7 @@ FINAL |= {
     "weights_next_trading_day": f"SELECT w.date, ticker, {r('target_weight')} AS target_weight, CAST(2 AS INTEGER) AS execution_lag_days, n.execution_date FROM weights w JOIN (SELECT date, lead(date, 2) OVER (ORDER BY date) AS execution_date FROM dates_d) n ON n.date = w.date WHERE scenario = 'run' AND n.execution_date IS NOT NULL",
     "landed_array": """SELECT o_orderkey, o_custkey, o_totalprice, 'a "}" ' || chr(92) || ' ],{ of ' || o_orderstatus AS note FROM orders""",
     "date_forms": "SELECT 'mixed' AS form, CASE WHEN l_linenumber % 7 <> 6 THEN CAST(l_shipdate AS DATE) END AS date, count(*) AS n_rows FROM lineitem GROUP BY 2 UNION ALL SELECT 'european', CAST(l_shipdate AS DATE), count(*) FROM lineitem GROUP BY 2",
-    "field_blocks": f"""SELECT row_block, column_block, CAST(max(n_rows) AS INTEGER) AS n_rows, CAST(max(n_columns) AS INTEGER) AS n_columns, CAST(count(close) AS INTEGER) AS n_values, {r("coalesce(sum(close), 0)", 2)} AS total
+    "field_blocks": f"""SELECT row_block, column_block, CAST(max(n_rows) AS INTEGER) AS n_rows, CAST(max(n_columns) AS INTEGER) AS n_columns, CAST(count(close) AS INTEGER) AS n_values, coalesce(sum(CAST(round(close * 10000) AS BIGINT)), 0)::BIGINT AS total
       FROM (SELECT CAST((date_idx - 1) // 128 AS INTEGER) AS row_block, CAST((k - 1) // 16 AS INTEGER) AS column_block, close, least(128, max(date_idx) OVER () - (date_idx - 1) // 128 * 128) AS n_rows, least(16, max(k) OVER () - (k - 1) // 16 * 16) AS n_columns
             FROM (SELECT *, dense_rank() OVER (ORDER BY ticker) AS k FROM grid_w)) GROUP BY 1, 2""",
     "field_blocks_long": f"SELECT date, ticker AS asset, {r('close')} AS factor FROM grid_w",

@@ -251,8 +251,8 @@ def unpivot_factor(c: Case) -> DataFrame:
 def field_blocks(c: Case) -> DataFrame:
     """The close matrix in blocks, each summed up."""
     blocks = P.field_blocks(c.wi(), "close", 128, 16).blocks
-    total = F.aggregate(F.filter("values", lambda v: v.isNotNull()), F.lit(0.0), lambda s, v: s + v)
-    return blocks.select("row_block", "column_block", "n_rows", "n_columns", F.size(F.filter("values", lambda v: v.isNotNull())).alias("n_values"), S.rounded(total, 2).alias("total"))
+    total = F.aggregate(F.filter("values", lambda v: v.isNotNull()), F.lit(0).cast("long"), lambda s, v: s + F.round(v * 10_000).cast("long"))
+    return blocks.select("row_block", "column_block", "n_rows", "n_columns", F.size(F.filter("values", lambda v: v.isNotNull())).alias("n_values"), total.alias("total"))
 
 
 def field_blocks_long(c: Case) -> DataFrame:
