@@ -12,7 +12,8 @@ Banding. ROWS bins make a band; texts that agree on a band are candidates. With
 at exactly 0.75 has no common band with probability (1 - 0.75**5)**56 < 3e-7; this is the only way
 to lose one.
 
-Verification. Documents with equal sets are one class first, so copies cost nothing more. A bucket is
+Verification. Documents with equal sets are one class first, so copies cost nothing more; from then on classes, by
+numbers of their own, are what is compared and connected, and rows that share a doc_id connect their classes. A bucket is
 the classes that agree on one band. Each class is compared with its buckets' smallest class, the hub,
 which is linear in the buckets: a hub's set is held while the others stream by, and a hub with many
 others is dealt into parts of STAR_DOCS. What that links is contracted into components. Buckets that
@@ -23,8 +24,8 @@ verified on full sets, so its output is linear in the documents that it saw. Onl
 chains of buckets between texts that are not alike bring nothing together.
 
 Defined cases: a null or empty text, or one without words, has no shingles, links with nothing and
-is kept; a text of fewer words than a shingle is one shingle; repeated rows with one doc_id count as
-one document per row, all in one component with equal texts; a null doc_id cannot be named in a
+is kept; a text of fewer words than a shingle is one shingle; rows that share a doc_id are each in the
+result and all in one component, with everything that any of their texts links to (rows without shingles aside); a null doc_id cannot be named in a
 component: such a row is dropped, or with ``nameless`` returned with a null component and kept, and it is
 no node of the graph; other columns are ignored; an empty table gives an empty result.
 """
@@ -87,7 +88,7 @@ def _summaries(batches):
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
         sets = shingle_sets(split_words(data, offsets, lower=True), SHINGLE)
-        marks = np.array([[np.add.reduce(s), np.add.reduce(mix(s ^ U(77)))] if len(s) else (0, 0) for s in sets], U).reshape(-1, 2).astype(np.int64)
+        marks = _marks(sets)
         keys = [band_keys(sketch(s)) if len(s) else s for s in sets]
         sizes = np.array([len(k) for k in keys], np.int32)
         values = np.concatenate(keys).astype(np.int64) if len(keys) else np.zeros(0, np.int64)
@@ -97,13 +98,19 @@ def _summaries(batches):
         )
 
 
+def _marks(sets: list[np.ndarray]) -> np.ndarray:
+    """Two fingerprints of each set."""
+    return np.array([[np.add.reduce(s), np.add.reduce(mix(s ^ U(77)))] if len(s) else (0, 0) for s in sets], U).reshape(-1, 2).astype(np.int64)
+
+
 def _sets(batches):
-    """The routes of each document, with its set as bytes."""
+    """Rows (class, mark1, mark2, routes, text) to the routes of each class, with its set as bytes; a text of another class that shares the doc_id is passed by."""
     for batch in batches:
-        data, offsets = text_bytes(batch.column(batch.schema.get_field_index("text")))
+        data, offsets = text_bytes(batch.column(4))
         sets = shingle_sets(split_words(data, offsets, lower=True), SHINGLE)
-        keep = batch.drop_columns(["text"])
-        yield pa.RecordBatch.from_arrays([*keep.columns, pa.array([s.tobytes() for s in sets], pa.binary())], [*keep.schema.names, "shingles"])
+        own = pa.array((_marks(sets) == np.column_stack((np.asarray(batch.column(1)), np.asarray(batch.column(2))))).all(axis=1))
+        out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "routes", "shingles"])
+        yield out.filter(own)
 
 
 def _forest(ids: list[int], sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -159,7 +166,7 @@ def _forest(ids: list[int], sets: list[np.ndarray], left: np.ndarray, right: np.
 
 
 def _links(batches):
-    """Sorted rows (key, x, y, side, doc_id, shingles) to edges, one group in memory at a time; side 0: left, 1: right, 2: both."""
+    """Sorted rows (key, x, y, side, class, shingles) to edges, one group in memory at a time; side 0: left, 1: right, 2: both."""
     held: tuple | None = None
     ids: list[int] = []
     sides: list[int] = []
@@ -183,7 +190,7 @@ def _links(batches):
 
 
 def _star_links(batches):
-    """Sorted rows (hub, part, y, side, doc_id, shingles), the hub itself first in each part: its verified edges."""
+    """Sorted rows (hub, part, y, side, class, shingles), the hub itself first in each part: its verified edges."""
     held, hub = None, np.zeros(0, U)
     for batch in batches:
         keys, parts, sides = (np.asarray(batch.column(i)) for i in (0, 1, 3))
@@ -212,13 +219,15 @@ def _star_links(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
 
 
-_ROUTES = "doc_id long, routes array<struct<key:long,x:int,y:int,side:int>>, shingles binary"
+_ROUTES = "cls long, routes array<struct<key:long,x:int,y:int,side:int>>, shingles binary"
 
 
-def _verified(docs: DataFrame, routes: DataFrame, compare) -> DataFrame:
-    """Edges among documents that ``routes`` (doc_id, routes: array of (key, x, y, side)) brings together in tasks."""
-    sets = docs.join(routes, "doc_id").select("doc_id", "routes", "text").mapInArrow(_sets, _ROUTES)
-    dealt = sets.select("doc_id", "shingles", F.explode("routes").alias("r")).select("r.key", "r.x", "r.y", "r.side", "doc_id", "shingles")
+def _verified(docs: DataFrame, classes: DataFrame, routes: DataFrame, compare) -> DataFrame:
+    """Edges among classes that ``routes`` (cls, routes: array of (key, x, y, side)) brings together in tasks."""
+    own = routes.join(classes.select("cls", F.col("rep").alias("doc_id"), "mark1", "mark2"), "cls")
+    sets = docs.join(own, "doc_id").select("cls", "mark1", "mark2", "routes", "text").mapInArrow(_sets, _ROUTES)
+    # rows of one id and one text are one class once
+    dealt = sets.select("cls", "shingles", F.explode("routes").alias("r")).select("r.key", "r.x", "r.y", "r.side", "cls", "shingles")
     return dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side").mapInArrow(compare, "a long, b long")
 
 
@@ -227,21 +236,21 @@ def _route(key: str, x: Column, y: Column, side: Column) -> Column:
 
 
 def _stars(shared: DataFrame) -> DataFrame:
-    """Routes that bring each document to its buckets' hubs."""
+    """Routes that bring each class to its buckets' hubs."""
     zero = F.lit(0)
-    near = shared.where("doc_id <> hub").select("doc_id", "hub").distinct()
+    near = shared.where("cls <> hub").select("cls", "hub").distinct()
     parts = near.groupBy("hub").agg(F.ceil(F.count("*") / STAR_DOCS).cast("int").alias("parts"))
-    spokes = near.join(parts, "hub").select("doc_id", _route("hub", F.expr("pmod(xxhash64(doc_id), parts)"), zero, F.lit(1)).alias("r"))
-    spokes = spokes.groupBy("doc_id").agg(F.collect_list("r").alias("routes"))
-    hubs = parts.select(F.col("hub").alias("doc_id"), F.transform(F.sequence(zero, F.col("parts") - 1), lambda x: _route("hub", x, zero, zero)).alias("routes"))
+    spokes = near.join(parts, "hub").select("cls", _route("hub", F.expr("pmod(xxhash64(cls), parts)"), zero, F.lit(1)).alias("r"))
+    spokes = spokes.groupBy("cls").agg(F.collect_list("r").alias("routes"))
+    hubs = parts.select(F.col("hub").alias("cls"), F.transform(F.sequence(zero, F.col("parts") - 1), lambda x: _route("hub", x, zero, zero)).alias("routes"))
     return spokes.unionByName(hubs)
 
 
 def _open_buckets(spark: SparkSession, shared: DataFrame, found: DataFrame) -> tuple[DataFrame | None, list[DataFrame]]:
-    """Routes (if any bucket is open) that compare, in each bucket of several components, the documents outside the largest one with all others, and the tables that they read."""
-    mark = [F.xxhash64("doc_id", F.lit(k)) for k in (1, 2)]
-    parts = shared.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    parts = written(spark, parts.select("band", "doc_id", "n_shingles", "component"), "parts")
+    """Routes (if any bucket is open) that compare, in each bucket of several components, the classes outside the largest one with all others, and the tables that they read."""
+    mark = [F.xxhash64("cls", F.lit(k)) for k in (1, 2)]
+    parts = shared.join(found.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    parts = written(spark, parts.select("band", "cls", "n_shingles", "component"), "parts")
     buckets = parts.groupBy("band").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("load"), F.min("component").alias("low"), F.max("component").alias("high"), *(F.bit_xor(m).alias(f"m{k}") for k, m in enumerate(mark)))
     once = buckets.where("docs > 2 and low < high").groupBy("m0", "m1", "docs", "load").agg(F.min("band").alias("band")).select("band", "docs", "load")
     once = written(spark, once, "open")
@@ -254,12 +263,12 @@ def _open_buckets(spark: SparkSession, shared: DataFrame, found: DataFrame) -> t
     shape = main.select("band", F.col("m.component").alias("main"), blocks.alias("blocks"), F.ceil((F.col("docs") - F.col("m.n")) * blocks / F.col("docs")).cast("int").alias("minors"))
     shape = written(spark, shape, "shape")
     joined = rows.join(shape, "band").withColumn("outside", F.col("component") != F.col("main"))
-    block, mine = F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"), F.expr("cast(pmod(xxhash64(doc_id, 1), minors) as int)")
-    # task (x, y): the documents of outside block x against block y of the whole bucket
+    block, mine = F.expr("cast(pmod(xxhash64(cls), blocks) as int)"), F.expr("cast(pmod(xxhash64(cls, 1), minors) as int)")
+    # task (x, y): the classes of outside block x against block y of the whole bucket
     right = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda x: _route("band", x, block, F.when(F.col("outside") & (x == mine), 2).otherwise(1)))
     left = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: y != block), lambda y: _route("band", mine, y, F.lit(0)))
-    routes = joined.select("doc_id", F.when(F.col("outside"), F.concat(right, left)).otherwise(right).alias("routes"))
-    return routes.groupBy("doc_id").agg(F.flatten(F.collect_list("routes")).alias("routes")), [parts, once, rows, shape]
+    routes = joined.select("cls", F.when(F.col("outside"), F.concat(right, left)).otherwise(right).alias("routes"))
+    return routes.groupBy("cls").agg(F.flatten(F.collect_list("routes")).alias("routes")), [parts, once, rows, shape]
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, nameless: bool = False) -> DataFrame:
@@ -271,25 +280,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, nameless: bool = False
     seen = written(spark, docs.mapInArrow(_summaries, "doc_id long, n_shingles long, mark1 long, mark2 long, bands array<long>"), "sketches")
     key = ["mark1", "mark2", "n_shingles"]
     filled = seen.where("n_shingles > 0 and doc_id is not null")
-    classes = written(spark, filled.groupBy(key).agg(F.min("doc_id").alias("rep")), "reps")
-    member = written(spark, filled.select("doc_id", *key).join(classes, key).select("doc_id", "n_shingles", "rep"), "classes")
-    forget(spark, classes)
+    classes = written(spark, filled.groupBy(key).agg(F.min("doc_id").alias("rep")).withColumn("cls", F.monotonically_increasing_id()), "classes")
+    member = written(spark, filled.select("doc_id", *key).join(classes.select(*key, "cls"), key).select("doc_id", "n_shingles", "cls"), "members")
 
     # one row of each class carries the bands
-    heads = member.where("doc_id = rep").select("doc_id").distinct()
-    bands = filled.join(heads, "doc_id").select("doc_id", "n_shingles", F.explode("bands").alias("band"))
-    hubs = written(spark, bands.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub < top").select("band", "hub"), "hubs")
-    shared = written(spark, bands.join(hubs.hint("merge"), "band").dropDuplicates(["band", "doc_id"]), "shared")
+    heads = classes.select(*key, "cls", F.col("rep").alias("doc_id"))
+    bands = filled.join(heads, ["doc_id", *key]).select("cls", "n_shingles", F.explode("bands").alias("band"))
+    hubs = written(spark, bands.groupBy("band").agg(F.min("cls").alias("hub"), F.max("cls").alias("top")).where("hub < top").select("band", "hub"), "hubs")
+    shared = written(spark, bands.join(hubs.hint("merge"), "band").dropDuplicates(["band", "cls"]), "shared")
     forget(spark, hubs)
 
-    found = written(spark, components(spark, _verified(docs, _stars(shared), _star_links), "a", "b"), "components")
+    # rows of one id connect their classes
+    several = member.groupBy("doc_id").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("doc_id", "low")
+    same_id = member.join(several, "doc_id").select(F.col("cls").alias("a"), F.col("low").alias("b"))
+    found = written(spark, components(spark, _verified(docs, classes, _stars(shared), _star_links).unionByName(same_id), "a", "b"), "components")
     rest, steps = _open_buckets(spark, shared, found)
     if rest is not None:
         # the components found so far are edges, too
-        both = _verified(docs, rest, _links).unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        found = components(spark, both, "a", "b")
+        both = _verified(docs, classes, rest, _links).unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        found = written(spark, components(spark, both, "a", "b"), "components")
     forget(spark, shared, *steps)
-    labelled = member.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    own = found.withColumnRenamed("node", "cls").join(classes.select("cls", "rep"), "cls")
+    names = own.groupBy("component").agg(F.min("rep").alias("name"))
+    named = classes.join(own.join(names, "component").select("cls", "name"), "cls", "left").select("cls", F.coalesce("name", "rep").alias("component_id"))
+    labelled = member.join(named, "cls").select("doc_id", "n_shingles", "component_id")
     alone = seen.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return labelled.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

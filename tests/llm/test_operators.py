@@ -639,6 +639,17 @@ def test_near_duplicates_without_a_name(spark, docs):
     assert [r["component_id"] for r in sorted((r for r in rows if r["doc_id"] is not None), key=lambda r: r["doc_id"])] == _groups(texts())[1]
 
 
+def test_rows_of_one_id_and_several_texts(spark):
+    """Each text of an id is compared by itself, and what any of them links to is one component."""
+    rng = random.Random(12)
+    base = {k: [f"{k}{rng.randrange(10**6)}" for _ in range(120)] for k in "abcd"}
+    near = lambda k, *at: " ".join("changed" if i in at else w for i, w in enumerate(base[k]))
+    rows = [(1, near("a")), (1, near("b")), (1, near("b")), (2, near("a", 60)), (3, near("b", 60)), (4, near("c")), (5, near("c", 7)), (6, near("d")), (7, near("d")), (7, near("c", 110)), (9, near("d", 3)), (8, "x"), (8, near("d", 9)), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(spark, df).collect())
+    assert got == sorted([*((i, 1) for i in (1, 1, 1, 2, 3)), *((i, 4) for i in (4, 5, 6, 7, 7, 8, 8, 9)), (8, 8)])
+
+
 @pytest.mark.parametrize("block, star", [(512, 4096), (7, 5)])
 def test_chained_texts_that_are_not_alike(spark, block, star, monkeypatch):
     """Texts that share half of their words: many candidates, few links, some of them only between texts that are not the hub."""
