@@ -75,14 +75,23 @@ def forget(spark: SparkSession, *tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with a key of its own for each row, _row; written once, so that every reader sees the same keys."""
-    return written(spark, docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def row_key(docs: DataFrame) -> Column:
-    """The key of ``keyed`` tables, else a number made while reading."""
-    return F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
+def keyed(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of its own for each row, and that column's name; written once, so that every reader sees the same keys."""
+    key = fresh(docs, "_row")
+    return written(spark, docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
+
+
+def row_key(key: str | None) -> Column:
+    """The key of ``keyed`` tables, if there is one, else a number made while reading."""
+    return F.col(key) if key else F.monotonically_increasing_id()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -206,18 +206,18 @@ def _blocks(windows: DataFrame) -> int:
     return max(1, -(-windows.count() // BLOCK_WINDOWS))
 
 
-def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans and items themselves, and row, its key."""
+def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, key: str | None = None) -> DataFrame:
+    """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans and items themselves, and row, which is column ``key`` if one is given."""
     prepare(spark)
     windows, members = _windows_of(spark, benchmark)
     blocks = _blocks(windows)
     if blocks == 1:
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), F.col("text").cast("string").alias("text"))
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(key).alias("row"), F.col("text").cast("string").alias("text"))
         block = spark.sparkContext.broadcast(_block(spark, texts, windows))
         return _judged(spark, texts.mapInArrow(_joiner(block), _SHAPE), members)
     # rows get their keys once, so that they are the same in every block
-    rows = docs if "_row" in docs.columns else keyed(spark, docs.select("doc_id", "text"))
-    texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_row").alias("row"), F.col("text").cast("string").alias("text"))
+    rows, key = (docs, key) if key else keyed(spark, docs.select("doc_id", "text"))
+    texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(key).alias("row"), F.col("text").cast("string").alias("text"))
     held = windows.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks)))
     out = None
     for number in range(blocks):
@@ -252,9 +252,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -
     if _blocks(windows) == 1:
         block = spark.sparkContext.broadcast(_block(spark, docs.select(F.col("text").cast("string").alias("text")), windows))
         return docs.mapInArrow(_cleaner(block, docs.columns.index("text")), docs.schema)
-    rows = keyed(spark, docs)
-    bad = contamination(spark, rows, benchmark).where("contaminated").select(F.col("row").alias("_row"))
-    return rows.join(bad, "_row", "left_anti").select(docs.columns)
+    rows, key = keyed(spark, docs)
+    bad = contamination(spark, rows, benchmark, key).where("contaminated").select(F.col("row").alias(key))
+    return rows.join(bad, key, "left_anti").select(docs.columns)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,14 +8,15 @@ after one hash-set test.
 Line frequency. Each line is normalised (lower case, white space runs as one space, ends trimmed)
 and hashed; per host the distinct documents with that line are counted, where copies of one text
 count once, so that a text is not held against its own copies. A line in more than MIN_DOCS of them is
-boilerplate. The limit is absolute: as a share it would grow with the host, so that a line is cut on
+boilerplate, but for the first text that holds it (of the smallest doc_id): what near copies share is so kept with
+one of them, and the first of any number of near copies loses nothing. The limit is absolute: as a share it would grow with the host, so that a line is cut on
 one host and kept on another that has it as often, and a hot host keeps what thousands of its documents
 share. A document is depleted, and rejected, when boilerplate holds more than half of its words. Counts are pre-aggregated; a line that every document
 has is one key of a join whose other side holds each frequent line once.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null host is a host of
-its own; repeated rows are judged alike, each by itself; a null doc_id is kept as it is; other
-columns are ignored by ``judge`` and passed through by ``apply_rules``; an empty table gives an
+its own; repeated rows are judged alike, each by itself; a null doc_id is kept as it is; texts
+without an id come after all others, in the order of their hashes; other columns, whatever their names, are ignored by ``judge`` and passed through by ``apply_rules``; an empty table gives an
 empty result.
 """
 
@@ -26,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alphaloom.llm.common import keyed, row_key, table, written
+from alphaloom.llm.common import fresh, keyed, row_key, table, written
 
 SPACE = r"[\x20\x09-\x0D]"
 _BLANK = " \t\n\x0b\f\r"
@@ -73,10 +74,10 @@ def _line_hash(line: Column) -> Column:
     return F.xxhash64(F.btrim(F.regexp_replace(F.lower(line), SPACE + "+", " ")))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """Per document row its statistics, the hash of its text, and for each line with a word its hash and words."""
+def statistics(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """Per document row (``key``: the column that tells rows apart) its statistics, the hash of its text, and for each line with a word its hash and words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(row_key(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("host"), text.alias("text"))
+    base = docs.select(row_key(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("host"), text.alias("text"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(_BLANK)) != "")
     counted = F.transform("lines", lambda x: F.struct(_line_hash(x).alias("line"), F.size(_words(x)).alias("words")))
     base = base.withColumns({"words": _words(F.col("text")), "lines": lines})
@@ -95,16 +96,18 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def boilerplate(stats: DataFrame) -> DataFrame:
-    """Lines above the limit: host and line."""
-    seen = stats.select("host", "content", F.explode(F.array_distinct("counted.line")).alias("line"))
-    return seen.distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > MIN_DOCS).select("host", "line")
-
-
-def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Per document row: its statistics, base_failed, kept, and the hashes of its boilerplate lines (null if none)."""
-    stats = written(spark, statistics(docs), "lines")
-    lines = stats.select("row", "host", F.explode("counted").alias("c")).select("row", "host", "c.line", "c.words")
-    cut = lines.join(written(spark, boilerplate(stats), "boilerplate"), ["host", "line"]).groupBy("row").agg(F.sum("words").alias("cut_words"), F.collect_set("line").alias("cut"))
+    """Lines above the limit: host, line, and the hash of the first text that holds it."""
+    seen = stats.select("host", "content", "doc_id", F.explode(F.array_distinct("counted.line")).alias("line"))
+    texts = seen.groupBy("host", "line", "content").agg(F.min("doc_id").alias("id"))  # null only if no copy has an id
+    place = F.struct(F.col("id").isNull().alias("nameless"), "id", "content")
+    return texts.groupBy("host", "line").agg(F.count("*").alias("n"), F.min(place)["content"].alias("first")).where(F.col("n") > MIN_DOCS).select("host", "line", "first")
+
+
+def judge(spark: SparkSession, docs: DataFrame, key: str | None = None) -> DataFrame:
+    """Per document row: row (column ``key``, if one is given), its statistics, base_failed, kept, and the hashes of its boilerplate lines (null if none)."""
+    stats = written(spark, statistics(docs, key), "lines")
+    lines = stats.select("row", "host", "content", F.explode("counted").alias("c")).select("row", "host", "content", "c.line", "c.words")
+    cut = lines.join(written(spark, boilerplate(stats), "boilerplate"), ["host", "line"]).where("content <> first").groupBy("row").agg(F.sum("words").alias("cut_words"), F.collect_set("line").alias("cut"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     depleted = 2 * F.coalesce(F.col("cut_words"), F.lit(0)) > F.col("n_words")
     out = stats.drop("counted", "host", "content").join(cut, "row", "left")
@@ -113,11 +116,12 @@ def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def apply_rules(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents that pass, without their boilerplate lines; all columns stay, n_chars follows the text."""
-    rows = keyed(spark, docs)
-    verdict = judge(spark, rows).where("kept").select(F.col("row").alias("_row"), F.col("cut").alias("_cut"))
-    lines = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("_cut", _line_hash(x)))
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    out = rows.join(verdict, "_row").withColumn("text", text)
+    rows, key = keyed(spark, docs)
+    gone = fresh(rows, "_cut")
+    verdict = judge(spark, rows, key).where("kept").select(F.col("row").alias(key), F.col("cut").alias(gone))
+    lines = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(gone, _line_hash(x)))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
+    out = rows.join(verdict, key).withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

@@ -315,6 +315,35 @@ def test_one_line_one_verdict_on_every_host(spark):
         assert cleaned[1000 * h + 3]["text"] == "rarer line of these pages\n" + body(h, 3), h
 
 
+@pytest.mark.parametrize("count", [12, 1000])
+def test_one_of_many_near_copies_stays(spark, count):
+    """Each near copy has a line of its own instead of one of the common ones; other documents of the host are judged as before."""
+    lines = [" ".join(f"w{k}x{j}" for j in range(8)) for k in range(30)]
+    rows = [(i, "\n".join(f"own line of {i} alone it is" if k == i % 30 else x for k, x in enumerate(lines)), "h") for i in range(3, 3 + count)]
+    rows += [(-1, "\n".join([lines[0], lines[1], "few words more"]), "g"), (9999, "\n".join([lines[5], lines[6], "few words more"]), "h"), (9998, " ".join(f"z{k}" for k in range(40)), "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    kept = by_id(quality_rules.apply_rules(spark, df))
+    assert set(kept) == {-1, 3, 9998} and kept[3]["text"] == rows[0][1]
+    again = by_id(quality_rules.apply_rules(spark, df.unionByName(df.where("doc_id = 3"))))  # a copy of the first is the first text, too
+    assert set(again) == {-1, 3, 9998}
+
+
+def test_column_names_that_clash(spark, monkeypatch):
+    """Columns named as the operators' own ones take no part and come back as they were."""
+    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", 2)
+    body = lambda k: " ".join(f"w{k}x{j}" for j in range(20))
+    rows = [(k, f"common line of all the pages here\n{body(k)}", "h") for k in range(14)] + [(20, "too short", "h"), (21, body(3) + " more", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    odd = df.withColumns({c: F.lit(7) for c in ("_row", "_ROW_", "_cut", "row", "cut", "words", "content", "first", "host", "line")})
+    items = spark.createDataFrame([(1, body(3)), (2, body(4))], "item_id long, text string")
+    for f in (lambda x: quality_rules.apply_rules(spark, x), lambda x: decontaminate.decontaminated(spark, x, items)):
+        got, want = f(odd), f(df)
+        assert got.columns == odd.columns and {r["_row"] for r in got.collect()} == {7}
+        assert sorted(map(tuple, got.select(df.columns).collect())) == sorted(map(tuple, want.collect())) and 0 < want.count() < len(rows)
+    for f in (lambda x: quality_rules.judge(spark, x).select("doc_id", "kept", "n_words"), lambda x: decontaminate.contamination(spark, x, items).select("doc_id", "n_hit", "items_sha256")):
+        assert sorted(map(tuple, f(odd).collect())) == sorted(map(tuple, f(df).collect()))
+
+
 # --- 5
 
 

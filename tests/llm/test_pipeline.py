@@ -60,20 +60,20 @@ def test_rows_without_or_with_a_shared_id(spark, tmp_path):
 
 
 def _quality(rows):
-    """(id, host, text) that pass the rules, without boilerplate lines."""
+    """(id, host, text) that pass the rules, without boilerplate lines; a line's first text keeps it."""
     words = lambda t: re.findall(SPACED, t)
     norm = lambda line: re.sub(r"[\x20\x09-\x0D]+", " ", line.lower()).strip(" ")
     seen = {}
     for _, host, text in rows:
         for line in filter(words, text.split("\n")):
-            seen.setdefault((host, norm(line)), set()).add(text)
+            seen.setdefault((host, norm(line)), {}).setdefault(text, len(seen))
     out = []
     for i, host, text in rows:
         w = words(text)
         windows = [tuple(w[j : j + 5]) for j in range(len(w) - 4)]
         times = Counter(windows)
         repeated = {j + k for j, x in enumerate(windows) if times[x] > 1 for k in range(5)}
-        common = lambda line: len(seen.get((host, norm(line)), ())) > 10  # noqa: B023, E731
+        common = lambda line: len(seen.get((host, norm(line)), ())) > 10 and next(iter(seen[host, norm(line)])) != text  # noqa: B023, E731
         lines = text.split("\n")
         cut = sum(len(words(x)) for x in lines if common(x))
         if len(w) >= 10 and 100 * len(repeated) <= 20 * len(w) and 2 * cut <= len(w):
@@ -113,3 +113,23 @@ def test_run_against_brute_force(spark, tmp_path):
         want[i] = (len(ids), hashlib.sha256(np.array(ids, "<u4")).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
     got = pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got} == want and len(got) == len(want)
+
+
+def test_column_names_that_clash(spark, tmp_path):
+    words = lambda seed, n: " ".join(f"w{(seed * 7919 + j * j * 31) % 9973}" for j in range(n))
+    rows = [(1, words(1, 60)), (2, words(1, 60)), (3, words(3, 60)), (4, "short")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(7) for c in ("_row", "row", "component_id", "content", "_cut")})
+    spark.createDataFrame([(1, words(9, 20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert {r["_row"] for r in docs.collect()} == {r["component_id"] for r in docs.collect()} == {7}, name
+    assert sorted(r["doc_id"] for r in docs.collect()) == [1, 3]
+
+
+def test_near_copies_pass_to_the_next_stage(spark, tmp_path):
+    lines = [" ".join(f"w{k}x{j}" for j in range(8)) for k in range(30)]
+    texts_ = ["\n".join(f"own line of {i}" if k == i % 30 else x for k, x in enumerate(lines)) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts_)], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(pipeline.STAGES)
+    kept = stages["near_dedup"](spark, stages["quality_rules"](spark, docs, str(tmp_path)), str(tmp_path)).collect()
+    assert [(r["doc_id"], r["text"]) for r in kept] == [(0, texts_[0])]
