@@ -26,15 +26,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates; one without an id only if no other has one."""
-    rows = keyed(spark, docs)
+    rows, key = keyed(spark, docs)
     number = F.col("doc_id").cast("long")
-    found = near_duplicates(spark, rows.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_row")
+    found = near_duplicates(spark, rows.select(F.col(key).alias("doc_id"), "text")).withColumnRenamed("doc_id", "row")
     # texts without shingles link with nothing: repeated rows among them are told by id and text
     plain = (F.col("n_shingles") == 0) & number.isNotNull()
-    group = [F.when(~plain, F.col("component_id")), F.when(plain, number), F.when(plain, F.col("_text"))]
-    ids = rows.select("_row", "doc_id", F.xxhash64("text").alias("_text")).join(found, "_row")
-    kept = ids.groupBy(*group).agg(F.min(F.struct(number.isNull().alias("none"), number.alias("id"), "_row"))["_row"].alias("_row")).select("_row")
-    return rows.join(kept, "_row", "left_semi").select(docs.columns)
+    group = [F.when(~plain, F.col("component_id")), F.when(plain, number), F.when(plain, F.col("content"))]
+    ids = rows.select(F.col(key).alias("row"), "doc_id", F.xxhash64("text").alias("content")).join(found, "row")
+    kept = ids.groupBy(*group).agg(F.min(F.struct(number.isNull().alias("none"), number.alias("id"), "row"))["row"].alias(key)).select(key)
+    return rows.join(kept, key, "left_semi").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
