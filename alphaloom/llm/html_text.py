@@ -12,7 +12,8 @@ Potentials are smoothed frequencies, counted on labelled pages: by default those
 can be given to ``train``: a node with data-keep="1" or "0" labels itself and what is below it.
 
 Pages are independent, so a page is one row of one map over the table: nothing is shuffled, and the
-model is a few hundred numbers. Parsing is one scan for tags; passes are linear in a page's nodes.
+model is a few hundred numbers. Parsing is one scan for tags, whose open elements are found by name, however deep
+they lie; passes are linear in a page's nodes.
 
 Inside a text character references are decoded, white space (a line break element included) becomes
 one space, and the ends are trimmed. Scripts, styles, comments, forms' controls and the head's elements
@@ -68,6 +69,21 @@ _AGAINST = set(
 _FOR = set("article articlebody content main maincontent post posts entry story body text prose page document".split())
 
 
+def _look(tokens: list[str]) -> str:
+    """What the tokens of class, id and role say: for, against, mixed (both), hint (a word against is only part of a longer token) or none. How much that counts is up to the model."""
+    found = set()
+    for token in tokens:
+        parts = {p.lower() for p in _NAME.findall(token)}
+        whole = token.lower() in _AGAINST | _FOR or bool(parts) and (parts <= _AGAINST or parts <= _FOR)
+        if parts & _AGAINST:
+            found.add("against" if whole else "hint")
+        elif parts & _FOR:
+            found.add("for")
+    if "for" in found:
+        return "mixed" if "against" in found else "for"
+    return "against" if "against" in found else "hint" if "hint" in found else "none"
+
+
 @dataclass
 class Node:
     """An element, or a leaf with a text."""
@@ -106,6 +122,18 @@ def parse(html: str) -> list[Node]:
     """The page's tree, parents before children, leaves in page order."""
     nodes = [Node(-1, "body", "none", None)]
     stack: list[tuple[str, int]] = [("", 0)]
+    places: dict[str, list[int]] = {}  # of each name's open elements in the stack
+
+    def top(names: tuple[str, ...]) -> int:
+        """Place of the innermost open element with one of ``names``, 0 if none is open."""
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
+    def close(k: int) -> None:
+        """The element at place ``k`` ends, with all in it."""
+        for n, _ in reversed(stack[k:]):
+            places[n].pop()
+        del stack[k:]
+
     leaf: Node | None = None
     links = 0
     silent = ""
@@ -170,36 +198,30 @@ def parse(html: str) -> list[Node]:
             continue
         leaf, links = None, 0
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if k := top((name,)):
+                close(k)
             continue
         # a block ends an open paragraph or heading, an item ends an item of the same list, a cell ends a cell
         if stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-            stack.pop()
+            close(len(stack) - 1)
         ends, stop = (("li",), ("ul", "ol")) if name == "li" else (("dt", "dd"), ("dl",)) if name in ("dt", "dd") else (("td", "th"), ("tr", "table")) if name in ("td", "th") else (("tr",), ("table",)) if name == "tr" else ((), ())
-        if ends:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in stop:
-                    break
-                if stack[k][0] in ends:
-                    del stack[k:]
-                    break
+        if ends and (k := top(ends)) > top(stop):
+            close(k)
         look, label = "none", None
         if m[3] and not m[3].isspace():
-            words: set[str] = set()
+            tokens: list[str] = []
             for a in _ATTRIBUTE.finditer(m[3]):
                 key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
                 if key in ("class", "id", "role", "aria-label"):
-                    words.update(w.lower() for w in _NAME.findall(value))
+                    tokens += value.split()
                 elif key == "data-keep":
                     label = int(value == "1")
-            look = "against" if words & _AGAINST else "for" if words & _FOR else "none"
+            look = _look(tokens)
         if name in ("body", "html"):
             nodes[0].look = look if look != "none" else nodes[0].look
             continue
         nodes.append(Node(stack[-1][1], kind, look, label))
+        places.setdefault(name, []).append(len(stack))
         stack.append((name, len(nodes) - 1))
     if not silent and at < len(html):
         say(html[at:])
@@ -319,6 +341,14 @@ def labelled_pages() -> list[str]:
         f'<body><div class="popup overlay" data-keep="0"><h2>{{t}}</h2><p>{{x}}</p></div><article class="story" data-keep="1"><p>{{x}}</p><div><p>{{s}}</p></div><div>{{s}}</div><details><summary>{{s}}</summary><p>{{x}}</p></details><div class="promo" data-keep="0">{{s}}</div></article><div class="pagination" data-keep="0"><a href="#">{{w}}</a><a href="#">{{w}}</a></div></body>',
         f'<body>{menu.replace("<ul>", '<ul data-keep="0">')}<article data-keep="1"><h2>{{t}}</h2><div>{{s}}</div><p>{{x}}</p></article><div id="comments" data-keep="0"><div class="comment"><div>{{w}}</div><div>{{x}}</div></div><form><p>{{s}}</p></form></div><aside data-keep="0"><div>{{x}}</div><div>{{s}}</div></aside></body>',
     ]
+    # classes whose words mislead: layout hints on content and on what is around it
+    layouts += [
+        f'<body class="has-sidebar"><header class="site-header" data-keep="0"><h1>{{w}}</h1>{menu}</header><article class="bottom-margin" data-keep="1">{story}</article><div class="left-sidebar" data-keep="0">{menu}<p>{{s}}</p></div><footer class="page-footer" data-keep="0"><p>{{s}}</p></footer></body>',
+        f'<body><div class="top-nav" data-keep="0">{menu}</div><div class="tag-news post tags" data-keep="1">{plain}</div><div class="post-comments" data-keep="0"><div><p>{{x}}</p></div><div><p>{{s}}</p></div></div><div class="site-footer" data-keep="0">{{s}}</div></body>',
+        f'<body><div class="menu main" data-keep="0">{menu}</div><div class="footer-margin wide" data-keep="1">{story}</div><div class="sidebar content" data-keep="0"><h3>{{w}}</h3>{menu}<p>{{s}}</p></div></body>',
+        f'<body><nav class="main" data-keep="0">{menu}</nav><section class="share-enabled" data-keep="1">{plain}<div class="ad-slot-1" data-keep="0"><p>{{x}}</p></div><p>{{x}}</p></section><div class="cookie-bar-wrapper" data-keep="0"><p>{{s}}</p></div></body>',
+        f'<body><main class="comment-enabled search-result-body" data-keep="1">{plain}</main><article class="content notice post" data-keep="1"><p>{{x}}</p><p>{{s}}</p></article><div class="comment-box-1" data-keep="0"><p>{{x}}</p></div></body>',
+    ]
     words = ["ale", "borin", "cast", "doremi", "ente", "fal", "gorum", "hin", "isolde", "jun"]
     out = []
     for k, layout in enumerate(layouts):

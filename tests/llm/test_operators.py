@@ -387,6 +387,31 @@ def test_html_attributes_and_open_elements():
     assert html_text.extract(page(""), model) == want
 
 
+def test_html_open_elements_in_linear_time():
+    import time
+
+    model = html_text.train(html_text.labelled_pages())
+    page = lambda n: "<article><p>The first paragraph of it is here.</p>" + "<div>" * n + "</p></section>" * n + "<li>" * n + "<td>" * n + "deep text of the page"
+    took = []
+    for n in (10_000, 100_000):
+        began = time.thread_time()
+        assert len(html_text.parse(page(n))) == 3 * n + 5
+        took.append(time.thread_time() - began)
+    assert took[1] < 30 * took[0] + 2
+    assert html_text.extract("<ul><li>a<ul><li>b<li>c</ul><li>d</ul><table><tr><td>e<td>f<tr><td>g</table>", model) is not None
+    kinds = lambda h: [(n.kind, n.parent) for n in html_text.parse(h)]
+    assert kinds("<ul><li>a<ul><li>b<li>c</ul><li>d") == [("body", -1), ("list", 0), ("item", 1), ("leaf", 2), ("list", 2), ("item", 4), ("leaf", 5), ("item", 4), ("leaf", 7), ("item", 1), ("leaf", 9)]
+
+
+def test_html_class_words_that_mislead():
+    """A word of a class alone takes no article away, and what is around it still goes."""
+    model = html_text.train(html_text.labelled_pages())
+    for own in ("bottom-margin content", "tag-news post tags", "bottom-margin", "has-sidebar", "entry share-enabled", "article-with-ads", "content", "", "post format-notice tags"):
+        for tag in ("article", "main", "div"):
+            html = f'<body><nav class="main-nav"><ul><li><a href=x>Home</a><li><a href=y>News</a></ul></nav><{tag} class="{own}"><h1>Title of the page</h1><p>The first paragraph of it is here, and long enough.</p><p>And a second one that ends it for good.</p></{tag}><div class="left-sidebar"><h3>More</h3><ul><li><a href=z>Other story</a></ul></div><div class="site-footer"><p>All rights kept</p></div></body>'
+            assert html_text.extract(html, model) == "Title of the page\nThe first paragraph of it is here, and long enough.\nAnd a second one that ends it for good.", (tag, own)
+
+
 def test_html_text_of_random_pages(spark):
     """Pages put together at random, whose main text is known: the query's text is that text, whatever markup stands around and in it."""
     rng = random.Random(12)
