@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from alphaloom.operators.panel import with_date_idx
+
 from alphaloom.functions.scalars import rounded
 
 # Fixed texts.
@@ -86,6 +88,42 @@ def lookahead_check(bars: DataFrame, factor_fn: Callable[[DataFrame], DataFrame]
     return both.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(changed, F.lit(0)).alias("changed")).select(((F.lit(lookback) > 0) & (F.col("rows") > 0) & (F.col("changed") == 0)).alias("is_backward_looking"), F.lit(lookback).alias("lookback"), "rows", "changed")
 
 
+def _against_cuts(bars: DataFrame, factor_fn: Callable[[DataFrame], DataFrame], value: str, cuts: DataFrame) -> DataFrame:
+    """date, ticker, cut, full, and _changed for each value up to each cut: does it differ when the bars after the cut are missing?
+
+    All cuts are one panel: each gets tickers of its own, with that cut's bars, next to the full ones, so ``factor_fn`` runs once. It must be a factor of a ticker's own bars.
+    """
+    name = F.concat_ws("|", F.coalesce(F.date_format("_cut", "yyyy-MM-dd"), F.lit("")), F.col("ticker"))
+    placed = with_date_idx(bars)
+    days = F.broadcast(cuts.select(F.col("cut").cast("date").alias("_cut")).where("_cut is not null").distinct())
+    cut_off = placed.join(days, F.col("date") <= F.col("_cut"))
+    panel = placed.withColumn("_cut", F.lit(None).cast("date")).unionByName(cut_off).withColumn("ticker", name).drop("_cut")
+    made = factor_fn(panel).select("date", F.try_to_date(F.substring_index("ticker", "|", 1)).alias("cut"), F.expr("substring(ticker, instr(ticker, '|') + 1)").alias("ticker"), F.col(value).alias("_value"))
+    full = made.where("cut is null").select("date", "ticker", F.col("_value").alias("full"))
+    past = made.where("cut is not null and date <= cut")
+    # cells of a grid that only one side has are null on the other
+    both = full.join(days.withColumnRenamed("_cut", "cut"), F.col("date") <= F.col("cut")).join(past, ["date", "ticker", "cut"], "left")
+    return both.select("date", "ticker", "cut", "full", (~F.col("full").eqNullSafe(F.col("_value"))).alias("_changed"))
+
+
+def latest_reads(bars: DataFrame, factor_fn: Callable[[DataFrame], DataFrame], value: str, cuts: DataFrame) -> DataFrame:
+    """Provenance of each value: date, ticker, value and latest_read, the first of the cuts (column cut) on or after its date from which on nothing changes it; null if even the last one does, or if no cut follows.
+
+    A value that reads the past alone has the first cut after it; a later one means that it has read bars up to there.
+    """
+    seen = _against_cuts(bars, factor_fn, value, cuts)
+    last = F.max(F.when(F.col("_changed"), F.col("cut")))
+    rows = seen.groupBy("date", "ticker").agg(F.first("full").alias(value), last.alias("_bad"), F.array_sort(F.collect_set("cut")).alias("_cuts"))  # as many entries as cuts
+    after = F.filter("_cuts", lambda c: F.col("_bad").isNull() | (c > F.col("_bad")))
+    return rows.select("date", "ticker", value, F.get(after, F.lit(0)).alias("latest_read"), (F.col("_bad").isNotNull()).alias("leaks"))
+
+
+def lookahead_checks(bars: DataFrame, factor_fn: Callable[[DataFrame], DataFrame], value: str, cuts: DataFrame, lookback: int) -> DataFrame:
+    """``lookahead_check`` for many cuts in one plan: a row per cut."""
+    rows = _against_cuts(bars, factor_fn, value, cuts).groupBy("cut").agg(F.count(F.lit(1)).alias("rows"), F.count_if("_changed").alias("changed"))
+    return rows.select("cut", ((F.lit(lookback) > 0) & (F.col("rows") > 0) & (F.col("changed") == 0)).alias("is_backward_looking"), F.lit(lookback).alias("lookback"), "rows", "changed")
+
+
 def snapshot_limitation(valuation: DataFrame) -> DataFrame:
     if "date" not in valuation.columns:
         return valuation.agg(F.lit(DATED).alias("limitation"))

@@ -14,6 +14,7 @@ from alphaloom.functions.scalars import rounded
 
 AS_OF = "1998-12-31"
 CUT = "1996-06-30"
+CUTS = ["1993-06-30", "1993-07-12", "1995-01-02", "1996-06-30", "1997-12-31"]
 #: Added to all prices: lines of one brand differ too much in price to pass for one asset's moves.
 LEVEL = 100_000
 

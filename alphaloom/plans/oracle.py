@@ -312,7 +312,14 @@ PARTS |= {
     "kept_net": "SELECT *, buy * rb + sell * rs AS cost_returns, gross - (buy * rb + sell * rs) AS returns FROM kept_daily JOIN costs ON cost = 'base_cost'",
     "kept_curve": """SELECT *, equity / max(equity) OVER (ORDER BY date_idx) - 1 AS drawdown FROM (SELECT *, product(1 + returns) OVER (ORDER BY date_idx) * 1000000 AS equity FROM kept_net)""",
 }
+_CUTS = "(SELECT unnest([" + ", ".join(f"DATE '{d}'" for d in ("1993-06-30", "1993-07-12", "1995-01-02", "1996-06-30", "1997-12-31")) + "]) AS cut)"
+PARTS["cut_reads"] = f"""SELECT date, ticker, cut, leak, date <= cut AND leak AND read > cut AS changed FROM (
+      SELECT date, ticker, false AS leak, date AS read FROM grid_w WHERE here UNION ALL
+      SELECT date, ticker, true, CASE WHEN close IS NOT NULL AND lead(close, 5) OVER ({_T}) IS NOT NULL THEN lead(date, 5) OVER ({_T}) ELSE date END FROM grid_w QUALIFY here) JOIN {_CUTS} ON date <= cut"""
 FINAL |= {
+    "lookahead_checks": "SELECT CASE WHEN leak THEN 'leak' ELSE 'momentum' END AS factor, cut, count(*) FILTER (WHERE changed) = 0 AS is_backward_looking, CAST(60 AS INTEGER) AS lookback, count(*) AS rows, count(*) FILTER (WHERE changed) AS changed FROM cut_reads GROUP BY leak, cut",
+    "latest_reads": """SELECT CASE WHEN leak THEN 'leak' ELSE 'momentum' END AS factor, latest_read, leaks, count(*) AS n_rows, min(date) AS first, max(date) AS last FROM (
+      SELECT leak, date, ticker, min(cut) FILTER (WHERE bad IS NULL OR cut > bad) AS latest_read, any_value(bad IS NOT NULL) AS leaks FROM (SELECT *, max(cut) FILTER (WHERE changed) OVER (PARTITION BY leak, date, ticker) AS bad FROM cut_reads) GROUP BY leak, date, ticker) GROUP BY 1, 2, 3""",
     "backtest_held": f"SELECT date, {r('equity', 2)} AS equity, {_rs('returns drawdown')}, {r('gross')} AS gross_returns, {_rs('cost_returns')}, {r('buy + sell')} AS turnover, {_rs('exposure')} FROM kept_curve",
     "asset_returns_unfilled": f"SELECT date, ticker, {r('coalesce(ret, 0)')} AS ret FROM (SELECT *, close / lag(close) OVER ({_T}) - 1 AS ret FROM grid_d) WHERE here",
     "weights_next_trading_day": f"SELECT w.date, ticker, {r('target_weight')} AS target_weight, CAST(2 AS INTEGER) AS execution_lag_days, n.execution_date FROM weights w JOIN (SELECT date, lead(date, 2) OVER (ORDER BY date) AS execution_date FROM dates_d) n ON n.date = w.date WHERE scenario = 'run' AND n.execution_date IS NOT NULL",

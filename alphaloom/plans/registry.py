@@ -399,6 +399,27 @@ def lookahead_check(c: Case) -> DataFrame:
     return Q.lookahead_check(c.w(), X.momentum, "momentum", F.lit(demo.CUT).cast("date"), 60)
 
 
+def _cuts(c: Case) -> DataFrame:
+    return c.spark.createDataFrame([(d,) for d in demo.CUTS], "cut string")
+
+
+def _leak(bars: DataFrame) -> DataFrame:
+    """A planted leak: the close five positions ahead."""
+    return X.momentum(bars, -5)
+
+
+def lookahead_checks(c: Case) -> DataFrame:
+    """Momentum and the planted leak against several cuts."""
+    checks = [Q.lookahead_checks(c.wi(), f, "momentum", _cuts(c), 60).withColumn("factor", F.lit(name)) for name, f in (("momentum", X.momentum), ("leak", _leak))]
+    return checks[0].unionByName(checks[1])
+
+
+def latest_reads(c: Case) -> DataFrame:
+    """Of both factors: values by the cut that they had read."""
+    reads = [Q.latest_reads(c.wi(), f, "momentum", _cuts(c)).withColumn("factor", F.lit(name)) for name, f in (("momentum", X.momentum), ("leak", _leak))]
+    return reads[0].unionByName(reads[1]).groupBy("factor", "latest_read", "leaks").agg(F.count(F.lit(1)).alias("n_rows"), F.min("date").alias("first"), F.max("date").alias("last"))
+
+
 def snapshot_limitation(c: Case) -> DataFrame:
     v = demo.valuation(c.spark, c.dir)
     dated = v.withColumn("date", F.lit(demo.AS_OF).cast("date"))
@@ -499,6 +520,8 @@ QUERIES: dict[str, Callable[[Case], DataFrame]] = {
     "factor_alignment": factor_alignment,
     "factor_readiness": factor_readiness,
     "lookahead_check": lookahead_check,
+    "lookahead_checks": lookahead_checks,
+    "latest_reads": latest_reads,
     "snapshot_limitation": snapshot_limitation,
     "composite_breakdown": lambda c: Q.composite_breakdown(c.composite()),
     "artifact_shapes": _shapes,

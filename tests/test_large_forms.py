@@ -15,6 +15,7 @@ from alphaloom.operators import backtest as B
 from alphaloom.operators import factors as X
 from alphaloom.operators import panel as P
 from alphaloom.operators import portfolio as G
+from alphaloom.operators import quality as Q
 from alphaloom.operators import ranks as K
 from alphaloom.sources import json_arrays as J
 from alphaloom.sources import tables as T
@@ -312,3 +313,22 @@ def test_a_column_votes_for_its_order(spark):
     assert dates("1/5/2024", "6/13/2024") == {d(1, 5), d(6, 13)}
     assert dates("1/5/2024", "6/13/2024", "6/14/2024", "15/6/2024") == {d(1, 5), d(6, 13), d(6, 14), None}
     assert dates() == set()
+
+
+# --- what values have read
+
+
+def test_latest_reads_catch_a_leak(spark):
+    bars = spark.createDataFrame([(day(i), t, 100.0 + (i * 7 + k * 3) % 11) for i in range(30) for k, t in enumerate("AB") if (i, t) != (12, "B")], "date date, ticker string, close double")
+    cuts = spark.createDataFrame([(day(i),) for i in range(30)], "cut date")
+    fine = Q.latest_reads(bars, lambda b: X.momentum(b, 3), "momentum", cuts).collect()
+    assert len(fine) == 59 and all(r["latest_read"] == r["date"] and not r["leaks"] for r in fine)
+    leaky = {(r["date"], r["ticker"]): r for r in Q.latest_reads(bars, lambda b: X.momentum(b, -3), "momentum", cuts).collect()}
+    for i in range(30):
+        r = leaky[day(i), "A"]
+        assert r["latest_read"] == day(i + 3 if i < 27 else i) and r["leaks"] == (i < 27)
+    assert not leaky[day(9), "B"]["leaks"]  # the bar that it would read is not there
+    checks = {r["cut"]: r for r in Q.lookahead_checks(bars, lambda b: X.return_volatility(b, 4), "return_volatility", cuts.where("day(cut) % 9 = 0"), 4).collect()}
+    assert set(checks) == {day(8), day(17), day(26)} and all(r["is_backward_looking"] and r["rows"] == 2 * ((r["cut"] - D0).days + 1) for r in checks.values())
+    leaks = Q.lookahead_checks(bars, lambda b: X.momentum(b, -3), "momentum", cuts, 3).where("not is_backward_looking").count()
+    assert leaks == 29
