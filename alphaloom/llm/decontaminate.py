@@ -7,10 +7,11 @@ nobody's prefix is dropped by one bit-table lookup. For the others the position
 window would have to start and end (positional and length bound: inside the document), and what is
 left is verified word by word at that place. Only then is a word "hit".
 
-Windows are taken in blocks of at most BLOCK_WINDOWS, one after the other: a block's hits are written and
-its broadcast is destroyed before the next one is made, so one block of windows is held at a time, however
-many there are. A document's hits are united over the blocks. One block, the usual case, needs one pass
-that counts and one that joins, and shuffles no text.
+Up to BLOCK_WINDOWS windows, the usual case, are broadcast: one pass counts, one joins, and no text is
+shuffled. More windows are joined by key, again with one pass that counts and one that reads texts, however many there
+are: words that no window begins its prefix with are dropped by a bit table of fixed size, and the others go to
+the windows of their prefix with the WINDOW - 1 words on both sides of them, which is all that the check needs. A common
+prefix is a skewed key of a join whose other side is written, so it can be split.
 
 Windows travel as numbers, without the items that have them, so a window that a third of all items share takes
 no more room in a block than any other. Items are joined by number, once for each distinct set of windows
@@ -36,7 +37,9 @@ from alphaloom.llm.words import U, split_words
 WINDOW = 13
 #: A document is contaminated if it has a hit and hits make up one word in this many.
 ONE_IN = 20
+#: Windows that may be broadcast; bits of the table that tells prefixes beyond that, and bytes of its pieces.
 BLOCK_WINDOWS = 100_000
+PREFIX_BITS, _PIECE = 27, 1 << 16
 
 
 def _split(column):
@@ -80,7 +83,7 @@ class _Lookup:
 
 
 class _Block:
-    """Windows of one block, keyed by the place of their rarest word."""
+    """Windows that are broadcast, keyed by the place of their rarest word."""
 
     def __init__(self, windows: list[list[int]], numbers: list[int], counts: dict[int, int]):
         size = np.array([len(w) for w in windows], np.int64)
@@ -174,7 +177,7 @@ def _windows_of(spark: SparkSession, benchmark: DataFrame) -> tuple[DataFrame, D
 
 
 def _block(spark: SparkSession, texts: DataFrame, windows: DataFrame) -> _Block:
-    """A block of windows, ordered by the counts of their words over all texts."""
+    """Windows to broadcast, ordered by the counts of their words over all texts."""
     rows = windows.select("words", "window").collect()
     counts = []
     if rows:
@@ -192,7 +195,7 @@ def _judged(spark: SparkSession, hits: DataFrame, members: DataFrame) -> DataFra
     # written, so that the join can split a set of windows that many documents have; documents without a hit join nothing
     out = some.join(written(spark, listed, "listed"), "windows").unionByName(none.withColumn("items", F.array().cast("array<long>")))
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    # spans of several blocks overlap: walk them in order and count only what lies beyond the furthest word so far
+    # spans of several windows overlap: walk them in order and count only what lies beyond the furthest word so far
     walked = F.aggregate(F.array_sort("spans"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("far")), lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["stop"] - F.greatest(x["first"], s["far"]))).alias("n"), F.greatest(s["far"], x["stop"]).alias("far")))["n"]
     out = out.withColumn("n_hit", walked.cast("long"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), _bad(F.col("n_hit"), F.col("n_words")).alias("contaminated"), "spans", "items", "row")
@@ -202,32 +205,88 @@ def _bad(hit, words):
     return (hit > 0) & (ONE_IN * hit >= words)
 
 
-def _blocks(windows: DataFrame) -> int:
-    return max(1, -(-windows.count() // BLOCK_WINDOWS))
+def _word_counts(batches):
+    for batch in batches:
+        word, n = np.unique(_split(batch.column(0)).hashes, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(n)], ["word", "n"])
+
+
+def _bit_table(spark: SparkSession, prefixes: DataFrame) -> np.ndarray:
+    """A bit for each prefix's leading PREFIX_BITS, packed: tasks make tables, whose pieces are united by number."""
+
+    def own(batches):
+        bits = np.zeros((1 << PREFIX_BITS) // 8, np.uint8)
+        for batch in batches:
+            at = (np.asarray(batch.column(0)).astype(U) >> U(64 - PREFIX_BITS)).astype(np.int64)
+            np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        pieces = bits.reshape(-1, _PIECE)
+        some = np.flatnonzero(pieces.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([pieces[k].tobytes() for k in some.tolist()], pa.binary())], ["piece", "bits"])
+
+    def united(batches):
+        out: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                bits = np.frombuffer(raw, np.uint8)
+                out[piece] = bits | out[piece] if piece in out else bits
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([b.tobytes() for b in out.values()], pa.binary())], ["piece", "bits"])
+
+    table = np.zeros(((1 << PREFIX_BITS) // 8 // _PIECE, _PIECE), np.uint8)
+    shape = "piece int, bits binary"
+    for r in prefixes.mapInArrow(own, shape).repartition("piece").mapInArrow(united, shape).collect():  # a table's pieces, once each
+        table[r["piece"]] = np.frombuffer(r["bits"], np.uint8)
+    return table.ravel()
+
+
+def _candidates(table):
+    """doc_id, row, text to doc_id, row, n_words and the words that may be prefixes, with what stands around them."""
+    reach = np.arange(1 - WINDOW, WINDOW)
+
+    def run(batches):
+        bits = table.value
+        for batch in batches:
+            words = _split(batch.column(2))
+            code = (words.hashes >> U(64 - PREFIX_BITS)).astype(np.int64)
+            at = np.flatnonzero((bits[code >> 3] >> (code & 7).astype(np.uint8)) & 1)
+            doc = np.searchsorted(words.first, at, "right") - 1
+            near = at[:, None] + reach
+            inside = (near >= words.first[doc][:, None]) & (near < words.first[doc + 1][:, None])
+            around = np.where(inside, words.hashes[np.where(inside, near, at[:, None])], U(0)).astype(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array((np.arange(len(at) + 1) * len(reach)).astype(np.int32)), pa.array(around.ravel()))
+            found = pa.StructArray.from_arrays([pa.array(words.hashes[at].astype(np.int64)), pa.array((at - words.first[doc]).astype(np.int32)), lists], ["word", "at", "around"])
+            cuts = np.searchsorted(at, words.first).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(words.first)), pa.ListArray.from_arrays(pa.array(cuts), found)], ["doc_id", "row", "n_words", "found"])
+
+    return run
+
+
+def _by_key(spark: SparkSession, texts: DataFrame, windows: DataFrame) -> DataFrame:
+    """Hits of any number of windows: counts, then a join of prefixes with the words of texts."""
+    counts = texts.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = windows.select("window", F.posexplode("words").alias("place", "word")).join(counts, "word", "left")
+    rarest = words.groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "place")).alias("p"))
+    own = written(spark, windows.join(rarest, "window").select("window", "words", F.col("p.word").alias("word"), F.col("p.place").alias("place")), "prefixes")
+    table = spark.sparkContext.broadcast(_bit_table(spark, own.select("word")))
+    some = written(spark, texts.mapInArrow(_candidates(table), "doc_id long, row long, n_words long, found array<struct<word:long,at:int,around:array<long>>>"), "candidates")
+    table.destroy()
+    near = some.select("row", "n_words", F.explode("found").alias("f")).select("row", "n_words", "f.*")
+    first, stop = F.col("at") - F.col("place"), F.col("at") - F.col("place") + F.size("words")
+    fits = (first >= 0) & (stop <= F.col("n_words")) & (F.slice("around", WINDOW - F.col("place"), F.size("words")) == F.col("words"))
+    met = near.join(own.hint("merge"), "word").where(fits).groupBy("row").agg(F.collect_list(F.struct(first.alias("first"), stop.alias("stop"))).alias("spans"), F.array_sort(F.collect_set("window")).alias("windows"))
+    none = F.array()
+    out = some.select("doc_id", "row", "n_words").join(met, "row", "left")
+    return out.select("doc_id", "row", "n_words", F.coalesce("spans", none.cast("array<struct<first:int,stop:int>>")).alias("spans"), F.coalesce("windows", none.cast("array<long>")).alias("windows"))
 
 
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, key: str | None = None) -> DataFrame:
     """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans and items themselves, and row, which is column ``key`` if one is given."""
     prepare(spark)
     windows, members = _windows_of(spark, benchmark)
-    blocks = _blocks(windows)
-    if blocks == 1:
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(key).alias("row"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(key).alias("row"), F.col("text").cast("string").alias("text"))
+    if windows.count() <= BLOCK_WINDOWS:
         block = spark.sparkContext.broadcast(_block(spark, texts, windows))
         return _judged(spark, texts.mapInArrow(_joiner(block), _SHAPE), members)
-    # rows get their keys once, so that they are the same in every block
-    rows, key = (docs, key) if key else keyed(spark, docs.select("doc_id", "text"))
-    texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(key).alias("row"), F.col("text").cast("string").alias("text"))
-    held = windows.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks)))
-    out = None
-    for number in range(blocks):
-        block = spark.sparkContext.broadcast(_block(spark, texts, held.where(F.col("block") == number)))
-        found = texts.mapInArrow(_joiner(block), _SHAPE)
-        found = written(spark, found if number == 0 else found.where(F.size("windows") > 0), "hits")
-        block.destroy()
-        out = found if out is None else out.unionByName(found)
-    hits = out.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.flatten(F.collect_list("windows"))).alias("windows"))
-    return _judged(spark, hits, members)
+    return _judged(spark, _by_key(spark, texts, windows), members)
 
 
 def _cleaner(block, text: int):
@@ -246,10 +305,10 @@ def _cleaner(block, text: int):
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all columns; with one block of windows they pass by and nothing is joined."""
+    """The rows of ``docs`` that are not contaminated, with all columns; up to BLOCK_WINDOWS windows they pass by and nothing is joined."""
     prepare(spark)
     windows, _ = _windows_of(spark, benchmark)
-    if _blocks(windows) == 1:
+    if windows.count() <= BLOCK_WINDOWS:
         block = spark.sparkContext.broadcast(_block(spark, docs.select(F.col("text").cast("string").alias("text")), windows))
         return docs.mapInArrow(_cleaner(block, docs.columns.index("text")), docs.schema)
     rows, key = keyed(spark, docs)

@@ -90,6 +90,27 @@ def test_decontamination(spark, docs, block, monkeypatch):
         assert decontaminate.contamination(spark, odd, table).count() == odd.count(), name
 
 
+def test_many_windows_take_two_scans(spark, docs, monkeypatch, tmp_path):
+    """Beyond what is broadcast, texts are read twice, however many windows there are."""
+    scans = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            scans.add(batch.num_rows)
+            yield batch
+
+    plain = texts()
+    items = [(k, t) for k, t in enumerate(plain) if t]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    some = docs.select("doc_id", "text").mapInArrow(counted, "doc_id long, text string")
+    for block in (1_000, 10):  # some 8000 windows: 8 and 800 blocks
+        monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", block)
+        scans.value = 0
+        got = {r["doc_id"]: tuple(r)[1:6] for r in decontaminate.contamination(spark, some, table).collect()}
+        assert got == _contamination(enumerate(plain), items)
+        assert scans.value <= 2 * len(plain)
+
+
 def test_a_window_that_all_items_share(spark, monkeypatch):
     """One passage in every item and in most documents: all items are named, in each block size."""
     passage, other = " ".join(f"p{i}" for i in range(13)), " ".join(f"q{i}" for i in range(13))
