@@ -8,8 +8,8 @@ separators, a mark of its kind, whether its own checksum or form is sound) and c
 touches it, words before it that speak for or against). Per kind, gradient-boosted trees of depth two
 are fitted to the labelled candidates of ``pii_examples``, which hold every kind, sound and unsound, in
 good, neutral and misleading contexts; the kind's threshold is calibrated to a precision of PRECISION on
-contexts that the trees have not seen. The examples, some thousand rows, are a fixed bound, so the model
-does not depend on the input or its size. The trees become SQL expressions. Selected candidates
+contexts and made values that the trees have not seen. The examples, some thousand rows, are a fixed bound, so the
+model does not depend on the input or its size. The trees become SQL expressions. Selected candidates
 that overlap a base span, or a better selected neighbour, are dropped.
 
 The patterns are written so that no text makes them slow: a run of characters is tried from its
@@ -56,12 +56,12 @@ MORE = [
     ("email", r"(?i)[(\[{<]\x20?(?:at|dot)\x20?[)\]}>]|\x20dot\x20", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+(?:\x20?[(\[{<]\x20?at\x20?[)\]}>]\x20?|\x20at\x20|@)[a-z0-9-]{1,63}+(?:(?:\x20?[(\[{<]\x20?dot\x20?[)\]}>]\x20?|\x20dot\x20|\.)[a-z0-9-]{1,63}+){1,5}+"),
     ("phone", r"[0-9](?:[\x20./-]|\)\x20?)[0-9]", r"(?<![0-9A-Za-z.+/-])(?<!\+[0-9]\x20|\+[0-9]{2}\x20)(?:\([0-9]{2,5}\)\x20?|[0-9]{2,5}[\x20./-])[0-9]{3,4}(?:[\x20.-]?[0-9]{2,4}){1,3}+(?![0-9A-Za-z])"),
     ("card", r"[0-9](?:[\x20-]?[0-9]){12}", r"(?<![0-9A-Za-z.-])(?:[0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}|[0-9]{4}[\x20-]?[0-9]{6}[\x20-]?[0-9]{4,5}|[0-9]{13,19}+)(?![0-9A-Za-z])"),
-    ("ip", r"[0-9A-Fa-f]:[0-9A-Fa-f:]", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
+    ("ip", r"[0-9A-Fa-f]:[0-9A-Fa-f:]", r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]{0,40}[0-9])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}:){0,5}[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])"),
     ("id", r"[0-9]-[0-9]{2}-[0-9]", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     ("iban", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
     ("secret", r"[A-Za-z0-9+/_-]{20}", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"),
 ]
-_FOR = r"(?i)\b(?:tel|telephone|phone|call|mobile|cell|fax|mail|e-mail|email|contact|reach|write|card|visa|mastercard|amex|account|iban|ssn|social|ip|address|host|server|telefon|anruf|konto|karte|tarjeta|llame|carte|appel)\b"
+_FOR = r"(?i)\b(?:tel|telephone|phone|call|mobile|cell|fax|number\x20is|mail|e-mail|email|contact|reach|write|card|visa|mastercard|amex|account|iban|ssn|social|ip|address|host|server|telefon|anruf|konto|karte|tarjeta|llame|carte|appel)\b"
 _AGAINST = r"(?i)\b(?:order|invoice|isbn|issn|version|ref|reference|page|pages|token|hash|key|sku|item|serial|total|price|rfc|doi)\b|[=$#]\s*\"?$"
 _SECRET = r"(?i)(?:token|secret|key|passwd|password|pwd|auth|authorization|bearer|credentials?)\b\W{0,6}$"
 _NO_SECRET = r"(?i)\b(?:commit|sha-?[0-9]*|checksum|md5|file|build|etag|revision|digest|uuid|blob|hash|version|path|url)\b|[/.]$"
@@ -163,7 +163,7 @@ def _plausible(kind: str, match: Column) -> Column:
     if kind == "iban":
         return F.coalesce(_mod97(match), F.lit(False))
     if kind == "ip":
-        return F.regexp_count(match, F.lit(":")) == 7
+        return (F.regexp_count(match, F.lit(":")) == 7) | F.rlike(match, F.lit("::")) & F.rlike(match, F.lit("[0-9]")) & (F.regexp_count(match, F.lit(":")) < 8)
     return F.rlike(match, F.lit("[0-9]")) & F.rlike(match, F.lit("[A-Za-z]"))
 
 

@@ -1,13 +1,18 @@
 """Labelled candidates for the personal-data model: values of every kind, sound and unsound, in speaking and misleading contexts.
 
 A value is distinctive (2: personal data unless the context speaks against it), ambiguous (1: personal
-data only where the context says so) or unsound (0: never). Contexts are good, neutral or bad. Every
-value stands in every context of its kind; one context in HELD is kept for calibration.
+data only where the context says so) or unsound (0: never). Contexts are good, neutral or bad. The values
+listed here stand in every context of their kind; those of ``generated``, made by rule with right and wrong checksums, in
+some of them. One context in HELD is kept for calibration, and so is one made value in HELD, wherever it stands.
 """
 
 from __future__ import annotations
 
+import random
+
 HELD = 3
+#: Values that are made for each form of a kind, and contexts that each of them stands in.
+MADE, PLACED = 12, 6
 
 _FILL = ["noret amil dos", "ver lanto. Quim", "so the rest of it", "und dann noch", "et puis encore"]
 _NEUTRAL = ["{f} {v} {f}", "{v}", "{f}, {v}; {f}", "({v}) {f}"]
@@ -21,7 +26,7 @@ EXAMPLES: dict[str, tuple[list[str], list[str], list[tuple[str, int]]]] = {
         [("jo.doe (at) host (dot) org", 2), ("ann [at] mail [dot] example [dot] com", 2), ("kim_lee {at} site.net", 2), ("bob at host dot org", 2), ("u17 (at) x dot io", 2), ("the at sign dot product", 0), ("is at point dot plot", 0), ("look at that dot here", 0)],
     ),
     "phone": (
-        ["call {v} {f}", "phone: {v}", "tel. {v} {f}", "reach us at {v}", "mobile {v}, {f}", "fax {v}", "Telefon {v} {f}", "{f} llame al {v}", "contact {v}"],
+        ["call {v} {f}", "phone: {v}", "tel. {v} {f}", "reach us at {v}", "mobile {v}, {f}", "fax {v}", "Telefon {v} {f}", "{f} llame al {v}", "contact {v}", "my number is {v}", "number is {v} {f}"],
         _BAD_NUMBER,
         [("(555) 123-4567", 2), ("(020) 7946 0958", 2), ("(0171) 555-2368", 2), ("555-123-4567", 1), ("030 1234 5678", 1), ("555.867.5309", 1), ("12 3456 789012 3456", 0), ("1234 5678 9012 3456", 0)],
     ),
@@ -53,14 +58,72 @@ EXAMPLES: dict[str, tuple[list[str], list[str], list[tuple[str, int]]]] = {
 }
 
 
+def _luhn(digits: str) -> str:
+    """``digits`` with the last one that makes the card check right."""
+    total = sum((v := int(c) * (2 - i % 2)) - 9 * (v > 9) for i, c in enumerate(reversed(digits)))
+    return digits + str(-total % 10)
+
+
+def _iban(country: str, rest: str) -> str:
+    number = int("".join(str(int(c, 36)) for c in rest + country + "00"))
+    return f"{country}{98 - number % 97:02}{rest}"
+
+
+def generated(seed: int = 20) -> dict[str, list[tuple[str, int]]]:
+    """Values of each kind with how telling they are, by rule; the same in every call with one seed."""
+    rng = random.Random(seed)
+    digit = lambda n, first="0123456789": rng.choice(first) + "".join(rng.choice("0123456789") for _ in range(n - 1))
+    word = lambda a=3, b=9: "".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randint(a, b)))
+    other = lambda d: d[:-1] + str((int(d[-1]) + rng.randint(1, 9)) % 10)
+    signs = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    fours = lambda d: " ".join(d[k : k + 4] for k in range(0, len(d), 4))
+    hexes, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    group = lambda: signs(rng.randint(1, 4), hexes)
+    bracketed = lambda name: rng.choice([f" ({name}) ", f" [{name}] ", f"({name})", f" {{{name}}} "])
+    amex = lambda: _luhn("37" + digit(12))
+    forms = {
+        "email": [
+            (lambda: word() + bracketed("at") + word() + bracketed("dot") + rng.choice(["org", "com", "net", "io", "de"]), 2),
+            (lambda: f"{word()}.{word()} at {word()} dot {rng.choice(['org', 'com', 'net'])}", 2),
+            (lambda: f"{rng.choice(['the', 'is', 'was', 'look', 'meet', 'in'])} at {word()} dot {word()}", 0),
+        ],
+        "phone": [
+            (lambda: f"({digit(3, '23456789')}) {digit(3)}-{digit(4)}", 2), (lambda: f"(0{digit(3, '123456789')}) {digit(3)}-{digit(4)}", 2), (lambda: f"{digit(3, '23456789')}-{digit(3)}-{digit(4)}", 1),
+            (lambda: f"0{digit(2, '123456789')} {digit(4)} {digit(4)}", 1), (lambda: f"{digit(3, '23456789')}.{digit(3)}.{digit(4)}", 1), (lambda: f"{digit(4, '123456789')} {digit(4)} {digit(4)} {digit(4)}", 0),
+        ],
+        "card": [
+            (lambda: fours(_luhn("4" + digit(14))), 2), (lambda: (lambda d: f"{d[:4]} {d[4:10]} {d[10:]}")(amex()), 2), (amex, 2), (lambda: _luhn("36" + digit(11)), 1), (lambda: _luhn("4" + digit(11)), 1),
+            (lambda: fours(other(_luhn("4" + digit(14)))), 0), (lambda: other(_luhn("36" + digit(11))), 0),
+        ],
+        "ip": [
+            (lambda: ":".join(["20" + signs(2, hexes), *(group() for _ in range(7))]), 2), (lambda: ":".join(signs(4, hexes) for _ in range(8)), 2), (lambda: f"fe80::{group()}:{digit(2)}", 2), (lambda: f"2001:db8::{group()}", 2), (lambda: f"fd{signs(2, hexes)}:{group()}::{digit(1, '123456789')}", 2),
+            (lambda: ":".join(signs(2, hexes) for _ in range(6)), 1), (lambda: ":".join(digit(2, "012345") for _ in range(5)), 0), (lambda: f"{rng.choice(['abc', 'face', 'bed', 'cafe'])}::{rng.choice(['add', 'fade', 'bead', 'dec'])}", 0),
+        ],
+        "id": [(lambda: f"{rng.randint(1, 665):03}-{rng.randint(1, 99):02}-{rng.randint(1, 9999):04}", 2), (lambda: f"{rng.choice(['000', '666', '9' + digit(2)])}-{digit(2)}-{digit(4)}", 0), (lambda: f"{rng.randint(1, 665):03}-00-{digit(4)}", 0)],
+        "iban": [
+            (lambda: fours(_iban("DE", digit(18))), 2), (lambda: _iban("GB", signs(4, mixed[:26]) + digit(14)), 2), (lambda: _iban("FR", digit(20) + signs(1, mixed[:26]) + digit(2)), 2), (lambda: fours(_iban("ES", digit(20))), 2),
+            (lambda: fours(other(_iban("DE", digit(18)))), 0), (lambda: other(_iban("GB", signs(4, mixed[:26]) + digit(14))), 0),
+        ],
+        "secret": [
+            (lambda: signs(38, hexes) + "a1", 1), (lambda: signs(30, hexes) + "0f", 1), (lambda: signs(38, mixed) + "7K", 1), (lambda: signs(21, mixed) + "4z", 1), (lambda: "-".join(signs(n, hexes) for n in (8, 4, 4, 4, 10)) + "a7", 1),
+            (lambda: rng.choice(["sk_live_", "pk_test_", "ghp_", "AKIA"]) + signs(28, mixed) + "x9", 2), (lambda: "-".join(word(4, 8) for _ in range(5)), 0), (lambda: f"20{digit(2)}-0{digit(1, '123456789')}-1{digit(1)}-{digit(2)}-{digit(2)}-{digit(6)}", 0), (lambda: f"{word()}_{word()}_{word()}_{word(8, 9)}", 0),
+        ],
+    }
+    return {kind: [(make(), telling) for make, telling in own for _ in range(MADE)] for kind, own in forms.items()}
+
+
 def labelled() -> list[tuple[int, str, str, int, int, int, int]]:
     """Rows (number, kind, text, first, stop, good, held): ``good`` tells whether the value at first..stop is personal data."""
     rows = []
+    made = generated()
     for kind, (good, bad, values) in EXAMPLES.items():
         contexts = [(c, 1) for c in good] + [(c, 0) for c in _NEUTRAL] + [(c, -1) for c in bad]
         for k, (context, says) in enumerate(contexts):
-            for j, (value, telling) in enumerate(values):
+            for j, (value, telling) in enumerate(values + made[kind]):
+                own = j - len(values)  # of the made ones
+                if own >= 0 and (5 * own + k) % len(contexts) >= PLACED:
+                    continue
                 before, after = context.replace("{f}", _FILL[(k + j) % len(_FILL)]).split("{v}")
                 label = int(telling == 2 and says >= 0 or telling == 1 and says == 1)
-                rows.append((len(rows), kind, before + value + after, len(before), len(before) + len(value), label, int(k % HELD == 0)))
+                rows.append((len(rows), kind, before + value + after, len(before), len(before) + len(value), label, int(k % HELD == 0 or own >= 0 and own % HELD == 0)))
     return rows

@@ -183,6 +183,29 @@ def test_pii_model_on_held_out_contexts(spark):
     assert by_id(pii.redact(spark, df))[1]["text"] == 'so token = "[SECRET]" there'
 
 
+def test_pii_of_values_never_seen(spark):
+    """Values of another seed, in speaking and in misleading sentences that no example has."""
+    from alphaloom.llm import pii_examples as E
+
+    speaking = {"email": "please mail {v} today", "phone": "you can call {v} today", "card": "charge my card {v} please", "ip": "the server {v} is down", "id": "my ssn {v} is here", "iban": "pay to iban {v} please", "secret": 'the token = "{v}" is here'}
+    seen = {v for own in E.generated().values() for v, _ in own}
+    rows = [(kind, telling, speaking[kind].replace("{v}", v), speaking[kind].index("{v}"), len(v)) for kind, own in E.generated(77).items() for v, telling in own if v not in seen]
+    assert len(rows) > 400
+    df = spark.createDataFrame([(k, r[2]) for k, r in enumerate(rows)], "doc_id long, text string")
+    found = by_id(pii.find(spark, df))
+    hits = {}
+    for k, (kind, telling, _, at, n) in enumerate(rows):
+        spans = [s.split(":") for s in found[k]["spans"].split(",") if s]
+        hits.setdefault((kind, telling > 0), []).append(any(int(b) < at + n and int(e) > at for _, b, e in spans))
+    share = {k: sum(v) / len(v) for k, v in hits.items()}
+    assert all(v >= 0.9 for (_, good), v in share.items() if good), share
+    # twice eight digits may pass as a card, and a wrong card in fours as a phone number
+    assert all(v <= 0.1 for (kind, good), v in share.items() if not good and kind not in ("phone", "card")), share
+    df = spark.createDataFrame([(1, "host fe80::1 is up"), (2, "my number is 030 1234 5678"), (3, "key = 123e4567-e89b-12d3-a456-426614174000"), (4, "call std::abc::def or a::b"), (5, "uuid 123e4567-e89b-12d3-a456-426614174000")], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark, df).collect()}
+    assert got == {1: "ip:5:12", 2: "phone:13:26", 3: "secret:6:42", 4: "", 5: ""}
+
+
 def test_pii_redaction_row_by_row(spark):
     """Null ids, shared ids and clashing names: each row is redacted by its own spans, and nothing else changes."""
     rows = [(None, "mail a@b.org now", 16, "x"), (7, "call +1 (375) 555-0007", 22, None), (7, "or mail u7@x.org", 16, "y"), (8, None, None, "z"), (9, "plain", 999, "w")]
