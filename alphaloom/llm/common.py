@@ -10,13 +10,16 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Texts may be long, so batches stay small.
 BATCH_ROWS = 1000
 #: Rows of a few numbers that one task and file get.
 FILE_ROWS = 200_000
+#: Files whose numbers may be broadcast.
+MOST_FILES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,9 +87,32 @@ def fresh(docs: DataFrame, name: str) -> str:
 
 
 def keyed(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a key of its own for each row, and that column's name; written once, so that every reader sees the same keys."""
+    """``docs`` with a key of its own for each row, and that column's name; every reader sees the same keys.
+
+    A table that is read from Parquet files as it is has its keys already, a file's number and the row's place in the file. Others are written once.
+    """
     key = fresh(docs, "_row")
-    return written(spark, docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
+    return _placed(spark, docs, key) or written(spark, docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
+
+
+def _placed(spark: SparkSession, docs: DataFrame, key: str) -> DataFrame | None:
+    """``docs`` with keys from its files, if it is a plain read of Parquet."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or fresh(docs, "_metadata") != "_metadata":
+        return None
+    file, row = fresh(docs, "_file"), fresh(docs, "_place")
+    path = F.col("_metadata.file_path")
+    try:
+        rows = docs.select("*", F.xxhash64(path).alias(file), F.col("_metadata.row_index").alias(row))
+    except AnalysisException:
+        return None
+    paths = docs.select(path.alias("path")).distinct()
+    files = written(spark, paths.select(F.xxhash64("path").alias(file)).withColumn("number", F.row_number().over(Window.orderBy(file))), "files")
+    size = files.agg(F.count("*").alias("n"), F.countDistinct(file).alias("d")).first()
+    if size["d"] < size["n"] or size["n"] > MOST_FILES:
+        return None
+    numbered = rows.join(F.broadcast(files), file)  # a few bytes a file
+    return numbered.select(*(F.col(f"`{c}`") for c in docs.columns), (F.shiftleft(F.col("number").cast("long"), 40) + F.col(row)).alias(key))
 
 
 def row_key(key: str | None) -> Column:

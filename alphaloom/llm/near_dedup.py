@@ -222,10 +222,9 @@ def _star_links(batches):
 _ROUTES = "cls long, routes array<struct<key:long,x:int,y:int,side:int>>, shingles binary"
 
 
-def _verified(docs: DataFrame, classes: DataFrame, routes: DataFrame, compare) -> DataFrame:
-    """Edges among classes that ``routes`` (cls, routes: array of (key, x, y, side)) brings together in tasks."""
-    own = routes.join(classes.select("cls", F.col("rep").alias("doc_id"), "mark1", "mark2"), "cls")
-    sets = docs.join(own, "doc_id").select("cls", "mark1", "mark2", "routes", "text").mapInArrow(_sets, _ROUTES)
+def _verified(texts: DataFrame, routes: DataFrame, compare) -> DataFrame:
+    """Edges among classes, of which ``texts`` has texts, that ``routes`` (cls, routes: array of (key, x, y, side)) brings together in tasks."""
+    sets = texts.join(routes, "cls").select("cls", "mark1", "mark2", "routes", "text").mapInArrow(_sets, _ROUTES)
     # rows of one id and one text are one class once
     dealt = sets.select("cls", "shingles", F.explode("routes").alias("r")).select("r.key", "r.x", "r.y", "r.side", "cls", "shingles")
     return dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side").mapInArrow(compare, "a long, b long")
@@ -289,17 +288,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, nameless: bool = False
     hubs = written(spark, bands.groupBy("band").agg(F.min("cls").alias("hub"), F.max("cls").alias("top")).where("hub < top").select("band", "hub"), "hubs")
     shared = written(spark, bands.join(hubs.hint("merge"), "band").dropDuplicates(["band", "cls"]), "shared")
     forget(spark, hubs)
+    # texts of classes that share a bucket with others: all texts are shuffled once, for these
+    near = shared.select("cls").distinct().join(classes.select("cls", F.col("rep").alias("doc_id"), "mark1", "mark2"), "cls")
+    texts = written(spark, docs.join(near, "doc_id").select("cls", "mark1", "mark2", "text"), "texts")
 
     # rows of one id connect their classes
     several = member.groupBy("doc_id").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("doc_id", "low")
     same_id = member.join(several, "doc_id").select(F.col("cls").alias("a"), F.col("low").alias("b"))
-    found = written(spark, components(spark, _verified(docs, classes, _stars(shared), _star_links).unionByName(same_id), "a", "b"), "components")
+    found = written(spark, components(spark, _verified(texts, _stars(shared), _star_links).unionByName(same_id), "a", "b"), "components")
     rest, steps = _open_buckets(spark, shared, found)
     if rest is not None:
         # the components found so far are edges, too
-        both = _verified(docs, classes, rest, _links).unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        both = _verified(texts, rest, _links).unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
         found = written(spark, components(spark, both, "a", "b"), "components")
-    forget(spark, shared, *steps)
+    forget(spark, shared, texts, *steps)
     own = found.withColumnRenamed("node", "cls").join(classes.select("cls", "rep"), "cls")
     names = own.groupBy("component").agg(F.min("rep").alias("name"))
     named = classes.join(own.join(names, "component").select("cls", "name"), "cls", "left").select("cls", F.coalesce("name", "rep").alias("component_id"))

@@ -133,3 +133,18 @@ def test_near_copies_pass_to_the_next_stage(spark, tmp_path):
     stages = dict(pipeline.STAGES)
     kept = stages["near_dedup"](spark, stages["quality_rules"](spark, docs, str(tmp_path)), str(tmp_path)).collect()
     assert [(r["doc_id"], r["text"]) for r in kept] == [(0, texts_[0])]
+
+
+def test_keys_of_rows(spark, tmp_path):
+    """Rows of files have keys by their place, rows of anything else written ones: as many as rows, the same in each reading."""
+    from alphaloom.llm.common import keyed
+
+    df = spark.range(5000).select((F.col("id") % 7).alias("doc_id"), F.lit("same text").alias("text"), F.lit(7).alias("_row"), F.lit(8).alias("_file"))
+    df.repartition(6).write.parquet(f"{tmp_path}/docs")
+    read = spark.read.parquet(f"{tmp_path}/docs")
+    for docs in (read, read.where("doc_id < 7"), read.select("doc_id", "text", "_row", "_file", F.explode(F.array(F.lit(1), F.lit(2))).alias("x")), df, df.limit(0)):
+        rows, key = keyed(spark, docs)
+        assert key not in docs.columns and rows.columns == [*docs.columns, key]
+        first, again = (sorted(r[0] for r in rows.select(key).collect()) for _ in range(2))
+        assert first == again and len(set(first)) == len(first) == docs.count()
+    assert "_place" not in keyed(spark, read)[0].columns and keyed(spark, read)[0]._jdf.queryExecution().analyzed().toString().count("rows-") == 0
