@@ -151,9 +151,16 @@ def _store(spark: SparkSession, path: str):
 
 
 def _put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
-    """Make a file with ``text``, whole, unless there is one; one of several writers at most is told True."""
+    """Make a file with ``text``, whole, unless there is one; one of several writers at most is told True.
+
+    A mount is followed to the store behind it. Local folders and HDFS have a step that makes a finished file
+    appear under a name that is free (a hard link, a rename), so a writer that dies leaves no half of one. Other stores
+    are trusted to create exclusively.
+    """
     store, hadoop = _store(spark, path)
-    if store.getUri().getScheme() == "file":  # its exclusive creation is a check and a write; a hard link is one step
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store.resolvePath(hadoop.getParent()), hadoop.getName())
+    store, scheme = _store(spark, hadoop.toString())[0], hadoop.toUri().getScheme()
+    if scheme == "file":
         own = hadoop.toUri().getPath()
         with tempfile.NamedTemporaryFile("w", dir=os.path.dirname(own), prefix=".") as made:
             made.write(text)
@@ -163,14 +170,18 @@ def _put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
             except FileExistsError:
                 return False
         return True
+    first = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(hadoop.getParent(), f".{uuid.uuid4().hex}") if scheme == "hdfs" else hadoop
     try:
-        out = store.create(hadoop, False)
+        out = store.create(first, False)
     except Py4JJavaError as e:
         if "FileAlreadyExists" in str(e.java_exception):
             return False
         raise
     out.write(bytearray(text.encode()))
     out.close()
+    if scheme == "hdfs" and not store.rename(first, hadoop):  # false where the name is taken
+        store.delete(first, False)
+        return False
     return True
 
 

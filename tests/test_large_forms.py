@@ -288,6 +288,22 @@ def test_writers_at_once_lose_nothing(spark, tmp_path):
     assert not T._put_if_absent(spark, f"{path}/versions/00000009", "other")
 
 
+def test_commit_through_a_mount(spark, tmp_path):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.mounted.link./data", tmp_path.as_uri())
+    path, base = "viewfs://mounted/data/manifest", T.manifest({"t": spark.range(3)}, "1", created_at="2024")
+    for name in ("a", "b", "a"):
+        T.append_manifest(spark, path, base.withColumn("artifact_name", F.lit(name)))
+    assert sorted(r["artifact_name"] for r in T.read_manifest(spark, path).collect()) == ["a", "b"]
+    # one of many writers has the next number, and the file is its own
+    got = []
+    writers = [threading.Thread(target=lambda k=k: got.append((T._put_if_absent(spark, f"{path}/versions/00000004", f"w{k}"), f"w{k}"))) for k in range(12)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    assert [name for won, name in got if won] == [(tmp_path / "manifest" / "versions" / "00000004").read_text()] and len(got) == 12
+
+
 # --- dates
 
 FORMS = {
