@@ -19,7 +19,8 @@ which is linear in the buckets: a hub's set is held while the others stream by,
 others is dealt into parts of STAR_DOCS. What that links is contracted into components. Buckets that
 now lie in one component are done, and so are those of two classes; what is left is each bucket's
 classes outside its largest component, and those are compared with the whole bucket, in blocks of
-bounded size, where equal buckets are done once. A task returns a spanning forest of the links that it
+bounded size and of like set sizes, where equal buckets are done once. Sets whose sizes alone rule a link out never meet,
+neither at a hub nor in blocks. A task returns a spanning forest of the links that it
 verified on full sets, so its output is linear in the documents that it saw. Only documents that share a band are ever compared:
 chains of buckets between texts that are not alike bring nothing together.
 
@@ -32,6 +33,8 @@ no node of the graph; other columns are ignored; an empty table gives an empty r
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +49,8 @@ BINS = BANDS * ROWS
 SHINGLE, PERCENT = 5, 75
 #: Documents and shingles of a bucket, or of a block of one, that a task takes at once, and documents that are compared with one copy of a hub.
 BLOCK_DOCS, BLOCK_SHINGLES, STAR_DOCS = 512, 1_000_000, 4096
+#: Step between levels of set sizes: a little more than 100 / PERCENT, so linked sets are on one level or on neighbouring ones, however logarithms are rounded.
+LEVEL_STEP, LEVEL_BLOCKS = 1.005 * 100 / PERCENT, 1 << 24
 
 _SEEDS = mix(np.arange(1, 2 * BINS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 _BOUNDS = np.arange(BINS, dtype=U) << U(54)
@@ -237,7 +242,8 @@ def _route(key: str, x: Column, y: Column, side: Column) -> Column:
 def _stars(shared: DataFrame) -> DataFrame:
     """Routes that bring each class to its buckets' hubs."""
     zero = F.lit(0)
-    near = shared.where("cls <> hub").select("cls", "hub").distinct()
+    sizes = (F.col("n_shingles"), F.col("hub_shingles"))
+    near = shared.where("cls <> hub").where(PERCENT * F.greatest(*sizes) <= 100 * F.least(*sizes)).select("cls", "hub").distinct()
     parts = near.groupBy("hub").agg(F.ceil(F.count("*") / STAR_DOCS).cast("int").alias("parts"))
     spokes = near.join(parts, "hub").select("cls", _route("hub", F.expr("pmod(xxhash64(cls), parts)"), zero, F.lit(1)).alias("r"))
     spokes = spokes.groupBy("cls").agg(F.collect_list("r").alias("routes"))
@@ -255,17 +261,34 @@ def _open_buckets(spark: SparkSession, shared: DataFrame, found: DataFrame) -> t
     once = written(spark, once, "open")
     if once.isEmpty():
         return None, [parts, once]
-    rows = written(spark, parts.join(once, "band"), "outside")
-    sizes = rows.groupBy("band", "docs", "load", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("band", "docs", "load").agg(F.max(F.struct("n", "component")).alias("m"))
-    blocks = F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("load") / BLOCK_SHINGLES)).cast("int")
-    shape = main.select("band", F.col("m.component").alias("main"), blocks.alias("blocks"), F.ceil((F.col("docs") - F.col("m.n")) * blocks / F.col("docs")).cast("int").alias("minors"))
+    # a bucket that is one block is one level
+    large = (F.col("docs") > BLOCK_DOCS) | (F.col("load") > BLOCK_SHINGLES)
+    level = F.when(large, F.floor(F.log("n_shingles") / math.log(LEVEL_STEP)).cast("int")).otherwise(0)
+    rows = written(spark, parts.join(once, "band").withColumn("level", level), "outside")
+    sizes = rows.groupBy("band", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("band").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
+    joined = rows.join(main, "band").withColumn("outside", F.col("component") != F.col("main"))
+    # per level of a bucket: blocks of all its classes, and of those outside
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    levels = joined.groupBy("band", "level").agg(blocks.alias("blocks"), F.ceil(F.count_if("outside") * blocks / F.count("*")).cast("int").alias("minors"))
+    shape = levels.groupBy("band").agg(F.map_from_entries(F.collect_list(F.struct("level", F.struct("blocks", "minors")))).alias("shape"))
     shape = written(spark, shape, "shape")
-    joined = rows.join(shape, "band").withColumn("outside", F.col("component") != F.col("main"))
-    block, mine = F.expr("cast(pmod(xxhash64(cls), blocks) as int)"), F.expr("cast(pmod(xxhash64(cls, 1), minors) as int)")
-    # task (x, y): the classes of outside block x against block y of the whole bucket
-    right = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda x: _route("band", x, block, F.when(F.col("outside") & (x == mine), 2).otherwise(1)))
-    left = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: y != block), lambda y: _route("band", mine, y, F.lit(0)))
+    joined = joined.join(shape, "band")
+
+    def numbers(step: int, kind: str) -> Column:
+        """Numbers of the blocks (or minors) of the level ``step`` away, none if it has none."""
+        there = F.col("level") + step
+        count = F.coalesce(F.try_element_at("shape", there)[kind], F.lit(0))
+        return F.transform(F.filter(F.sequence(F.lit(0), count), lambda k: k < count), lambda k: there * LEVEL_BLOCKS + k)
+
+    own = F.try_element_at("shape", F.col("level"))
+    number = F.col("level") * LEVEL_BLOCKS
+    joined = joined.withColumn("block", number + F.pmod(F.xxhash64("cls"), own["blocks"]).cast("int"))
+    joined = joined.withColumn("mine", F.when(F.col("outside"), number + F.pmod(F.xxhash64("cls", F.lit(1)), own["minors"]).cast("int")))
+    # task (x, y): the classes of outside block x against block y of the bucket, of the same level or a neighbouring one
+    minors, others = (F.concat(*(numbers(step, kind) for step in (-1, 0, 1))) for kind in ("minors", "blocks"))
+    right = F.transform(minors, lambda x: _route("band", x, F.col("block"), F.when(x.eqNullSafe(F.col("mine")), 2).otherwise(1)))
+    left = F.transform(F.filter(others, lambda y: y != F.col("block")), lambda y: _route("band", F.col("mine"), y, F.lit(0)))
     routes = joined.select("cls", F.when(F.col("outside"), F.concat(right, left)).otherwise(right).alias("routes"))
     return routes.groupBy("cls").agg(F.flatten(F.collect_list("routes")).alias("routes")), [parts, once, rows, shape]
 
@@ -285,7 +308,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, nameless: bool = False
     # one row of each class carries the bands
     heads = classes.select(*key, "cls", F.col("rep").alias("doc_id"))
     bands = filled.join(heads, ["doc_id", *key]).select("cls", "n_shingles", F.explode("bands").alias("band"))
-    hubs = written(spark, bands.groupBy("band").agg(F.min("cls").alias("hub"), F.max("cls").alias("top")).where("hub < top").select("band", "hub"), "hubs")
+    lowest = bands.groupBy("band").agg(F.min("cls").alias("hub"), F.max("cls").alias("top"), F.min_by("n_shingles", "cls").alias("hub_shingles"))
+    hubs = written(spark, lowest.where("hub < top").select("band", "hub", "hub_shingles"), "hubs")
     shared = written(spark, bands.join(hubs.hint("merge"), "band").dropDuplicates(["band", "cls"]), "shared")
     forget(spark, hubs)
     # texts of classes that share a bucket with others: all texts are shuffled once, for these

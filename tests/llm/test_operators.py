@@ -791,3 +791,20 @@ def test_components(spark):
     got = components(spark, spark.createDataFrame(edges, "a long, b long"), "a", "b")
     assert {r["node"]: r["component"] for r in got.collect()} == root
     assert components(spark, spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_blocks_of_like_set_sizes(spark, monkeypatch):
+    """Texts of many lengths in the same buckets: prefixes of one text, linked in a chain by length, and again without the links between."""
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 4)
+    words = [f"w{k}" for k in range(900)]
+    sizes = [*range(5, 60, 3), *(int(60 * 1.05**k) for k in range(40)), 600, 603, 852, 860]
+    plain = [" ".join([*words[:n], *(f"{n}o{j}" for j in range(n // 30))]) for n in sizes if n <= 900]
+    df = spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string").repartition(3)
+    root = _groups(plain)[1]
+    assert [r["component_id"] for r in near_dedup.near_duplicates(spark, df).orderBy("doc_id").collect()] == root
+    # what the hubs link is left out: blocks alone find all links
+    monkeypatch.setattr(near_dedup, "_star_links", lambda batches: iter(()))
+    assert [r["component_id"] for r in near_dedup.near_duplicates(spark, df).orderBy("doc_id").collect()] == root
+    far = df.where("doc_id % 9 = 0")
+    kept = [p for k, p in enumerate(plain) if k % 9 == 0]
+    assert [r["component_id"] for r in near_dedup.near_duplicates(spark, far).orderBy("doc_id").collect()] == [9 * k for k in _groups(kept)[1]]
