@@ -136,7 +136,10 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str
     linked = ends.groupBy("component").agg(F.max((F.col("decided") == "allow").cast("int")).alias("allow"), F.max((F.col("decided") == "block").cast("int")).alias("block"))
     alias = written(spark, group.join(linked, "component").select(F.col("node").alias("address"), "allow", "block"), "decisions")
     same = F.when(F.col("allow") == 1, "allow").when(F.col("block") == 1, "block").otherwise("allow")
-    return own.join(alias, "address", "left").select("page_id", "host", "path", "rule", F.coalesce("decided", same).alias("verdict"))
+    # rows that a rule decides, or without an address, have nothing to look up: they stay where they are, not on one key
+    asks = F.col("decided").isNull() & F.col("address").isNotNull()
+    found = own.where(asks).join(alias, "address", "left").select("page_id", "host", "path", "rule", same.alias("verdict"))
+    return found.unionByName(own.where(~asks).select("page_id", "host", "path", "rule", F.coalesce("decided", F.lit("allow")).alias("verdict")))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
