@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir), works on all documents that its predecessor kept and returns
 a DataFrame; all but the last return the columns of ``documents``. Rows are
 told apart by a key of their own, not by doc_id, which may be null or repeated. ``run`` writes every stage's result
-to the shared folder and reads it back, so a lost executor costs one stage at most.
+to the shared folder and reads it back, so a lost executor costs one stage at most, and deletes it when the next one is complete.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alphaloom.llm.bpe import encode_documents
-from alphaloom.llm.common import keyed, table, written
+from alphaloom.llm.common import forget, keyed, table, written
 from alphaloom.llm.decontaminate import decontaminated
 from alphaloom.llm.near_dedup import near_duplicates
 from alphaloom.llm.pii import redact
@@ -61,6 +61,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(spark, stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        kept = written(spark, stage(spark, docs, sf_dir), name)
+        if k:
+            forget(spark, docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
