@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from alphaloom.operators.ranks import must_spread, spread_ranks
+from alphaloom.operators.ranks import dealt, must_spread, spread_ranks
 
 # Texts that stand for a missing number.
 MISSING_NUMBERS = ["", "-", "--", "N/A", "<NA>", "nan", "None"]
@@ -83,19 +83,24 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def _places(value: Column, by: list[Column | str], descending: bool) -> WindowSpec:
+    """A group in the order of its values, nulls behind: all that ranks need is one window, so a group is dealt out and sorted once."""
+    return Window.partitionBy(*by).orderBy(value.desc_nulls_last() if descending else value.asc_nulls_last())
+
+
 def average_rank(value: Column, by: list[Column | str], descending: bool = False) -> Column:
     """Rank with ties averaged among the non-null values of a group; null for null."""
-    group = Window.partitionBy(*by, value.isNull())
-    order = value.desc() if descending else value.asc()
-    ties = Window.partitionBy(*by, value)
-    return F.when(value.isNotNull(), F.rank().over(group.orderBy(order)) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
+    places = _places(value, by, descending)
+    last = F.count(F.lit(1)).over(places.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return F.when(value.isNotNull(), (F.rank().over(places) + last) / 2.0)
 
 
 def pct_rank(value: Column, by: list[Column | str], direction: str = HIGHER) -> Column:
     """Cross-sectional percentile rank: average rank over the number of non-null values; the best value has 1. A group is sorted by one task."""
     if direction not in (HIGHER, LOWER):
         raise ValueError(f"Unsupported direction: {direction}")
-    return average_rank(value, by, direction == LOWER) / F.count(value).over(Window.partitionBy(*by))
+    every = _places(value, by, direction == LOWER).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return average_rank(value, by, direction == LOWER) / F.count(value).over(every)
 
 
 def with_pct_ranks(df: DataFrame, by: list[str], values: dict[str, tuple[str, str]], spread: bool | None = None) -> DataFrame:
@@ -104,7 +109,7 @@ def with_pct_ranks(df: DataFrame, by: list[str], values: dict[str, tuple[str, st
         if direction not in (HIGHER, LOWER):
             raise ValueError(f"Unsupported direction: {direction}")
     if not (must_spread(df, by) if spread is None else spread):
-        return df.select("*", *(pct_rank(F.col(v), by, d).alias(out) for out, (v, d) in values.items()))
+        return dealt(df, by).select("*", *(pct_rank(F.col(v), by, d).alias(out) for out, (v, d) in values.items()))
     for out, (v, d) in values.items():
         columns = df.columns
         df = spread_ranks(df, by, v, d == LOWER).select(*columns, (F.col("_average") / F.col("_count")).alias(out))

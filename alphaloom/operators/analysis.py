@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from alphaloom.functions.scalars import HIGHER, LOWER, average_rank, ratio, rounded
 from alphaloom.operators.factors import DIRECTIONS, HISTORICAL
 from alphaloom.operators.panel import with_date_idx
-from alphaloom.operators.ranks import must_spread, spread_ranks
+from alphaloom.operators.ranks import dealt, must_spread, spread_ranks
 
 FACTOR_DIRECTIONS = {"momentum_60d": HIGHER, "low_volatility_20d": LOWER, "volume_ratio_5d_60d": HIGHER, HISTORICAL: HIGHER}
 HISTORICAL_FACTORS = list(FACTOR_DIRECTIONS)
@@ -47,7 +47,7 @@ def rank_ic(factors: DataFrame, fwd: DataFrame, spread: bool | None = None) -> D
         first = spread_ranks(both, group, "v").select(*group, "r", F.col("_average").alias("a"))
         ranked = spread_ranks(first, group, "r").select(*group, "a", F.col("_average").alias("b"))
     else:
-        ranked = both.select(*group, average_rank(F.col("v"), group).alias("a"), average_rank(F.col("r"), group).alias("b"))
+        ranked = dealt(both, group).select(*group, average_rank(F.col("v"), group).alias("a"), average_rank(F.col("r"), group).alias("b"))
     stats = ranked.groupBy(*group).agg(F.covar_pop("a", "b").alias("c"), (F.stddev_pop("a") * F.stddev_pop("b")).alias("s"), F.count(F.lit(1)).alias("n"))
     return stats.where("n >= 2 and s > 0").select(*group, ratio(F.col("c"), F.col("s")).alias("ic"), F.col("n").cast("int").alias("asset_count"))
 
@@ -66,7 +66,7 @@ def factor_quantiles(factors: DataFrame, directions: dict[str, str] = FACTOR_DIR
         kept = spread_ranks(kept, ["factor", "date"], "_o", ties=["ticker"])
         rank, count = F.col("_position"), F.col("_count")
     else:
-        group = Window.partitionBy("factor", "date")
+        kept, group = dealt(kept, ["factor", "date"]), Window.partitionBy("factor", "date")
         rank, count = F.row_number().over(group.orderBy("_o", "ticker")), F.count(F.lit(1)).over(group)
     bucket = F.floor((rank - 1) * q / count) + 1
     return kept.select("factor", "date", "ticker", F.col("value").alias("factor_value"), bucket.cast("int").alias("quantile"))

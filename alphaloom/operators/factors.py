@@ -126,13 +126,17 @@ def volume_ratio(bars: DataFrame, short: int = 5, long: int = 60) -> DataFrame:
     return df.select("date", "ticker", ratio(_rolling(F.avg, "volume", short), _rolling(F.avg, "volume", long)).alias("volume_ratio"))
 
 
-def price_volume_factors(bars: DataFrame) -> DataFrame:
-    """The three factors for every cell of the grid, from one window stage; without highs or lows (no column, or all null) returns give the volatility."""
+def price_volume_factors(bars: DataFrame, cells: bool = True) -> DataFrame:
+    """The three factors for every cell of the grid, from one window stage; without highs or lows (no column, or all null) returns give the volatility.
+
+    A true range gives no value but at a bar. There, without ``cells``, the rows of bars are all: what ranks, selections and correlations need.
+    """
     momentum_60d = ratio(F.col("close"), _at("close", -60)) - 1
     volume_ratio_5d_60d = ratio(_rolling(F.avg, "volume", 5), _rolling(F.avg, "volume", 60))
     if {"high", "low"} <= set(bars.columns) and low_volatility_method(bars).first()["method"] == "atr_20d_over_close":
         steps = with_date_idx(bars).where("ticker is not null").withColumn("_bar", F.lit(True)).withColumn("tr", _true_range())
-        return _cells(steps, bars, {"momentum_60d": momentum_60d, "low_volatility_20d": ratio(_rolling(F.avg, "tr", 20), F.col("close")), "volume_ratio_5d_60d": volume_ratio_5d_60d}, {})
+        values = {"momentum_60d": momentum_60d, "low_volatility_20d": ratio(_rolling(F.avg, "tr", 20), F.col("close")), "volume_ratio_5d_60d": volume_ratio_5d_60d}
+        return _cells(steps, bars, values, {}) if cells else steps.select("date", "ticker", *(c.alias(name) for name, c in values.items()))
     steps = _padded_volatility(_stepped(bars, 20), 20)
     out = _cells(steps, bars, {"momentum_60d": momentum_60d, "volume_ratio_5d_60d": volume_ratio_5d_60d}, {"low_volatility_20d": F.col("_vol")})
     return out.select("date", "ticker", "momentum_60d", "low_volatility_20d", "volume_ratio_5d_60d")
@@ -149,17 +153,22 @@ def valuation_factors(valuation: DataFrame, default_as_of: str) -> DataFrame:
 
 
 def weighted_rank(df: DataFrame, weights: dict[str, float], directions: dict[str, str] = DIRECTIONS, by: str = "date") -> DataFrame:
-    """``df`` with composite_score: the weighted mean of percentile ranks over the factors that are not null."""
+    """``df`` with composite_score: the weighted mean of percentile ranks over the factors that are not null.
+
+    Rows without any value, most cells of a sparse grid, have no rank: they are neither dealt out nor sorted.
+    """
     if not weights:
         raise ValueError("No factors to combine")
     # ten digits first: ties must not hang on the order of a sum
     ranked = df.select("*", *(rounded(F.col(f), 10).alias(f"_v_{f}") for f in weights))
-    ranked = with_pct_ranks(ranked, [by], {f"_r_{f}": (f"_v_{f}", directions[f]) for f in weights})
+    valued = F.coalesce(*(F.col(f"_v_{f}") for f in weights)).isNotNull()
+    none = ranked.where(~valued).select(*(F.col(c) for c in df.columns), F.lit(None).cast("double").alias("composite_score"))
+    ranked = with_pct_ranks(ranked.where(valued), [by], {f"_r_{f}": (f"_v_{f}", directions[f]) for f in weights})
     top, low = F.lit(0.0), F.lit(0.0)
     for f, w in weights.items():
         r = F.col(f"_r_{f}")
         top, low = top + F.coalesce(r * w, F.lit(0.0)), low + F.when(r.isNotNull(), w).otherwise(0.0)
-    return ranked.select(*(F.col(c) for c in df.columns), ratio(top, F.when(low > 0, low)).alias("composite_score"))
+    return ranked.select(*(F.col(c) for c in df.columns), ratio(top, F.when(low > 0, low)).alias("composite_score")).union(none)
 
 
 def _composite(df: DataFrame, kind: str, used: bool) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from alphaloom.functions.scalars import rounded
 from alphaloom.operators.factors import HISTORICAL
 from alphaloom.operators.panel import date_index
-from alphaloom.operators.ranks import must_spread, spread_ranks
+from alphaloom.operators.ranks import dealt, must_spread, spread_ranks
 from alphaloom.operators.scoreboard import selected_factor_scores
 
 FREQUENCIES = ["daily", "weekly", "monthly"]
@@ -53,7 +53,7 @@ def ranked_scores(composite: DataFrame, factor: str = HISTORICAL, spread: bool |
         own = scored.select("date", "ticker", F.col("composite_score").alias("factor_score"), rounded(F.col("composite_score"), 10).alias("_v"))
         return spread_ranks(own, ["date"], "_v", descending=True, ties=["ticker"]).select("date", "ticker", "factor_score", F.col("_position").cast("int").alias("rank"))
     order = Window.partitionBy("date").orderBy(rounded(F.col("composite_score"), 10).desc(), "ticker")
-    return scored.select("date", "ticker", F.col("composite_score").alias("factor_score"), F.row_number().over(order).alias("rank"))
+    return dealt(scored, ["date"]).select("date", "ticker", F.col("composite_score").alias("factor_score"), F.row_number().over(order).alias("rank"))
 
 
 def on_schedule(positions: DataFrame, calendar: DataFrame) -> DataFrame:

@@ -31,6 +31,11 @@ def must_spread(df: DataFrame, by: list[str]) -> bool:
     return (most or 0) > GROUP_ROWS
 
 
+def dealt(df: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` by groups of ``by``, in as many tasks as shuffles have: small shuffles would be merged by their compressed size, a fraction of what a window sorts."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def spread_ranks(df: DataFrame, by: list[str], value: str, descending: bool = False, ties: list[str] | None = None, tasks: int | None = None) -> DataFrame:
     """``df`` with its ranks in groups of ``by`` from 1: _position (ties by columns ``ties``), _average (tied values share their mean rank) and _count (values of the group).
 

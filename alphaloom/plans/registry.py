@@ -74,8 +74,13 @@ class Case:
     def composite(self) -> DataFrame:
         return X.composite_frame(self.pv(True), self.val())
 
+    def known(self) -> DataFrame:
+        """Factors at bars, where alone they have values."""
+        return self._once("known", lambda: X.price_volume_factors(self.wi(), cells=False))
+
     def factors(self, keep: bool = False) -> DataFrame:
-        return self._once("factors", lambda: A.historical_factors(self.pv(True), X.historical_composite(self.pv(True))), keep)
+        """Factors in rows, for what reads their values only."""
+        return self._once("factors", lambda: A.historical_factors(self.known(), X.historical_composite(self.known())), keep)
 
     def fwd(self, keep: bool = False) -> DataFrame:
         return self._once("fwd", lambda: A.forward_returns(self.wi(), HORIZONS), keep)
@@ -99,7 +104,7 @@ class Case:
 
     def scores(self, keep: bool = True) -> DataFrame:
         """Composite of the daily panel."""
-        return self._once("scores", lambda: X.historical_composite(X.price_volume_factors(self.d())), keep)
+        return self._once("scores", lambda: X.historical_composite(X.price_volume_factors(self.d(), cells=False)), keep)
 
     def grid(self, rows=ONE) -> DataFrame:
         return G.scenarios(self.spark, rows)
@@ -474,7 +479,7 @@ QUERIES: dict[str, Callable[[Case], DataFrame]] = {
     "historical_composite": lambda c: _r(X.historical_composite(c.pv()), "composite_score"),
     "mixed_composite": lambda c: _r(X.mixed_composite(c.pv(True), c.val()), "composite_score"),
     "composite_frame": lambda c: _r(c.composite(), "composite_score"),
-    "historical_factors": lambda c: _r(c.factors(), "value"),
+    "historical_factors": lambda c: _r(A.historical_factors(c.pv(True), X.historical_composite(c.pv(True))), "value"),
     "forward_returns": lambda c: _r(c.fwd(), "forward_return"),
     "rank_ic": lambda c: _r(c.ic(), "ic"),
     "ic_summary": lambda c: _r(A.ic_summary(c.ic()), "ic_mean", "ic_std", "average_asset_count", "ir"),

@@ -74,6 +74,46 @@ def test_large_groups_are_spread(spark, monkeypatch):
     assert [r["ticker"] for r in G.ranked_scores(composite).orderBy("rank").collect()] == [str(k) for k in range(49, -1, -1)]
 
 
+def _nodes(df, name):
+    return sum(line.lstrip(" :+-*(0123456789)").startswith(name) for line in df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines())
+
+
+def test_ranks_deal_and_sort_a_group_once(spark):
+    df = spark.createDataFrame([(k % 3, float(k), None if k % 5 else float(k % 2)) for k in range(60)], "date int, a double, b double").repartition(3)
+    ranked = S.with_pct_ranks(df, ["date"], {"ra": ("a", S.HIGHER), "rb": ("b", S.LOWER)}, spread=False)
+    assert (_nodes(ranked, "Sort"), _nodes(ranked, "Window"), _nodes(ranked, "Exchange hashpartitioning")) == (2, 2, 1)
+    # as many tasks as shuffles have, however small
+    assert ranked.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_rows_without_values_are_not_ranked(spark, monkeypatch):
+    rows = [(day(k), f"t{j}", float(j % 3) if k == j % 4 else None, None, float(-j) if (k + j) % 5 == 0 else None) for k in range(4) for j in range(20)]
+    pv = spark.createDataFrame(rows, "date date, ticker string, momentum_60d double, low_volatility_20d double, volume_ratio_5d_60d double")
+    met = []
+    ranked = X.with_pct_ranks
+    monkeypatch.setattr(X, "with_pct_ranks", lambda df, *a: met.append(df.count()) or ranked(df, *a))
+    got = {(r["date"], r["ticker"]): r["composite_score"] for r in X.historical_composite(pv).collect()}
+    assert met == [sum(r[2] is not None or r[4] is not None for r in rows)] and len(got) == len(rows)
+    for d, t, a, _, b in rows:
+        top = low = 0.0
+        for v, k, w in ((a, 2, 0.20), (b, 4, 0.15)):
+            own = [r[k] for r in rows if r[0] == d and r[k] is not None]
+            if v is not None:
+                top, low = top + w * (sum(x < v for x in own) + (own.count(v) + 1) / 2) / len(own), low + w
+        assert got[d, t] == (pytest.approx(top / low) if low else None)
+
+
+def test_factors_at_bars_alone(spark):
+    bars = spark.createDataFrame([(day(k), t, 2.0 + k, 1.0 + k, 1.5 + k, float(k + 1)) for k in range(70) for t in "abc" if t == "a" or k % 7], "date date, ticker string, high double, low double, close double, volume double")
+    values = lambda df: {(r["date"], r["ticker"]): tuple(r)[2:] for r in df.collect()}
+    every, own = values(X.price_volume_factors(bars)), values(X.price_volume_factors(bars, cells=False))
+    assert len(every) == 210 and len(own) == bars.count() and {k: every[k] for k in own} == own
+    assert all(v == (None, None, None) for k, v in every.items() if k not in own)
+    # volatility from returns is known between bars, too
+    closes = bars.drop("high", "low")
+    assert values(X.price_volume_factors(closes, cells=False)) == values(X.price_volume_factors(closes))
+
+
 # --- folds and scans in pieces
 
 
