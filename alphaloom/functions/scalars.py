@@ -42,34 +42,40 @@ _MONTH = "(" + "|".join(f"{m[:3]}(?:{m[3:]})?" for m in MONTHS) + r")\.?"
 _WORDED = [rf"(?i)^\s*(?:[a-z]+,\s*)?{_MONTH}[\s-]+([0-9]{{1,2}}),?[\s-]+([0-9]{{4}}){_CLOCK}", rf"(?i)^\s*(?:[a-z]+,\s*)?([0-9]{{1,2}})[\s-]+{_MONTH},?[\s-]+([0-9]{{4}}){_CLOCK}"]
 
 
+#: ``$`` may stand before a line end that ``\s`` does not take.
+_END = r"[\u0085\u2028\u2029]?"
+_COMPACT = r"^[+-]?[0-9]{8,}$"
+
+
 def day_first(c: Column) -> Column:
     """An aggregate: is the first of two leading numbers the day in this column? It is where more values can be read that way; month first otherwise."""
     text = c.cast("string")
-    seen = text.rlike(_YEAR_LAST)
-    month = [F.regexp_extract(text, _YEAR_LAST, k).try_cast("int") <= 12 for k in (1, 2)]
-    return F.coalesce(F.count_if(seen & month[1]) > F.count_if(seen & month[0]), F.lit(False))
+    number, month = "([0-9]{1,2})", "(0?[0-9]|1[0-2])"
+    first, second = _YEAR_LAST.replace(number, month, 1), month.join(_YEAR_LAST.rsplit(number, 1))
+    return F.coalesce(F.count_if(text.rlike(second)) > F.count_if(text.rlike(first)), F.lit(False))
 
 
 def to_date_lenient(c: Column, days_lead: Column | bool = False) -> Column:
     """A date from yyyyMMdd, ISO text, numbers between slashes, dots or dashes, or a month's name; a time of day may follow. Unreadable values become null.
 
     Where the year is last, ``days_lead`` tells which of the other two numbers is the day; ``day_first`` finds that for a column.
+    A form's parts are taken out only of texts that have it, and no parser meets a text that it can but throw at.
     """
     text = c.cast("string")
     lead = F.lit(days_lead) if isinstance(days_lead, bool) else days_lead
 
-    def date(pattern: str, year: int, month: int, day: int) -> Column:
-        found = F.when(text.rlike(pattern), text)
-        part = lambda k: F.regexp_extract(found, pattern, k)
-        years = F.when(F.length(part(year)) == 4, part(year)).otherwise(F.concat(F.when(part(year) < "69", "20").otherwise("19"), part(year)))
-        name = F.lower(F.substring(part(month), 1, 3))
-        number = F.coalesce(F.array_position(F.array(*(F.lit(m[:3]) for m in MONTHS)), name), F.lit(0)).cast("string")
-        months = F.when(number == "0", part(month)).otherwise(number)
-        return F.try_to_timestamp(F.concat_ws("-", F.when(found.isNotNull(), years), F.lpad(months, 2, "0"), F.lpad(part(day), 2, "0")))
-
-    numbered = F.when(lead, date(_YEAR_LAST, 3, 2, 1)).otherwise(date(_YEAR_LAST, 3, 1, 2))
-    worded = [date(_WORDED[0], 3, 1, 2), date(_WORDED[1], 3, 2, 1)]
-    return F.coalesce(F.try_to_timestamp(text, F.lit("yyyyMMdd")), F.try_to_timestamp(text), date(_YEAR_FIRST, 1, 2, 3), numbered, *worded).cast("date")
+    def date(pattern: str, order: Column) -> Column:
+        return F.when(text.rlike(pattern), F.try_to_timestamp(F.regexp_replace(text, F.lit(pattern + _END), order)))
+
+    def worded(pattern: str, month: int, day: int) -> Column:
+        name = F.lower(F.substring(F.regexp_extract(text, pattern, month), 1, 3))
+        number = F.array_position(F.array(*(F.lit(m[:3]) for m in MONTHS)), name).cast("string")
+        return F.when(text.rlike(pattern), F.try_to_timestamp(F.concat_ws("-", F.regexp_extract(text, pattern, 3), number, F.regexp_extract(text, pattern, day))))
+
+    two = lambda years: _YEAR_LAST.replace("([0-9]{4}|[0-9]{2})", f"({years})")
+    numbered = [date(two(years), F.when(lead, f"{century}$3-$2-$1").otherwise(f"{century}$3-$1-$2")) for years, century in (("[0-9]{4}", ""), ("[0-5][0-9]|6[0-8]", "20"), ("69|[7-9][0-9]", "19"))]
+    compact = F.when(text.rlike(_COMPACT), F.try_to_timestamp(text, F.lit("yyyyMMdd")))
+    return F.coalesce(compact, F.try_to_timestamp(text), date(_YEAR_FIRST, F.lit("$1-$2-$3")), *numbered, worded(_WORDED[0], 1, 2), worded(_WORDED[1], 2, 1)).cast("date")
 
 
 def rounded(c: Column, digits: int = 6) -> Column:

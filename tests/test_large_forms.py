@@ -358,6 +358,15 @@ def test_date_forms(spark):
     assert {r["raw"]: r["date"] for r in df.collect()} == want
 
 
+def test_a_form_is_looked_for_once(spark):
+    df = spark.createDataFrame([(k,) for k in FORMS], "raw string").withColumn("date", S.to_date_lenient(F.col("raw")))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # one look a form (years have three), and no parser of a pattern for texts that are not all digits
+    assert plan.count("RLIKE") == 7 and plan.count("regexp_extract") <= 6
+    ends = spark.createDataFrame([(f"2024/1/5{e}",) for e in ("", "\n", " \r\n", "\u0085", "\u2028", "x")], "raw string")
+    assert [r[0] for r in ends.select(S.to_date_lenient(F.col("raw"))).collect()] == [dt.date(2024, 1, 5)] * 5 + [None]
+
+
 def test_a_column_votes_for_its_order(spark):
     def dates(*raw):
         df = spark.createDataFrame([(x, "1") for x in raw], "Date string, Code string")
