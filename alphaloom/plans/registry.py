@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alphaloom.functions import scalars as S
@@ -15,7 +15,7 @@ from alphaloom.operators import panel as P
 from alphaloom.operators import portfolio as G
 from alphaloom.operators import quality as Q
 from alphaloom.operators import scoreboard as R
-from alphaloom.operators.ranks import spread_ranks
+from alphaloom.operators.ranks import dealt, spread_ranks
 from alphaloom.plans import demo, oracle
 from alphaloom.sources import tables as T
 from alphaloom.sources.scratch import scratch, stored
@@ -23,6 +23,8 @@ from alphaloom.sources.scratch import scratch, stored
 HORIZONS, TOP, BUFFER, GRID = [1, 5, 20], 5, 8, [3, 5, 10, 30]
 MODELS = [B.CostModel("no_cost", 0.0, 0.0, 0.0, 0.0), B.CostModel("half_cost", 0.0007125, 0.0007125, 0.0015, 0.0005), B.CostModel(), B.CostModel("high_cost", 0.00285, 0.00285, 0.006, 0.002)]
 ONE = [("run", TOP, "daily", False, 30)]
+#: Orders of one landed array, about.
+ARRAY_ROWS = 1_000_000
 
 
 def _r(df: DataFrame, *columns: str) -> DataFrame:
@@ -213,15 +215,18 @@ def date_forms(c: Case) -> DataFrame:
 
 
 def landed_array(c: Case) -> DataFrame:
-    """All orders landed as one JSON array in one file, with inner objects and with braces and quotes in texts, and read back in splits."""
-    path = scratch(c.spark, "array")
+    """All orders landed as JSON arrays of about a million, a file each, with inner objects and with braces and quotes in texts, and read back in splits.
+
+    A file is what one task writes, so arrays have a size and their number grows with the orders.
+    """
+    path, orders = scratch(c.spark, "array"), c.read("orders")
+    arrays = F.lit(-(-orders.count() // ARRAY_ROWS) or 1)
     note = F.concat(F.lit('a "}" \\ ],{ of '), "o_orderstatus")
-    rows = c.read("orders").select("o_orderkey", F.to_json(F.struct("o_orderkey", "o_custkey", F.struct("o_totalprice", note.alias("note")).alias("more"))).alias("j"))
-    first = rows.agg(F.min("o_orderkey").alias("_first"))
-    head = F.col("o_orderkey") == F.col("_first")
-    pieces = rows.join(F.broadcast(first)).select(head.alias("head"), F.concat(F.when(head, "[").otherwise(","), "j").alias("value"))
-    end = c.spark.createDataFrame([("]",)], "value string")
-    pieces.where("head").select("value").unionByName(pieces.where("not head").select("value")).unionByName(end).coalesce(1).write.text(path)
+    j = F.to_json(F.struct("o_orderkey", "o_custkey", F.struct("o_totalprice", note.alias("note")).alias("more")))
+    within = Window.partitionBy("array").orderBy("o_orderkey")
+    rows = orders.select(F.pmod(F.xxhash64("o_orderkey"), arrays).alias("array"), "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    rows = dealt(rows, ["array"]).withColumns({"head": F.row_number().over(within) == 1, "end": F.lead(F.lit(True)).over(within).isNull()}).sortWithinPartitions("array", "o_orderkey")
+    rows.select("array", F.concat(F.when(F.col("head"), "[").otherwise(","), j, F.when(F.col("end"), "]").otherwise("")).alias("value")).write.partitionBy("array").text(path)
     back = T.read_landed_json(c.spark, path, "o_orderkey long, o_custkey long, more struct<o_totalprice:double,note:string>")
     return back.select("o_orderkey", "o_custkey", "more.o_totalprice", "more.note")
 

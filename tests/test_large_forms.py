@@ -17,6 +17,7 @@ from alphaloom.operators import panel as P
 from alphaloom.operators import portfolio as G
 from alphaloom.operators import quality as Q
 from alphaloom.operators import ranks as K
+from alphaloom.plans import registry
 from alphaloom.sources import json_arrays as J
 from alphaloom.sources import tables as T
 
@@ -289,6 +290,17 @@ def test_arrays_are_split_anywhere(spark, tmp_path, split):
     assert got == sorted(json.dumps(r, sort_keys=True) for rows in files.values() for r in rows)
 
 
+def test_arrays_have_a_size(spark, tmp_path, monkeypatch):
+    orders = spark.range(1, 2001).select(F.col("id").alias("o_orderkey"), (F.col("id") % 7).alias("o_custkey"), (F.col("id") / 4).alias("o_totalprice"), F.lit("F").alias("o_orderstatus"))
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(registry, "ARRAY_ROWS", 300)
+    monkeypatch.setattr(registry, "scratch", lambda _, name: f"{tmp_path}/{name}")
+    got = registry.landed_array(registry.Case(spark, str(tmp_path))).collect()
+    assert sorted(tuple(r) for r in got) == [(k, k % 7, k / 4, 'a "}" \\ ],{ of F') for k in range(1, 2001)]
+    files = list((tmp_path / "array").rglob("part-*"))
+    assert len(files) == 7 and max(len(json.loads(f.read_text())) for f in files) < 400
+
+
 @pytest.mark.parametrize("payload", ['[{"a": 1}', '[{"a": 1}, ', '[{"a": 1}, {"a": 2', '{"a": 1}', "", "[1, 2]", '[{"a": "x}]', '[{"a": 1}] x', '[{"a": 1} {"a": 2}]', "[]", '[{"a": 1}, 5]', '[{"a": {"b": 1}]', '[{"a": 1},, {"a": 2}]'])
 def test_broken_arrays(spark, tmp_path, payload):
     (tmp_path / "x.json").write_text(payload)
