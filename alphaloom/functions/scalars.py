@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from alphaloom.operators.ranks import dealt, must_spread, spread_ranks
 
-# Texts that stand for a missing number.
+# Texts that stand for a missing number; none has the form of one.
 MISSING_NUMBERS = ["", "-", "--", "N/A", "<NA>", "nan", "None"]
 SUFFIX = ".TW"
 #: A decimal number; a cast alone would also read suffixes ("12d") and hexadecimals.
@@ -28,10 +28,9 @@ def suffix_ticker(c: Column, suffix: str = SUFFIX) -> Column:
 
 
 def numeric(c: Column) -> Column:
-    """A double; thousands separators go, missing and unreadable values become null, and so does NaN."""
+    """A double; thousands separators go, missing and unreadable values become null, and so does NaN: none of them has the form of a number. Nothing else is asked, so that a row's numbers are code small enough for the JVM to compile."""
     text = F.replace(F.trim(c.cast("string")), F.lit(","), F.lit(""))
-    value = F.when(~text.isin(MISSING_NUMBERS) & text.rlike(_NUMBER), text).try_cast("double")
-    return F.when(F.isnan(value), None).otherwise(value)
+    return F.when(text.rlike(_NUMBER), text).try_cast("double")
 
 
 _CLOCK = r"(?:[ T]+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?)?\s*$"

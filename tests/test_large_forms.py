@@ -379,6 +379,14 @@ def test_a_form_is_looked_for_once(spark):
     assert [r[0] for r in ends.select(S.to_date_lenient(F.col("raw"))).collect()] == [dt.date(2024, 1, 5)] * 5 + [None]
 
 
+def test_a_number_is_looked_for_once(spark):
+    texts = [*S.MISSING_NUMBERS, " - ", "NaN", "-nan", " 1,2e3 ", "-Infinity", "1e999"]
+    df = spark.createDataFrame([(x,) for x in texts], "raw string").select(S.numeric(F.col("raw")).alias("value"))
+    assert [r[0] for r in df.collect()] == [None] * (len(texts) - 3) + [12_000.0, float("-inf"), float("inf")]
+    # twice the text: to look at, and to read
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("replace(") == 2
+
+
 def test_a_column_votes_for_its_order(spark):
     def dates(*raw):
         df = spark.createDataFrame([(x, "1") for x in raw], "Date string, Code string")
