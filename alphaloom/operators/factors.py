@@ -40,21 +40,23 @@ def momentum(bars: DataFrame, lookback: int = 60) -> DataFrame:
     return df.select("date", "ticker", (ratio(F.col("close"), _at("close", -lookback)) - 1).alias("momentum"))
 
 
-def _stepped(bars: DataFrame, n: int) -> DataFrame:
+def _stepped(bars: DataFrame, n: int, at_bar: dict[str, Column] | None = None) -> DataFrame:
     """Bars, and between them the positions at which a window of n padded returns changes: where a bar leaves it, and behind a close of zero.
 
-    _bar tells the rows that were there; other columns are null in the rest. No ticker has more than three rows per bar, whatever its gaps.
+    ticker, date_idx, close, and ``at_bar`` values, which are made while bars are the only rows; _bar tells the rows that were there, and
+    in the rest all is null. No ticker has more than three rows per bar, whatever its gaps. A ticker is dealt out once, and its steps are sorted where it is.
     """
-    df = with_date_idx(bars).where("ticker is not null")
-    own = [f for f in df.schema.fields if f.name not in ("ticker", "date_idx")]
+    at_bar = at_bar or {}
+    there = {"_after": _at("date_idx", n), "_then": _at("date_idx", 1)}
+    df = with_date_idx(bars).where("ticker is not null").select("ticker", "date_idx", "close", *(c.alias(name) for name, c in (at_bar | there).items()))
+    own = [f for f in df.schema.fields if f.name not in ("ticker", "date_idx", *there)]
 
     def row(at: Column, bar: bool) -> Column:
         return F.struct(at.cast("int").alias("date_idx"), F.lit(bar).alias("_bar"), *((F.col(f.name) if bar else F.lit(None).cast(f.dataType)).alias(f.name) for f in own))
 
     at = F.col("date_idx")
-    rows = df.select("ticker", F.inline(F.array_compact(F.array(row(at, True), row(at + n, False), F.when(F.col("close") == 0, row(at + 1, False))))))
-    here = F.max("_bar").over(_time().rangeBetween(0, 0))
-    return rows.withColumn("_here", here).where(F.col("_bar") | ~F.col("_here")).drop("_here")
+    steps = F.array(row(at, True), F.when(F.col("_after").isNull(), row(at + n, False)), F.when((F.col("close") == 0) & F.col("_then").isNull(), row(at + 1, False)))
+    return df.select("ticker", F.inline(steps)).where("_bar is not null")
 
 
 def _padded_volatility(steps: DataFrame, n: int) -> DataFrame:
@@ -137,8 +139,9 @@ def price_volume_factors(bars: DataFrame, cells: bool = True) -> DataFrame:
         steps = with_date_idx(bars).where("ticker is not null").withColumn("_bar", F.lit(True)).withColumn("tr", _true_range())
         values = {"momentum_60d": momentum_60d, "low_volatility_20d": ratio(_rolling(F.avg, "tr", 20), F.col("close")), "volume_ratio_5d_60d": volume_ratio_5d_60d}
         return _cells(steps, bars, values, {}) if cells else steps.select("date", "ticker", *(c.alias(name) for name, c in values.items()))
-    steps = _padded_volatility(_stepped(bars, 20), 20)
-    out = _cells(steps, bars, {"momentum_60d": momentum_60d, "volume_ratio_5d_60d": volume_ratio_5d_60d}, {"low_volatility_20d": F.col("_vol")})
+    # volume and momentum have values at bars alone, so their frames don't meet the steps between
+    steps = _padded_volatility(_stepped(bars, 20, {"momentum_60d": momentum_60d, "volume_ratio_5d_60d": volume_ratio_5d_60d}), 20)
+    out = _cells(steps, bars, {c: F.col(c) for c in ("momentum_60d", "volume_ratio_5d_60d")}, {"low_volatility_20d": F.col("_vol")})
     return out.select("date", "ticker", "momentum_60d", "low_volatility_20d", "volume_ratio_5d_60d")
 
 

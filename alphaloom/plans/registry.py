@@ -281,9 +281,9 @@ def line_price_ranks(c: Case) -> DataFrame:
 
 def close_only_factors(c: Case) -> DataFrame:
     """The factor frame of a panel without highs and lows, and of one where they are all null."""
-    bare = X.price_volume_factors(c.w().drop("high", "low")).withColumn("panel", F.lit("close only"))
+    bare = X.price_volume_factors(c.wi().drop("high", "low")).withColumn("panel", F.lit("close only"))
     none = F.lit(None).cast("double")
-    return _r(bare.unionByName(X.price_volume_factors(c.w().withColumns({"high": none, "low": none})).withColumn("panel", F.lit("all null"))), *FACTORS)
+    return _r(bare.unionByName(X.price_volume_factors(c.wi().withColumns({"high": none, "low": none})).withColumn("panel", F.lit("all null"))), *FACTORS)
 
 
 def low_volatility_method(c: Case) -> DataFrame:

@@ -20,6 +20,7 @@ from alphaloom.operators import ranks as K
 from alphaloom.plans import registry
 from alphaloom.sources import json_arrays as J
 from alphaloom.sources import tables as T
+from alphaloom.sources.scratch import stored
 
 D0 = dt.date(2024, 1, 1)
 
@@ -115,6 +116,39 @@ def test_factors_at_bars_alone(spark):
     assert values(X.price_volume_factors(closes, cells=False)) == values(X.price_volume_factors(closes))
 
 
+def test_close_only_panels_share_a_shuffle_of_bars(spark):
+    rng = random.Random(7)
+    n = 95
+    closes = {t: [None if rng.random() < gap else 0.0 if rng.random() < 0.03 else rng.uniform(50, 60) for _ in range(n)] for t, gap in (("a", 0.0), ("b", 0.6), ("c", 0.93))}
+    volumes = {t: [None if c is None or (t == "a" and k == 4) else float(rng.randint(1, 9)) for k, c in enumerate(own)] for t, own in closes.items()}
+    rows = [(day(k), t, c, volumes[t][k]) for t, own in closes.items() for k, c in enumerate(own) if c is not None]
+    bars = stored(P.with_date_idx(spark.createDataFrame(rows, "date date, ticker string, close double, volume double")), "bars")
+    none = F.lit(None).cast("double")
+    both = X.price_volume_factors(bars).unionByName(X.price_volume_factors(bars.withColumns({"high": none, "low": none})))
+    got = {}
+    for r in both.collect():
+        got.setdefault((r["date"], r["ticker"]), []).append(tuple(r)[2:])
+    assert len(got) == 3 * n and all(len(v) == 2 and v[0] == v[1] for v in got.values())
+    near = lambda v: None if v is None else pytest.approx(v)
+    for t, own in closes.items():
+        padded = [None] * n
+        for k, c in enumerate(own):
+            padded[k] = c if c is not None else padded[k - 1] if k else None
+        for k in range(n):
+            back = own[k - 60] if k >= 60 else None
+            momentum = own[k] / back - 1 if own[k] is not None and back else None
+            before = padded[k - 20 : k] if k >= 20 else [None]
+            vol = None if None in before or 0.0 in before else stdev([b / a - 1 for a, b in zip(before, padded[k - 19 : k + 1])])
+            long = volumes[t][k - 59 : k + 1] if k >= 59 else [None]
+            ratio = None if own[k] is None or None in long else (sum(long[-5:]) / 5) / (sum(long) / 60)
+            assert got[day(k), t][0] == (near(momentum), near(vol), near(ratio)), (t, k)
+    # bars are shuffled, not the steps between them, and once for both panels
+    both._jdf.collectToPython()
+    plan = both._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.index("Generate inline") < plan.index("hashpartitioning(ticker")
+    assert _nodes(both, "Exchange hashpartitioning(ticker") == 1 and _nodes(both, "ReusedExchange") >= 1
+
+
 # --- folds and scans in pieces
 
 
